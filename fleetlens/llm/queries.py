@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, lines, minhash
+from fleetlens.llm import bpe, lines, minhash, rules
 from fleetlens.llm.common import table
 
 
@@ -36,6 +36,11 @@ FROM g GROUP BY doc_id
 """
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = rules.quality_rules(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
@@ -57,7 +62,7 @@ SELECT c.doc_id, c.n::BIGINT AS n_shingles, m.comp AS component_id, c.doc_id = m
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_line_dedup": op3_line_dedup, "op10_minhash": op10_minhash}
+    return {"op1_bpe": op1_bpe, "op3_line_dedup": op3_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
