@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, language, licenses, lines, minhash, rules, secrets, warc
+from fleetlens.llm import bpe, contamination, language, licenses, lines, minhash, rules, secrets, warc
 from fleetlens.llm.common import table
 
 
@@ -61,6 +61,14 @@ FROM o
 """
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = contamination.matches(docs, table(spark, sf_dir, "benchmark"))
+    by_doc = found.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("items"), F.round(F.max("similarity"), 9).alias("similarity"))
+    every = docs.select("doc_id").join(by_doc, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items", F.lit("")).alias("items"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.col("n_items").isNull().alias("kept"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = licenses.scan(table(spark, sf_dir, "documents"))
     starts = F.transform("places", lambda p: p["word"])
@@ -109,7 +117,7 @@ SELECT c.doc_id, c.n::BIGINT AS n_shingles, m.comp AS component_id, c.doc_id = m
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_line_dedup": op3_line_dedup, "op4_warc": op4_warc, "op7_licenses": op7_licenses, "op8_language": op8_language, "op9_quality_rules": op9_quality_rules, "op10_minhash": op10_minhash}
+    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_line_dedup": op3_line_dedup, "op4_warc": op4_warc, "op6_decontamination": op6_decontamination, "op7_licenses": op7_licenses, "op8_language": op8_language, "op9_quality_rules": op9_quality_rules, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
