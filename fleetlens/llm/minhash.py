@@ -3,9 +3,10 @@
 1. One pass sketches every text: number of distinct shingles, digest of the shingle set, MinHash signature.
 2. Texts with equal sets become one node (the smallest doc_id), so groups of copies cost one row each.
 3. Signatures are cut into bands; nodes that share a band are candidates. Within a bucket no all-pairs step:
-   every node is compared with two pivots (linear), the links found are joined to components, and only nodes
-   outside a bucket's main component are then compared with that bucket's members of other components. Pairs
-   within one component can't change the result, so no link that matters is left out.
+   every node is compared with the bucket's first node, the links found are joined to components, then in `rounds`
+   turns the nodes outside a bucket's main component are compared with one member of it each (all linear), and only
+   those still outside are at last compared with the bucket's members of every other component. Pairs within one
+   component can't change the result, so no link that matters is left out, whatever `rounds` is.
 4. A candidate pair's signatures are compared batch by batch; as soon as the posterior probability of a
    similarity at or above the threshold falls below `miss`, the pair is pruned. Survivors are verified exactly
    on their full shingle sets.
@@ -179,7 +180,7 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
             return labels, path
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-6, rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     spark = df.sparkSession
     docs = texts_of(df, id_col, text_col)
@@ -202,20 +203,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def linked(pairs: DataFrame) -> DataFrame:
         return verified(survivors(pairs, nodes, percent, miss), sets, percent)
 
-    pivots = shared.filter("doc_id <> first").select(*ordered("doc_id", "first")).unionByName(shared.filter("doc_id <> last").select(*ordered("doc_id", "last"))).distinct()
-    tried, p_path = staged(pivots, "pivots")
+    spent = [c_path, b_path, s_path, t_path, n_path]
+    tried, path = staged(shared.filter("doc_id <> first").select(*ordered("doc_id", "first")).distinct(), "tried")
     links, l_path = staged(linked(tried), "links")
-    comp, comp_path = components(links)
-
-    placed = shared.select("key", "doc_id", "n_shingles", "first").join(comp, "doc_id", "left").select("key", "doc_id", "n_shingles", "first", F.coalesce("component", "doc_id").alias("comp"))
-    placed, q_path = staged(placed, "placed")
-    mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("doc_id") == F.col("first"), F.col("comp"))).alias("main")).filter("low <> high").select("key", "main")
-    apart = placed.join(mixed_keys, "key").filter("comp <> main").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("comp_x"), F.col("n_shingles").alias("n_x"))
-    close = (F.col("comp") != F.col("comp_x")) & (100 * F.least("n_shingles", "n_x") >= percent * F.greatest("n_shingles", "n_x"))
-    cross = apart.join(placed, "key").filter(close).select(*ordered("x", "doc_id")).distinct().join(tried, ["a", "b"], "left_anti")
-    more, r_path = staged(linked(cross), "links")
-    final, _ = components(links.unionByName(more))
+    spent += [path, l_path]
+    for turn in range(rounds + 1):
+        comp, comp_path = components(links)
+        placed = shared.select("key", "doc_id", "n_shingles").join(comp, "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("comp"))
+        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main")
+        mixed_rows, q_path = staged(placed.join(sizes, "key"), "mixed")
+        spent += [comp_path, q_path]
+        apart = mixed_rows.filter("comp <> main").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("comp_x"), F.col("n_shingles").alias("n_x"))
+        if turn < rounds:  # each one outside against one member of the main component, another in each bucket and turn
+            draw = F.xxhash64("doc_id", "key", F.lit(turn))
+            others = mixed_rows.filter("comp = main").groupBy("key").agg(F.min_by(F.struct("doc_id", "n_shingles", "comp"), draw).alias("o")).select("key", "o.*")
+        else:
+            others = mixed_rows.select("key", "doc_id", "n_shingles", "comp")
+        close = (F.col("comp") != F.col("comp_x")) & (100 * F.least("n_shingles", "n_x") >= percent * F.greatest("n_shingles", "n_x"))
+        fresh = apart.join(others, "key").filter(close).select(*ordered("x", "doc_id")).distinct().join(tried, ["a", "b"], "left_anti")
+        new, path = staged(fresh, "tried")
+        more, l_path = staged(linked(new), "links")
+        spent += [path, l_path]
+        tried, links = tried.unionByName(new), links.unionByName(more)
+    final, _ = components(links)
     out = members.join(final.withColumnRenamed("doc_id", "node"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     alone = sk.filter("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    dropped(spark, c_path, n_path, b_path, s_path, t_path, p_path, l_path, comp_path, q_path, r_path)
+    dropped(spark, *spent)
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
