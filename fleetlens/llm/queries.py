@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, contamination, language, licenses, lines, minhash, rules, secrets, warc
+from fleetlens.llm import bpe, contamination, language, licenses, lines, minhash, quality, rules, secrets, warc
 from fleetlens.llm.common import table
 
 
@@ -61,6 +61,11 @@ FROM o
 """
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = contamination.matches(docs, table(spark, sf_dir, "benchmark"))
@@ -117,7 +122,7 @@ SELECT c.doc_id, c.n::BIGINT AS n_shingles, m.comp AS component_id, c.doc_id = m
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_line_dedup": op3_line_dedup, "op4_warc": op4_warc, "op6_decontamination": op6_decontamination, "op7_licenses": op7_licenses, "op8_language": op8_language, "op9_quality_rules": op9_quality_rules, "op10_minhash": op10_minhash}
+    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_line_dedup": op3_line_dedup, "op4_warc": op4_warc, "op5_quality_classifier": op5_quality_classifier, "op6_decontamination": op6_decontamination, "op7_licenses": op7_licenses, "op8_language": op8_language, "op9_quality_rules": op9_quality_rules, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
