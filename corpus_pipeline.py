@@ -1,4 +1,69 @@
-STAGES = []
+"""The corpus pipeline: documents to token ids, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents. Stages work on all rows they get; each states what
+it does with nulls, empty and long texts, repeated rows and further columns through its operator's docstring.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetlens.llm import bpe, contamination, lines, minhash, quality
+from fleetlens.llm.common import staged
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier finds neither junk nor abusive."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.kept_rows(docs.select(*COLUMNS), model)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines that a document of smaller doc_id holds; n_chars follows the text.
+    A document that loses lines and has no visible character left is a copy and goes."""
+    got = lines.dedup_lines(docs, also=["lang", "source"])
+    left = (F.col("n_dropped") == 0) | (F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0)
+    return got.filter(left).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the smallest doc_id."""
+    verdict = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(verdict, "doc_id", "left_anti")
+
+
+def drop_benchmark_holders(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return contamination.decontaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (packed little-endian unsigned 32-bit integers) of each document, with the digest of the text they decode to."""
+    import public_tokenizers
+
+    got = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return got.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_near_dedup", keep_one_of_each_group),
+    ("benchmark_decontamination", drop_benchmark_holders),
+    ("bpe_encoding", encode_tokens),
+]
+
+#: A fitted classifier decides in the first stage, which SQL can't express; tests hold each stage against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs, _ = staged(stage(spark, docs, sf_dir), name)
+    return docs

@@ -83,10 +83,10 @@ class LineRuns:
             dropped(self.spark, self.paths.pop(name))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 4) -> DataFrame:
-    """doc_id, text (without dropped lines), n_lines, n_dropped; one row per input row."""
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 4, also: list[str] | None = None) -> DataFrame:
+    """doc_id, text (without dropped lines), n_lines, n_dropped and the columns `also`; one row per input row."""
+    spark, also = df.sparkSession, also or []
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *also)
     cuts = docs.filter("doc_id is not null").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     bounds = [None, *sorted({int(c) for c in cuts}), None]
     runs, drops = LineRuns(spark, fanout), []
@@ -106,4 +106,4 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     lines = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n"))
-    return whole.select("doc_id", kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    return whole.select("doc_id", kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), *also)

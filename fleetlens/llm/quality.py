@@ -170,7 +170,7 @@ def _parsed(batch: pa.RecordBatch, known: Words) -> Iterator[tuple[int, list, li
         place += len(ids)
 
 
-def lexicon(docs: DataFrame, prefixes: bool, ratio: float = 20.0, least: int = 3, most: int = 5000) -> dict[str, float]:
+def lexicon(docs: DataFrame, prefixes: bool, ratio: float = 20.0, least: int = 4, most: int = 5000) -> dict[str, float]:
     """Features of abusive texts with the log of their rate there against other texts; at most `most` of them.
     docs: doc_id, text, toxic."""
 
@@ -215,8 +215,7 @@ def fit(df: DataFrame, labels: DataFrame, lexicon_rows: int = 4000, fit_rows: in
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) / 1e6
     some = marks.filter("toxic is not null").filter(draw < lexicon_rows / max(1, n_marks))
     taken, taken_path = staged(docs.join(some.select("doc_id", "toxic"), "doc_id"), "labelled")
-    side = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2))
-    lexicons = (lexicon(taken.filter(side == 0), prefixes=False), lexicon(taken.filter(side == 1), prefixes=True))
+    lexicons = (lexicon(taken, prefixes=False), lexicon(taken, prefixes=True))
     dropped(spark, taken_path)
 
     def vote(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,15 +270,15 @@ def fit(df: DataFrame, labels: DataFrame, lexicon_rows: int = 4000, fit_rows: in
     return Model(np.stack([w for w, _ in fitted]), np.array([b for _, b in fitted]), lexicons, (junk_table, abuse_table))
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, quality (probability of being no junk), abuse (probability), kept."""
+def _scorer(df: DataFrame, model: Model, put):
+    """The function for mapInArrow; put(batch, place, count, quality, abuse) makes the batch to yield."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by dims
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         known, dims, told = Words(m.lexicons, m.weights), m.weights.shape[1], 1 + len(m.lexicons)
         for batch in it:
-            for _, ids, texts, numbers in _parsed(batch, known):
+            for place, ids, texts, numbers in _parsed(batch, known):
                 sums = np.zeros((len(ids), 2))
                 for k, (text, n) in enumerate(zip(texts, numbers, strict=True)):
                     look, values = style(text, n), known.values[np.unique(n)]
@@ -287,7 +286,27 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                     sums[k] = values[:, told:].sum(axis=0) / max(1, len(values)) ** 0.5 + m.weights[:, more].sum(axis=1) + m.bias
                 p = 1 / (1 + np.exp(-np.clip(sums, -50, 50)))
                 empty = np.array([len(n) == 0 for n in numbers])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.where(empty, 0.0, 1 - p[:, 0])), pa.array(np.where(empty, 0.0, p[:, 1]))], ["doc_id", "quality", "abuse"])
+                yield put(batch, place, len(ids), np.where(empty, 0.0, 1 - p[:, 0]), np.where(empty, 0.0, p[:, 1]))
+
+    return run
+
+
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, quality (probability of being no junk), abuse (probability), kept."""
+
+    def put(batch: pa.RecordBatch, place: int, n: int, quality: np.ndarray, abuse: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0).slice(place, n), pa.array(quality), pa.array(abuse), pa.array((quality >= 0.5) & (abuse < 0.5))], ["doc_id", "quality", "abuse", "kept"])
+
+    return texts_of(df, id_col, text_col).mapInArrow(_scorer(df, model, put), "doc_id long, quality double, abuse double, kept boolean")
+
+
+def kept_rows(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, that `score` keeps, in one pass without a join."""
+    names = df.columns
+
+    def put(batch: pa.RecordBatch, place: int, n: int, quality: np.ndarray, abuse: np.ndarray) -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_arrays(batch.columns[2:], names).slice(place, n)
+        return rows.filter(pa.array((quality >= 0.5) & (abuse < 0.5)))
 
-    got = texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, quality double, abuse double")
-    return got.withColumn("kept", (F.col("quality") >= 0.5) & (F.col("abuse") < 0.5))
+    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c) for c in names])
+    return texts.mapInArrow(_scorer(df, model, put), df.schema)
