@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # open(2) flag bits and names that mean writing, and the directories that count as sensitive.
 ACCESS_MASK, WRITE_MODES, WRITE_BITS = 3, (1, 2), 64 | 512 | 1024
@@ -55,7 +56,7 @@ def args_flags(args: Column) -> Column:
     return F.coalesce(F.regexp_extract(args, r"\{[^{}]*'name': 'flags'[^{}]*'value': '([^']*)'[^{}]*\}", 1), F.lit(""))
 
 
-@F.pandas_udf("struct<path: string, flags: string>")
+@F.pandas_udf(T.StructType([T.StructField("path", T.StringType()), T.StructField("flags", T.StringType())]))
 def args_literal(args: pd.Series) -> pd.DataFrame:
     """Path and flags of any Python literal, for shapes that the patterns above don't cover."""
     import ast

@@ -94,7 +94,7 @@ def build_alerts(scored: DataFrame, windows: DataFrame, threshold: float = 0.7,
     hits = hits.withColumn("identity", alert_identity(column("process_name", "string"), column("binary_path", "string"), chain, F.col("pid")))
     hits = hits.withColumns({"top_features": top_features(F.col("contributions")), "timestamp_ns": F.col("window_end_ns"), "chain": alert_chain(chain, F.col("identity"), F.col("pid"))})
     return alert_ids(hits, last_id).select(
-        "alert_id", F.timestamp_micros(F.floor(F.col("timestamp_ns") / 1000).cast("bigint")).alias("timestamp"), *process_key(hits),
+        "alert_id", F.timestamp_micros(F.expr("timestamp_ns div 1000")).alias("timestamp"), *process_key(hits),
         redact_pointers(F.col("identity.process_name")).alias("process_name"), redact_pointers(F.col("identity.binary_path")).alias("binary_path"), F.col("chain").alias("ancestry_chain"),
         clamp01(F.col("threat_score")).alias("threat_score"), "model_hash", "top_features", alert_summary(F.col("identity.process_name"), F.col("pid"), F.col("threat_score"), threshold, F.col("top_features")).alias("summary"),
     )

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.schemas import SYSCALL_TYPES, process_key
 
@@ -91,7 +92,8 @@ def pair_enter_exit(decoded: DataFrame, timeout_ms: int = 250, mode: str = "seri
         out = out.withColumns({"exit_ns": F.when(F.col("pair_status") == "paired", F.col("next_ns")), "syscall_result": F.when(F.col("pair_status") == "paired", F.col("next_result")).when(~is_enter, F.col("syscall_result"))})
         out = out.drop("next_exit", "next_ns", "next_result", "prev_enter")
     else:
-        schema = rows.withColumns({"pair_status": F.lit(""), "exit_ns": F.lit(0).cast("bigint")}).schema
+        names = {"pair_status": T.StringType(), "exit_ns": T.LongType()}
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema] + [T.StructField(n, t) for n, t in names.items()])
         out = rows.filter(two).groupBy(*process_key(rows), "tid", "syscall_type").applyInPandas(lambda pdf: fifo_pairs(pdf, timeout), schema)
     return out.unionByName(single)
 

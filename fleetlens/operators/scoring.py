@@ -94,7 +94,7 @@ class Ensemble:
         self.at_most = (self.table["mode"] == "LE").to_numpy()
         self.feature = self.table["feature_index"].fillna(0).to_numpy().astype(int)
         self.threshold = self.table["threshold"].fillna(0).to_numpy().astype(np.float32)
-        self.missing = self.table["missing_true"].fillna(False).to_numpy().astype(bool)
+        self.missing = (self.table["missing_true"] == True).to_numpy()  # noqa: E712  null is no
         self.weight = self.table["weight"].fillna(0).to_numpy()
         self.roots = np.flatnonzero(~self.table["tree_id"].duplicated())
 
