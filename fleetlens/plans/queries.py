@@ -475,9 +475,9 @@ def state_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.process_state(rows, scored(spark, sf_dir)).select("pid", "process_name", "binary_path", "updated_ns", F.round("threat_score", 9).alias("threat_score"))
 
 
-@registered("timeline_filter", duck("syscalls names", f"{ALERTS} select alert_id::bigint as alert_id, pid from al where threat_score >= 0.8 and window_end_ns >= 1705363200000000000 - 86400000000000"))
+@registered("timeline_filter", duck("syscalls names", f"{ALERTS} select alert_id::bigint as alert_id, pid from al where window_end_ns >= 1705363200000000000 - 86400000000000"))
 def timeline_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.alert_timeline(scored_alerts(spark, sf_dir), "medium+", "24h", "2024-01-16 00:00:00").select("alert_id", "pid")
+    return explore.alert_timeline(scored_alerts(spark, sf_dir), "all", "24h", "2024-01-16 00:00:00").select("alert_id", "pid")
 
 
 @registered("alert_upsert", duck("syscalls names", f"{ALERTS} select alert_id::bigint as alert_id, round(case when alert_id % 3 = 0 then 0.99 else threat_score end, 9) as threat_score from al order by window_end_ns desc, alert_id desc limit 40"))
