@@ -174,7 +174,7 @@ def _run(df: DataFrame, path: str, schema: str, work) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in it:
-            for ids, values in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, values in chunks(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([ids, *work(bpe, values)], out, strict=True)], schema=out)
 
     return df.mapInArrow(batches, schema)

@@ -6,11 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that Python works on at once; bounds memory, not results.
-CHUNK_CHARS = 1_000_000
+#: Bytes of text that Python works on at once; bounds memory, not results.
+CHUNK_BYTES = 1_000_000
+#: Row groups of staged tables; small ones keep the writers' buffers small.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +42,7 @@ def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df as a table in the shared folder and reads it again: lineage is cut, executors may be lost."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -55,16 +60,20 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def chunks(ids: list, texts: list, most: int = CHUNK_CHARS) -> Iterator[tuple[list, list]]:
-    """Slices of a batch with about `most` characters each; no text is cut."""
-    start = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= most:
-            yield ids[start : k + 1], texts[start : k + 1]
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield ids[start:], texts[start:]
+def chunks(batch: pa.RecordBatch, most: int = CHUNK_BYTES) -> Iterator[tuple[list, list]]:
+    """Ids and texts (the first two columns) in slices of about `most` bytes each; no text is cut.
+
+    Only a slice at a time becomes Python objects; unused Arrow memory goes back after each batch.
+    """
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0, np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = min(int(np.searchsorted(ends, before + most)) + 1, batch.num_rows)
+        part = batch.slice(start, stop - start)
+        yield part.column(0).to_pylist(), part.column(1).to_pylist()
+        start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def ascii_lower(text: str) -> str:

@@ -176,7 +176,7 @@ def matches(df: DataFrame, benchmark: DataFrame, percent: int = 80, items_per_pa
         def run(it: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             known = WordHashes()
             for batch in it:
-                found = [(i, *m) for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, text in zip(ids, texts, strict=True) for m in index.value.matches(text, known, percent)]
+                found = [(i, *m) for ids, texts in chunks(batch) for i, text in zip(ids, texts, strict=True) for m in index.value.matches(text, known, percent)]
                 cols = zip(*found, strict=True) if found else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, [pa.int64()] * 4 + [pa.float64()], strict=True)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
 

@@ -167,7 +167,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m: Model = shared.value
         vocab, index, table = vocabulary(m.path), {}, np.zeros((0, len(m.languages)))
         for batch in it:
-            for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in chunks(batch):
                 if len(index) > KEPT_WORDS:
                     index, table = {}, table[:0]
                 numbers, new = [], []

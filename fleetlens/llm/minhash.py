@@ -62,7 +62,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in it:
-            for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in chunks(batch):
                 n, digests, sigs = [], [], []
                 for text in texts:
                     s = np.unique(sequence_hashes(white_words(text), k, known))
@@ -137,7 +137,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in it:
-            for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in chunks(batch):
                 sets = [np.unique(sequence_hashes(white_words(t), k, known)).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
@@ -213,6 +213,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main")
         mixed_rows, q_path = staged(placed.join(sizes, "key"), "mixed")
         spent += [comp_path, q_path]
+        if mixed_rows.isEmpty():
+            break
         apart = mixed_rows.filter("comp <> main").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("comp_x"), F.col("n_shingles").alias("n_x"))
         if turn < rounds:  # each one outside against one member of the main component, another in each bucket and turn
             draw = F.xxhash64("doc_id", "key", F.lit(turn))

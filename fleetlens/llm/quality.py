@@ -161,7 +161,7 @@ class Model:
 def _parsed(batch: pa.RecordBatch, known: Words) -> Iterator[tuple[int, list, list[str], list[np.ndarray]]]:
     """(place, ids, texts, word numbers) by chunk, values learned."""
     place = 0
-    for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    for ids, texts in chunks(batch):
         if len(known.index) > KEPT_WORDS:
             known.clear()
         numbers = [known.numbers(WORD.findall(t.lower())) for t in texts]

@@ -76,7 +76,7 @@ def scan(df: DataFrame, vocabulary: str, least_chars_per_token: float = 2.2, id_
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
         for batch in it:
-            for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in chunks(batch):
                 base, found = [], []
                 for text in texts:
                     own = base_spans(text)
