@@ -80,6 +80,8 @@ def inference_log(scored: DataFrame) -> DataFrame:
 def window_identity(windowed: DataFrame) -> DataFrame:
     """Latest identity in each window: process_name, binary_path, ancestry_chain."""
     names = [c for c in ("process_name", "binary_path", "ancestry_chain") if c in windowed.columns]
+    if not names:
+        return windowed.select(*window_key(windowed)).distinct()
     at = F.struct("timestamp_ns", "event_id")
     return windowed.groupBy(*window_key(windowed)).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in names])
 

@@ -29,7 +29,10 @@ def with_event_time(events: DataFrame, delay: str = "10 seconds") -> DataFrame:
 
 
 def _plain(value):
-    return None if value is None or value is pd.NA or (isinstance(value, float) and pd.isna(value)) else value
+    """A state value: none of the columns is a double, so a float is a nullable integer that pandas widened."""
+    if value is None or value is pd.NA or (isinstance(value, float) and pd.isna(value)):
+        return None
+    return int(value) if isinstance(value, float) else value
 
 
 def _rows(frames: Iterator[pd.DataFrame], names: list[str]) -> list[tuple]:
