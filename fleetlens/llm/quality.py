@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import chunks, dropped, staged, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
-SYMBOLS, KEPT_WORDS = b"#*$%&<>", 300_000
+SYMBOLS, KEPT_WORDS = b"#*$%&<>", 150_000
 #: Lengths of word beginnings that are features besides the whole word.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 BAD, NONE, GOOD = 0, 1, 2
@@ -46,53 +47,64 @@ def parts_of(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in PREFIXES if len(word) > n)]
 
 
+class _Numbers(dict):
+    """key -> number in order of first sight."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Words:
-    """word -> number, with arrays by number: insult, lexicon weights, scorer weights. Emptied beyond a bound."""
+    """word -> number, with values by number: insult flag, lexicon weights, scorer weights. Emptied beyond a bound.
+
+    Word beginnings are shared by many words, so what is known of a part is kept by part and summed by word.
+    """
 
     def __init__(self, lexicons: tuple[dict[str, float], ...] = (), weights: np.ndarray | None = None) -> None:
-        self.lexicons, self.weights = lexicons, weights
-        self.dims = None if weights is None else weights.shape[1]
+        self.lexicons, self.weights = lexicons, np.zeros((0, 1)) if weights is None else weights
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.values = np.zeros((0, 1 + len(self.lexicons) + (0 if self.weights is None else len(self.weights))))
-
-    def _value(self, word: str) -> list[float]:
-        parts = parts_of(word)
-        out = [float(word in INSULTS), *(max((lex.get(p, 0.0) for p in parts), default=0.0) for lex in self.lexicons)]
-        if self.weights is not None:
-            out += self.weights[:, hashed(parts, self.dims)].sum(axis=1).tolist()
-        return out
+        self.index, self.parts = _Numbers(), _Numbers()
+        self.values = np.zeros((0, 1 + len(self.lexicons) + len(self.weights)))
+        self.part_values = np.zeros((0, len(self.lexicons) + len(self.weights)))
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """Call `learn` before the values are used."""
-        index, at = self.index, np.empty(len(words), np.int64)
-        for k, w in enumerate(words):
-            i = index.get(w)
-            if i is None:
-                i = index[w] = len(index)
-            at[k] = i
-        return at
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def learn(self) -> None:
-        if len(self.index) > len(self.values):
-            new = list(self.index)[len(self.values) :]
-            self.values = np.concatenate([self.values, np.array([self._value(w) for w in new])])
+        if len(self.index) == len(self.values):
+            return
+        new = list(islice(self.index, len(self.values), None))
+        lists = [parts_of(w) for w in new]
+        flat = np.fromiter((self.parts[p] for ps in lists for p in ps), np.int64)
+        fresh = list(islice(self.parts, len(self.part_values), None))
+        if fresh:
+            lex = [np.array([x.get(p, 0.0) for p in fresh]) for x in self.lexicons]
+            known = self.weights[:, hashed(fresh, self.weights.shape[1])] if len(self.weights) else np.zeros((0, len(fresh)))
+            self.part_values = np.concatenate([self.part_values, np.vstack([*lex, known]).T if lex or len(known) else np.zeros((len(fresh), 0))])
+        first = np.r_[0, np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))[:-1]]
+        of, told = self.part_values[flat], len(self.lexicons)
+        best = np.maximum.reduceat(of[:, :told], first) if told else np.zeros((len(new), 0))
+        sums = np.add.reduceat(of[:, told:], first) if len(self.weights) else np.zeros((len(new), 0))
+        insult = np.fromiter((w in INSULTS for w in new), float, len(new))
+        self.values = np.concatenate([self.values, np.hstack([insult[:, None], best, sums])])
 
 
 def hashed(parts: list[str], dims: int) -> list[int]:
     return [xxhash.xxh3_64_intdigest(p) % dims for p in parts]
 
 
-def style(text: str, numbers: np.ndarray) -> dict[str, float]:
+def style(text: str, numbers: np.ndarray, n_distinct: int) -> dict[str, float]:
     """Measures of a text's look."""
     codes = np.bincount(np.frombuffer(text.encode("latin-1", "replace"), np.uint8), minlength=256)
     letters, n = max(1, int(codes[_LETTER].sum())), len(numbers)
     lines = [x for x in text.split("\n") if x.strip()]
     return {
         "words": float(n), "symbols": sum(int(codes[c]) for c in SYMBOLS) / letters, "upper": int(codes[_UPPER].sum()) / letters, "exclaims": int(codes[33]) / max(1, n),
-        "pipes": int(codes[124]) / max(1, n), "repeats": float((numbers[1:] == numbers[:-1]).sum()) / max(1, n), "distinct": len(np.unique(numbers)) / max(1, n),
+        "pipes": int(codes[124]) / max(1, n), "repeats": float((numbers[1:] == numbers[:-1]).sum()) / max(1, n), "distinct": n_distinct / max(1, n),
         "dup_lines": 1 - len(set(lines)) / max(1, len(lines)), "stops": int(codes[46]) / max(1, n),
     }
 
@@ -101,18 +113,17 @@ def _vote(value: float, bad: float, good: float) -> int:
     return BAD if value >= bad else GOOD if value <= good else NONE
 
 
-def junk_votes(s: dict[str, float], label: int | None) -> str:
-    """Each kind of junk is another, so a labeller that doesn't see its own kind says nothing; the last but one
+def junk_votes(s: dict[str, float]) -> str:
+    """Each kind of junk is another, so a labeller that doesn't see its own kind says nothing; the last one
     says good where none of them sees anything."""
     seen = [s["symbols"] >= 0.03, s["upper"] >= 0.4, s["exclaims"] >= 0.2, s["pipes"] >= 0.03, s["repeats"] >= 0.1, s["words"] >= 30 and s["distinct"] <= 0.1, s["dup_lines"] >= 0.5, s["words"] < 3]
-    return "".join(str(BAD if x else NONE) for x in seen) + str(NONE if any(seen) else GOOD) + str(NONE if label is None else GOOD if label else BAD)
+    return "".join(str(BAD if x else NONE) for x in seen) + str(NONE if any(seen) else GOOD)
 
 
-def abuse_votes(values: np.ndarray, label: int | None) -> str:
+def abuse_votes(values: np.ndarray) -> str:
     """values: insult and lexicon weights of the distinct words."""
     insults, *lists = values.sum(axis=0).tolist() if len(values) else [0.0] * values.shape[1]
-    votes = [_vote(insults, 1, 0), *(_vote(x, 5, 2) for x in lists), NONE if label is None else BAD if label else GOOD]
-    return "".join(map(str, votes))
+    return "".join(str(v) for v in [_vote(insults, 1, 0), *(_vote(x, 5, 2) for x in lists)])
 
 
 def bad_posterior(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], np.ndarray]:
@@ -147,7 +158,7 @@ def style_features(s: dict[str, float]) -> list[str]:
 
 def vote_features(s: dict[str, float], values: np.ndarray) -> list[str]:
     """What the labellers other than the known labels say, as features."""
-    return [f"+{k}:{v}" for k, v in enumerate(junk_votes(s, None) + abuse_votes(values, None))]
+    return [f"+{k}:{v}" for k, v in enumerate(junk_votes(s) + abuse_votes(values))]
 
 
 @dataclass(frozen=True)
@@ -191,7 +202,7 @@ def lexicon(docs: DataFrame, prefixes: bool, ratio: float = 20.0, least: int = 4
     return {r["f"]: float(np.log(r["r"])) for r in kept.orderBy(F.desc("r"), "f").limit(most).collect()}
 
 
-def _fit_linear(rows: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, weight: np.ndarray, dims: int, rounds: int = 200, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+def _fit_linear(rows: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, weight: np.ndarray, dims: int, rounds: int = 120, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps over the whole sample."""
     length = np.array([len(r) for r in rows])
     flat, value, first = np.concatenate(rows), np.concatenate(values), np.r_[0, np.cumsum(length)[:-1]]
@@ -214,20 +225,22 @@ def fit(df: DataFrame, labels: DataFrame, lexicon_rows: int = 4000, fit_rows: in
     n_marks = marks.filter("toxic is not null").count()
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) / 1e6
     some = marks.filter("toxic is not null").filter(draw < lexicon_rows / max(1, n_marks))
-    taken, taken_path = staged(docs.join(some.select("doc_id", "toxic"), "doc_id"), "labelled")
+    taken, taken_path = staged(docs.join(F.broadcast(some.select("doc_id", "toxic")), "doc_id"), "labelled")  # about lexicon_rows ids
     lexicons = (lexicon(taken, prefixes=False), lexicon(taken, prefixes=True))
     dropped(spark, taken_path)
 
     def vote(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(lexicons)
         for batch in it:
-            good, toxic = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for place, ids, texts, numbers in _parsed(batch, known):
-                junk = [junk_votes(style(t, n), good[place + k]) for k, (t, n) in enumerate(zip(texts, numbers, strict=True))]
-                abuse = [abuse_votes(known.values[np.unique(n)], toxic[place + k]) for k, n in enumerate(numbers)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(junk), pa.array(abuse)], ["doc_id", "junk", "abuse"])
-
-    votes, votes_path = staged(docs.join(marks, "doc_id", "left").select("doc_id", "text", "quality", "toxic").mapInArrow(vote, "doc_id long, junk string, abuse string"), "votes")
+            for _, ids, texts, numbers in _parsed(batch, known):
+                distinct = [np.unique(n) for n in numbers]
+                junk = [junk_votes(style(t, n, len(d))) for t, n, d in zip(texts, numbers, distinct, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(junk), pa.array([abuse_votes(known.values[d]) for d in distinct])], ["doc_id", "junk", "abuse"])
+
+    # the known labels vote last; only votes are shuffled to meet them, no texts
+    heard = docs.mapInArrow(vote, "doc_id long, junk string, abuse string").join(marks, "doc_id", "left")
+    says = lambda c, bad: F.when(F.col(c).isNull(), str(NONE)).when(F.col(c) == bad, str(BAD)).otherwise(str(GOOD))
+    votes, votes_path = staged(heard.select("doc_id", F.concat("junk", says("quality", 0)).alias("junk"), F.concat("abuse", says("toxic", 1)).alias("abuse")), "votes")
     patterns = votes.groupBy("junk", "abuse").agg(F.count("*").alias("n")).collect()  # at most 3 ** 14 rows
     sums = [Counter(), Counter()]
     for r in patterns:
@@ -250,14 +263,15 @@ def fit(df: DataFrame, labels: DataFrame, lexicon_rows: int = 4000, fit_rows: in
                 known = Words(lexicons)
                 numbers = known.numbers(WORD.findall(text.lower()))
                 known.learn()
-                look = style(text, numbers)
+                look = style(text, numbers, len(known.index))
                 more = style_features(look) + vote_features(look, known.values)
                 parts = [p for w in known.index for p in parts_of(w)]
                 out.append((np.array(hashed(more + parts, dims), np.int32).tobytes(), len(more), len(known.index)))
             cols = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*cols, *(batch.column(k) for k in (2, 3, 4))], ["x", "n_more", "n_words", "p_junk", "p_abuse", "share"])
 
-    sample = docs.join(chosen.select("doc_id", "p_junk", "p_abuse", "share"), "doc_id").mapInArrow(features, "x binary, n_more int, n_words int, p_junk double, p_abuse double, share double").collect()
+    picked = F.broadcast(chosen.select("doc_id", "p_junk", "p_abuse", "share"))  # about fit_rows ids
+    sample = docs.join(picked, "doc_id").mapInArrow(features, "x binary, n_more int, n_words int, p_junk double, p_abuse double, share double").collect()
     dropped(spark, votes_path)
     if not sample:
         return Model(np.zeros((2, dims)), np.full(2, -1.0), lexicons, (junk_table, abuse_table))
@@ -281,7 +295,8 @@ def _scorer(df: DataFrame, model: Model, put):
             for place, ids, texts, numbers in _parsed(batch, known):
                 sums = np.zeros((len(ids), 2))
                 for k, (text, n) in enumerate(zip(texts, numbers, strict=True)):
-                    look, values = style(text, n), known.values[np.unique(n)]
+                    distinct = np.unique(n)
+                    look, values = style(text, n, len(distinct)), known.values[distinct]
                     more = hashed(style_features(look) + vote_features(look, values[:, :told]), dims)
                     sums[k] = values[:, told:].sum(axis=0) / max(1, len(values)) ** 0.5 + m.weights[:, more].sum(axis=1) + m.bias
                 p = 1 / (1 + np.exp(-np.clip(sums, -50, 50)))
