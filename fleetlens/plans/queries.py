@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from fleetlens.functions import scalars as fn
 from fleetlens.operators import alerts, enrich, explore, features, ingest, priors, reports, scoring, training, windows
 from fleetlens.plans.views import DUCKDB, MODEL_BASE, ctes, view
 from fleetlens.schemas import SCALAR_FEATURES
+from fleetlens.streaming import stateful
 
 WINDOW_S, DEDUP_MS = 432_000, 86_400_000
 THRESHOLD, PORT = 0.7, 4003
@@ -527,6 +530,69 @@ def log_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.log_diff(lines, changed)
 
 
+FIELDS = """printf('entropy %.3f', path_entropy) as entropy, printf('unique files %d', unique_files) as files, printf('failed %d', failed_syscall_count) as failed,
+    concat_ws(chr(10), case when execve_count > 0 then 'Execve x' || execve_count end, case when openat_count > 0 then 'Openat x' || openat_count end,
+        case when connect_count > 0 then 'Connect x' || connect_count end, case when clone_count > 0 then 'Clone x' || clone_count end) as counts"""
+
+
+@registered("process_detail", duck("syscalls", f"{W}, {DEDUP}, {ENTROPY}, {TIMING}, {FLAT} select pid, window_start_ns, {FIELDS} from f"))
+def process_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.process_detail(vectors(spark, sf_dir)).select(*KEY, "entropy", "files", "failed", "counts")
+
+
+@registered("signature_match", duck("syscalls", f"""{W}, b as (select pid, window_start_ns, {COUNTS} from w group by all)
+select pid, window_start_ns, case when total_syscalls <= 9 and connect_count = 0 then 'quiet ' || execve_count || '/' || openat_count || '/' || clone_count else 'unmatched' end as pattern from b"""))
+def signature_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["total_syscalls", "execve_count", "openat_count", "connect_count", "clone_count"]
+    counts = features.aggregated(windowed(spark, sf_dir), *columns)
+    quiet = counts.filter("total_syscalls <= 9 and connect_count = 0").select(*columns).distinct()
+    signatures = quiet.withColumn("pattern", F.concat(F.lit("quiet "), F.concat_ws("/", "execve_count", "openat_count", "clone_count")))
+    return explore.signature_match(counts, signatures).select(*KEY, "pattern")
+
+
+@registered("retained_exited", duck("syscalls", "x as (select 1) select pid, max(event_id) as event_id, pid % 3 = 0 as exited from syscalls group by pid"))
+def retained_exited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = explore.latest_process(view(spark, sf_dir, "syscalls")).select("pid", "event_id")
+    return explore.retained_exited(states, states.filter("pid % 3 <> 0"))
+
+
+@registered("process_tree", duck("syscalls names", f"""{SCORED}, ls as (select pid, arg_max(threat_score, window_end_ns) as threat_score from sc group by pid), le as (select pid, max(timestamp_ns) as updated_ns from syscalls group by pid)
+select le.pid, coalesce(process_name, 'pid-' || le.pid) || ' [' || le.pid || '] ' || printf('%.3f', threat_score) as line from le join ls on le.pid = ls.pid left join names n on n.pid = le.pid order by updated_ns desc, le.pid limit 20 offset 10"""))
+def process_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = enrich.enrich_process(view(spark, sf_dir, "syscalls"), view(spark, sf_dir, "names"))
+    return explore.process_tree(explore.process_state(rows, scored(spark, sf_dir)), 10, 20).select("pid", "line")
+
+
+@registered("would_alert", duck("syscalls", f"{SCORED} select pid, window_start_ns, threat_score >= 0.7 as would_alert from sc"))
+def would_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = scoring.flatten_vector(vectors(spark, sf_dir))
+    return scoring.would_alert(flat, view(spark, sf_dir, "model_nodes"), THRESHOLD, MODEL_BASE).select(*KEY, "would_alert")
+
+
+@registered("finite_check", duck("syscalls", f"{W} select distinct pid, window_start_ns, case when pid % 10 = 0 then 'events_per_second' end as bad_feature from w"))
+def finite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = vectors(spark, sf_dir).withColumn("events_per_second", F.when(F.col("pid") % 10 == 0, float("nan")).otherwise(F.col("events_per_second")))
+    return scoring.finite_check(scoring.flatten_vector(odd)).select(*KEY, "bad_feature")
+
+
+STREAM_END = f"(select max(timestamp_ns) - 10000000000 - {SIZE} from syscalls)"
+
+
+@registered("stream_windows", duck("syscalls", f"{W} select pid, window_start_ns, count(*)::bigint as n from w where window_start_ns <= {STREAM_END} group by all"))
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream through stateful windows, drained to a table; windows that are over at its watermark."""
+    stateful.use_rocksdb(spark)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = stateful.window_stream(stateful.with_event_time(view(spark, sf_dir, "syscalls", events)), WINDOW_S)
+    place = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='fleetlens-')}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = view(spark, sf_dir, "syscalls").agg((F.max("timestamp_ns") - 10 * windows.NS - SIZE).alias("end"))
+    closed = spark.read.parquet(f"{place}/out").join(F.broadcast(last)).filter("window_start_ns <= end")
+    return closed.groupBy(*KEY).agg(F.count("*").alias("n"))
+
+
 # --- evaluation and reports ---------------------------------------------------------------------------------------
 
 TRIALS = "tl as (select *, case when value > 250 then 1 else 0 end as label, k / 100 as s from e)"

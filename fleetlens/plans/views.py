@@ -113,8 +113,8 @@ def ctes(dialect: dict[str, str], *names: str) -> str:
     return ",\n".join(f"{n} as ({filled(VIEWS[n][1], dialect)})" for n in order)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An adapter view as a DataFrame."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+def view(spark: SparkSession, sf_dir: str, name: str, events: DataFrame | None = None) -> DataFrame:
+    """An adapter view as a DataFrame; over another events table, or a stream of one, if given."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet") if events is None else events
     text = f"with {ctes(SPARK, name)} select * from {name}"
     return spark.sql(text.replace("{", "{{").replace("}", "}}").replace("from events", "from {source}"), source=events)
