@@ -6,7 +6,8 @@
    every node is compared with the bucket's first node, the links found are joined to components, then in `rounds`
    turns the nodes outside a bucket's main component are compared with one member of it each (all linear), and only
    those still outside are at last compared with the bucket's members of every other component. Pairs within one
-   component can't change the result, so no link that matters is left out, whatever `rounds` is.
+   component can't change the result, so no link that matters is left out, whatever `rounds` is. In the last step a
+   pair is passed over if it can't be similar enough even if the two shared every shingle that isn't unique.
 4. A candidate pair's signatures are compared batch by batch; as soon as the posterior probability of a
    similarity at or above the threshold falls below `miss`, the pair is pruned. Survivors are verified exactly
    on their full shingle sets.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -38,6 +40,7 @@ BANDS, ROWS, BATCH = 42, 6, 42
 BLOCK = 2048
 
 
+@lru_cache(maxsize=1)
 def _seeds() -> np.ndarray:
     return np.random.default_rng(20240607).integers(1, 2**32, (3, BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 
@@ -144,6 +147,22 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """doc_id, own: how many of a document's shingles no other of the given documents has."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                packed = part.column(1).to_pylist()
+                n = np.array([len(x) // 8 for x in packed])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)), pa.array(np.frombuffer(b"".join(packed), np.int64))], ["doc_id", "h"])
+
+    rows = sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, h long")
+    alone = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
+    return alone.groupBy("doc_id").agg(F.count("*").alias("own"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union, on full sets."""
 
@@ -180,7 +199,7 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
             return labels, path
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-6, rounds: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-6, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     spark = df.sparkSession
     docs = texts_of(df, id_col, text_col)
@@ -215,13 +234,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         spent += [comp_path, q_path]
         if mixed_rows.isEmpty():
             break
-        apart = mixed_rows.filter("comp <> main").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("comp_x"), F.col("n_shingles").alias("n_x"))
+        common = mixed_rows.withColumn("common", F.col("n_shingles"))
+        if turn == rounds:
+            own = own_shingles(sets.join(mixed_rows.select("doc_id").distinct(), "doc_id", "left_semi"))
+            common = mixed_rows.join(own, "doc_id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
+            common, own_path = staged(common, "common")
+            spent.append(own_path)
+        apart = common.filter("comp <> main").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("comp_x"), F.col("n_shingles").alias("n_x"), F.col("common").alias("common_x"))
         if turn < rounds:  # each one outside against one member of the main component, another in each bucket and turn
             draw = F.xxhash64("doc_id", "key", F.lit(turn))
-            others = mixed_rows.filter("comp = main").groupBy("key").agg(F.min_by(F.struct("doc_id", "n_shingles", "comp"), draw).alias("o")).select("key", "o.*")
+            others = common.filter("comp = main").groupBy("key").agg(F.min_by(F.struct("doc_id", "n_shingles", "comp", "common"), draw).alias("o")).select("key", "o.*")
         else:
-            others = mixed_rows.select("key", "doc_id", "n_shingles", "comp")
-        close = (F.col("comp") != F.col("comp_x")) & (100 * F.least("n_shingles", "n_x") >= percent * F.greatest("n_shingles", "n_x"))
+            others = common.select("key", "doc_id", "n_shingles", "comp", "common")
+        most = F.least("common", "common_x")  # no intersection is larger
+        close = (F.col("comp") != F.col("comp_x")) & (100 * most >= percent * (F.col("n_shingles") + F.col("n_x") - most))
         fresh = apart.join(others, "key").filter(close).select(*ordered("x", "doc_id")).distinct().join(tried, ["a", "b"], "left_anti")
         new, path = staged(fresh, "tried")
         more, l_path = staged(linked(new), "links")
