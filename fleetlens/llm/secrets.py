@@ -2,7 +2,9 @@
 
 A run of 20 or more key characters is suspicious if a BPE vocabulary needs many tokens for it: text that a
 tokenizer knows takes 3 to 5 characters a token, random strings under `least_chars_per_token`. Before the test,
-digests of known length, UUIDs, plain numbers and identifiers (names made of letter parts) are set aside.
+digests of known length, UUIDs and plain numbers are set aside. Runs shaped like identifiers (names made of letter
+parts) are tested by part and without case instead, since the vocabulary knows few words in capitals; their shape alone
+proves nothing. Parts that are one token each pass; random parts of one or two letters can't be told from words.
 
 Null and empty texts have no spans; texts of any length are scanned whole; repeated rows give repeated results;
 empty tables give empty results; other columns are ignored. Spans count code points, ends exclusive.
@@ -34,6 +36,9 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 #: Letter parts (one case, or capitalised) joined by separators, each with a short number at most.
 IDENTIFIER = re.compile(r"(?:(?:[a-z]+|[A-Z]+|(?:[A-Z][a-z]+)+)[0-9]{0,4}(?:[-_/+=]+|$))+")
 CAMEL = re.compile(r"[a-z]+(?:[A-Z][a-z]+)*[0-9]{0,4}")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]")
+REPEATED = re.compile(r"([-_/+=])[-_/+=]+")
+LEAST_KEY = 20
 
 
 @lru_cache(maxsize=2)
@@ -47,17 +52,33 @@ def encoding(path: str):
 
 
 def is_known(run: str) -> bool:
-    """A digest, UUID, number or identifier: no random secret, whatever its tokens."""
-    return (len(run) in DIGEST_LENGTHS and bool(DIGEST.fullmatch(run))) or bool(UUID.fullmatch(run)) or not re.search(r"[A-Za-z]", run) or bool(IDENTIFIER.fullmatch(run)) or bool(CAMEL.fullmatch(run))
+    """A digest, UUID or number: no random secret, whatever its tokens."""
+    return (len(run) in DIGEST_LENGTHS and bool(DIGEST.fullmatch(run))) or bool(UUID.fullmatch(run)) or not re.search(r"[A-Za-z]", run)
+
+
+def has_random_parts(run: str, enc, least_chars_per_token: float) -> bool:
+    """Whether the letter parts of a run shaped like an identifier, all together or of one stretch that is long enough
+    for a key, need more tokens than words do. Repeated separators count once."""
+    run = REPEATED.sub(r"\1", run).strip("-_/+=")
+    for stretch in {run, *re.split(r"[/+=]", run), *re.split(r"[-_/+=]", run)}:
+        if len(stretch) >= LEAST_KEY:
+            parts = [p.lower() for p in PART.findall(stretch)]
+            tokens = sum(len(enc.encode_ordinary(p)) for p in parts)
+            if tokens > len(parts) and sum(map(len, parts)) < least_chars_per_token * tokens:
+                return True
+    return False
+
+
+def is_random(run: str, enc, least_chars_per_token: float) -> bool:
+    if is_known(run):
+        return False
+    if IDENTIFIER.fullmatch(run) or CAMEL.fullmatch(run):
+        return has_random_parts(run, enc, least_chars_per_token)
+    return len(run) < least_chars_per_token * len(enc.encode_ordinary(run))
 
 
 def random_spans(text: str, enc, least_chars_per_token: float) -> list[tuple[int, int]]:
-    out = []
-    for m in RUN.finditer(text):
-        run = m.group()
-        if not is_known(run) and len(run) < least_chars_per_token * len(enc.encode_ordinary(run)):
-            out.append(m.span())
-    return out
+    return [m.span() for m in RUN.finditer(text) if is_random(m.group(), enc, least_chars_per_token)]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

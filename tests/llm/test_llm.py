@@ -110,6 +110,21 @@ def test_secrets(spark, docs, rows, nothing):
     assert secrets.scan(nothing, RANKS).count() == 0
 
 
+def test_random_letters_are_no_identifiers():
+    enc, rng = secrets.encoding(RANKS), random.Random(17)
+    found = lambda x: secrets.random_spans(f"see {x} here", enc, 2.2) == [(4, 4 + len(x))]
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for letters in (lower, upper):
+        assert sum(found(draw(letters, 32)) for _ in range(500)) >= 495
+        assert sum(found(sep.join(draw(letters, 5) for _ in range(5))) for sep in "-_/+=" for _ in range(100)) >= 490
+        assert sum(found(f"authorization_token={draw(letters, 32)}") for _ in range(100)) >= 98
+    assert found("XKQZV-WPLMN-TRBHG-QWZXV") and found("xkq12-wpl34-trb56-qwz78-mnv90")
+    names = ["THIS_IS_A_CONSTANT_NAME", "MAX_BUFFER_SIZE_IN_BYTES", "getUserAccountBalanceForCustomer", "XMLHttpRequestFactoryBean", "LD_LIBRARY_PATH_PREFIX"]
+    names += ["usr/local/lib/python/site-packages", "to-be-or-not-to-be-or", "ha-ha-ha-ha-ha-ha-ha-ha", "Xyz----------------------", "Rechtsschutzversicherungsgesellschaften"]
+    assert not any(map(found, names))
+
+
 def brute_lines(rows, least=10):
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
     holders = collections.defaultdict(set)
