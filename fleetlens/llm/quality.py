@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -97,13 +98,31 @@ def hashed(parts: list[str], dims: int) -> list[int]:
     return [xxhash.xxh3_64_intdigest(p) % dims for p in parts]
 
 
+@lru_cache(maxsize=1)
+def _wide_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Whether each code point is a letter, an upper-case letter; made by the first text that needs it."""
+    chars = [chr(c) for c in range(0x110000)]
+    return np.array([c.isalpha() for c in chars]), np.array([c.isupper() for c in chars])
+
+
+def counts_of(text: str) -> tuple[np.ndarray, int, int]:
+    """Counts of the Latin-1 characters, and numbers of letters and of upper-case letters of any script."""
+    try:
+        codes = np.bincount(np.frombuffer(text.encode("latin-1"), np.uint8), minlength=256)
+    except UnicodeEncodeError:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter, upper = _wide_tables()
+        return np.bincount(points[points < 256], minlength=256), int(letter[points].sum()), int(upper[points].sum())
+    return codes, int(codes[_LETTER].sum()), int(codes[_UPPER].sum())
+
+
 def style(text: str, numbers: np.ndarray, n_distinct: int) -> dict[str, float]:
     """Measures of a text's look."""
-    codes = np.bincount(np.frombuffer(text.encode("latin-1", "replace"), np.uint8), minlength=256)
-    letters, n = max(1, int(codes[_LETTER].sum())), len(numbers)
+    codes, letters, upper = counts_of(text)
+    letters, n = max(1, letters), len(numbers)
     lines = [x for x in text.split("\n") if x.strip()]
     return {
-        "words": float(n), "symbols": sum(int(codes[c]) for c in SYMBOLS) / letters, "upper": int(codes[_UPPER].sum()) / letters, "exclaims": int(codes[33]) / max(1, n),
+        "words": float(n), "symbols": sum(int(codes[c]) for c in SYMBOLS) / letters, "upper": upper / letters, "exclaims": int(codes[33]) / max(1, n),
         "pipes": int(codes[124]) / max(1, n), "repeats": float((numbers[1:] == numbers[:-1]).sum()) / max(1, n), "distinct": n_distinct / max(1, n),
         "dup_lines": 1 - len(set(lines)) / max(1, len(lines)), "stops": int(codes[46]) / max(1, n),
     }

@@ -214,6 +214,29 @@ def test_quality_edges(spark, docs, rows, nothing):
     assert quality.score(nothing, empty).count() == 0
 
 
+def test_quality_counts_letters_of_any_script():
+    def look(text):
+        words = [w.lower() for w in quality.WORD.findall(text)]
+        numbers = {w: k for k, w in enumerate(words)}
+        return quality.style(text, quality.np.array([numbers[w] for w in words]), len(numbers))
+
+    clean = [
+        "Скидка 5 % на книги & журналы: приходите сегодня вечером в наш новый магазин на улице",
+        "Η έκπτωση είναι 5 % για βιβλία & περιοδικά στο νέο κατάστημα της πόλης μας σήμερα το βράδυ",
+        "يبلغ الخصم 5 % على الكتب في متجرنا الجديد في وسط المدينة هذا المساء للجميع",
+        "今天晚上，我们在市中心的新书店里，所有的书籍和杂志，都打百分之五的折扣，欢迎大家来看，谢谢 & 再见",
+        "“Curly” text — with dashes … and one % of signs among quite a few ordinary English words",
+    ]
+    for text in clean:
+        s = look(text)
+        assert s["symbols"] == sum(c in "#*$%&<>" for c in text) / sum(map(str.isalpha, text)) < 0.05
+        assert s["upper"] == sum(map(str.isupper, text)) / sum(map(str.isalpha, text)) < 0.1
+        long = look(text + "".join(c for c in text if c.isalpha() or c == " "))
+        assert quality.BAD not in map(int, quality.junk_votes(long)[:2])
+    loud = look("КУПИТЕ СЕГОДНЯ НОВЫЕ КНИГИ И ЖУРНАЛЫ")
+    assert loud["upper"] == 1 and quality.junk_votes(loud)[1] == str(quality.BAD)
+
+
 def brute_match(text, item):
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
 
