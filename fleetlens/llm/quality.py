@@ -7,7 +7,8 @@ most 3 to the number of labellers, estimates each labeller's accuracy without tr
 labels then train a hashed linear scorer on words, word beginnings and style, and the scorer decides.
 
 Counts of votes and patterns cover all texts. Bounded samples, as parameters say: `lexicon_rows` labelled rows for
-the learned word lists, `fit_rows` texts for the scorer. Everything that reaches the driver is bounded by these, by
+the learned word lists; for the scorer `fit_rows` texts in equal numbers of each kind (junk, abusive, both, neither)
+and `fit_rows` more in proportion, weighted so that each kind keeps its share of all texts. Everything that reaches the driver is bounded by these, by
 the number of patterns or by `dims`.
 
 Null and empty texts have no words and are junk (score 0 of the first question). Texts of any length are read whole;
@@ -270,9 +271,9 @@ def fit(df: DataFrame, labels: DataFrame, lexicon_rows: int = 4000, fit_rows: in
     size = Counter()
     for r in patterns:
         size[kind[r["junk"], r["abuse"]]] += r["n"]
-    share = {k: min(1.0, fit_rows / len(size) / n) for k, n in size.items()}
-    schema = "junk string, abuse string, p_junk double, p_abuse double, share double"
-    judged = spark.createDataFrame([(r["junk"], r["abuse"], junk[r["junk"]], abuse[r["abuse"]], share[kind[r["junk"], r["abuse"]]]) for r in patterns], schema)
+    share = {k: min(1.0, fit_rows / len(size) / n + fit_rows / size.total()) for k, n in size.items()}
+    schema = "junk string, abuse string, p_junk double, p_abuse double, kind int, share double"
+    judged = spark.createDataFrame([(r["junk"], r["abuse"], junk[r["junk"]], abuse[r["abuse"]], int(k), share[k]) for r in patterns for k in [kind[r["junk"], r["abuse"]]]], schema)
     chosen = votes.join(F.broadcast(judged), ["junk", "abuse"]).filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) / 1e6 < F.col("share"))
 
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,18 +288,18 @@ def fit(df: DataFrame, labels: DataFrame, lexicon_rows: int = 4000, fit_rows: in
                 parts = [p for w in known.index for p in parts_of(w)]
                 out.append((np.array(hashed(more + parts, dims), np.int32).tobytes(), len(more), len(known.index)))
             cols = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*cols, *(batch.column(k) for k in (2, 3, 4))], ["x", "n_more", "n_words", "p_junk", "p_abuse", "share"])
+            yield pa.RecordBatch.from_arrays([*cols, *(batch.column(k) for k in (2, 3, 4))], ["x", "n_more", "n_words", "p_junk", "p_abuse", "kind"])
 
-    picked = F.broadcast(chosen.select("doc_id", "p_junk", "p_abuse", "share"))  # about fit_rows ids
-    sample = docs.join(picked, "doc_id").mapInArrow(features, "x binary, n_more int, n_words int, p_junk double, p_abuse double, share double").collect()
+    picked = F.broadcast(chosen.select("doc_id", "p_junk", "p_abuse", "kind"))  # about twice fit_rows ids
+    sample = docs.join(picked, "doc_id").mapInArrow(features, "x binary, n_more int, n_words int, p_junk double, p_abuse double, kind int").collect()
     dropped(spark, votes_path)
     if not sample:
         return Model(np.zeros((2, dims)), np.full(2, -1.0), lexicons, (junk_table, abuse_table))
     rows = [np.frombuffer(r["x"], np.int32) for r in sample]
     # words share one unit of length, whatever the text's; style and votes have one each
     values = [np.r_[np.ones(r["n_more"]), np.full(len(x) - r["n_more"], max(1, r["n_words"]) ** -0.5)] for r, x in zip(sample, rows, strict=True)]
-    weight = np.array([1 / r["share"] for r in sample])
-    weight = np.minimum(weight, 20 * weight.min())
+    drawn = Counter(r["kind"] for r in sample)
+    weight = np.array([size[r["kind"]] / drawn[r["kind"]] for r in sample])
     fitted = [_fit_linear(rows, values, np.array([r[p] for r in sample]), weight, dims) for p in ("p_junk", "p_abuse")]
     return Model(np.stack([w for w, _ in fitted]), np.array([b for _, b in fitted]), lexicons, (junk_table, abuse_table))
 

@@ -237,6 +237,20 @@ def test_quality_counts_letters_of_any_script():
     assert loud["upper"] == 1 and quality.junk_votes(loud)[1] == str(quality.BAD)
 
 
+def test_quality_prior_does_not_follow_the_sample(spark, monkeypatch):
+    rng = random.Random(23)
+    bad = lambda i: (" ### $$$ %%%" * 8 if i % 20 == 0 else "") + (" idiot moron scum" * 2 if i % 200 in (0, 7) else "")
+    df = spark.createDataFrame([(i, sentence(rng, 40) + bad(i)) for i in range(4000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 20 != 0), int(i % 200 in (0, 7))) for i in range(0, 4000, 3)], "doc_id bigint, quality int, toxic int")
+    seen, real = [], quality._fit_linear
+    monkeypatch.setattr(quality, "_fit_linear", lambda rows, values, target, weight, dims: seen.append((len(rows), (weight * target).sum() / weight.sum())) or real(rows, values, target, weight, dims))
+    for fit_rows in (1_000_000, 120):
+        quality.fit(df, labels, fit_rows=fit_rows)
+    (n, junk), (_, abuse), (few, junk_of_few), (_, abuse_of_few) = seen
+    assert n == 4000 and few < 400 and abs(junk - 0.05) < 0.01 and abs(abuse - 0.01) < 0.005
+    assert abs(junk_of_few - junk) < 0.005 and abs(abuse_of_few - abuse) < 0.005
+
+
 def brute_match(text, item):
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
 
