@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,11 +74,20 @@ def pid_generation(events: DataFrame, snapshots: DataFrame) -> DataFrame:
     return united.withColumn("life", life).filter("order = 2").withColumns({"start_time_ticks": F.col("life.start_time_ticks"), "parent_pid": F.col("life.parent_pid")}).drop("life", "order")
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """df without its lineage, in the folder that the executors share; a temporary one only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetlens-"))
+    return df.checkpoint()
+
+
 def ancestry_chain(snapshots: DataFrame, max_depth: int = 1024) -> DataFrame:
     """process key, ancestry_chain (root first, the process last) and ancestry_truncated.
 
     Pointer doubling: a round appends to each unfinished path the path of the process it ends before, so 1024 levels
-    take 10 rounds of one join each. A path stops at pid 1 or parent 0 (included), before a repeated pid, at an
+    take 10 rounds of one join each; the rounds end early when no path goes on. A round is checkpointed (in
+    spark.checkpoint.dir), as a plan of k rounds would hold the input 2 ** k times. A path stops at pid 1 or parent 0 (included), before a repeated pid, at an
     unknown parent, and at max_depth; only the last makes it truncated, unless its last process is a root.
     """
     max_depth = max(1, max_depth)
@@ -93,6 +104,9 @@ def ancestry_chain(snapshots: DataFrame, max_depth: int = 1024) -> DataFrame:
         walked = F.array_distinct(whole)
         circle = F.size(walked) < F.size(whole)
         paths = joined.select(*key, F.slice(walked, 1, max_depth).alias("path"), F.when(F.col("more").isNotNull() & ~circle & (F.size(walked) < max_depth), F.col("after")).alias("next"))
+        paths = _checkpointed(paths)
+        if paths.filter("next is not null").isEmpty():
+            break
     last = F.element_at("path", F.lit(-1))
     cut = (F.size("path") >= max_depth) & (last["pid"] != 1) & (last["parent"] > 0)
     chain = F.reverse(F.transform("path", lambda p: F.struct(p["pid"].alias("pid"), p["process_name"].alias("process_name"), p["binary_path"].alias("binary_path"))))

@@ -291,6 +291,38 @@ def ancestry_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.validate_ancestry(records).select("pid", "code")
 
 
+# The same over whole chains: the default depth of the reference and of the operator, where the four above stop at 5.
+DEPTH = 1024
+WHOLE_CHAINS = CHAINS.replace("w.depth < 5 ", f"w.depth < {DEPTH} ")
+
+
+@registered("ancestry_paths_whole", duck("processes", f"{WHOLE_CHAINS} select pid, array_to_string(list_reverse(seen), '/') as path, depth >= {DEPTH} and top <> 1 and top_parent > 0 as ancestry_truncated from ch"))
+def ancestry_paths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = enrich.ancestry_chain(view(spark, sf_dir, "processes"))
+    return got.select("pid", F.array_join(F.transform("ancestry_chain", lambda p: p["pid"]), "/").alias("path"), "ancestry_truncated")
+
+
+@registered("process_depths_whole", duck("processes", f"{WHOLE_CHAINS} select pid, depth - 1 as depth from ch"))
+def process_depths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.ancestry_chain(view(spark, sf_dir, "processes")).select("pid", enrich.process_depth(F.col("ancestry_chain")).alias("depth"))
+
+
+@registered("ancestry_walk_whole", duck("processes", f"{WHOLE_CHAINS} select pid, depth, ancestor from walk"))
+def ancestry_walk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the doubled chains: Spark's recursive queries end with an error at 100 levels or a million rows."""
+    chains = enrich.ancestry_chain(view(spark, sf_dir, "processes"))
+    walked = chains.select("pid", F.posexplode(F.reverse("ancestry_chain")).alias("pos", "p"))
+    return walked.select("pid", (F.col("pos") + 1).alias("depth"), F.col("p.pid").alias("ancestor"))
+
+
+@registered("ancestry_codes_whole", duck("processes", f"{WHOLE_CHAINS} select pid, case when top <> 1 and not (depth >= {DEPTH} and top_parent > 0) then 4 else 0 end as code from ch"))
+def ancestry_codes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chains = enrich.ancestry_chain(view(spark, sf_dir, "processes"))
+    leaf_first = F.transform(F.reverse("ancestry_chain"), lambda p: F.struct(p["pid"].alias("pid"), F.lit(1).cast("bigint").alias("ppid"), p["process_name"].alias("process_name"), p["binary_path"].alias("binary_path")))
+    records = chains.select("pid", "ancestry_truncated", F.lit(False).alias("enrichment_partial"), leaf_first.alias("ancestry_chain"))
+    return enrich.validate_ancestry(records).select("pid", "code")
+
+
 # --- priors -------------------------------------------------------------------------------------------------------
 
 LABELLED = """lc as (select *, case when evil = 1 or sus = 1 then 1 else 0 end as label, nullif(regexp_extract(args, '.name.: .pathname.[^{}]*.value.: .([^'']*).', 1), '') as path from corpus),
