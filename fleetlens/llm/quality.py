@@ -230,9 +230,13 @@ def _fit_linear(rows: list[np.ndarray], values: list[np.ndarray], target: np.nda
     step = 4 / (1 + max(float(v @ v) for v in values))
     w, bias, ahead, bias_ahead = np.zeros(dims), 0.0, np.zeros(dims), 0.0
     for k in range(1, rounds + 1):
-        r = weight * (1 / (1 + np.exp(-np.clip(np.add.reduceat(ahead[flat] * value, first) + bias_ahead, -30, 30))) - target)
+        each = ahead[flat]
+        each *= value  # in place: these arrays are the driver's largest
+        r = weight * (1 / (1 + np.exp(-np.clip(np.add.reduceat(each, first) + bias_ahead, -30, 30))) - target)
+        each = np.repeat(r, length)
+        each *= value
         was, bias_was = w, bias
-        w = ahead - step * (np.bincount(flat, np.repeat(r, length) * value, dims) + l2 * ahead)
+        w = ahead - step * (np.bincount(flat, each, dims) + l2 * ahead)
         bias = bias_ahead - step * r.sum()
         ahead, bias_ahead = w + (k - 1) / (k + 2) * (w - was), bias + (k - 1) / (k + 2) * (bias - bias_was)
     return w, float(bias)
