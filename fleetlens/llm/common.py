@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,27 +24,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder that the cluster shares, spark.checkpoint.dir. A temporary folder of this machine stands in for it
+    only where all of Spark runs in one process, as in tests."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         place = got.get() if got.isDefined() else None
     if not place:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = tempfile.mkdtemp(prefix="fleetlens-")
         spark.sparkContext.setCheckpointDir(place)
     return place
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside goes at the end, so write results that read it before (outside of new_path's names)."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        dropped(spark, *paths)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df as a table in the shared folder and reads it again: lineage is cut, executors may be lost."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    return written(df, path), path
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dropped(spark: SparkSession, *paths: str) -> None:
@@ -55,27 +82,39 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that a text operator reads, as (doc_id, text); null text becomes empty."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def chunks(batch: pa.RecordBatch, most: int = CHUNK_BYTES) -> Iterator[tuple[list, list]]:
-    """Ids and texts (the first two columns) in slices of about `most` bytes each; no text is cut.
+def slices(batch: pa.RecordBatch, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of text (second column) each; no text is cut.
 
-    Only a slice at a time becomes Python objects; unused Arrow memory goes back after each batch.
+    So only a slice at a time need become Python objects; unused Arrow memory goes back after each batch.
     """
     ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0, np.int64)
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
         stop = min(int(np.searchsorted(ends, before + most)) + 1, batch.num_rows)
-        part = batch.slice(start, stop - start)
-        yield part.column(0).to_pylist(), part.column(1).to_pylist()
+        yield batch.slice(start, stop - start)
         start = stop
     pa.default_memory_pool().release_unused()
 
 
+def chunks(batch: pa.RecordBatch, most: int = CHUNK_BYTES) -> Iterator[tuple[list, list]]:
+    """Ids and texts (the first two columns) of each slice, as Python objects."""
+    for part in slices(batch, most):
+        yield part.column(0).to_pylist(), part.column(1).to_pylist()
+
+
 def ascii_lower(text: str) -> str:
     """A-Z to a-z, nothing else (bytes.lower touches ASCII only)."""
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")

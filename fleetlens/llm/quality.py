@@ -3,13 +3,18 @@
 Overlapping heuristic labellers vote good, bad or nothing on every text, on two questions: is it junk (symbols,
 capitals, repetition, tables, shape, known labels), is it abusive (public insults, words and word beginnings that
 labelled abusive texts use, known labels). Expectation maximisation over the vote patterns, of which there are at
-most 3 to the number of labellers, estimates each labeller's accuracy without trusting any of them. The posterior
-labels then train a hashed linear scorer on words, word beginnings and style, and the scorer decides.
+most 3 to the number of labellers, estimates each labeller's accuracy from the agreement of all; only its start
+counts bad votes more than good ones. The last labeller of junk says good where no other sees anything. The
+posterior labels then train a hashed linear scorer on words, word beginnings and style, and the scorer decides.
 
 Counts of votes and patterns cover all texts. Bounded samples, as parameters say: `lexicon_rows` labelled rows for
 the learned word lists; for the scorer `fit_rows` texts in equal numbers of each kind (junk, abusive, both, neither)
-and `fit_rows` more in proportion, weighted so that each kind keeps its share of all texts. Everything that reaches the driver is bounded by these, by
-the number of patterns or by `dims`.
+and `fit_rows` more in proportion, weighted so that each kind keeps its share of all texts. Everything that reaches
+the driver is bounded by these, by the number of patterns or by `dims`.
+
+Words are runs of letters, lower-cased, known by 64-bit hashes that are taken over a whole slice of texts at once;
+the hash of a word's beginning falls out of the same sums. A slice holds about CHUNK_BYTES of texts, or one longer
+text (about 40 bytes of memory for each of its characters).
 
 Null and empty texts have no words and are junk (score 0 of the first question). Texts of any length are read whole;
 repeated rows are judged alike; null labels are no votes; several labels of one id count as the worst of them;
@@ -18,132 +23,182 @@ a null doc_id is judged like any other; empty tables give empty results; other c
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import chunks, dropped, staged, texts_of
+from fleetlens.llm.common import dropped, slices, staged, texts_of
 
-WORD = re.compile(r"[^\W\d_]+")
-SYMBOLS, KEPT_WORDS = b"#*$%&<>", 150_000
 #: Lengths of word beginnings that are features besides the whole word.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 BAD, NONE, GOOD = 0, 1, 2
 # Fixed value: common English insults.
-INSULTS = frozenset("idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile jerk fool dumb retard bastard bitch asshole".split())
-_UPPER = np.array([chr(c).isupper() for c in range(256)])
-_LETTER = np.array([chr(c).isalpha() for c in range(256)])
+INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile jerk fool dumb retard bastard bitch asshole"
+LETTER, UPPER, SYMBOL, EXCLAIM, PIPE, STOP = 1, 2, 4, 8, 16, 32
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Steps of the style measures, as features.
+STEPS = {"symbols": (0.005, 0.03), "upper": (0.15, 0.4), "exclaims": (0.02, 0.2), "pipes": (0.001, 0.03), "repeats": (0.02, 0.1), "distinct": (0.2, 0.3), "dup_lines": (0.2, 0.5), "stops": (0.01, 0.5), "words": (3, 10)}
 
 
-def parts_of(word: str) -> list[str]:
-    """A word and its beginnings, as features."""
-    return [word, *(word[:n] + "-" for n in PREFIXES if len(word) > n)]
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The classes of each code point, as bits."""
+    chars = [chr(c) for c in range(0x110000)]
+    out = np.array([c.isalpha() for c in chars], np.uint8) * LETTER | np.array([c.isupper() for c in chars], np.uint8) * UPPER
+    for bit, some in ((SYMBOL, "#*$%&<>"), (EXCLAIM, "!"), (PIPE, "|"), (STOP, ".")):
+        out[[ord(c) for c in some]] |= bit
+    return out
 
 
-class _Numbers(dict):
-    """key -> number in order of first sight."""
+@lru_cache(maxsize=4)
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _BASE)], dtype=np.uint64)
 
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
 
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    h = h ^ np.uint64(salt * 0xD6E8FEB86659FD93 % 2**64)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
 
-class Words:
-    """word -> number, with values by number: insult flag, lexicon weights, scorer weights. Emptied beyond a bound.
 
-    Word beginnings are shared by many words, so what is known of a part is kept by part and summed by word.
-    """
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each distinct value's first occurrence, and each value's number, in order of first occurrence."""
+    codes = pa.array(x).dictionary_encode().indices.to_numpy()
+    first = np.zeros(int(codes.max()) + 1 if len(codes) else 0, np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return first, codes
 
-    def __init__(self, lexicons: tuple[dict[str, float], ...] = (), weights: np.ndarray | None = None) -> None:
-        self.lexicons, self.weights = lexicons, np.zeros((0, 1)) if weights is None else weights
-        self.clear()
 
-    def clear(self) -> None:
-        self.index, self.parts = _Numbers(), _Numbers()
-        self.values = np.zeros((0, 1 + len(self.lexicons) + len(self.weights)))
-        self.part_values = np.zeros((0, len(self.lexicons) + len(self.weights)))
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, each followed by a zero, and where each text starts."""
+    points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)][: len(texts)]
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """Call `learn` before the values are used."""
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
-    def learn(self) -> None:
-        if len(self.index) == len(self.values):
-            return
-        new = list(islice(self.index, len(self.values), None))
-        lists = [parts_of(w) for w in new]
-        flat = np.fromiter((self.parts[p] for ps in lists for p in ps), np.int64)
-        fresh = list(islice(self.parts, len(self.part_values), None))
-        if fresh:
-            lex = [np.array([x.get(p, 0.0) for p in fresh]) for x in self.lexicons]
-            known = self.weights[:, hashed(fresh, self.weights.shape[1])] if len(self.weights) else np.zeros((0, len(fresh)))
-            self.part_values = np.concatenate([self.part_values, np.vstack([*lex, known]).T if lex or len(known) else np.zeros((len(fresh), 0))])
-        first = np.r_[0, np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))[:-1]]
-        of, told = self.part_values[flat], len(self.lexicons)
-        best = np.maximum.reduceat(of[:, :told], first) if told else np.zeros((len(new), 0))
-        sums = np.add.reduceat(of[:, told:], first) if len(self.weights) else np.zeros((len(new), 0))
-        insult = np.fromiter((w in INSULTS for w in new), float, len(new))
-        self.values = np.concatenate([self.values, np.hstack([insult[:, None], best, sums])])
+@dataclass(frozen=True)
+class Looks:
+    """What a slice of texts looks like."""
+
+    n: int
+    style: dict[str, np.ndarray]  # measure -> value of each text
+    doc: np.ndarray  # of each distinct (text, word)
+    word: np.ndarray  # number of its word in the slice
+    parts: np.ndarray  # [part, word]: hashes of the word and of its beginnings
+    valid: np.ndarray  # [part, word]: whether the word has that beginning
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """[text, column]: sums of the words' values over the distinct words of each text."""
+        return np.stack([np.bincount(self.doc, v, self.n) for v in values[self.word].T], axis=1) if values.shape[1] else np.zeros((self.n, 0))
+
+
+def looks(texts: list[str]) -> Looks:
+    n = len(texts)
+    low, low_start = _codes([t.lower() for t in texts])
+    at = np.flatnonzero((_classes()[low] & LETTER) != 0)
+    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)  # of each word, among the letters
+    length = np.diff(np.r_[first, len(at)])
+    of = np.searchsorted(low_start, at[first], "right") - 1 if len(first) else np.zeros(0, np.int64)
+    place = np.arange(len(at)) - np.repeat(first, length)
+    powers = _powers(1 << max(6, int(length.max(initial=1)).bit_length()))
+    sums = np.r_[np.uint64(0), np.cumsum((low[at] + np.uint32(1)) * powers[place], dtype=np.uint64)]
+    whole = _mixed(sums[first + length] - sums[first], 1)
+    new, word = _distinct(whole)
+    start, size = first[new], length[new]
+    valid = np.stack([np.ones(len(new), bool), *(size > p for p in PREFIXES)])
+    parts = np.stack([whole[new], *(_mixed(sums[np.minimum(start + p, len(sums) - 1)] - sums[start], p) for p in PREFIXES)])
+    pairs = np.unique(of * max(1, len(new)) + word)
+
+    raw, raw_start = _codes(texts)
+    kinds = _classes()[raw]
+    marked = np.flatnonzero(kinds > LETTER)
+    kinds, mark_of = kinds[marked], np.searchsorted(raw_start, marked, "right") - 1
+    count = lambda bit: np.bincount(mark_of[(kinds & bit) != 0], minlength=n)
+
+    lines = pc.split_pattern(pa.array(texts, pa.large_string()), "\n")
+    line, line_of = lines.flatten(), np.repeat(np.arange(n), pc.list_value_length(lines).to_numpy(zero_copy_only=False))
+    seen = pc.not_equal(pc.binary_length(pc.utf8_trim_whitespace(line)), 0).to_numpy(zero_copy_only=False)
+    _, line_code = _distinct(line)
+    line_of, line_code = line_of[seen], line_code[seen].astype(np.int64)
+    n_lines = np.bincount(line_of, minlength=n)
+    distinct_lines = np.bincount(np.unique(line_of * (len(line) + 1) + line_code) // (len(line) + 1), minlength=n)
+
+    words = np.bincount(of, minlength=n)
+    letters, some = np.maximum(1, np.bincount(of, length, n)), np.maximum(1, words)
+    again = np.flatnonzero((word[1:] == word[:-1]) & (of[1:] == of[:-1]))
+    doc, number = pairs // max(1, len(new)), pairs % max(1, len(new))
+    measures = {
+        "words": words.astype(float), "symbols": count(SYMBOL) / letters, "upper": count(UPPER) / letters, "exclaims": count(EXCLAIM) / some, "pipes": count(PIPE) / some,
+        "repeats": np.bincount(of[again], minlength=n) / some, "distinct": np.bincount(doc, minlength=n) / some, "dup_lines": 1 - distinct_lines / np.maximum(1, n_lines), "stops": count(STOP) / some,
+    }
+    return Looks(n, measures, doc, number, parts, valid)
 
 
-def hashed(parts: list[str], dims: int) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(p) % dims for p in parts]
+@dataclass(frozen=True)
+class Lexicon:
+    """Values of parts of words, by hash."""
+
+    keys: np.ndarray  # sorted
+    values: np.ndarray
+
+    @staticmethod
+    def of(known: dict[int, float]) -> Lexicon:
+        keys = np.array(sorted(known), np.uint64)
+        return Lexicon(keys, np.array([known[k] for k in keys.tolist()], float))
+
+    def look_up(self, look: Looks) -> np.ndarray:
+        """For each word of the slice: the largest value of its parts, 0 if none is known."""
+        out = np.zeros(look.parts.shape[1])
+        if len(self.keys):
+            maybe = np.zeros(1 << 16, bool)
+            maybe[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+            for h, valid in zip(look.parts, look.valid, strict=True):
+                some = np.flatnonzero(maybe[(h & np.uint64(0xFFFF)).astype(np.int64)] & valid)
+                slot = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
+                out[some] = np.maximum(out[some], np.where(self.keys[slot] == h[some], self.values[slot], 0.0))
+        return out
 
 
 @lru_cache(maxsize=1)
-def _wide_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Whether each code point is a letter, an upper-case letter; made by the first text that needs it."""
-    chars = [chr(c) for c in range(0x110000)]
-    return np.array([c.isalpha() for c in chars]), np.array([c.isupper() for c in chars])
-
-
-def counts_of(text: str) -> tuple[np.ndarray, int, int]:
-    """Counts of the Latin-1 characters, and numbers of letters and of upper-case letters of any script."""
-    try:
-        codes = np.bincount(np.frombuffer(text.encode("latin-1"), np.uint8), minlength=256)
-    except UnicodeEncodeError:
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter, upper = _wide_tables()
-        return np.bincount(points[points < 256], minlength=256), int(letter[points].sum()), int(upper[points].sum())
-    return codes, int(codes[_LETTER].sum()), int(codes[_UPPER].sum())
-
-
-def style(text: str, numbers: np.ndarray, n_distinct: int) -> dict[str, float]:
-    """Measures of a text's look."""
-    codes, letters, upper = counts_of(text)
-    letters, n = max(1, letters), len(numbers)
-    lines = [x for x in text.split("\n") if x.strip()]
-    return {
-        "words": float(n), "symbols": sum(int(codes[c]) for c in SYMBOLS) / letters, "upper": upper / letters, "exclaims": int(codes[33]) / max(1, n),
-        "pipes": int(codes[124]) / max(1, n), "repeats": float((numbers[1:] == numbers[:-1]).sum()) / max(1, n), "distinct": n_distinct / max(1, n),
-        "dup_lines": 1 - len(set(lines)) / max(1, len(lines)), "stops": int(codes[46]) / max(1, n),
-    }
+def _insults() -> Lexicon:
+    return Lexicon.of(dict.fromkeys(looks([INSULTS]).parts[0].tolist(), 1.0))
+
+
+def known_values(look: Looks, lexicons: tuple[Lexicon, ...]) -> np.ndarray:
+    """[word, list]: whether it is an insult, and the values of the learned lists."""
+    return np.stack([x.look_up(look) for x in (_insults(), *lexicons)], axis=1)
+
 
+def hashed(names: list[str], dims: int) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(p) % dims for p in names], np.int64)
 
-def _vote(value: float, bad: float, good: float) -> int:
-    return BAD if value >= bad else GOOD if value <= good else NONE
 
+def junk_votes(s: dict[str, np.ndarray]) -> np.ndarray:
+    """[text, labeller]. Each kind of junk is another, so a labeller that doesn't see its own kind says nothing; the
+    last one says good where none of them sees anything."""
+    seen = np.stack([s["symbols"] >= 0.03, s["upper"] >= 0.4, s["exclaims"] >= 0.2, s["pipes"] >= 0.03, s["repeats"] >= 0.1, (s["words"] >= 30) & (s["distinct"] <= 0.1), s["dup_lines"] >= 0.5, s["words"] < 3], axis=1)
+    return np.concatenate([np.where(seen, BAD, NONE), np.where(seen.any(axis=1), NONE, GOOD)[:, None]], axis=1)
 
-def junk_votes(s: dict[str, float]) -> str:
-    """Each kind of junk is another, so a labeller that doesn't see its own kind says nothing; the last one
-    says good where none of them sees anything."""
-    seen = [s["symbols"] >= 0.03, s["upper"] >= 0.4, s["exclaims"] >= 0.2, s["pipes"] >= 0.03, s["repeats"] >= 0.1, s["words"] >= 30 and s["distinct"] <= 0.1, s["dup_lines"] >= 0.5, s["words"] < 3]
-    return "".join(str(BAD if x else NONE) for x in seen) + str(NONE if any(seen) else GOOD)
 
+def abuse_votes(sums: np.ndarray) -> np.ndarray:
+    """[text, labeller]; sums: number of insults and values of the lexicons over each text's distinct words."""
+    bad, good = np.array([1.0] + [5.0] * (sums.shape[1] - 1)), np.array([0.0] + [2.0] * (sums.shape[1] - 1))
+    return np.where(sums >= bad, BAD, np.where(sums <= good, GOOD, NONE))
 
-def abuse_votes(values: np.ndarray) -> str:
-    """values: insult and lexicon weights of the distinct words."""
-    insults, *lists = values.sum(axis=0).tolist() if len(values) else [0.0] * values.shape[1]
-    return "".join(str(v) for v in [_vote(insults, 1, 0), *(_vote(x, 5, 2) for x in lists)])
+
+def _strings(votes: np.ndarray) -> pa.Array:
+    """One string of digits for each row."""
+    digits = np.ascontiguousarray(votes.astype(np.uint8) + ord("0"))
+    return pa.array(digits.view(f"S{votes.shape[1]}").ravel().astype(str).tolist(), pa.string())
 
 
 def bad_posterior(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], np.ndarray]:
@@ -170,56 +225,52 @@ def bad_posterior(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str
     return dict(zip(patterns, post.tolist(), strict=True)), table
 
 
-def style_features(s: dict[str, float]) -> list[str]:
-    """Style as features: each measure's step on a scale."""
-    steps = {"symbols": (0.005, 0.03), "upper": (0.15, 0.4), "exclaims": (0.02, 0.2), "pipes": (0.001, 0.03), "repeats": (0.02, 0.1), "distinct": (0.2, 0.3), "dup_lines": (0.2, 0.5), "stops": (0.01, 0.5), "words": (3, 10)}
-    return [f"={k}:{sum(s[k] >= x for x in at)}" for k, at in steps.items()]
-
-
-def vote_features(s: dict[str, float], values: np.ndarray) -> list[str]:
-    """What the labellers other than the known labels say, as features."""
-    return [f"+{k}:{v}" for k, v in enumerate(junk_votes(s) + abuse_votes(values))]
+def look_features(s: dict[str, np.ndarray], votes: np.ndarray, dims: int) -> np.ndarray:
+    """[text, feature]: hashed style steps, and what the labellers other than the known labels say."""
+    cols = []
+    for name, steps in STEPS.items():
+        cols.append(hashed([f"={name}:{k}" for k in range(len(steps) + 1)], dims)[sum((s[name] >= x).astype(np.int64) for x in steps)])
+    for k in range(votes.shape[1]):
+        cols.append(hashed([f"+{k}:{v}" for v in (BAD, NONE, GOOD)], dims)[votes[:, k]])
+    return np.stack(cols, axis=1)
 
 
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray  # [question, dims]
     bias: np.ndarray
-    lexicons: tuple[dict[str, float], ...]
+    lexicons: tuple[Lexicon, ...]
     labellers: tuple[np.ndarray, np.ndarray]
 
 
-def _parsed(batch: pa.RecordBatch, known: Words) -> Iterator[tuple[int, list, list[str], list[np.ndarray]]]:
-    """(place, ids, texts, word numbers) by chunk, values learned."""
-    place = 0
-    for ids, texts in chunks(batch):
-        if len(known.index) > KEPT_WORDS:
-            known.clear()
-        numbers = [known.numbers(WORD.findall(t.lower())) for t in texts]
-        known.learn()
-        yield place, ids, texts, numbers
-        place += len(ids)
+def _votes(look: Looks, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return junk_votes(look.style), abuse_votes(look.sums(known))
 
 
-def lexicon(docs: DataFrame, prefixes: bool, ratio: float = 20.0, least: int = 4, most: int = 5000) -> dict[str, float]:
-    """Features of abusive texts with the log of their rate there against other texts; at most `most` of them.
+def lexicon(docs: DataFrame, prefixes: bool, ratio: float = 20.0, least: int = 4) -> Lexicon:
+    """Words (or word beginnings) of abusive texts with the log of their rate there against other texts.
     docs: doc_id, text, toxic."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            seen: dict[str, Counter] = {}
-            for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = set(WORD.findall(text.lower()))
-                for f in {p for w in words for p in parts_of(w)[1:]} if prefixes else words:
-                    seen.setdefault(f, Counter())[toxic] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([c[1] for c in seen.values()], pa.int64()), pa.array([c[0] for c in seen.values()], pa.int64())], ["f", "bad", "good"])
+            for part in slices(batch):
+                look = looks(part.column(1).to_pylist())
+                toxic = part.column(2).to_numpy(zero_copy_only=False)
+                rows = look.parts[1:] if prefixes else look.parts[:1]
+                valid = (look.valid[1:] if prefixes else look.valid[:1])[:, look.word]
+                h, doc = rows[:, look.word][valid], np.broadcast_to(look.doc, valid.shape)[valid]
+                first, code = _distinct(h)
+                pairs = np.unique(doc * max(1, len(first)) + code)
+                doc, code = pairs // max(1, len(first)), pairs % max(1, len(first))
+                bad, every = np.bincount(code[toxic[doc] == 1], minlength=len(first)), np.bincount(code, minlength=len(first))
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(bad), pa.array(every - bad)], ["f", "bad", "good"])
 
     size = docs.agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.sum((1 - F.col("toxic")).cast("long")).alias("good")).first()
     n_bad, n_good = size["bad"] or 0, size["good"] or 0
     rate = lambda c, n: (F.col(c) + 0.5) / (n + 1)
-    sums = docs.select("doc_id", "text", "toxic").mapInArrow(run, "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    sums = docs.select("doc_id", "text", "toxic").mapInArrow(run, "f long, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     kept = sums.filter(F.col("bad") >= least).withColumn("r", rate("bad", n_bad) / rate("good", n_good)).filter(F.col("r") >= ratio)
-    return {r["f"]: float(np.log(r["r"])) for r in kept.orderBy(F.desc("r"), "f").limit(most).collect()}
+    return Lexicon.of({r["f"] % 2**64: float(np.log(r["r"])) for r in kept.collect()})  # of lexicon_rows texts
 
 
 def _fit_linear(rows: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, weight: np.ndarray, dims: int, rounds: int = 120, l2: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -254,12 +305,11 @@ def fit(df: DataFrame, labels: DataFrame, lexicon_rows: int = 4000, fit_rows: in
     dropped(spark, taken_path)
 
     def vote(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(lexicons)
         for batch in it:
-            for _, ids, texts, numbers in _parsed(batch, known):
-                distinct = [np.unique(n) for n in numbers]
-                junk = [junk_votes(style(t, n, len(d))) for t, n, d in zip(texts, numbers, distinct, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(junk), pa.array([abuse_votes(known.values[d]) for d in distinct])], ["doc_id", "junk", "abuse"])
+            for part in slices(batch):
+                look = looks(part.column(1).to_pylist())
+                junk, abuse = _votes(look, known_values(look, lexicons))
+                yield pa.RecordBatch.from_arrays([part.column(0), _strings(junk), _strings(abuse)], ["doc_id", "junk", "abuse"])
 
     # the known labels vote last; only votes are shuffled to meet them, no texts
     heard = docs.mapInArrow(vote, "doc_id long, junk string, abuse string").join(marks, "doc_id", "left")
@@ -282,17 +332,14 @@ def fit(df: DataFrame, labels: DataFrame, lexicon_rows: int = 4000, fit_rows: in
 
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out = []
-            for text in batch.column(1).to_pylist():
-                known = Words(lexicons)
-                numbers = known.numbers(WORD.findall(text.lower()))
-                known.learn()
-                look = style(text, numbers, len(known.index))
-                more = style_features(look) + vote_features(look, known.values)
-                parts = [p for w in known.index for p in parts_of(w)]
-                out.append((np.array(hashed(more + parts, dims), np.int32).tobytes(), len(more), len(known.index)))
-            cols = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*cols, *(batch.column(k) for k in (2, 3, 4))], ["x", "n_more", "n_words", "p_junk", "p_abuse", "kind"])
+            for part in slices(batch):
+                look = looks(part.column(1).to_pylist())
+                more = look_features(look.style, np.hstack(_votes(look, known_values(look, lexicons))), dims)
+                parts, cuts = (look.parts % np.uint64(dims)).astype(np.int32), np.searchsorted(look.doc, np.arange(look.n + 1))
+                words = [look.word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                x = [np.r_[more[k].astype(np.int32), parts[:, w].T[look.valid[:, w].T]].tobytes() for k, w in enumerate(words)]  # word by word, so they compress
+                cols = [pa.array(x, pa.binary()), pa.array([more.shape[1]] * look.n, pa.int32()), pa.array(list(map(len, words)), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*cols, *(part.column(k) for k in (2, 3, 4))], ["x", "n_more", "n_words", "p_junk", "p_abuse", "kind"])
 
     picked = F.broadcast(chosen.select("doc_id", "p_junk", "p_abuse", "kind"))  # about twice fit_rows ids
     sample = docs.join(picked, "doc_id").mapInArrow(features, "x binary, n_more int, n_words int, p_junk double, p_abuse double, kind int").collect()
@@ -309,23 +356,24 @@ def fit(df: DataFrame, labels: DataFrame, lexicon_rows: int = 4000, fit_rows: in
 
 
 def _scorer(df: DataFrame, model: Model, put):
-    """The function for mapInArrow; put(batch, place, count, quality, abuse) makes the batch to yield."""
+    """The function for mapInArrow; put(slice, quality, abuse) makes the batch to yield."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by dims
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        known, dims, told = Words(m.lexicons, m.weights), m.weights.shape[1], 1 + len(m.lexicons)
+        dims = m.weights.shape[1]
         for batch in it:
-            for place, ids, texts, numbers in _parsed(batch, known):
-                sums = np.zeros((len(ids), 2))
-                for k, (text, n) in enumerate(zip(texts, numbers, strict=True)):
-                    distinct = np.unique(n)
-                    look, values = style(text, n, len(distinct)), known.values[distinct]
-                    more = hashed(style_features(look) + vote_features(look, values[:, :told]), dims)
-                    sums[k] = values[:, told:].sum(axis=0) / max(1, len(values)) ** 0.5 + m.weights[:, more].sum(axis=1) + m.bias
+            for part in slices(batch):
+                look = looks(part.column(1).to_pylist())
+                known = known_values(look, m.lexicons)
+                at = (look.parts % np.uint64(dims)).astype(np.int64)
+                weighed = np.stack([(w[at] * look.valid).sum(axis=0) for w in m.weights], axis=1)
+                more = look_features(look.style, np.hstack(_votes(look, known)), dims)
+                size = np.maximum(1, np.bincount(look.doc, minlength=look.n))
+                sums = look.sums(weighed) / np.sqrt(size)[:, None] + m.weights[:, more].sum(axis=2).T + m.bias
                 p = 1 / (1 + np.exp(-np.clip(sums, -50, 50)))
-                empty = np.array([len(n) == 0 for n in numbers])
-                yield put(batch, place, len(ids), np.where(empty, 0.0, 1 - p[:, 0]), np.where(empty, 0.0, p[:, 1]))
+                empty = look.style["words"] == 0
+                yield put(part, np.where(empty, 0.0, 1 - p[:, 0]), np.where(empty, 0.0, p[:, 1]))
 
     return run
 
@@ -333,8 +381,8 @@ def _scorer(df: DataFrame, model: Model, put):
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, quality (probability of being no junk), abuse (probability), kept."""
 
-    def put(batch: pa.RecordBatch, place: int, n: int, quality: np.ndarray, abuse: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0).slice(place, n), pa.array(quality), pa.array(abuse), pa.array((quality >= 0.5) & (abuse < 0.5))], ["doc_id", "quality", "abuse", "kept"])
+    def put(part: pa.RecordBatch, quality: np.ndarray, abuse: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(quality), pa.array(abuse), pa.array((quality >= 0.5) & (abuse < 0.5))], ["doc_id", "quality", "abuse", "kept"])
 
     return texts_of(df, id_col, text_col).mapInArrow(_scorer(df, model, put), "doc_id long, quality double, abuse double, kept boolean")
 
@@ -343,8 +391,8 @@ def kept_rows(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """The rows of df, all columns, that `score` keeps, in one pass without a join."""
     names = df.columns
 
-    def put(batch: pa.RecordBatch, place: int, n: int, quality: np.ndarray, abuse: np.ndarray) -> pa.RecordBatch:
-        rows = pa.RecordBatch.from_arrays(batch.columns[2:], names).slice(place, n)
+    def put(part: pa.RecordBatch, quality: np.ndarray, abuse: np.ndarray) -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_arrays(part.columns[2:], names)
         return rows.filter(pa.array((quality >= 0.5) & (abuse < 0.5)))
 
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c) for c in names])
