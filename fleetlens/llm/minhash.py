@@ -4,10 +4,10 @@
 2. Texts with equal sets become one node (the smallest doc_id), so groups of copies cost one row each.
 3. Signatures are cut into bands; nodes that share a band are candidates. Within a bucket no all-pairs step:
    every node is compared with the bucket's first node, the links found are joined to components, then in `rounds`
-   turns the nodes outside a bucket's main component are compared with one member of it each (all linear), and only
-   those still outside are at last compared with the bucket's members of every other component. Pairs within one
-   component can't change the result, so no link that matters is left out, whatever `rounds` is. In the last step a
-   pair is passed over if it can't be similar enough even if the two shared every shingle that isn't unique.
+   turns the nodes outside a bucket's main component are compared with one member of it each (all linear). Pairs
+   within one component can't change the result, so no link that matters is left out, whatever `rounds` is.
+   What is still apart is then joined by its differences to a centre (`difference_keys`), which needs no pairs of
+   what is alike only in what all of a group share.
 4. A candidate pair's signatures are compared batch by batch; as soon as the posterior probability of a
    similarity at or above the threshold falls below `miss`, the pair is pruned. Survivors are verified exactly
    on their full shingle sets.
@@ -15,9 +15,10 @@
 
 Bands: a pair at exactly 0.8 shares none of 42 bands of 6 rows with probability 3e-6, far less above it.
 
-Null, empty or wordless texts have no shingles and are linked with nothing. Repeated rows are one node. A null
-doc_id gives component null and kept true. Ties can't occur (ids are compared). Empty tables give empty results;
-other columns are ignored.
+Null, empty or wordless texts have no shingles and are linked with nothing. Repeated rows are one node; of a doc_id
+with several texts, each row joins the group of its own text's copies, and where the id stands for such a group, the
+text of smallest hash is compared. A null doc_id gives component null and kept true. Ties can't occur (ids are
+compared). Texts of any length are read whole. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import chunks, dropped, looked_up, staged, texts_of
+from fleetlens.llm.common import dropped, looked_up, slices, staged, texts_of
 from fleetlens.llm.shingles import WordHashes, sequence_hashes, white_words
 
 BANDS, ROWS, BATCH = 42, 6, 42
@@ -46,7 +47,7 @@ def _seeds() -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The low 16 bits of each of the BANDS * ROWS smallest hashes."""
+    """16 bits (8 to 23) of each of the BANDS * ROWS smallest hashes."""
     a, b, c = _seeds()
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
@@ -59,22 +60,26 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint32(8)).astype("<u2")
 
 
+def hashed_texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest, sig of (doc_id, text); digest and sig are null for texts without words."""
+    """doc_id, text_hash, n_shingles, digest, sig of (doc_id, text); digest and sig are null for texts without words."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in it:
-            for ids, texts in chunks(batch):
+            for part in slices(batch):
                 n, digests, sigs = [], [], []
-                for text in texts:
+                for text in part.column(1).to_pylist():
                     s = np.unique(sequence_hashes(white_words(text), k, known))
                     n.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     sigs.append(signature(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return hashed_texts(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, sig binary")
 
 
 def band_rows(nodes: DataFrame) -> DataFrame:
@@ -140,27 +145,99 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in it:
-            for ids, texts in chunks(batch):
-                sets = [np.unique(sequence_hashes(white_words(t), k, known)).tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            for part in slices(batch):
+                sets = [np.unique(sequence_hashes(white_words(t), k, known)).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """doc_id, own: how many of a document's shingles no other of the given documents has."""
+def mains(placed: DataFrame) -> DataFrame:
+    """key, main: the largest component of each bucket that more than one component meets in. placed: key, comp."""
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    return sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main")
+
+
+def sized(placed: DataFrame, percent: int) -> DataFrame:
+    """Buckets split by size: every node stands in its class of size and the next, so two that are near enough in size
+    to be linked meet in one of them. placed: key, n_shingles and others."""
+    ratio = float(np.log(100 / percent * 1.0001))  # over the largest ratio of linked sizes, so classes differ by 1 at most
+    at = F.floor(F.log("n_shingles") / ratio)
+    return placed.withColumn("at", F.explode(F.array(at, at + 1))).withColumn("key", F.xxhash64("key", "at")).drop("at")
+
+
+def differences(spots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For each node and the centre of a group it stands in: main, doc_id, comp, n (its shingles), n_center, inside
+    (in the centre's component), linked (similar enough to the centre), d (shingles that one of the two lacks)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                packed = part.column(1).to_pylist()
-                n = np.array([len(x) // 8 for x in packed])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)), pa.array(np.frombuffer(b"".join(packed), np.int64))], ["doc_id", "h"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sizes, center_sizes, lists = [], [], []
+                for x, y in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                    x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                    lists.append(np.setxor1d(x, y, assume_unique=True))
+                    sizes.append(len(x))
+                    center_sizes.append(len(y))
+                size, n, n_center = np.array([len(x) for x in lists]), np.array(sizes), np.array(center_sizes)
+                linked = (100 + percent) * size <= (100 - percent) * (n + n_center)
+                d = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(np.concatenate(lists)))
+                inside = pa.array(part.column(0).to_numpy() == part.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n), pa.array(n_center), inside, pa.array(linked), d], ["main", "doc_id", "comp", "n", "n_center", "inside", "linked", "d"])
+
+    own = sets.select("doc_id", F.col("shingles").alias("own"))
+    center = sets.select(F.col("doc_id").alias("main"), F.col("shingles").alias("center"))
+    both = spots.join(own, "doc_id").join(center, "main").select("main", "doc_id", "comp", "own", "center")
+    return both.mapInArrow(run, "main long, doc_id long, comp long, n long, n_center long, inside boolean, linked boolean, d array<long>")
+
+
+def difference_keys(found: DataFrame, percent: int, classes: int = 24) -> DataFrame:
+    """key, doc_id, comp, apart, size, excess: two nodes of a group that are linked, one of them not linked to the
+    centre, share a key (one as `apart`, the other not).
+
+    With X and Y the differences of two sets to any third set, the sets are linked exactly if
+    2 (100 + p) |X and Y| >= excess(X) + excess(Y), where excess(X) = (100 + p) |X| - (100 - p) n. So what nearly all
+    have in common drops out, and the sets to be joined are small. This sum is positive wherever one of the two isn't
+    linked to the centre, so they must share some difference. Prefix filter: with elements in a common order, rare
+    ones first, two sets with T common elements share one among the first |X| - T + 1 and |Y| - T + 1. T depends on
+    the partner's excess, so a node has keys for each class of it (`classes` steps within the centre's size).
+    Elements that no other node of the group has can't be shared and are left out first.
+    found: the columns of `differences`.
+    """
+    most, less = 100 + percent, 100 - percent
 
-    rows = sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, h long")
-    alone = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
-    return alone.groupBy("doc_id").agg(F.count("*").alias("own"))
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out: list[list] = [[] for _ in range(6)]
+            names = ["main", "doc_id", "comp", "n", "n_center", "apart", "size", "rare"]
+            for main, doc, comp, n, n_center, apart, size, rare in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                excess, step, d = most * size - less * n, most * max(1, n_center // classes), len(rare)
+                mine = excess // step
+                e = np.array([x["h"] for x in rare], np.int64).view(np.uint64)
+                low = -(less * n_center) // step if apart else less * n_center // step
+                for other in range(low, (2 * most * d - excess) // step + 1):
+                    need = max(1, -(-(excess + other * step) // (2 * most)))
+                    largest = ((other + 1) * step + less * n_center) // (2 * percent)
+                    if need > d or need > largest:
+                        continue
+                    first = e[: d - need + 1]
+                    for side in (True, False):
+                        if side and not apart:
+                            continue
+                        pair = (mine, other) if side else (other, mine)
+                        key = (first ^ np.uint64(hash((main, *pair)) % 2**64)) * np.uint64(0x9E3779B97F4A7C15)
+                        for col, x in zip(out, (key.view(np.int64).tolist(), [doc] * len(first), [comp] * len(first), [side] * len(first), [d] * len(first), [excess] * len(first)), strict=True):
+                            col += x
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], ["key", "doc_id", "comp", "apart", "size", "excess"])
+
+    rows = found.select("main", "doc_id", F.explode("d").alias("h"))
+    counted = rows.groupBy("main", "h").agg(F.count("*").alias("n")).filter("n > 1").withColumn("df", F.col("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    shared = looked_up(rows, counted, ["main", "h"], total).groupBy("main", "doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("rare"))
+    facts = found.select("main", "doc_id", "comp", "n", "n_center", (~F.col("inside") & ~F.col("linked")).alias("apart"), F.size("d").cast("long").alias("size"))
+    return facts.join(shared, ["main", "doc_id"]).mapInArrow(run, "key long, doc_id long, comp long, apart boolean, size long, excess long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,13 +246,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             out = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
-                if 100 * inter >= percent * (len(both) - inter):
-                    out.append((a, b))
+            for at in range(0, batch.num_rows, 500):
+                for a, b, x, y in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    both = np.concatenate([x, y])
+                    both.sort()
+                    inter = int((both[1:] == both[:-1]).sum())
+                    if 100 * inter >= percent * (len(both) - inter):
+                        out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
@@ -208,13 +286,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = counted.agg(F.sum("n")).first()[0] or 0
     own = looked_up(sk.filter("doc_id is not null and digest is not null").select("doc_id", "n_shingles", "digest"), counted, ["digest"], total).select("doc_id", "n_shingles", "node")
     members, m_path = staged(own, "members")
-    nodes, n_path = staged(sk.join(counted.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig"), "nodes")
+    of_node = F.min_by(F.struct("text_hash", "n_shingles", "sig"), "text_hash").alias("of")
+    nodes, n_path = staged(sk.join(counted.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).groupBy("doc_id").agg(of_node).select("doc_id", "of.*"), "nodes")
 
     rows = band_rows(nodes)
     buckets, b_path = staged(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("n > 1"), "buckets")
     in_buckets = buckets.agg(F.sum("n")).first()[0] or 0
     shared, s_path = staged(looked_up(rows, buckets, ["key"], in_buckets), "shared")
-    sets, t_path = staged(full_sets(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
+    wanted = nodes.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text_hash")
+    sets, t_path = staged(full_sets(hashed_texts(docs).join(wanted, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text"), words), "sets")
 
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -229,32 +309,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for turn in range(rounds + 1):
         comp, comp_path = components(links)
         placed = shared.select("key", "doc_id", "n_shingles").join(comp, "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("comp"))
-        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", "main")
-        mixed_rows, q_path = staged(placed.join(sizes, "key"), "mixed")
+        mixed_rows, q_path = staged(placed.join(mains(placed), "key"), "mixed")
         spent += [comp_path, q_path]
         if mixed_rows.isEmpty():
             break
-        common = mixed_rows.withColumn("common", F.col("n_shingles"))
-        if turn == rounds:
-            own = own_shingles(sets.join(mixed_rows.select("doc_id").distinct(), "doc_id", "left_semi"))
-            common = mixed_rows.join(own, "doc_id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
-            common, own_path = staged(common, "common")
-            spent.append(own_path)
-        apart = common.filter("comp <> main").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("comp_x"), F.col("n_shingles").alias("n_x"), F.col("common").alias("common_x"))
         if turn < rounds:  # each one outside against one member of the main component, another in each bucket and turn
+            apart = mixed_rows.filter("comp <> main").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("comp_x"), F.col("n_shingles").alias("n_x"))
             draw = F.xxhash64("doc_id", "key", F.lit(turn))
-            others = common.filter("comp = main").groupBy("key").agg(F.min_by(F.struct("doc_id", "n_shingles", "comp", "common"), draw).alias("o")).select("key", "o.*")
+            others = mixed_rows.filter("comp = main").groupBy("key").agg(F.min_by(F.struct("doc_id", "n_shingles", "comp"), draw).alias("o")).select("key", "o.*")
+            most = F.least("n_shingles", "n_x")  # no intersection is larger
+            close = (F.col("comp") != F.col("comp_x")) & (100 * most >= percent * (F.col("n_shingles") + F.col("n_x") - most))
+            fresh = apart.join(others, "key").filter(close).select(*ordered("x", "doc_id"))
         else:
-            others = common.select("key", "doc_id", "n_shingles", "comp", "common")
-        most = F.least("common", "common_x")  # no intersection is larger
-        close = (F.col("comp") != F.col("comp_x")) & (100 * most >= percent * (F.col("n_shingles") + F.col("n_x") - most))
-        fresh = apart.join(others, "key").filter(close).select(*ordered("x", "doc_id")).distinct().join(tried, ["a", "b"], "left_anti")
-        new, path = staged(fresh, "tried")
+            by_size = sized(mixed_rows.drop("main"), percent)
+            found, f_path = staged(differences(by_size.join(mains(by_size), "key").select("main", "doc_id", "comp").distinct(), sets, percent), "differences")
+            links = links.unionByName(found.filter("linked and not inside").select(*ordered("main", "doc_id")))
+            open_groups = found.filter("not inside and not linked").select("main").distinct()
+            keys, k_path = staged(difference_keys(found.join(open_groups, "main", "left_semi"), percent), "keys")
+            spent += [f_path, k_path]
+            x = keys.filter("apart").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("comp_x"), F.col("size").alias("size_x"), F.col("excess").alias("excess_x"))
+            close = (F.col("comp") != F.col("comp_x")) & (2 * (100 + percent) * F.least("size", "size_x") >= F.col("excess") + F.col("excess_x"))
+            fresh = x.join(keys.filter("not apart"), "key").filter(close).select(*ordered("x", "doc_id"))
+        new, path = staged(fresh.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
         more, l_path = staged(linked(new), "links")
         spent += [path, l_path]
         tried, links = tried.unionByName(new), links.unionByName(more)
-    final, _ = components(links)
+    final, final_path = components(links)
     out = members.join(final.withColumnRenamed("doc_id", "node"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     alone = sk.filter("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    dropped(spark, *spent)
-    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    result, _ = staged(out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near_duplicates")
+    dropped(spark, *spent, sk_path, m_path, final_path)
+    return result
