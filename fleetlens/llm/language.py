@@ -5,11 +5,15 @@ its segmentations into pieces (forward algorithm); a text's is the product over
 maximisation over the words of a sample: tasks add expected piece counts (forward-backward), Spark sums them by
 language and piece, and what reaches the driver is bounded by vocabulary times languages, whatever the input.
 
-Training uses at most about `per_language` texts of each language, chosen by a hash of id and text, and the
-`most_languages` most frequent languages (both bound the model's memory). Words are runs of
-letters, lower-cased; words over 48 letters are cut there. A text that is null or has no letter gets `und` with
-score 0, as does every text if nothing was learned. Ties go to the smaller language name. Texts of any length are
-read whole; repeated rows get equal results; other columns are ignored; empty tables give empty results.
+Words are runs of letters of any length, lower-cased; a letter that the vocabulary doesn't know is spelled with its 256
+byte pieces, which have probabilities by language like all others. Long words don't underflow: sums are scaled as they
+go, and the scales are kept as logarithms.
+
+Training uses at most about `per_language` texts of each language, chosen by a hash of id and text. Every labelled
+language is learned; more than `most_languages` of them are refused with an error (the model's memory is vocabulary
+times languages). A text that is null or has no letter gets `und` with score 0, as does every text if nothing was
+learned. Ties go to the smaller language name. Texts of any length are read whole; repeated rows get equal results;
+other columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,139 +28,197 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import chunks, dropped, staged, texts_of
+from fleetlens.llm.common import chunks, dropped, slices, staged, texts_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST_WORD, LONGEST_PIECE = 48, 16
-#: Distinct words whose likelihoods a worker keeps; beyond it the memory is emptied. Results don't depend on it.
-KEPT_WORDS = 300_000
-UNKNOWN = 1e-7
+#: Numbers (word, language) whose likelihoods a worker keeps; beyond it the memory is emptied. Results don't depend on it.
+KEPT = 1_200_000
+#: Numbers that one forward pass holds at once; bounds memory, not results.
+CELLS = 1_000_000
+#: Positions between two scalings.
+STRIDE = 8
+#: Stands for byte 0 inside a spelled word (a private character plane, which holds no letters).
+BYTE = 0x10FF00
+
+
+class Vocabulary:
+    """Lower-cased pieces and the 256 byte pieces, numbered. `table` also holds each piece's beginnings, as -1."""
+
+    def __init__(self, pieces: list[str]) -> None:
+        self.pieces = list(dict.fromkeys([*pieces, *(chr(BYTE + b) for b in range(256))]))
+        self.table = {p[:n]: -1 for p in self.pieces for n in range(1, len(p))}
+        self.table.update((p, k) for k, p in enumerate(self.pieces))
+        self.longest = max(map(len, self.pieces))
+        self.letters = {p for p in self.pieces if len(p) == 1}
+
+    def __len__(self) -> int:
+        return len(self.pieces)
+
+    def spelled(self, word: str) -> str:
+        """A word with its start mark, letters outside the vocabulary as bytes."""
+        word = "\u2581" + word
+        if self.letters.issuperset(word):
+            return word
+        return "".join(c if c in self.letters else "".join(chr(BYTE + b) for b in c.encode("utf-8", "surrogatepass")) for c in word)
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> dict[str, int]:
-    """Lower-cased pieces -> number; control, byte and unknown pieces are left out."""
+def vocabulary(path: str) -> Vocabulary:
+    """The pieces of a vocabulary file; its control, byte and unknown pieces are left to `Vocabulary`."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = dict.fromkeys(sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)))
-    return {p: k for k, p in enumerate(p for p in pieces if len(p) <= LONGEST_PIECE)}
+    return Vocabulary([sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))])
 
 
-def words_of(text: str) -> list[str]:
-    out = LETTERS.findall(text.lower())
-    if any(len(w) > LONGEST_WORD for w in out):
-        out = [w[k : k + LONGEST_WORD] for w in out for k in range(0, len(w), LONGEST_WORD)]
-    return out
-
-
-def edges(words: list[str], vocab: dict[str, int]) -> np.ndarray:
-    """Rows (word, start, end, piece): every piece at every place; a letter that is no piece is piece -1."""
-    out = []
-    for k, word in enumerate(words):
-        w = "▁" + word
+def edges(spelled: list[str], vocab: Vocabulary) -> np.ndarray:
+    """Rows (word, start, end, piece): every piece at every place."""
+    out, table = [], vocab.table
+    for k, w in enumerate(spelled):
         n = len(w)
         for i in range(n):
-            found = False
-            for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1):
-                p = vocab.get(w[i:j])
-                if p is not None:
+            for j in range(i + 1, n + 1):
+                p = table.get(w[i:j])
+                if p is None:
+                    break
+                if p >= 0:
                     out += (k, i, j, p)
-                    found = found or j == i + 1
-            if not found:
-                out += (k, i, i + 1, -1)
     return np.array(out, np.int64).reshape(-1, 4)
 
 
-def forward(e: np.ndarray, n_words: int, prob: np.ndarray, backward: bool = False) -> np.ndarray:
-    """alpha[language, word, position]: probability summed over all segmentations up to (or from) each position."""
-    langs = prob.shape[0]
-    size = int(e[:, 2].max()) + 1 if len(e) else 1
-    alpha = np.zeros((langs, n_words, size))
-    word, start, end, piece = e.T
+@dataclass(frozen=True)
+class Sums:
+    """Scaled sums over all segmentations up to (or from) each position, and the logarithms of their scales."""
+
+    value: np.ndarray  # [language, word, position]
+    scale: np.ndarray  # [scaling, language, word], cumulative
+    at: np.ndarray  # the scaling that a position's value has
+
+    def log(self, lang: int | slice, word: np.ndarray, position: np.ndarray) -> np.ndarray:
+        return np.log(self.value[lang, word, position]) + (self.scale[self.at[position], lang, word] if isinstance(lang, int) else self.scale[self.at[position], :, word].T)
+
+
+def forward(e: np.ndarray, lengths: np.ndarray, prob: np.ndarray, longest: int, backward: bool = False) -> Sums:
+    """Sums up to each position; backward: from each position to the word's end. lengths: of the spelled words.
+
+    Backward passes run from each word's end, so position t of the result is t letters before it."""
+    langs, n_words, size = prob.shape[0], len(lengths), int(lengths.max(initial=0)) + 1
+    value, scale = np.zeros((langs, n_words, size)), np.zeros((size // STRIDE + 2, langs, n_words))
+    value[:, :, 0] = 1
+    word, source, target, piece = e.T
     if backward:
-        last = np.zeros(n_words, np.int64)
-        np.maximum.at(last, word, end)
-        alpha[:, np.arange(n_words), last] = 1
-        order, steps, source, target = np.argsort(-start, kind="stable"), np.arange(size - 1, -1, -1), end, start
-    else:
-        alpha[:, :, 0] = 1
-        order, steps, source, target = np.argsort(end, kind="stable"), np.arange(size), start, end
+        source, target = lengths[word] - target, lengths[word] - source
+    order = np.argsort(target, kind="stable")
     word, source, target, p = word[order], source[order], target[order], prob[:, piece[order]]
-    cut = np.searchsorted(-target if backward else target, -steps if backward else steps, "left"), np.searchsorted(-target if backward else target, -steps if backward else steps, "right")
-    for t, a, b in zip(steps, *cut, strict=True):
-        if a < b:
-            for g in range(langs):
-                alpha[g, :, t] += np.bincount(word[a:b], alpha[g, word[a:b], source[a:b]] * p[g, a:b], n_words)
-    return alpha
+    cuts, seen = np.searchsorted(target, np.arange(size + 1)), 0
+    for t in range(1, size):
+        a, b = cuts[t], cuts[t + 1]
+        for g in range(langs):
+            value[g, :, t] = np.bincount(word[a:b], value[g, word[a:b], source[a:b]] * p[g, a:b], n_words)
+        if t % STRIDE == 0:
+            window = value[:, :, max(0, t - longest + 1) : t + 1]
+            most = window.max(axis=2)
+            most[:, lengths < t] = 1  # those words have ended
+            window /= most[:, :, None]
+            seen += 1
+            scale[seen] = scale[seen - 1] + np.log(most)
+    at = np.minimum((np.arange(size) + longest - 1) // STRIDE, seen)  # the last scaling whose window held a position
+    return Sums(value, scale, at)
+
+
+def _ends(s: Sums, lengths: np.ndarray) -> np.ndarray:
+    """[language, word]: logarithm of the sum over all segmentations."""
+    return s.log(slice(None), np.arange(len(lengths)), lengths)
 
 
-def log_likelihoods(words: list[str], vocab: dict[str, int], prob: np.ndarray) -> np.ndarray:
+def blocks(lengths: np.ndarray, langs: int) -> Iterator[np.ndarray]:
+    """Word numbers, shortest first, in blocks whose sums take about CELLS numbers."""
+    order, start = np.argsort(lengths, kind="stable"), 0
+    while start < len(order):
+        some = lengths[order[start : start + max(1, CELLS // (langs * (int(lengths[order[start]]) + 1)))]]
+        stop = start + max(1, int(np.searchsorted(np.arange(1, len(some) + 1) * (some + 1) * langs, CELLS, "right")))
+        yield order[start:stop]
+        start = stop
+
+
+def log_likelihoods(words: list[str], vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
     """[word, language]: log of the sum over all segmentations."""
-    e = edges(words, vocab)
-    alpha = forward(e, len(words), prob)
-    last = np.array([len(w) + 1 for w in words], np.int64)
-    return np.log(np.maximum(alpha[:, np.arange(len(words)), last], 1e-300)).T
+    spelled = [vocab.spelled(w) for w in words]
+    lengths, out = np.array(list(map(len, spelled)), np.int64), np.zeros((len(words), len(prob)))
+    for some in blocks(lengths, len(prob)):
+        s = forward(edges([spelled[i] for i in some], vocab), lengths[some], prob, vocab.longest)
+        out[some] = _ends(s, lengths[some]).T
+    return out
+
+
+def expected_counts(words: list[str], n: np.ndarray, vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in words that occur n times each; prob: of one language."""
+    spelled, total = [vocab.spelled(w) for w in words], np.zeros(len(vocab))
+    lengths = np.array(list(map(len, spelled)), np.int64)
+    for some in blocks(lengths, 2):
+        size, e = lengths[some], edges([spelled[i] for i in some], vocab)
+        a, b = forward(e, size, prob[None], vocab.longest), forward(e, size, prob[None], vocab.longest, backward=True)
+        w, s, t, piece = e.T
+        weight = np.exp(a.log(0, w, s) + np.log(prob[piece]) + b.log(0, w, size[w] - t) - _ends(a, size)[0][w])
+        total += np.bincount(piece, n[some][w] * weight, len(total))
+    return total
 
 
 @dataclass(frozen=True)
 class Model:
     path: str
     languages: tuple[str, ...]
-    prob: np.ndarray  # [language, piece]; the last column is for letters that are no piece
-    prior: np.ndarray  # log
+    prob: np.ndarray  # [language, piece]
 
 
-def fit(df: DataFrame, path: str, per_language: int = 1500, most_languages: int = 1000, rounds: int = 3, smoothing: float = 0.05, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+def fit(df: DataFrame, path: str, per_language: int = 1500, most_languages: int = 200, rounds: int = 3, smoothing: float = 0.05, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Learns piece probabilities from text and non-null lang of every given row (sampled to the bound)."""
     known = df.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("lang is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"there are more than {most_languages} languages; raise most_languages if memory allows")
     languages = tuple(sorted(sizes))
     vocab = vocabulary(path)
     if not languages:
-        return Model(path, (), np.zeros((0, len(vocab) + 1)), np.zeros(0))
+        return Model(path, (), np.zeros((0, len(vocab))))
     share = F.create_map(*[F.lit(x) for g in languages for x in (g, min(1.0, per_language / sizes[g]))])
     part = known.filter((F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) / 1e6) < F.try_element_at(share, F.col("lang")))
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            seen: dict[tuple[str, str], int] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in words_of(text):
-                    seen[lang, w] = seen.get((lang, w), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
+            for langs, texts in chunks(batch):
+                seen: dict[tuple[str, str], int] = {}
+                for lang, text in zip(langs, texts, strict=True):
+                    for w in LETTERS.findall(text.lower()):
+                        seen[lang, w] = seen.get((lang, w), 0) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
     words, w_path = staged(part.select("lang", "text").mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     at = {g: k for k, g in enumerate(languages)}
-    prob = np.full((len(languages), len(vocab) + 1), 1 / len(vocab))
-    prob[:, -1] = UNKNOWN
+    prob = np.full((len(languages), len(vocab)), 1 / len(vocab))
     for _ in range(rounds):
+        shared = df.sparkSession.sparkContext.broadcast(prob)  # bounded by vocabulary times languages
 
-        def expected(it: Iterator[pa.RecordBatch], prob: np.ndarray = prob) -> Iterator[pa.RecordBatch]:
-            total, pieces = np.zeros_like(prob), vocabulary(path)
+        def expected(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            prob, total, vocab = shared.value, {}, vocabulary(path)
             for batch in it:
-                lang = np.array([at[g] for g in batch.column(0).to_pylist()], np.int64)
-                words, n = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
-                for g in np.unique(lang):
-                    mine = np.flatnonzero(lang == g)
-                    for k in range(0, len(mine), 5000):
-                        some = mine[k : k + 5000]
-                        e, p = edges([words[i] for i in some], pieces), prob[g : g + 1]
-                        a, b = forward(e, len(some), p)[0], forward(e, len(some), p, backward=True)[0]
-                        w, s, t, piece = e.T
-                        weight = n[some][w] * a[w, s] * p[0, piece] * b[w, t] / np.maximum(b[w, 0], 1e-300)
-                        total[g] += np.bincount(np.where(piece < 0, prob.shape[1] - 1, piece), weight, prob.shape[1])
-            g, piece = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[g, piece])], ["g", "piece", "n"])
+                for part in slices(batch):
+                    lang = np.array([at[g] for g in part.column(0).to_pylist()], np.int64)
+                    words, n = part.column(1).to_pylist(), part.column(2).to_numpy(zero_copy_only=False)
+                    for g in np.unique(lang).tolist():
+                        mine = np.flatnonzero(lang == g)
+                        total[g] = total.get(g, 0) + expected_counts([words[i] for i in mine], n[mine], vocab, prob[g])
+            for g, counts in total.items():
+                piece = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(piece), g, np.int32)), pa.array(piece.astype(np.int32)), pa.array(counts[piece])], ["g", "piece", "n"])
 
         sums = words.mapInArrow(expected, "g int, piece int, n double").groupBy("g", "piece").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.zeros_like(prob)
-        counts[sums["g"].to_numpy(), sums["piece"].to_numpy()] = sums["n"].to_numpy()
-        counts[:, :-1] += smoothing
+        counts = np.full_like(prob, smoothing)
+        counts[sums["g"].to_numpy(), sums["piece"].to_numpy()] += sums["n"].to_numpy()
         prob = counts / counts.sum(axis=1, keepdims=True)
-        prob[:, -1] = UNKNOWN
+        shared.unpersist()
     dropped(df.sparkSession, w_path)
-    return Model(path, languages, prob, np.zeros(len(languages)))
+    return Model(path, languages, prob)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,11 +230,11 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         vocab, index, table = vocabulary(m.path), {}, np.zeros((0, len(m.languages)))
         for batch in it:
             for ids, texts in chunks(batch):
-                if len(index) > KEPT_WORDS:
+                if len(index) * len(m.languages) > KEPT:
                     index, table = {}, table[:0]
                 numbers, new = [], []
                 for text in texts:
-                    own = words_of(text) if m.languages else []
+                    own = LETTERS.findall(text.lower()) if m.languages else []
                     at = np.zeros(len(own), np.int64)
                     for k, w in enumerate(own):
                         i = index.get(w)
@@ -182,14 +244,14 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                         at[k] = i
                     numbers.append(at)
                 if new:
-                    table = np.concatenate([table, *[log_likelihoods(new[k : k + 5000], vocab, m.prob) for k in range(0, len(new), 5000)]])
+                    table = np.concatenate([table, log_likelihoods(new, vocab, m.prob)])
                 preds, scores = [], []
                 for at in numbers:
                     if not len(at):
                         preds.append("und")
                         scores.append(0.0)
                         continue
-                    ll = table[at].sum(axis=0) + m.prior
+                    ll = table[at].sum(axis=0)
                     best = int(ll.argmax())
                     preds.append(m.languages[best])
                     scores.append(float(1 / np.exp(ll - ll[best]).sum()))
