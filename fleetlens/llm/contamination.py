@@ -1,13 +1,15 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
 Windows of a document are as long as the benchmark items (in words). Their 64-bit SimHash over 5-word shingles,
-weighted by letters, is cut into 8 blocks of 8 bits: fingerprints within radius 20 differ by 2 bits at most in some
+weighted by letters, is cut into 8 blocks of 8 bits: fingerprints within radius 23 differ by 2 bits at most in some
 block (pigeonhole), so looking up each block value and its 2-bit neighbours finds all of them. Candidates are
 verified by the weighted Jaccard similarity of the shingle multisets, which must reach `percent`.
 
-A window that shares no shingle with any item of its length has similarity 0, so only windows around shared
-shingles get fingerprints; this leaves out no match. The index is built from at most about `items_per_pass` items
-and sent to the tasks; larger benchmarks take further passes over the documents.
+At similarity 0.8 two fingerprints differ by about 10 bits with a deviation of 3, so a single window lies beyond the
+radius with probability of about 1e-5; a test measures it. A window that shares no shingle with any item of its
+length has similarity 0, so only windows around shared shingles get fingerprints; this leaves out no match. The index
+is built from at most about `items_per_pass` items and `bytes_per_pass` bytes of them and sent to the tasks; larger
+benchmarks take further passes over the documents.
 
 Words are runs of letters and digits, lower-cased. Items without words match nothing; items under five words are one
 shingle. Null and empty texts have no words; texts of any length are searched whole; repeated rows match alike (once
@@ -26,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import chunks, texts_of
+from fleetlens.llm.common import chunks, free_name, texts_of
 from fleetlens.llm.shingles import WordHashes, mixed
 
 WORD = re.compile(r"[^\W_]+")
-SHINGLE, RADIUS, BLOCKS = 5, 20, 8
+SHINGLE, RADIUS, BLOCKS = 5, 23, 8
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -164,10 +166,11 @@ class Index:
         return sorted(best.values())
 
 
-def matches(df: DataFrame, benchmark: DataFrame, percent: int = 80, items_per_pass: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def matches(df: DataFrame, benchmark: DataFrame, percent: int = 80, items_per_pass: int = 20_000, bytes_per_pass: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity: the best window of each document for each item it holds."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("text is not null and item_id is not null").distinct()
-    passes = max(1, -(-items.count() // items_per_pass))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()
+    passes = max(1, -(-size["n"] // items_per_pass), -(-size["bytes"] // bytes_per_pass))
     docs, out = texts_of(df, id_col, text_col), []
     for p in range(passes):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).orderBy("item_id", "text").collect()
@@ -188,5 +191,6 @@ def matches(df: DataFrame, benchmark: DataFrame, percent: int = 80, items_per_pa
 def decontaminated(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of df whose documents hold no benchmark item; rows with a null id stay."""
     id_col = options.get("id_col", "doc_id")
-    bad = matches(df, benchmark, **options).select(F.col("doc_id").alias("_held_id")).distinct()
-    return df.join(bad, df[id_col] == F.col("_held_id"), "left_anti")
+    held = free_name(df, "held_id")
+    bad = matches(df, benchmark, **options).select(F.col("doc_id").alias(held)).distinct()
+    return df.join(bad, df[id_col] == bad[held], "left_anti")
