@@ -140,13 +140,39 @@ def brute_lines(rows, least=10):
     return out
 
 
-@pytest.mark.parametrize("batches,fanout", [(1, 2), (4, 4), (6, 2)])
+@pytest.mark.parametrize("batches,fanout", [(1, 2), (5, 3), (6, 2)])
 def test_lines(docs, rows, nothing, batches, fanout):
     got = lines.dedup_lines(docs, batches=batches, fanout=fanout).collect()
     want = brute_lines(rows)
     assert len(got) == len(rows) and all((r.text, r.n_lines, r.n_dropped) == want[r.doc_id] for r in got)
-    if batches == 4:
+    if batches == 5:
         assert lines.dedup_lines(nothing).count() == 0
+        wide = lines.dedup_lines(docs, also=["n", "doc_hash", "gone", "h1", "owner", "pos", "lang"]).collect()
+        assert len(wide) == len(rows) and all((r.n, r.doc_hash, r.gone, r.owner) == ("x",) * 4 and r.text == want[r.doc_id][0] for r in wide)
+        with pytest.raises(ValueError):
+            lines.dedup_lines(docs, also=["text"])
+
+
+def test_later_batches_read_a_compacted_run_by_default(docs, monkeypatch):
+    made, read, real = [], [], lines.LineRuns._run
+    compact = lines.LineRuns.compact
+
+    def compacted(self):
+        compact(self)
+        made.extend(n for level in self.levels[1:] for n in level)
+
+    monkeypatch.setattr(lines.LineRuns, "compact", compacted)
+    monkeypatch.setattr(lines.LineRuns, "_run", lambda self, name: read.append(name) or real(self, name))
+    lines.dedup_lines(docs).count()
+    assert len(set(made)) == 1 and read.count(made[0]) == 2
+
+
+def test_lines_tell_copies(spark):
+    a, b, c = "a line of some length", "another line of length", "a third line of length"
+    texts = [f"{a}\n{b}", f"{b}\nshort\n{a}", c, f"{a}\n{c}", f"{a}\n{c}", f"{a}\nnew line number one", "tiny", "tiny", None]
+    got = by_id(lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), copies=True))
+    assert [got[i].copy_of for i in range(9)] == [None, 0, None, None, 3, 0, None, None, None]
+    assert [got[i].text for i in (1, 3, 4, 5)] == ["short", "", "", "new line number one"]
 
 
 def test_runs_compact(spark):
@@ -214,11 +240,94 @@ def test_quality_edges(spark, docs, rows, nothing):
     assert quality.score(nothing, empty).count() == 0
 
 
+def brute_look(text):
+    """Measures and part hashes of one text, without numpy."""
+    mask = 2**64 - 1
+
+    def mixed(h, salt):
+        h ^= salt * 0xD6E8FEB86659FD93 & mask
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & mask
+        return h ^ h >> 29
+
+    sums = lambda w: sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, k, 2**64) for k, c in enumerate(w)) & mask
+    words, own = [], ""
+    for c in text.lower() + " ":
+        if c.isalpha():
+            own += c
+        elif own:
+            words, own = [*words, own], ""
+    lines = [x for x in text.split("\n") if x.strip()]
+    n, letters = max(1, len(words)), max(1, sum(map(len, words)))
+    style = {
+        "words": len(words), "symbols": sum(c in "#*$%&<>" for c in text) / letters, "upper": sum(map(str.isupper, text)) / letters, "exclaims": text.count("!") / n, "pipes": text.count("|") / n,
+        "repeats": sum(a == b for a, b in zip(words, words[1:])) / n, "distinct": len(set(words)) / n, "dup_lines": 1 - len(set(lines)) / max(1, len(lines)), "stops": text.count(".") / n,
+    }
+    return style, {w: [mixed(sums(w), 1), *(mixed(sums(w[:p]), p) for p in quality.PREFIXES if len(w) > p)] for w in words}
+
+
+def brute_score(text, model):
+    style, words = brute_look(text)
+    dims = model.weights.shape[1]
+    seen = [style["symbols"] >= 0.03, style["upper"] >= 0.4, style["exclaims"] >= 0.2, style["pipes"] >= 0.03, style["repeats"] >= 0.1, style["words"] >= 30 and style["distinct"] <= 0.1, style["dup_lines"] >= 0.5, style["words"] < 3]
+    votes = [0 if x else 1 for x in seen] + [1 if any(seen) else 2]
+    lists = [dict.fromkeys((brute_look(w)[1][w][0] for w in quality.INSULTS.split()), 1.0), *(dict(zip(x.keys.tolist(), x.values.tolist())) for x in model.lexicons)]
+    for k, known in enumerate(lists):
+        got = sum(max(known.get(h, 0.0) for h in parts) for parts in words.values())
+        votes.append(0 if got >= (1, 5, 5)[k] else 2 if got <= (0, 2, 2)[k] else 1)
+    names = [f"={m}:{sum(style[m] >= x for x in steps)}" for m, steps in quality.STEPS.items()] + [f"+{k}:{v}" for k, v in enumerate(votes)]
+    out = []
+    for w, bias in zip(model.weights, model.bias):
+        total = sum(w[h % dims] for parts in words.values() for h in parts) / max(1, len(words)) ** 0.5 + sum(w[i] for i in quality.hashed(names, dims)) + bias
+        out.append(1 / (1 + 2.718281828459045**-total))
+    return (1 - out[0], out[1]) if words else (0.0, 0.0)
+
+
+def test_quality_scores_equal_brute_force(spark, docs, rows):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    more = ["You idiot, IDIOT! such a MORON", "a | b | c ### ***", "Скидка 5 % ΣΊΣΥΦΟΣ İstanbul", "same\n same\nsame \n\nsame", "no no no no", "x" * 300 + "\x00" + "y" * 9]
+    words = [brute_look(t or "")[1] for _, t, *_ in rows[:20]]
+    known = {h: float(rng.uniform(0.5, 3)) for w in words for parts in list(w.values())[:3] for h in parts}
+    lexicons = (quality.Lexicon.of(dict(list(known.items())[::2])), quality.Lexicon.of(dict(list(known.items())[1::2])))
+    model = quality.Model(rng.normal(size=(2, 4096)) / 4, np.array([0.3, -0.2]), lexicons, (None, None))
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + k, t) for k, t in enumerate(more)], "doc_id bigint, text string"))
+    for r in df.join(quality.score(df, model).dropDuplicates(["doc_id"]), "doc_id").collect():
+        good, abuse = brute_score(r.text or "", model)
+        assert abs(r.quality - good) < 1e-9 and abs(r.abuse - abuse) < 1e-9 and r.kept == (good >= 0.5 and abuse < 0.5), r.doc_id
+
+
+def brute_em(patterns, rounds=200):
+    """The same estimate with plain loops."""
+    post = {p: (p.count("0") + 0.02) / (p.count("0") + 0.5 * p.count("2") + 0.12) for p in patterns}
+    for _ in range(rounds):
+        was, table, share = dict(post), [], []
+        for c in (0, 1):
+            mine = {p: n * (post[p] if c == 0 else 1 - post[p]) for p, n in patterns.items()}
+            share.append(sum(mine.values()) / sum(patterns.values()) + 1e-9)
+            columns = [[sum(m for p, m in mine.items() if p[j] == v) + 0.1 for v in "012"] for j in range(len(next(iter(patterns))))]
+            table.append([[x / sum(col) for x in col] for col in columns])
+        for p in patterns:
+            odds = [share[c] for c in (0, 1)]
+            for c in (0, 1):
+                for j, v in enumerate(p):
+                    odds[c] *= table[c][j][int(v)] if v != "1" else 1
+            post[p] = odds[0] / sum(odds)
+        if max(abs(post[p] - was[p]) for p in patterns) < 1e-9:
+            break
+    return post
+
+
+def test_em_equals_brute_force():
+    rng = random.Random(12)
+    counts = collections.Counter("".join(rng.choices("012", (a, 3, b), k=5)[j] for j in range(5)) for a, b in ((4, 1), (1, 6)) for _ in range(900))
+    want, (got, _) = brute_em(dict(counts)), quality.bad_posterior(dict(counts))
+    assert all(abs(got[p] - want[p]) < 1e-6 for p in counts)
+
+
 def test_quality_counts_letters_of_any_script():
     def look(text):
-        words = [w.lower() for w in quality.WORD.findall(text)]
-        numbers = {w: k for k, w in enumerate(words)}
-        return quality.style(text, quality.np.array([numbers[w] for w in words]), len(numbers))
+        return quality.looks([text]).style
 
     clean = [
         "Скидка 5 % на книги & журналы: приходите сегодня вечером в наш новый магазин на улице",
@@ -232,9 +341,9 @@ def test_quality_counts_letters_of_any_script():
         assert s["symbols"] == sum(c in "#*$%&<>" for c in text) / sum(map(str.isalpha, text)) < 0.05
         assert s["upper"] == sum(map(str.isupper, text)) / sum(map(str.isalpha, text)) < 0.1
         long = look(text + "".join(c for c in text if c.isalpha() or c == " "))
-        assert quality.BAD not in map(int, quality.junk_votes(long)[:2])
+        assert quality.BAD not in quality.junk_votes(long)[0, :2]
     loud = look("КУПИТЕ СЕГОДНЯ НОВЫЕ КНИГИ И ЖУРНАЛЫ")
-    assert loud["upper"] == 1 and quality.junk_votes(loud)[1] == str(quality.BAD)
+    assert loud["upper"] == 1 and quality.junk_votes(loud)[0, 1] == quality.BAD
 
 
 def test_quality_prior_does_not_follow_the_sample(spark, monkeypatch):
@@ -281,15 +390,32 @@ def test_decontamination(spark, nothing):
     edited = items[2].split()
     edited[30] = "other"
     texts += ["before " + " ".join(edited) + " after", " ".join(items[0].split()[:12]), items[0], items[0] + " " + items[0] + " " + items[3]]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("item_id", F.lit(1))
-    for per_pass in (20_000, 2):
-        got = {(r.doc_id, r.item_id): r.similarity for r in contamination.matches(df, bench, items_per_pass=per_pass).collect()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumns({c: F.lit(1) for c in ("item_id", "held_id", "_held_id", "n")})
+    for more in ({}, {"items_per_pass": 2}, {"bytes_per_pass": 200}):
+        got = {(r.doc_id, r.item_id): r.similarity for r in contamination.matches(df, bench, **more).collect()}
         want = {(d, i): s for d, t in enumerate(texts) for i, x in enumerate(items) if x and (s := brute_match(t, x)) >= 0.8}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert {r.doc_id for r in contamination.decontaminated(df, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert contamination.matches(nothing, bench).count() == 0 and contamination.matches(df, bench.limit(0)).count() == 0
 
 
+def test_no_match_near_the_threshold_is_missed():
+    rng, known = random.Random(44), contamination.WordHashes()
+    stems = [sentence(rng, 1) + str(k) for k in range(3000)]
+    seen = met = 0
+    for _ in range(400):
+        item = [rng.choice(stems) for _ in range(rng.randrange(30, 120))]
+        text = list(item)
+        for _ in range(rng.randrange(0, len(item) // 20 + 1)):
+            text[rng.randrange(len(text))] = rng.choice(stems)
+        text = " ".join([rng.choice(stems) for _ in range(30)] + text + [rng.choice(stems) for _ in range(30)])
+        want = brute_match(text, " ".join(item))
+        got = contamination.Index([(1, " ".join(item))]).matches(text, known, 80)
+        assert bool(got) == (want >= 0.8 - 1e-12) and (not got or abs(got[0][3] - want) < 1e-9)
+        met, seen = met + bool(got), seen + (0.8 <= want < 0.9)
+    assert met > 150 and seen > 60
+
+
 def test_hamming_search_is_complete():
     import numpy as np
 
@@ -334,24 +460,63 @@ def test_fuzzy_search_misses_nothing():
 
 
 def test_forward_sums_all_segmentations():
+    import math
+
     import numpy as np
 
-    vocab = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "▁ab", "ba"])}
-    prob = np.array([[0.1, 0.2, 0.3, 0.15, 0.05, 0.12, 0.08, 1e-7], [0.2, 0.1, 0.1, 0.3, 0.1, 0.1, 0.1, 1e-7]])
+    vocab = language.Vocabulary(["▁", "▁a", "a", "b", "ab", "▁ab", "ba"])
+    prob = np.random.default_rng(4).uniform(size=(2, len(vocab)))
+    prob /= prob.sum(axis=1, keepdims=True)
+    number = {p: k for k, p in enumerate(vocab.pieces)}
 
-    def brute(w, g):
+    def ways(w):
         if not w:
-            return 1.0
-        out = sum(prob[g, vocab[w[:n]]] * brute(w[n:], g) for n in range(1, len(w) + 1) if w[:n] in vocab)
-        return out + (prob[g, -1] * brute(w[1:], g) if w[0] not in vocab else 0.0)
-
-    words = ["ab", "aba", "b", "aéb", "abababab"]
-    got = np.exp(language.log_likelihoods(words, vocab, prob))
-    want = [[brute("▁" + w, g) for g in (0, 1)] for w in words]
-    assert np.allclose(got, want, rtol=1e-9)
-    e = language.edges(words, vocab)
-    a, b = language.forward(e, 5, prob), language.forward(e, 5, prob, backward=True)
-    assert np.allclose(b[:, :, 0].T, want, rtol=1e-9) and a.shape == b.shape
+            yield []
+        for n in range(1, len(w) + 1):
+            if w[:n] in number:
+                yield from ([number[w[:n]], *rest] for rest in ways(w[n:]))
+
+    words = ["ab", "aba", "b", "aéb", "abababab", "ababababababababab", "長"]
+    each = {w: list(ways(vocab.spelled(w))) for w in words}
+    want = [[sum(np.prod(prob[g, x]) for x in each[w]) for g in (0, 1)] for w in words]
+    assert np.allclose(np.exp(language.log_likelihoods(words, vocab, prob)), want, rtol=1e-9)
+    n, uses = np.arange(1, len(words) + 1), np.zeros(len(vocab))
+    for w, times, total in zip(words, n, want):
+        for x in each[w]:
+            np.add.at(uses, x, times * np.prod(prob[0, x]) / total[0])
+    assert np.allclose(language.expected_counts(words, n, vocab, prob[0]), uses, rtol=1e-9)
+
+    for long in ("ab" * 20_000, "é" * 5_000, "長a" * 3_000):  # sums far below the smallest double
+        spelled, logs = vocab.spelled(long), [0.0]
+        for t in range(1, len(spelled) + 1):
+            terms = [logs[t - k] + math.log(prob[1, number[spelled[t - k : t]]]) for k in (1, 2, 3) if t >= k and spelled[t - k : t] in number]
+            logs.append(max(terms) + math.log(sum(math.exp(x - max(terms)) for x in terms)))
+        got = language.log_likelihoods([long, "ab"], vocab, prob)
+        assert abs(got[0, 1] - logs[-1]) < 1e-6 * abs(logs[-1]) and np.allclose(np.exp(got[1]), want[0])
+        assert np.isfinite(language.expected_counts([long], np.ones(1), vocab, prob[0])).all()
+
+
+def test_vocabulary_is_whole():
+    import sentencepiece
+
+    sp, vocab = sentencepiece.SentencePieceProcessor(model_file=PIECES), language.vocabulary(PIECES)
+    pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
+    assert pieces <= set(vocab.pieces) and len(vocab) == len(pieces) + 256 and vocab.longest == max(map(len, pieces))
+    assert vocab.spelled("été") == "▁été" and len(vocab.spelled("ሰላ")) == 1 + len("ሰላ".encode())
+
+
+def test_languages_of_one_uncovered_script_and_too_many(spark):
+    rng = random.Random(15)
+    write = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))
+    known = [(i, write("ሀለሐመሠረ" if i % 2 else "ሸቀበተነአ"), "xx" if i % 2 else "yy") for i in range(60)]
+    df = spark.createDataFrame(known, "doc_id bigint, text string, lang string")
+    got = by_id(language.predict(df, language.fit(df.filter("doc_id < 40"), PIECES)))
+    assert all(got[i].lang_pred == g for i, _, g in known)
+    many = spark.range(120).select(F.col("id").alias("doc_id"), F.concat_ws("", F.lit("wort"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    model = language.fit(many, PIECES, rounds=1)
+    assert len(model.languages) == 120 and language.predict(many, model).select("lang_pred").distinct().count() > 100
+    with pytest.raises(ValueError):
+        language.fit(many, PIECES, most_languages=119)
 
 
 def test_language(spark, docs, rows, nothing):
@@ -394,6 +559,43 @@ def test_rules(spark, docs, rows, nothing):
     assert rules.quality_rules(nothing).count() == 0
 
 
+def brute_thresholds(rows, least):
+    """Kept ids by exact quantiles: far-out values of the first round set aside, then a limit over the second's tail."""
+    names = ["symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "mean_word"]
+    pick = lambda xs, q: sorted(xs)[max(0, -(-int(q * 1000) * len(xs) // 1000) - 1)]
+
+    def limits(some, of):
+        every = {}
+        for name in (lambda r: (r.lang, r.source), lambda r: (r.lang,), lambda r: ()):
+            groups = collections.defaultdict(list)
+            for r in some:
+                groups[name(r)].append(r)
+            every.update({(k, m): of([r[m] for r in g]) for k, g in groups.items() for m in names if len(g) >= least or not k})
+        return lambda r, m: next(every[k, m] for k in ((r.lang, r.source), (r.lang,), ()) if (k, m) in every)
+
+    def far(xs):
+        low, high = pick(xs, 0.25), pick(xs, 0.75)
+        return high + 3 * (high - low) if high > low else float("inf")
+
+    base = [r for r in rows if not r.base_failed]
+    first = limits(base, far)
+    usual = [r for r in base if all(r[m] <= first(r, m) for m in names)]
+    second = limits(usual, lambda xs: 2 * pick(xs, 0.99) - pick(xs, 0.5))
+    return {r.doc_id for r in base if all(r[m] <= second(r, m) for m in names)}
+
+
+def test_thresholds_equal_exact_quantiles(spark):
+    rng = random.Random(5)
+    texts = []
+    for i in range(1200):
+        t = sentence(rng, rng.randrange(20, 90)).capitalize() + ". " + sentence(rng, 20)
+        t += rng.choice(["", "", "", " $$$" * 8, "\nsame line here\nsame line here", t.upper() if i % 7 == 0 else "", " a" * 4, " &" if i % 3 == 1 else ""])
+        texts.append((i, t, rng.choice(["en", "en", "de", None]), f"s{i % 3}" if i % 40 else "rare", 0))
+    got = rules.quality_rules(spark.createDataFrame(texts, SCHEMA)).collect()
+    want = brute_thresholds(got, 50)
+    assert {r.doc_id for r in got if r.kept} == want and 900 < len(want) < 1200
+
+
 def test_thresholds_follow_groups(spark):
     rng = random.Random(5)
     texts = [(i, sentence(rng, 60) + (" $$$" * (8 if i % 2 else 0)), "en", f"s{i % 2}", 0) for i in range(400)] + [(1000, sentence(rng, 60) + " $$$" * 8, "en", "s0", 0)]
@@ -431,9 +633,17 @@ def test_near_duplicates(docs, rows, k):
         assert (r.n_shingles, r.component_id) == want.get(r.doc_id, (r.n_shingles, None)) and r.kept == (r.doc_id is None or r.doc_id == r.component_id)
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
+def test_one_id_with_two_texts(spark):
+    rng = random.Random(3)
+    a, b = sentence(rng, 60), sentence(rng, 60)
+    rows = [(1, a), (1, b), (2, b), (3, a + " more"), (4, b + " more")]
+    got = collections.Counter((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2).collect())
+    assert got[1, 1] == 2 and got[2, 1] == 1 and {got[3, 1] + got[4, 1], got[3, 3] + got[4, 4]} == {1}
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
 def test_large_loose_group(spark, rounds):
-    rng = random.Random(21)
+    rng = random.Random(21 + rounds)
     base = sentence(rng, 80).split()
     rows = []
     for i in range(150):
