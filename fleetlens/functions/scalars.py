@@ -18,6 +18,7 @@ EVENT_CLASSES = {
     "connect": ("accept", "accept4", "bind", "connect", "getsockname", "listen", "socket"),
     "clone": ("clone", "dup", "dup2", "dup3", "prctl", "sched_process_exit"),
 }
+# Fixed value: what a kernel pointer looks like.
 KERNEL_POINTER = r"(?i)\b(?:0x)?ffff[0-9a-f]{12}\b"
 
 

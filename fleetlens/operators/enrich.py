@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.schemas import process_key
+from fleetlens.storage import shared_dir
 
+# Names of the kernel's own root.
 ROOT_NAMES = ("kthreadd", "[kthreadd]")
 
 
@@ -75,10 +75,10 @@ def pid_generation(events: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder that the executors share; a temporary one only where none is set."""
+    """df without its lineage, in the folder that the executors share."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetlens-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import clean_control, is_finite
+from fleetlens.operators.ordering import bucketed
 from fleetlens.schemas import process_key
 
 MINUTE_NS = 60 * 1_000_000_000
@@ -108,10 +109,15 @@ def latest_alerts(alerts: DataFrame, n: int = 64) -> DataFrame:
 
 
 def event_rate(events: DataFrame, seconds: int = 1) -> DataFrame:
-    """Adds events_per_second: events of the host (or process) in the trailing second, both ends included."""
-    key = [c for c in ("host_id",) if c in events.columns] or process_key(events)
-    w = Window.partitionBy(*key).orderBy("timestamp_ns").rangeBetween(-seconds * 1_000_000_000, 0)
-    return events.withColumn("events_per_second", F.count("*").over(w) / seconds)
+    """Adds events_per_second: events of the host (all events, without host_id) in the trailing second, both ends included.
+
+    Events are dealt by spans of that length. Each span also gets the events of the one before it, so no task needs
+    more than two spans of a host."""
+    span, key = seconds * 1_000_000_000, [c for c in ("host_id",) if c in events.columns]
+    at = F.expr(f"timestamp_ns div {span}L")
+    both = events.withColumn("span", F.explode(F.array(at, at + 1)))
+    w = Window.partitionBy(*key, "span").orderBy("timestamp_ns").rangeBetween(-span, 0)
+    return both.withColumn("events_per_second", F.count("*").over(w) / seconds).filter(F.col("span") == at).drop("span")
 
 
 def latency_p99(samples: DataFrame, keep: int = 4096) -> DataFrame:
@@ -128,11 +134,18 @@ def health_state(samples: DataFrame, rss_limit: int) -> DataFrame:
 
 
 def state_history(samples: DataFrame) -> DataFrame:
-    """Only the samples whose state differs from the one before (per host where there are hosts)."""
+    """Only the samples whose state differs from the one before (per host where there are hosts). Without hosts each
+    bucket of time takes the last state of the bucket before it."""
     key = [c for c in ("host_id",) if c in samples.columns]
-    w = (Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))).orderBy("ts_ns")
-    before = F.lag("state").over(w)
-    return samples.withColumn("before", before).filter("before is null or before <> state").drop("before")
+    if key:
+        told = samples.withColumn("before", F.lag("state").over(Window.partitionBy(*key).orderBy("ts_ns")))
+    else:
+        placed = bucketed(samples, "ts_ns")
+        last = placed.groupBy("bucket").agg(F.max_by("state", "ts_ns").alias("last"))
+        carried = last.select("bucket", F.lag("last").over(Window.orderBy("bucket")).alias("carried"))  # a row for each bucket
+        own = F.lag("state").over(Window.partitionBy("bucket").orderBy("ts_ns"))
+        told = placed.withColumn("before", own).join(F.broadcast(carried), "bucket").withColumn("before", F.coalesce("before", "carried")).drop("bucket", "carried")
+    return told.filter("before is null or before <> state").drop("before")
 
 
 def counter_totals(per_cpu: DataFrame) -> DataFrame:
@@ -141,9 +154,10 @@ def counter_totals(per_cpu: DataFrame) -> DataFrame:
 
 
 def correlate_alerts(events: DataFrame, alerts: DataFrame, port: int, baseline_id: int = 0) -> DataFrame:
-    """Alerts above baseline_id of the pid that most often connects to the marker port."""
-    top = events.filter((F.col("syscall_type") == "Connect") & (F.col("port") == port)).groupBy("pid").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pid").limit(1)
-    return alerts.filter(F.col("alert_id") > baseline_id).join(F.broadcast(top), "pid", "left_semi")
+    """Alerts above baseline_id of the process that most often connects to the marker port."""
+    key = process_key(events)
+    top = events.filter((F.col("syscall_type") == "Connect") & (F.col("port") == port)).groupBy(*key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *key).limit(1)
+    return alerts.filter(F.col("alert_id") > baseline_id).join(F.broadcast(top), key, "left_semi")
 
 
 def log_diff(expected: DataFrame, observed: DataFrame, head_bytes: int = 4096) -> DataFrame:
@@ -161,10 +175,15 @@ def log_diff(expected: DataFrame, observed: DataFrame, head_bytes: int = 4096) -
         return rows.join(before, "block").select("line_no", F.col("line").alias(f"{side}_line"), F.col("size").alias(f"{side}_size"), (F.col("before") + within).alias(f"{side}_at"))
 
     def first_byte(a, b):
-        """Number of equal leading bytes of two lines, by their hexadecimal digits."""
-        pairs = F.sequence(F.lit(0), F.greatest(F.length(a), F.length(b)))
-        differs = F.filter(pairs, lambda i: F.coalesce(F.substring(F.hex(a), 2 * i + 1, F.lit(2)), F.lit("")) != F.coalesce(F.substring(F.hex(b), 2 * i + 1, F.lit(2)), F.lit("")))
-        return F.coalesce(F.get(differs, F.lit(0)), F.lit(0))
+        """Number of equal leading bytes of two lines, by halving the part in question: 31 times for any length."""
+        span = F.struct(F.lit(0).alias("low"), F.least(F.length(a), F.length(b)).alias("high"))  # low bytes are equal, more than high aren't
+
+        def halved(s, _):
+            mid = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+            same = F.substring(a, s["low"] + 1, mid - s["low"]) == F.substring(b, s["low"] + 1, mid - s["low"])
+            return F.struct(F.when(same, mid).otherwise(s["low"]).alias("low"), F.when(same, s["high"]).otherwise(F.greatest(mid - 1, s["low"])).alias("high"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(31)), span, halved)["low"]
 
     a, b = placed(expected, "e"), placed(observed, "o")
     both = a.join(b, "line_no", "full_outer")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.operators.ordering import numbered
 from fleetlens.schemas import SYSCALL_TYPES, process_key
 
 EXIT_BIT, LONGEST_FILENAME = 1 << 31, 256
@@ -67,7 +69,8 @@ def pair_enter_exit(decoded: DataFrame, timeout_ms: int = 250, mode: str = "seri
     Adds pair_status: paired, enter_only (result null), late_exit (no row for the pipeline, kept for `pair_report`),
     passthrough (Execve enters, Clone exits) and ignored (Execve exits, Clone enters). `emitted` keeps what goes on.
     mode serial: window functions, for threads whose calls of a type don't overlap. mode stateful: first in, first
-    out over overlapping calls, in grouped pandas; both phases may come in either order within the timeout.
+    out over overlapping calls, in grouped pandas, one group for each stretch of a thread's calls without a pause longer
+    than the timeout (nothing pairs across one); both phases may come in either order within the timeout.
     """
     if timeout_ms <= 0:
         raise ValueError("timeout_ms must be positive")
@@ -94,15 +97,19 @@ def pair_enter_exit(decoded: DataFrame, timeout_ms: int = 250, mode: str = "seri
     else:
         names = {"pair_status": T.StringType(), "exit_ns": T.LongType()}
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema] + [T.StructField(n, t) for n, t in names.items()])
-        out = rows.filter(two).groupBy(*process_key(rows), "tid", "syscall_type").applyInPandas(lambda pdf: fifo_pairs(pdf, timeout), schema)
+        key = [*process_key(rows), "tid", "syscall_type"]
+        by_time = Window.partitionBy(*key).orderBy("timestamp_ns", "phase")
+        gap = F.coalesce(F.col("timestamp_ns") - F.lag("timestamp_ns").over(by_time) > timeout, F.lit(False)).cast("int")
+        busy = rows.filter(two).withColumn("gap", gap).withColumn("stretch", F.sum("gap").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+        out = busy.groupBy(*key, "stretch").applyInPandas(lambda pdf: fifo_pairs(pdf.drop(columns=["gap", "stretch"]), timeout), schema)
     return out.unionByName(single)
 
 
 def fifo_pairs(pdf: pd.DataFrame, timeout_ns: int) -> pd.DataFrame:
     """First in, first out pairing of one key's rows by time; an exit waits for its enter as long as an enter for its exit."""
     rows = pdf.sort_values(["timestamp_ns", "phase"], kind="stable").to_dict("records")
-    enters: list[dict] = []
-    exits: list[dict] = []
+    enters: deque[dict] = deque()
+    exits: deque[dict] = deque()
     out: list[dict] = []
 
     def close(row: dict, status: str, exit_row: dict | None = None) -> None:
@@ -112,16 +119,16 @@ def fifo_pairs(pdf: pd.DataFrame, timeout_ns: int) -> pd.DataFrame:
     for row in rows:
         now = row["timestamp_ns"]
         while enters and now - enters[0]["timestamp_ns"] > timeout_ns:
-            close(enters.pop(0), "enter_only")
+            close(enters.popleft(), "enter_only")
         while exits and now - exits[0]["timestamp_ns"] > timeout_ns:
-            close(exits.pop(0), "late_exit")
+            close(exits.popleft(), "late_exit")
         if row["phase"] == "enter":
             if exits:
-                close(row, "paired", exits.pop(0))
+                close(row, "paired", exits.popleft())
             else:
                 enters.append(row)
         elif enters:
-            close(enters.pop(0), "paired", row)
+            close(enters.popleft(), "paired", row)
         else:
             exits.append(row)
     for row in enters:
@@ -148,18 +155,13 @@ def pair_report(paired: DataFrame) -> DataFrame:
 def assign_event_id(events: DataFrame, dense: bool = False) -> DataFrame:
     """Keeps a given event_id; else ids that rise with the partition and row, or 1, 2, ... by (timestamp_ns, pid).
 
-    Dense ids are counted per range partition and shifted by the counts before it: no single task sees all rows.
+    Dense ids are counted per bucket of time and shifted by the counts before it: no single task sees all rows.
     """
     if "event_id" in events.columns:
         return events
     if not dense:
         return events.withColumn("event_id", F.monotonically_increasing_id() + 1)
-    order = ["timestamp_ns", *process_key(events)]
-    placed = events.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part").orderBy(*order)
-    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("shift", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("shift", F.lit(0)).alias("shift"))
-    return placed.withColumn("at", F.row_number().over(w)).join(F.broadcast(before), "part").withColumn("event_id", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+    return numbered(events, ["timestamp_ns", *process_key(events)], "event_id")
 
 
 def exclude_pids(events: DataFrame, pids: Iterable[int] | DataFrame) -> DataFrame:

@@ -6,24 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import is_finite
-
-
-def _ranked(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
-    """(rank from 0, value) by range partition with counted shifts, so no task sorts all rows; and the one-row count."""
-    placed = df.filter(F.col(col).isNotNull()).select(F.col(col).alias("v")).repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
-    shifts = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("shift"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
-    at = F.row_number().over(Window.partitionBy("part").orderBy("v")) - 1
-    ranked = placed.withColumn("at", at).join(F.broadcast(shifts), "part").select((F.col("at") + F.col("shift")).alias("rank"), "v", "total")
-    return ranked, counts
+from fleetlens.operators.ordering import bucketed, numbered, running_sum
+from fleetlens.schemas import process_key
 
 
 def _at_ranks(df: DataFrame, col: str, ps: list[float], rank) -> DataFrame:
+    """p, value: the values of the wanted ranks. The few ranks are joined to the numbered rows."""
     if any(not 0 <= p <= 100 for p in ps):
         raise ValueError("ps must lie between 0 and 100")
-    ranked, _ = _ranked(df, col)
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p")
-    return ranked.select("*", wanted).filter(F.col("rank") == rank(F.col("p"), F.col("total"))).select("p", F.col("v").alias("value"))
+    values = df.filter(F.col(col).isNotNull()).select(F.col(col).alias("v"))
+    wanted = values.agg(F.count("*").alias("total")).select("total", F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p"))
+    wanted = wanted.select("p", (rank(F.col("p"), F.col("total")) + 1).cast("bigint").alias("rank"))
+    return numbered(values, ["v"], "rank").withColumn("rank", F.col("rank").cast("bigint")).join(F.broadcast(wanted), "rank").select("p", F.col("v").alias("value"))  # one row for each p
 
 
 def nearest_rank(df: DataFrame, col: str, ps: list[float]) -> DataFrame:
@@ -37,9 +31,11 @@ def rounded_rank(df: DataFrame, col: str, ps: list[float]) -> DataFrame:
 
 
 def alert_latency(trials: DataFrame, alerts: DataFrame) -> DataFrame:
-    """trial, pid, latency_ns: from each trial's start to its first alert. trials: trial, pid, start_ns; alerts: pid, ts_ns."""
-    joined = trials.join(alerts, "pid").filter(F.col("ts_ns") >= F.col("start_ns"))
-    return joined.groupBy("trial", "pid", "start_ns").agg(F.min("ts_ns").alias("ts")).select("trial", "pid", (F.col("ts") - F.col("start_ns")).alias("latency_ns"))
+    """trial, process key, latency_ns: from each trial's start to its first alert. trials: trial, process key, start_ns;
+    alerts: process key, ts_ns."""
+    key = process_key(trials)
+    joined = trials.join(alerts, key).filter(F.col("ts_ns") >= F.col("start_ns"))
+    return joined.groupBy("trial", *key, "start_ns").agg(F.min("ts_ns").alias("ts")).select("trial", *key, (F.col("ts") - F.col("start_ns")).alias("latency_ns"))
 
 
 def leak_slope(samples: DataFrame, warmup_s: float = 0.0) -> DataFrame:
@@ -68,13 +64,17 @@ def counter_rate(samples: DataFrame, phase: str, baseline: str | None = None) ->
 
 
 def longest_streak(samples: DataFrame, level: float) -> DataFrame:
-    """The longest run of samples at or above a level: start, end, samples (the first of equal ones). samples: ts_ns, value."""
-    key = [c for c in ("host_id",) if c in samples.columns]
-    w = Window.partitionBy(*(key or [F.lit(0)])).orderBy("ts_ns")
-    below = F.sum(F.when(F.col("value") >= level, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    runs = samples.withColumn("run", below).filter(F.col("value") >= level).groupBy(*key, "run").agg(F.min("ts_ns").alias("start_ns"), F.max("ts_ns").alias("end_ns"), F.count("*").alias("samples"))
+    """The longest run of samples at or above a level: start, end, samples (the first of equal ones). samples: ts_ns, value.
+    A run is known by the number of lower samples before it. Without hosts these are running sums in two levels."""
+    key, lower = [c for c in ("host_id",) if c in samples.columns], F.when(F.col("value") >= level, 0).otherwise(1)
+    if key:
+        w = Window.partitionBy(*key).orderBy("ts_ns")
+        placed = samples.withColumn("total", F.sum(lower).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        placed = running_sum(bucketed(samples, "ts_ns"), lower, ["ts_ns"])
+    runs = placed.filter(F.col("value") >= level).groupBy(*key, "total").agg(F.min("ts_ns").alias("start_ns"), F.max("ts_ns").alias("end_ns"), F.count("*").alias("samples"))
     if not key:
-        return runs.drop("run").orderBy(F.desc("samples"), "start_ns").limit(1)
+        return runs.drop("total").orderBy(F.desc("samples"), "start_ns").limit(1)
     return runs.groupBy(*key).agg(F.max_by(F.struct("start_ns", "end_ns", "samples"), F.struct("samples", -F.col("start_ns"))).alias("s")).select(*key, "s.*")
 
 
@@ -82,8 +82,8 @@ def bucketed_hits(hits: DataFrame, start: int, end: int, n: int = 4) -> DataFram
     """bucket, hits and all_hit: hits (ts_ns) in n equal parts of [start, end)."""
     if n < 1 or end <= start:
         raise ValueError("n must be 1 at least and end after start")
-    spark, width = hits.sparkSession, (end - start) / n
-    at = F.least(F.floor((F.col("ts_ns") - start) / width), F.lit(n - 1)).cast("bigint")
+    spark = hits.sparkSession
+    at = F.expr(f"cast(ts_ns - {start}L as decimal(38, 0)) * {n} div {end - start}L")
     counts = hits.filter((F.col("ts_ns") >= start) & (F.col("ts_ns") < end)).groupBy(at.alias("bucket")).agg(F.count("*").alias("hits"))
     every = spark.range(n).select(F.col("id").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("hits", F.lit(0)).alias("hits"))
     return every.join(F.broadcast(every.agg(F.bool_and(F.col("hits") > 0).alias("all_hit"))))

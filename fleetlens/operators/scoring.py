@@ -135,8 +135,8 @@ def attribute_paths(flat: DataFrame, nodes: DataFrame, manifest: tuple[str, ...]
     """
     shared = flat.sparkSession.sparkContext.broadcast(Ensemble(collected_nodes(nodes)))
 
-    @F.pandas_udf("array<struct<feature_name: string, contribution_score: double>>")
-    def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<double>")
+    def sums_by_feature(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         trees = shared.value
         for x in batches:
             rows = np.stack(x.to_numpy()).astype(np.float32)
@@ -147,13 +147,12 @@ def attribute_paths(flat: DataFrame, nodes: DataFrame, manifest: tuple[str, ...]
             for node in levels:
                 row, tree = np.nonzero(~trees.leaf[node])
                 np.add.at(sums, (row, trees.feature[node[row, tree]]), share[row, tree])
-            out = []
-            for s in sums:
-                used = np.flatnonzero(np.abs(s) > np.finfo(float).eps)
-                out.append([{"feature_name": manifest[i], "contribution_score": float(s[i])} for i in sorted(used, key=lambda i: (-abs(s[i]), manifest[i]))])
-            yield pd.Series(out)
+            yield pd.Series(list(sums))
 
-    return flat.withColumn("contributions", parts("x"))
+    names = F.array(*[F.lit(n) for n in manifest])
+    named = F.zip_with(names, sums_by_feature("x"), lambda n, c: F.struct((-F.abs(c)).alias("order"), n.alias("feature_name"), c.alias("contribution_score")))
+    used = F.array_sort(F.filter(named, lambda c: -c["order"] > float(np.finfo(float).eps)))
+    return flat.withColumn("contributions", F.transform(used, lambda c: F.struct(c["feature_name"].alias("feature_name"), c["contribution_score"].alias("contribution_score"))))
 
 
 def attribution_table(flat: DataFrame, nodes: DataFrame, key: list[str], manifest: tuple[str, ...] = MANIFEST, max_depth: int = 32) -> DataFrame:
@@ -204,14 +203,16 @@ def model_schema_check(nodes: DataFrame, manifest: tuple[str, ...] = MANIFEST, c
 def model_version_as_of(flat: DataFrame, registry: DataFrame, ts: str = "window_end_ns") -> DataFrame:
     """Adds model_hash: the latest valid model at each row's time; null before the first.
 
-    registry: effective_ns, model_hash, valid. Valid versions become intervals; a table of versions is small, and
-    Spark broadcasts it if its size allows.
+    registry: effective_ns, model_hash, valid. Versions are few by nature (one row per deployment) and collected; more
+    than 10,000 are an error. So each row looks its version up, without a join.
     """
-    valid = registry.filter("valid")
-    w = Window.orderBy("effective_ns")
-    spans = valid.select(F.col("effective_ns").alias("from_ns"), F.lead("effective_ns").over(w).alias("until_ns"), "model_hash")
-    on = (F.col(ts) >= F.col("from_ns")) & (F.col("until_ns").isNull() | (F.col(ts) < F.col("until_ns")))
-    return flat.join(spans, on, "left").drop("from_ns", "until_ns")
+    known = registry.filter("valid").select("effective_ns", "model_hash").orderBy("effective_ns").limit(10_001).collect()
+    if len(known) > 10_000:
+        raise ValueError("registry must have 10,000 valid rows at most")
+    if not known:
+        return flat.withColumn("model_hash", F.lit(None).cast("string"))
+    at, hashes = F.array(*[F.lit(r[0]).cast("bigint") for r in known]), F.array(*[F.lit(r[1]) for r in known])
+    return flat.withColumn("model_hash", F.get(hashes, F.size(F.filter(at, lambda a: a <= F.col(ts))) - 1))
 
 
 def cutover_audit(scored: DataFrame, grace_ms: int = 100) -> DataFrame:

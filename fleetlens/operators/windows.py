@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.schemas import process_key, window_key
@@ -34,7 +34,7 @@ def window_anchored(events: DataFrame, window_s: int = 30, exits: DataFrame | No
     rows, size = lifetimes(events, exits), window_s * NS
     key = [*process_key(events), "lifetime"]
     first = rows.groupBy(*key).agg(F.min("timestamp_ns").alias("first_ns"))
-    index = F.floor((F.col("timestamp_ns") - F.col("first_ns")) / size).cast("bigint")
+    index = F.expr(f"(timestamp_ns - first_ns) div {size}L")  # a double would be wrong beyond 2 ** 53 ns
     placed = rows.join(first, key).withColumn("window_start_ns", F.col("first_ns") + index * size)
     return placed.withColumn("window_end_ns", F.col("window_start_ns") + size).drop("first_ns")
 
@@ -63,30 +63,35 @@ def window_reconfigure(events: DataFrame, settings: DataFrame) -> DataFrame:
     """Windows whose length may change: settings (effective_ns, window_s, one row at least) hold from the next window on.
 
     The settings are few by nature (one row per change of configuration) and collected; more than 10,000 are an error.
+    Under one setting a process's windows tile time from the end of the window that was open when the setting came
+    (from the process's first event at the start). That end follows from the process's last event under each earlier
+    setting, so a fold over a few rows per process finds all anchors, and events are joined to them.
     """
-    changes = settings.select("effective_ns", "window_s").orderBy("effective_ns").limit(10_001).toPandas()
-    if not len(changes) or len(changes) > 10_000:
+    changes = settings.select("effective_ns", "window_s").orderBy("effective_ns").limit(10_001).collect()
+    if not changes or len(changes) > 10_000:
         raise ValueError("settings must have between 1 and 10,000 rows")
-    at, size = changes["effective_ns"].to_numpy(), changes["window_s"].to_numpy() * NS
-    schema = events.withColumns({"window_start_ns": F.lit(0).cast("bigint"), "window_end_ns": F.lit(0).cast("bigint")}).schema
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = ["timestamp_ns", "event_id"] if "event_id" in pdf else ["timestamp_ns"]
-        pdf = pdf.sort_values(by, kind="stable").reset_index(drop=True)
-        starts, ends, start, end = [], [], None, None
-        for ts in pdf["timestamp_ns"]:
-            if end is None:
-                start = ts
-            if end is None or ts >= end:
-                k = max(0, at.searchsorted(ts, "right") - 1)
-                step = int(size[k])
-                start = ts if end is None else end + (ts - end) // step * step
-                end = start + step
-            starts.append(start)
-            ends.append(end)
-        return pdf.assign(window_start_ns=starts, window_end_ns=ends)
-
-    return events.groupBy(*process_key(events)).applyInPandas(cut, schema)
+    at, sizes, key = F.array(*[F.lit(r[0]).cast("bigint") for r in changes]), F.array(*[F.lit(r[1] * NS).cast("bigint") for r in changes]), process_key(events)
+    ts = F.col("timestamp_ns")
+    rows = events.withColumn("setting", F.greatest(F.size(F.filter(at, lambda a: a <= ts)) - 1, F.lit(0)))
+    spans = rows.groupBy(*key, "setting").agg(F.min("timestamp_ns").alias("first"), F.max("timestamp_ns").alias("last"))
+    lists = spans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("setting", "first", "last"))).alias("spans"))
+    steps = lambda t, end, step: ((t - end) - (t - end) % step)
+    nothing = F.lit(None).cast("bigint")
+
+    def fold(acc: Column, span: Column) -> Column:
+        end, step = F.coalesce(acc["end"], span["first"]), F.get(sizes, span["setting"])
+        moved = span["last"] >= end
+        start = F.when(moved, end + steps(span["last"], end, step)).otherwise(acc["start"])
+        kept = F.array_append(acc["kept"], F.struct(span["setting"].alias("setting"), acc["start"].alias("open_start"), end.alias("open_end")))
+        return F.struct(start.alias("start"), F.when(moved, start + step).otherwise(end).alias("end"), kept.alias("kept"))
+
+    zero = F.struct(nothing.alias("start"), nothing.alias("end"), F.array().cast("array<struct<setting: int, open_start: bigint, open_end: bigint>>").alias("kept"))
+    anchors = lists.select(*key, F.inline(F.aggregate("spans", zero, fold)["kept"]))
+    placed, step = rows.join(anchors, [*key, "setting"]), F.get(sizes, F.col("setting"))
+    fresh = ts >= F.col("open_end")
+    start = F.when(fresh, F.col("open_end") + steps(ts, F.col("open_end"), step)).otherwise(F.col("open_start"))
+    out = placed.withColumn("window_start_ns", start).withColumn("window_end_ns", F.when(fresh, F.col("window_start_ns") + step).otherwise(F.col("open_end")))
+    return out.select(*events.columns, "window_start_ns", "window_end_ns")
 
 
 def active_windows(windows: DataFrame, cap: int) -> DataFrame:
@@ -98,7 +103,7 @@ def active_windows(windows: DataFrame, cap: int) -> DataFrame:
         raise ValueError("cap must be 1 at least")
     ends = windows.select(F.explode(F.array(F.struct(F.col("window_start_ns").alias("ts_ns"), F.lit(1).alias("d")), F.struct(F.col("window_end_ns").alias("ts_ns"), F.lit(-1).alias("d")))).alias("e")).select("e.*")
     steps = ends.groupBy("ts_ns").agg(F.sum("d").alias("d"))
-    bucketed = steps.withColumn("bucket", F.floor(F.col("ts_ns") / (86_400 * NS)))
+    bucketed = steps.withColumn("bucket", F.expr(f"ts_ns div {86_400 * NS}L"))
     before = bucketed.groupBy("bucket").agg(F.sum("d").alias("d"))
     before = before.select("bucket", (F.sum("d").over(Window.orderBy("bucket")) - F.col("d")).alias("before"))
     within = F.sum("d").over(Window.partitionBy("bucket").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0))

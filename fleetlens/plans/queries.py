@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from fleetlens.functions import scalars as fn
 from fleetlens.operators import alerts, enrich, explore, features, ingest, priors, reports, scoring, training, windows
 from fleetlens.plans.views import DUCKDB, MODEL_BASE, ctes, view
 from fleetlens.schemas import SCALAR_FEATURES
+from fleetlens.storage import new_path
 from fleetlens.streaming import stateful
 
 WINDOW_S, DEDUP_MS = 432_000, 86_400_000
@@ -41,7 +40,7 @@ def duck(views: str, body: str) -> str:
 
 SIZE = WINDOW_S * windows.NS
 W = f"""w0 as (select *, min(timestamp_ns) over (partition by pid) as first_ns from syscalls),
-w as (select *, first_ns + cast(floor((timestamp_ns - first_ns) / {SIZE}) as bigint) * {SIZE} as window_start_ns,
+w as (select *, first_ns + ((timestamp_ns - first_ns) // {SIZE}) * {SIZE} as window_start_ns,
     case when filename = '/etc' or filename like '/etc/%' then 'etc' when filename = '/tmp' or filename like '/tmp/%' then 'tmp' when filename = '/dev' or filename like '/dev/%' then 'dev' end as dir,
     coalesce(open_flags & 3 in (1, 2) or open_flags & 1600 <> 0, false) as writes from w0)"""
 COUNTS = "count(*)::bigint as total_syscalls, " + ", ".join(f"(count(*) filter (syscall_type = '{t}'))::bigint as {t.lower()}_count" for t in ("Execve", "Openat", "Connect", "Clone"))
@@ -522,7 +521,7 @@ def alert_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.alert_merge(old, new, 40).select("alert_id", F.round("threat_score", 9).alias("threat_score"))
 
 
-@registered("event_rate", duck("syscalls", "x as (select 1) select event_id, count(*) over (partition by pid order by timestamp_ns range between 3600000000000 preceding and current row) / 3600 as events_per_second from syscalls"))
+@registered("event_rate", duck("syscalls", "x as (select 1) select event_id, count(*) over (order by timestamp_ns range between 3600000000000 preceding and current row) / 3600 as events_per_second from syscalls"))
 def event_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.event_rate(view(spark, sf_dir, "syscalls"), 3600).select("event_id", "events_per_second")
 
@@ -617,7 +616,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = stateful.window_stream(stateful.with_event_time(view(spark, sf_dir, "syscalls", events)), WINDOW_S)
-    place = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='fleetlens-')}/stream-{uuid.uuid4().hex}"
+    place = new_path(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     last = view(spark, sf_dir, "syscalls").agg((F.max("timestamp_ns") - 10 * windows.NS - SIZE).alias("end"))

@@ -11,8 +11,8 @@ from fleetlens.sources.readers import PRIOR_MAPS
 
 
 def sink_alert_log(df: DataFrame, path: str) -> None:
-    """Appends one JSON line per alert."""
-    df.write.mode("append").option("ignoreNullFields", False).json(path)
+    """Appends one JSON line per alert; times keep their microseconds."""
+    df.write.mode("append").option("ignoreNullFields", False).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 
 def sink_inference_log(df: DataFrame, path: str) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators.alerts import build_alerts, inference_log, window_identity
 from fleetlens.operators.features import features_all
 from fleetlens.operators.scoring import attribute_paths, degraded_scores, flatten_vector, score_trees
+from fleetlens.schemas import process_key
 
 
 def replaced(df: DataFrame, path: str, batch_id: int) -> None:
@@ -41,15 +42,15 @@ def telemetry_writer(place: str, model: Callable[[], tuple[DataFrame, str] | Non
             flat = flatten_vector(features_all(batch, dedup_ms))
             now = model()
             if now is None:
-                replaced(degraded_scores(flat, "no valid model").select("pid", "window_start_ns", "window_end_ns", "threat_score", "model_hash", "degraded_reason"), f"{place}/degraded", batch_id)
+                replaced(degraded_scores(flat, "no valid model").select(*process_key(flat), "window_start_ns", "window_end_ns", "threat_score", "model_hash", "degraded_reason"), f"{place}/degraded", batch_id)
                 return
             nodes, model_hash = now
             scored = attribute_paths(score_trees(flat, nodes, base), nodes).withColumn("model_hash", F.lit(model_hash)).persist()
             replaced(inference_log(scored), f"{place}/inference_log", batch_id)
             alerts = f"{place}/alerts"
             replaced(build_alerts(scored, window_identity(batch), threshold, last_alert_id(spark, alerts, batch_id)), alerts, batch_id)
-            states = scored.select("pid", F.col("window_end_ns").alias("updated_ns"), "threat_score")
-            replaced(states.groupBy("pid").agg(F.max("updated_ns").alias("updated_ns"), F.max_by("threat_score", "updated_ns").alias("threat_score")), f"{place}/process_state", batch_id)
+            states = scored.select(*process_key(scored), F.col("window_end_ns").alias("updated_ns"), "threat_score")
+            replaced(states.groupBy(*process_key(states)).agg(F.max("updated_ns").alias("updated_ns"), F.max_by("threat_score", "updated_ns").alias("threat_score")), f"{place}/process_state", batch_id)
             scored.unpersist()
         finally:
             batch.unpersist()

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from fleetlens.schemas import process_key
+
 NS = 1_000_000_000
 EVENT = "event_id bigint, timestamp_ns bigint, syscall_type string, filename string, ip_address string, port int, child_pid bigint, open_flags bigint, syscall_result int"
 PHASE = "timestamp_ns bigint, phase string, ppid bigint, filename string, open_flags bigint, ip_address string, port int, child_pid bigint, syscall_result int"
-PAIRED = "pid bigint, tid bigint, syscall_type string, " + PHASE + ", pair_status string, exit_ns bigint"
+PAIRED = PHASE + ", pair_status string, exit_ns bigint"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -43,6 +45,11 @@ def _rows(frames: Iterator[pd.DataFrame], names: list[str]) -> list[tuple]:
     return out
 
 
+def _key_schema(df: DataFrame) -> str:
+    """The process key as a schema, ending in a comma; host_id keeps its type."""
+    return "".join(f"{c} {'bigint' if c == 'pid' else df.schema[c].dataType.simpleString()}, " for c in process_key(df))
+
+
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
@@ -54,10 +61,10 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
 
 
 class Pairing(StatefulProcessor):
-    """First in, first out pairing of enter and exit phases per (pid, tid, type); waiting rows are a list state."""
+    """First in, first out pairing of enter and exit phases per (process, tid, type); waiting rows are a list state."""
 
-    def __init__(self, timeout_ms: int = 250) -> None:
-        self.timeout_ns = timeout_ms * 1_000_000
+    def __init__(self, timeout_ms: int, schema: str) -> None:
+        self.timeout_ns, self.schema = timeout_ms * 1_000_000, schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -96,13 +103,13 @@ class Pairing(StatefulProcessor):
         both = [tuple(_plain(v) for v in r) for r in self.waiting.get()] + _rows(rows, _names(PHASE))
         closed, left = self._merged(both, None)
         self._keep(left)
-        yield _frame([(*key, *r) for r in closed], PAIRED)
+        yield _frame([(*key, *r) for r in closed], self.schema)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = [tuple(_plain(v) for v in r) for r in self.waiting.get()]
         closed, left = self._merged(held, timerValues.getCurrentWatermarkInMs() * 1_000_000)
         self._keep(left)
-        yield _frame([(*key, *r) for r in closed], PAIRED)
+        yield _frame([(*key, *r) for r in closed], self.schema)
 
     def _keep(self, left: list[tuple]) -> None:
         self.waiting.clear()
@@ -119,10 +126,11 @@ def pair_stream(decoded: DataFrame, timeout_ms: int = 250) -> DataFrame:
     """Pairs a stream of phases of Openat and Connect (with event_time and watermark); same columns and statuses as
     `pair_enter_exit` in mode stateful."""
     two = decoded.filter(F.col("syscall_type").isin("Openat", "Connect"))
-    return two.groupBy("pid", "tid", "syscall_type").transformWithStateInPandas(statefulProcessor=Pairing(timeout_ms), outputStructType=PAIRED, outputMode="Append", timeMode="EventTime")
+    schema = _key_schema(two) + "tid bigint, syscall_type string, " + PAIRED
+    return two.groupBy(*process_key(two), "tid", "syscall_type").transformWithStateInPandas(statefulProcessor=Pairing(timeout_ms, schema), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
-CLOSED = "pid bigint, lifetime bigint, window_start_ns bigint, window_end_ns bigint, short_lived boolean, " + EVENT
+CLOSED = "lifetime bigint, window_start_ns bigint, window_end_ns bigint, short_lived boolean, " + EVENT
 
 
 class Windows(StatefulProcessor):
@@ -132,8 +140,8 @@ class Windows(StatefulProcessor):
     window takes the length that holds at its start.
     """
 
-    def __init__(self, lengths: list[tuple[int, int]]) -> None:
-        self.lengths = sorted(lengths)
+    def __init__(self, lengths: list[tuple[int, int]], schema: str) -> None:
+        self.lengths, self.schema = sorted(lengths), schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -164,7 +172,7 @@ class Windows(StatefulProcessor):
                 end, held = start + step, []
             held.append(row)
         self._keep(start, end, life, held)
-        yield _frame(out, CLOSED)
+        yield _frame(out, self.schema)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
@@ -173,7 +181,7 @@ class Windows(StatefulProcessor):
             if start is not None and end <= timerValues.getCurrentWatermarkInMs() * 1_000_000:
                 out = [(*key, life, start, end, False, *(_plain(v) for v in r)) for r in self.events.get()]
                 self.events.clear()
-        yield _frame(out, CLOSED)
+        yield _frame(out, self.schema)
 
     def _keep(self, start: int | None, end: int | None, life: int, held: list[tuple]) -> None:
         self.open.update((start, end, life))
@@ -193,7 +201,8 @@ def window_stream(events: DataFrame, window_s: int = 30, changes: list[tuple[int
     window_s) after the first length.
     """
     lengths = [(0, window_s), *(changes or [])]
-    return events.groupBy("pid").transformWithStateInPandas(statefulProcessor=Windows(lengths), outputStructType=CLOSED, outputMode="Append", timeMode="EventTime")
+    schema = _key_schema(events) + CLOSED
+    return events.groupBy(*process_key(events)).transformWithStateInPandas(statefulProcessor=Windows(lengths, schema), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def late_events(events: DataFrame, watermark_ns: int) -> DataFrame:
