@@ -84,11 +84,14 @@ def window_identity(windowed: DataFrame) -> DataFrame:
     return windowed.groupBy(*window_key(windowed)).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in names])
 
 
-def build_alerts(scored: DataFrame, windows: DataFrame, threshold: float = 0.7, last_id: int = 0) -> DataFrame:
+def build_alerts(scored: DataFrame, windows: DataFrame | None = None, threshold: float = 0.7, last_id: int = 0) -> DataFrame:
     """Alerts of scored windows. scored: window key, window_end_ns, threat_score, model_hash, contributions;
-    windows: window key and what is known of process_name, binary_path, ancestry_chain."""
-    known = windows.select(*window_key(windows), *[c for c in ("process_name", "binary_path", "ancestry_chain") if c in windows.columns])
-    hits = alert_filter(scored, threshold).join(known, window_key(windows), "left")
+    windows: window key and what is known of process_name, binary_path, ancestry_chain; None: scored has these itself
+    (features_all with identity)."""
+    hits = known = alert_filter(scored, threshold)
+    if windows is not None:
+        known = windows.select(*window_key(windows), *[c for c in ("process_name", "binary_path", "ancestry_chain") if c in windows.columns])
+        hits = hits.join(known, window_key(windows), "left")
     column = lambda c, kind: F.col(c) if c in known.columns else F.lit(None).cast(kind)
     chain = column("ancestry_chain", "array<struct<pid: bigint, process_name: string, binary_path: string>>")
     hits = hits.withColumn("identity", alert_identity(column("process_name", "string"), column("binary_path", "string"), chain, F.col("pid")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import sensitive_dir, write_intent_flags
-from fleetlens.operators.windows import dedup_openat
+from fleetlens.operators.windows import IDENTITY, dedup_width
 from fleetlens.schemas import SYSCALL_TYPES, window_key
 
 
@@ -57,6 +57,10 @@ AGGREGATES = {
 }
 
 
+#: The distinct counts as sizes of sets: no expansion of the rows.
+DISTINCT = {n: (lambda c=c: F.size(F.collect_set(c)).cast("bigint")) for n, c in (("unique_files", "filename"), ("unique_ips", "ip_address"), ("distinct_ports", "port"))}
+
+
 def aggregated(windowed: DataFrame, *names: str) -> DataFrame:
     """The named aggregates of each window (all if none is named)."""
     return with_weight(windowed).groupBy(*window_key(windowed), "window_end_ns").agg(*[AGGREGATES[n]().alias(n) for n in names or AGGREGATES])
@@ -180,18 +184,47 @@ def f_short_lived(windowed: DataFrame) -> DataFrame:
     return windowed.groupBy(*window_key(windowed)).agg(flag.alias("short_lived"))
 
 
-def features_all(windowed: DataFrame, dedup_ms: float = 100, maps: bool = True) -> DataFrame:
+def spaced(rows: DataFrame, dedup_ms: float = 100) -> DataFrame:
+    """Adds gap (time since the record before, null for repeats of a record and a window's first) and file_n (weight of
+    the file name in the window), on one exchange by window key.
+
+    Three sorts within it: by time (runs of opens), by file name and what else makes records alike (repeats; the count
+    of the file name uses the same order), by time again (gaps).
+    """
+    key, width = window_key(rows), dedup_width(dedup_ms)
+    by_time = Window.partitionBy(*key).orderBy("timestamp_ns", "event_id")
+    opens = F.col("syscall_type") == "Openat"
+    out = rows.withColumn("run", F.sum(F.when(opens, 0).otherwise(1)).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("alone", F.when(opens & F.col("filename").isNotNull(), F.lit(-1)).otherwise(F.col("event_id")))
+    same = [c for c in IDENTITY if c in rows.columns and c != "filename"]
+    like = Window.partitionBy(*key, "filename", "run", *same, "alone").orderBy("timestamp_ns", "event_id")
+    fresh = F.coalesce(F.col("timestamp_ns") - F.lag("timestamp_ns").over(like) >= width, F.lit(True))
+    out = out.withColumn("fresh", fresh).withColumn("file_n", F.sum(weight()).over(Window.partitionBy(*key, "filename")))
+    before = F.last(F.when(F.col("fresh"), F.col("timestamp_ns")), ignorenulls=True).over(by_time.rowsBetween(Window.unboundedPreceding, -1))
+    return out.withColumn("gap", F.when(F.col("fresh"), F.col("timestamp_ns") - before)).drop("run", "alone", "fresh")
+
+
+def features_all(windowed: DataFrame, dedup_ms: float = 100, maps: bool = True, identity: bool = False) -> DataFrame:
     """The whole vector of each window, from events with window columns (not yet de-duplicated).
 
-    Everything shares the window key, so Spark shuffles the events once per distinct aggregate and joins small rows.
+    One exchange by window key serves all scalars: `spaced`, then one aggregate. Distinct values are sets of a window.
+    maps adds the grams. identity adds the window's latest process_name, binary_path and ancestry_chain, where events
+    have them, as `window_identity` does.
     """
-    key = window_key(windowed)
-    rows = with_weight(windowed)
+    key, rows = window_key(windowed), with_weight(windowed)
     flag = F.bool_or("short_lived") if "short_lived" in rows.columns else F.lit(False)
-    base = rows.groupBy(*key).agg(F.max("window_end_ns").alias("window_end_ns"), flag.alias("short_lived"), *[a().alias(n) for n, a in AGGREGATES.items()])
-    out = base.withColumns({f"{t.lower()}_ratio": _ratio(f"{t.lower()}_count") for t in SYSCALL_TYPES})
-    out = f_rate(f_duration(out)).join(f_path_entropy(rows), key, "left").join(f_timing(dedup_openat(rows, dedup_ms)), key, "left")
-    out = out.withColumn("path_entropy", F.coalesce("path_entropy", F.lit(0.0)))
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    timing = {"avg": F.avg("gap"), "min": F.min("gap"), "max": F.max("gap"), "stddev": F.stddev_pop("gap")}
+    named = F.col("filename").isNotNull()
+    total, part = F.sum(F.when(named, weight())), F.sum(F.when(named, weight() * F.ln("file_n")))
+    entropy = F.coalesce(F.greatest(F.ln(total) - part / total, F.lit(0.0)), F.lit(0.0))
+    at = F.struct("timestamp_ns", "event_id")
+    known = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in ("process_name", "binary_path", "ancestry_chain") if identity and c in rows.columns]
+    out = spaced(rows, dedup_ms).groupBy(*key).agg(
+        F.max("window_end_ns").alias("window_end_ns"), flag.alias("short_lived"), *[a().alias(n) for n, a in (AGGREGATES | DISTINCT).items()],
+        entropy.alias("path_entropy"), *[zero(c).alias(f"{n}_inter_syscall_time_ns") for n, c in timing.items()], *known,
+    )
+    out = f_rate(f_duration(out.withColumns({f"{t.lower()}_ratio": _ratio(f"{t.lower()}_count") for t in SYSCALL_TYPES})))
     if maps:
         empty = F.create_map().cast("map<string,double>")
         out = out.join(f_bigrams(rows), key, "left").join(f_trigrams(rows), key, "left")

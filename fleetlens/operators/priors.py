@@ -107,6 +107,22 @@ def f_prior_path(windowed: DataFrame, priors: DataFrame) -> DataFrame:
     return _first_or_global(rates, windowed, priors, "path_positive_rate")
 
 
+def f_priors(windowed: DataFrame, priors: DataFrame) -> DataFrame:
+    """f_prior_process, f_prior_event and f_prior_path in one pass: the tokens of a window as sets of one aggregate, one
+    join with the catalogue, the largest rate of each family."""
+    key = window_key(windowed)
+    name = F.max_by("process_name", F.when(F.col("process_name").isNotNull(), F.struct("timestamp_ns", "event_id"))) if "process_name" in windowed.columns else F.lit(None).cast("string")
+    prefix = lambda c: F.when(F.col(c).isNotNull(), path_prefix(F.col(c)))
+    paths = [F.collect_set(prefix(c)) for c in ("filename", "binary_path") if c in windowed.columns]
+    sets = windowed.groupBy(*key).agg(name.alias("name"), F.collect_set(F.lower("syscall_type")).alias("events"), *[p.alias(f"paths_{k}") for k, p in enumerate(paths)])
+    as_tokens = lambda c, family: F.transform(c, lambda t: F.struct(F.lit(family).alias("family"), t.alias("token")))
+    tokens = F.concat(as_tokens(F.array("name"), "process"), as_tokens("events", "event"), *[as_tokens(f"paths_{k}", "path") for k in range(len(paths))])
+    spread = sets.select(*key, F.explode(tokens).alias("t")).select(*key, "t.*")
+    found = spread.join(priors.filter("family <> 'global'").select("family", "token", "rate"), ["family", "token"], "left")
+    rates = found.groupBy(*key).agg(*[F.max(F.when(F.col("family") == f, F.col("rate"))).alias(f) for f in ("process", "event", "path")]).join(F.broadcast(_overall(priors)))
+    return rates.select(*key, *[F.coalesce(f, "global_rate").alias(f"{f}_positive_rate") for f in ("process", "event", "path")])
+
+
 def corpus_features(corpus: DataFrame, priors: DataFrame) -> DataFrame:
     """One vector per labelled corpus row: a window of 1 ns with one event."""
     rows = feature_priors_join(corpus, priors)

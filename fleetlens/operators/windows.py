@@ -110,15 +110,20 @@ def active_windows(windows: DataFrame, cap: int) -> DataFrame:
     return bucketed.join(before, "bucket").select("ts_ns", (F.col("before") + within).cast("bigint").alias("open")).withColumn("over_cap", F.col("open") > cap)
 
 
+def dedup_width(dedup_ms: float) -> int:
+    width = int(dedup_ms * 1_000_000)
+    if width < 1:
+        raise ValueError("dedup_ms must be 1 ns at least")
+    return width
+
+
 def dedup_openat(windowed: DataFrame, dedup_ms: float = 100, ordered: bool = True) -> DataFrame:
     """Collapses repeated opens of one file inside a window; repeat_count adds up, the first timestamp stays.
 
     ordered: rows in (timestamp_ns, event_id) order, gaps and islands by window functions. Otherwise arrival order
     (event_id) with the rule that a timestamp below the window's largest never merges, in grouped pandas.
     """
-    width = int(dedup_ms * 1_000_000)
-    if width < 1:
-        raise ValueError("dedup_ms must be 1 ns at least")
+    width = dedup_width(dedup_ms)
     key, rows = window_key(windowed), windowed
     if "repeat_count" not in rows.columns:
         rows = rows.withColumn("repeat_count", F.lit(1).cast("bigint"))

@@ -11,7 +11,7 @@ from fleetlens.functions import scalars as fn
 from fleetlens.operators import alerts, enrich, explore, features, ingest, priors, reports, scoring, training, windows
 from fleetlens.plans.views import DUCKDB, MODEL_BASE, ctes, view
 from fleetlens.schemas import SCALAR_FEATURES
-from fleetlens.storage import new_path
+from fleetlens.storage import new_path, staged
 from fleetlens.streaming import stateful
 
 WINDOW_S, DEDUP_MS = 432_000, 86_400_000
@@ -388,10 +388,8 @@ from wn left join pr p on p.family = 'process' and p.token = wn.process_name lef
 group by wn.pid, wn.window_start_ns"""))
 def prior_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = windows.window_anchored(enrich.enrich_process(view(spark, sf_dir, "syscalls"), view(spark, sf_dir, "names")), WINDOW_S)
-    table = catalogue(spark, sf_dir)
-    key = [*KEY, "lifetime"]
-    joined = priors.f_prior_process(rows, table).join(priors.f_prior_event(rows, table), key).join(priors.f_prior_path(rows, table), key)
-    return joined.select(*KEY, *[F.round(f"{p}_positive_rate", 9).alias(f"{p}_positive_rate") for p in ("process", "event", "path")])
+    got = priors.f_priors(rows, staged(catalogue(spark, sf_dir), "catalogue"))
+    return got.select(*KEY, *[F.round(f"{p}_positive_rate", 9).alias(f"{p}_positive_rate") for p in ("process", "event", "path")])
 
 
 # --- scoring and alerts -------------------------------------------------------------------------------------------
@@ -441,9 +439,10 @@ def attribution_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of the adapter windows: model, attribution and identity."""
     rows = windows.window_anchored(enrich.enrich_process(view(spark, sf_dir, "syscalls"), view(spark, sf_dir, "names")), WINDOW_S)
-    flat = scored(spark, sf_dir)
-    full = scoring.attribute_paths(flat, view(spark, sf_dir, "model_nodes")).withColumn("model_hash", F.lit("m1"))
-    return alerts.build_alerts(full, alerts.window_identity(rows), THRESHOLD, 1000)
+    nodes = view(spark, sf_dir, "model_nodes")
+    flat = scoring.score_case(scoring.flatten_vector(features.features_all(rows, DEDUP_MS, maps=False, identity=True)), nodes, MODEL_BASE)
+    hits = alerts.alert_filter(flat, THRESHOLD)
+    return alerts.build_alerts(scoring.attribute_paths(hits, nodes).withColumn("model_hash", F.lit("m1")), None, THRESHOLD, 1000)
 
 
 ALERTS = f"""{SCORED}, {ATTR}, al0 as (select sc.*, coalesce(n.process_name, 'unknown-process') as process_name, coalesce(n.binary_path, '/proc/' || sc.pid || '/exe') as binary_path from sc left join names n on n.pid = sc.pid where threat_score >= 0.7),
