@@ -324,8 +324,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             by_size = sized(mixed_rows.drop("main"), percent)
             found, f_path = staged(differences(by_size.join(mains(by_size), "key").select("main", "doc_id", "comp").distinct(), sets, percent), "differences")
             links = links.unionByName(found.filter("linked and not inside").select(*ordered("main", "doc_id")))
-            open_groups = found.filter("not inside and not linked").select("main").distinct()
-            keys, k_path = staged(difference_keys(found.join(open_groups, "main", "left_semi"), percent), "keys")
+            groups = found.groupBy("main").agg(F.count("*").alias("n"), F.count_if(~F.col("inside") & ~F.col("linked")).alias("open"))
+            open_groups = groups.filter("open > 0").drop("open")  # a group may hold a third of all nodes
+            total = open_groups.agg(F.sum("n")).first()[0] or 0
+            keys, k_path = staged(difference_keys(looked_up(found, open_groups, ["main"], total), percent), "keys")
             spent += [f_path, k_path]
             x = keys.filter("apart").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("comp_x"), F.col("size").alias("size_x"), F.col("excess").alias("excess_x"))
             close = (F.col("comp") != F.col("comp_x")) & (2 * (100 + percent) * F.least("size", "size_x") >= F.col("excess") + F.col("excess_x"))
