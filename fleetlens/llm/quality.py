@@ -276,15 +276,15 @@ def lexicon(docs: DataFrame, prefixes: bool, ratio: float = 20.0, least: int = 4
 def _fit_linear(rows: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, weight: np.ndarray, dims: int, rounds: int = 120, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps over the whole sample."""
     length = np.array([len(r) for r in rows])
-    flat, value, first = np.concatenate(rows), np.concatenate(values), np.r_[0, np.cumsum(length)[:-1]]
+    flat, value, first = np.concatenate(rows), np.concatenate(values).astype(np.float32), np.r_[0, np.cumsum(length)[:-1]]
     weight = weight / weight.sum()
     step = 4 / (1 + max(float(v @ v) for v in values))
     w, bias, ahead, bias_ahead = np.zeros(dims), 0.0, np.zeros(dims), 0.0
     for k in range(1, rounds + 1):
-        each = ahead[flat]
-        each *= value  # in place: these arrays are the driver's largest
-        r = weight * (1 / (1 + np.exp(-np.clip(np.add.reduceat(each, first) + bias_ahead, -30, 30))) - target)
-        each = np.repeat(r, length)
+        each = ahead.astype(np.float32)[flat]
+        each *= value  # in place and in single precision: these arrays are the driver's largest
+        r = weight * (1 / (1 + np.exp(-np.clip(np.add.reduceat(each, first, dtype=np.float64) + bias_ahead, -30, 30))) - target)
+        each = np.repeat(r.astype(np.float32), length)
         each *= value
         was, bias_was = w, bias
         w = ahead - step * (np.bincount(flat, each, dims) + l2 * ahead)
@@ -342,13 +342,14 @@ def fit(df: DataFrame, labels: DataFrame, lexicon_rows: int = 4000, fit_rows: in
                 yield pa.RecordBatch.from_arrays([*cols, *(part.column(k) for k in (2, 3, 4))], ["x", "n_more", "n_words", "p_junk", "p_abuse", "kind"])
 
     picked = F.broadcast(chosen.select("doc_id", "p_junk", "p_abuse", "kind"))  # about twice fit_rows ids
-    sample = docs.join(picked, "doc_id").mapInArrow(features, "x binary, n_more int, n_words int, p_junk double, p_abuse double, kind int").collect()
-    dropped(spark, votes_path)
+    drawn_rows, drawn_path = staged(docs.join(picked, "doc_id").mapInArrow(features, "x binary, n_more int, n_words int, p_junk double, p_abuse double, kind int"), "fit_rows")
+    sample = list(drawn_rows.toLocalIterator())  # a partition at a time passes through the JVM
+    dropped(spark, votes_path, drawn_path)
     if not sample:
         return Model(np.zeros((2, dims)), np.full(2, -1.0), lexicons, (junk_table, abuse_table))
     rows = [np.frombuffer(r["x"], np.int32) for r in sample]
     # words share one unit of length, whatever the text's; style and votes have one each
-    values = [np.r_[np.ones(r["n_more"]), np.full(len(x) - r["n_more"], max(1, r["n_words"]) ** -0.5)] for r, x in zip(sample, rows, strict=True)]
+    values = [np.r_[np.ones(r["n_more"]), np.full(len(x) - r["n_more"], max(1, r["n_words"]) ** -0.5)].astype(np.float32) for r, x in zip(sample, rows, strict=True)]
     drawn = Counter(r["kind"] for r in sample)
     weight = np.array([size[r["kind"]] / drawn[r["kind"]] for r in sample])
     fitted = [_fit_linear(rows, values, np.array([r[p] for r in sample]), weight, dims) for p in ("p_junk", "p_abuse")]
