@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.operators.ordering import as_of
 from fleetlens.schemas import process_key
 from fleetlens.storage import shared_dir
 
@@ -65,13 +66,13 @@ def pid_generation(events: DataFrame, snapshots: DataFrame) -> DataFrame:
     still unknown generation. An event before the first known start has none.
     """
     key = process_key(events)
-    born = snapshots.select(*key, F.col("start_ns").alias("timestamp_ns"), F.struct("start_time_ticks", "parent_pid").alias("life"), F.lit(1).alias("order"))
-    host = [c for c in key if c != "pid"]
-    clones = events.filter("child_pid is not null").select(*host, F.col("child_pid").alias("pid"), "timestamp_ns", F.struct(F.lit(None).cast("bigint").alias("start_time_ticks"), F.lit(None).cast("bigint").alias("parent_pid")).alias("life"), F.lit(0).alias("order"))
-    united = events.withColumn("order", F.lit(2)).unionByName(born, allowMissingColumns=True).unionByName(clones, allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy("timestamp_ns", "order").rowsBetween(Window.unboundedPreceding, 0)
-    life = F.last("life", ignorenulls=True).over(w)
-    return united.withColumn("life", life).filter("order = 2").withColumns({"start_time_ticks": F.col("life.start_time_ticks"), "parent_pid": F.col("life.parent_pid")}).drop("life", "order")
+    at = lambda ts, order: F.struct(F.col(ts).alias("at"), F.lit(order).alias("order")).alias("at")
+    born = snapshots.select(*key, at("start_ns", 1), "start_time_ticks", "parent_pid")
+    host, unknown = [c for c in key if c != "pid"], F.lit(None).cast("bigint")
+    clones = events.filter("child_pid is not null").select(*host, F.col("child_pid").alias("pid"), at("timestamp_ns", 0), unknown.alias("start_time_ticks"), unknown.alias("parent_pid"))
+    last = F.try_element_at("lives", F.lit(-1))
+    known = as_of(events, born.unionByName(clones), key, "lives")
+    return known.withColumns({"start_time_ticks": last["start_time_ticks"], "parent_pid": last["parent_pid"]}).drop("lives")
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.operators.ordering import numbered
+from fleetlens.operators.ordering import as_of, numbered
 from fleetlens.schemas import SYSCALL_TYPES, process_key
 
 EXIT_BIT, LONGEST_FILENAME = 1 << 31, 256
@@ -185,12 +185,9 @@ def filter_syscalls(events: DataFrame, names: Iterable[str]) -> DataFrame:
 def ppid_as_of(events: DataFrame, forks: DataFrame) -> DataFrame:
     """Parent pid of each event: that of the pid's latest fork at or before it, 0 if there is none or it exited since.
 
-    forks: process key, ts_ns, parent_pid (null: exit). The two tables are united and the last fork is carried on.
+    forks: process key, ts_ns, parent_pid (null: exit).
     """
     key = process_key(events)
-    marks = forks.select(*key, F.col("ts_ns").alias("timestamp_ns"), F.struct(F.col("parent_pid")).alias("mark"), F.lit(0).alias("is_event"))
-    rows = events.drop("ppid").withColumn("is_event", F.lit(1))
-    w = Window.partitionBy(*key).orderBy("timestamp_ns", "is_event").rowsBetween(Window.unboundedPreceding, 0)
-    united = rows.unionByName(marks, allowMissingColumns=True)
-    last = F.last("mark", ignorenulls=True).over(w)
-    return united.withColumn("ppid", F.coalesce(last["parent_pid"], F.lit(0))).filter("is_event = 1").drop("mark", "is_event")
+    marks = forks.select(*key, F.col("ts_ns").alias("at"), "parent_pid")
+    last = F.try_element_at("forks", F.lit(-1))
+    return as_of(events.drop("ppid"), marks, key, "forks").withColumn("ppid", F.coalesce(last["parent_pid"], F.lit(0))).drop("forks")

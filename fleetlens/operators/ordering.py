@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 BUCKETS = 200
 
 
+def _place(value: Column, cuts: list[float], first: int = 0) -> Column:
+    """first plus the number of cuts at or below value, by halving the cuts."""
+    if not cuts:
+        return F.lit(first)
+    middle = len(cuts) // 2
+    return F.when(value < cuts[middle], _place(value, cuts[:middle], first)).otherwise(_place(value, cuts[middle + 1 :], first + middle + 1))
+
+
 def bucketed(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
     """Adds bucket (int), which rises with col; nulls are in bucket 0."""
     n = min(buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), BUCKETS)
     cuts = sorted(set(df.approxQuantile(col, [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
-    if not cuts:
-        return df.withColumn("bucket", F.lit(0))
     value = F.col(col).cast("double")
-    return df.withColumn("bucket", F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= value)), F.lit(0)))
+    return df.withColumn("bucket", F.when(value.isNull(), F.lit(0)).otherwise(_place(value, cuts)))
 
 
 def before(placed: DataFrame, **sums: Column) -> DataFrame:
@@ -43,3 +49,16 @@ def running_sum(placed: DataFrame, value: Column, order: list[str]) -> DataFrame
     shift = before(placed, shift=F.sum(value))
     w = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return placed.withColumn("total", F.sum(value).over(w)).join(F.broadcast(shift), "bucket").withColumn("total", F.col("total") + F.col("shift")).drop("shift")
+
+
+def as_of(events: DataFrame, marks: DataFrame, key: list[str], name: str, strict: bool = False) -> DataFrame:
+    """Adds name: the marks of the event's key at or before its timestamp_ns (strict: before it), in order.
+
+    marks: key, at (bigint, or a struct that starts with it) and what else. Marks of a key are few (starts, ends and
+    forks of one process) and become an array that is joined to the events, so events of a busy process are never
+    sorted, and Spark may split them over tasks.
+    """
+    first = F.col("at.at") if marks.schema["at"].dataType.typeName() == "struct" else F.col("at")
+    lists = marks.withColumn("ns", first).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", *[c for c in marks.columns if c not in (*key, "at")], "ns"))).alias(name))
+    ts = F.col("timestamp_ns")
+    return events.join(lists, key, "left").withColumn(name, F.filter(name, lambda m: m["ns"] < ts if strict else m["ns"] <= ts))

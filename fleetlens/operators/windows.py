@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.operators.ordering import as_of
 from fleetlens.schemas import process_key, window_key
 
 NS = 1_000_000_000
@@ -17,11 +18,8 @@ def lifetimes(events: DataFrame, exits: DataFrame | None) -> DataFrame:
     """Adds lifetime: how many exits of the pid came before the event. exits: process key, exit_ns."""
     if exits is None:
         return events.withColumn("lifetime", F.lit(0).cast("bigint"))
-    key = process_key(events)
-    marks = exits.select(*key, F.col("exit_ns").alias("timestamp_ns"), F.lit(1).alias("is_exit"))
-    w = Window.partitionBy(*key).orderBy("timestamp_ns", "is_exit").rowsBetween(Window.unboundedPreceding, 0)
-    united = events.withColumn("is_exit", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    return united.withColumn("lifetime", F.sum("is_exit").over(w).cast("bigint")).filter("is_exit = 0").drop("is_exit")
+    marks = exits.select(*process_key(events), F.col("exit_ns").alias("at"))
+    return as_of(events, marks, process_key(events), "ended", strict=True).withColumn("lifetime", F.coalesce(F.size("ended"), F.lit(0)).cast("bigint")).drop("ended")
 
 
 def window_anchored(events: DataFrame, window_s: int = 30, exits: DataFrame | None = None) -> DataFrame:
