@@ -273,22 +273,44 @@ def lexicon(docs: DataFrame, prefixes: bool, ratio: float = 20.0, least: int = 4
     return Lexicon.of({r["f"] % 2**64: float(np.log(r["r"])) for r in kept.collect()})  # of lexicon_rows texts
 
 
-def _fit_linear(rows: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, weight: np.ndarray, dims: int, rounds: int = 120, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+@dataclass(frozen=True)
+class Sample:
+    """Rows to fit on: hashed features of all rows in one array, the driver's largest. A row has two stretches of it,
+    style and votes with value 1, words with a value of their own."""
+
+    flat: np.ndarray
+    length: np.ndarray  # of each stretch
+    value: np.ndarray  # of each stretch
+
+    def blocks(self, most: int = 500_000) -> Iterator[tuple[slice, slice]]:
+        """Rows and their features in blocks of about `most` features, so what is computed of them stays small."""
+        ends = np.cumsum(self.length)[1::2]
+        start = 0
+        while start < len(ends):
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most)))
+            yield slice(start, stop), slice(before, int(ends[stop - 1]))
+            start = stop
+
+
+def _fit_linear(sample: Sample, target: np.ndarray, weight: np.ndarray, dims: int, rounds: int = 120, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps over the whole sample."""
-    length = np.array([len(r) for r in rows])
-    flat, value, first = np.concatenate(rows), np.concatenate(values).astype(np.float32), np.r_[0, np.cumsum(length)[:-1]]
-    weight = weight / weight.sum()
-    step = 4 / (1 + max(float(v @ v) for v in values))
+    weight, blocks = weight / weight.sum(), list(sample.blocks())
+    norms = (sample.length * sample.value**2).reshape(-1, 2).sum(axis=1)
+    step = 4 / (1 + float(norms.max()))
     w, bias, ahead, bias_ahead = np.zeros(dims), 0.0, np.zeros(dims), 0.0
     for k in range(1, rounds + 1):
-        each = ahead.astype(np.float32)[flat]
-        each *= value  # in place and in single precision: these arrays are the driver's largest
-        r = weight * (1 / (1 + np.exp(-np.clip(np.add.reduceat(each, first, dtype=np.float64) + bias_ahead, -30, 30))) - target)
-        each = np.repeat(r.astype(np.float32), length)
-        each *= value
+        gradient, slope = l2 * ahead, 0.0
+        for rows, part in blocks:
+            x, n = sample.flat[part], sample.length[2 * rows.start : 2 * rows.stop]
+            value, ends = sample.value[2 * rows.start : 2 * rows.stop], np.cumsum(n)
+            sums = np.r_[0.0, np.cumsum(ahead[x])]
+            dots = ((sums[ends] - sums[ends - n]) * value).reshape(-1, 2).sum(axis=1) + bias_ahead
+            r = weight[rows] * (1 / (1 + np.exp(-np.clip(dots, -30, 30))) - target[rows])
+            gradient += np.bincount(x, np.repeat(np.repeat(r, 2) * value, n), dims)
+            slope += float(r.sum())
         was, bias_was = w, bias
-        w = ahead - step * (np.bincount(flat, each, dims) + l2 * ahead)
-        bias = bias_ahead - step * r.sum()
+        w, bias = ahead - step * gradient, bias_ahead - step * slope
         ahead, bias_ahead = w + (k - 1) / (k + 2) * (w - was), bias + (k - 1) / (k + 2) * (bias - bias_was)
     return w, float(bias)
 
@@ -343,16 +365,22 @@ def fit(df: DataFrame, labels: DataFrame, lexicon_rows: int = 4000, fit_rows: in
 
     picked = F.broadcast(chosen.select("doc_id", "p_junk", "p_abuse", "kind"))  # about twice fit_rows ids
     drawn_rows, drawn_path = staged(docs.join(picked, "doc_id").mapInArrow(features, "x binary, n_more int, n_words int, p_junk double, p_abuse double, kind int"), "fit_rows")
-    sample = list(drawn_rows.toLocalIterator())  # a partition at a time passes through the JVM
+    size_of = drawn_rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("x").cast("long")), F.lit(0)).alias("bytes")).first()
+    flat, at, facts = np.zeros(size_of["bytes"] // 4, np.int32), 0, []
+    for r in drawn_rows.toLocalIterator():  # a partition at a time passes through the JVM
+        x = np.frombuffer(r["x"], np.int32)
+        flat[at : at + len(x)] = x
+        at += len(x)
+        facts.append((r["n_more"], len(x) - r["n_more"], 1.0, max(1, r["n_words"]) ** -0.5, r["p_junk"], r["p_abuse"], r["kind"]))
     dropped(spark, votes_path, drawn_path)
-    if not sample:
+    if not facts:
         return Model(np.zeros((2, dims)), np.full(2, -1.0), lexicons, (junk_table, abuse_table))
-    rows = [np.frombuffer(r["x"], np.int32) for r in sample]
+    table = np.array(facts)
     # words share one unit of length, whatever the text's; style and votes have one each
-    values = [np.r_[np.ones(r["n_more"]), np.full(len(x) - r["n_more"], max(1, r["n_words"]) ** -0.5)].astype(np.float32) for r, x in zip(sample, rows, strict=True)]
-    drawn = Counter(r["kind"] for r in sample)
-    weight = np.array([size[r["kind"]] / drawn[r["kind"]] for r in sample])
-    fitted = [_fit_linear(rows, values, np.array([r[p] for r in sample]), weight, dims) for p in ("p_junk", "p_abuse")]
+    sample, kinds = Sample(flat, table[:, :2].astype(np.int64).ravel(), table[:, 2:4].ravel()), table[:, 6].astype(int)
+    drawn = Counter(kinds.tolist())
+    weight = np.array([size[k] / drawn[k] for k in kinds.tolist()])
+    fitted = [_fit_linear(sample, table[:, c], weight, dims) for c in (4, 5)]
     return Model(np.stack([w for w, _ in fitted]), np.array([b for _, b in fitted]), lexicons, (junk_table, abuse_table))
 
 

@@ -352,7 +352,7 @@ def test_quality_prior_does_not_follow_the_sample(spark, monkeypatch):
     df = spark.createDataFrame([(i, sentence(rng, 40) + bad(i)) for i in range(4000)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, int(i % 20 != 0), int(i % 200 in (0, 7))) for i in range(0, 4000, 3)], "doc_id bigint, quality int, toxic int")
     seen, real = [], quality._fit_linear
-    monkeypatch.setattr(quality, "_fit_linear", lambda rows, values, target, weight, dims: seen.append((len(rows), (weight * target).sum() / weight.sum())) or real(rows, values, target, weight, dims))
+    monkeypatch.setattr(quality, "_fit_linear", lambda sample, target, weight, dims: seen.append((len(target), (weight * target).sum() / weight.sum())) or real(sample, target, weight, dims))
     for fit_rows in (1_000_000, 120):
         quality.fit(df, labels, fit_rows=fit_rows)
     (n, junk), (_, abuse), (few, junk_of_few), (_, abuse_of_few) = seen
@@ -360,6 +360,30 @@ def test_quality_prior_does_not_follow_the_sample(spark, monkeypatch):
     assert abs(junk_of_few - junk) < 0.005 and abs(abuse_of_few - abuse) < 0.005
 
 
+def test_linear_fit_equals_plain_gradients(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    length, dims = rng.integers(0, 9, 80), 50
+    length[::2] = np.maximum(length[::2], 1)
+    value = np.where(np.arange(80) % 2, rng.uniform(0.2, 1, 80), 1.0)
+    flat, target, weight = rng.integers(0, dims, length.sum()).astype(np.int32), rng.uniform(size=40), rng.uniform(1, 3, 40)
+    sample = quality.Sample(flat, length, value)
+    monkeypatch.setattr(quality.Sample, "blocks", lambda self, real=quality.Sample.blocks: real(self, 30))
+    x, at = np.zeros((40, dims)), 0
+    for k, (n, v) in enumerate(zip(length, value)):
+        np.add.at(x[k // 2], flat[at : at + n], v)
+        at += n
+    p, w, b, aw, ab = weight / weight.sum(), np.zeros(dims), 0.0, np.zeros(dims), 0.0
+    step = 4 / (1 + max((length * value**2).reshape(-1, 2).sum(axis=1)))
+    for k in range(1, 121):
+        r = p * (1 / (1 + np.exp(-(x @ aw + ab))) - target)
+        was, w, b_was, b = w, aw - step * (x.T @ r + 1e-5 * aw), b, ab - step * r.sum()
+        aw, ab = w + (k - 1) / (k + 2) * (w - was), b + (k - 1) / (k + 2) * (b - b_was)
+    got, bias = quality._fit_linear(sample, target, weight, dims)
+    assert len(list(sample.blocks())) > 5 and np.allclose(got, w, atol=1e-9) and abs(bias - b) < 1e-9
+
+
 def brute_match(text, item):
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
 
