@@ -160,6 +160,8 @@ def attribution_table(flat: DataFrame, nodes: DataFrame, key: list[str], manifes
     names = F.array(*[F.lit(n) for n in manifest])
     tree = nodes.withColumn("is_leaf", F.col("mode") == "LEAF")
     roots = tree.groupBy("tree_id").agg(F.min("node_id").alias("node_id"))
+    if roots.limit(LARGEST_MODEL + 1).count() > LARGEST_MODEL:
+        raise ValueError(f"nodes: more than {LARGEST_MODEL} trees")
     state = flat.select(*key, "x").join(F.broadcast(roots)).withColumn("used", F.array().cast("array<int>"))
     state = state.join(tree, ["tree_id", "node_id"])
     for _ in range(max_depth):
