@@ -1,12 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
 Windows of a document are as long as the benchmark items (in words). Their 64-bit SimHash over 5-word shingles,
-weighted by letters, is cut into 8 blocks of 8 bits: fingerprints within radius 23 differ by 2 bits at most in some
+weighted by letters, is cut into 8 blocks of 8 bits: fingerprints within radius 20 differ by 2 bits at most in some
 block (pigeonhole), so looking up each block value and its 2-bit neighbours finds all of them. Candidates are
 verified by the weighted Jaccard similarity of the shingle multisets, which must reach `percent`.
 
 At similarity 0.8 two fingerprints differ by about 10 bits with a deviation of 3, so a single window lies beyond the
-radius with probability of about 1e-5; a test measures it. A window that shares no shingle with any item of its
+radius with probability of about 2e-4, far less for more similar ones; a test measures it. A window that shares no shingle with any item of its
 length has similarity 0, so only windows around shared shingles get fingerprints; this leaves out no match. The index
 is built from at most about `items_per_pass` items and `bytes_per_pass` bytes of them and sent to the tasks; larger
 benchmarks take further passes over the documents.
@@ -32,7 +32,9 @@ from fleetlens.llm.common import chunks, free_name, texts_of
 from fleetlens.llm.shingles import WordHashes, mixed
 
 WORD = re.compile(r"[^\W_]+")
-SHINGLE, RADIUS, BLOCKS = 5, 23, 8
+SHINGLE, RADIUS, BLOCKS = 5, 20, 8
+#: Windows that are fingerprinted at once; bounds memory, not results.
+WINDOWS = 1000
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -157,12 +159,13 @@ class Index:
                 m = min(group.m, len(h))
                 starts = np.unique((where[of == g][:, None] - np.arange(m)).ravel())
                 starts = starts[(starts >= 0) & (starts <= len(h) - m)]
-                for window, item in group.candidates(fingerprints(h, w, starts, m)):
-                    s = int(starts[window])
-                    like = likeness(multiset(h[s : s + m], w[s : s + m]), group.sets[item])
-                    key = group.ids[item]
-                    if 100 * like >= percent - 1e-9 and (key not in best or like > best[key][3]):
-                        best[key] = key, s, m + k - 1, like
+                for some in np.split(starts, range(WINDOWS, len(starts), WINDOWS)):
+                    for window, item in group.candidates(fingerprints(h, w, some, m)):
+                        s = int(some[window])
+                        like = likeness(multiset(h[s : s + m], w[s : s + m]), group.sets[item])
+                        key = group.ids[item]
+                        if 100 * like >= percent - 1e-9 and (key not in best or like > best[key][3]):
+                            best[key] = key, s, m + k - 1, like
         return sorted(best.values())
 
 
