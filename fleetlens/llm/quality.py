@@ -302,10 +302,11 @@ def _fit_linear(sample: Sample, target: np.ndarray, weight: np.ndarray, dims: in
     for k in range(1, rounds + 1):
         gradient, slope = l2 * ahead, 0.0
         for rows, part in blocks:
-            x, n = sample.flat[part], sample.length[2 * rows.start : 2 * rows.stop]
-            value, ends = sample.value[2 * rows.start : 2 * rows.stop], np.cumsum(n)
-            sums = np.r_[0.0, np.cumsum(ahead[x])]
-            dots = ((sums[ends] - sums[ends - n]) * value).reshape(-1, 2).sum(axis=1) + bias_ahead
+            x, n = sample.flat[part].astype(np.int64), sample.length[2 * rows.start : 2 * rows.stop]
+            value, some = sample.value[2 * rows.start : 2 * rows.stop], n > 0
+            sums = np.zeros(len(n))
+            sums[some] = np.add.reduceat(np.take(ahead, x, mode="clip"), (np.cumsum(n) - n)[some])
+            dots = (sums * value).reshape(-1, 2).sum(axis=1) + bias_ahead
             r = weight[rows] * (1 / (1 + np.exp(-np.clip(dots, -30, 30))) - target[rows])
             gradient += np.bincount(x, np.repeat(np.repeat(r, 2) * value, n), dims)
             slope += float(r.sum())
