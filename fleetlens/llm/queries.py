@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, contamination, language, licenses, lines, minhash, quality, rules, secrets, warc
+from fleetlens.llm import bpe, contamination, language, licenses, lines, minhash, negatives, quality, rules, secrets, simhash, trie, warc
 from fleetlens.llm.common import table
 
 
@@ -121,9 +121,56 @@ SELECT c.doc_id, c.n::BIGINT AS n_shingles, m.comp AS component_id, c.doc_id = m
 """
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY turn NULLS FIRST) AS s FROM t GROUP BY conv_id),
+b AS (SELECT *, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS bits FROM o),
+h AS (SELECT conv_id, s, xor(list_reduce(bits, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END,
+    4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h FROM b),
+z AS (SELECT h.conv_id, list_concat(coalesce(l.s, [])[1:h.h], h.s[h.h + 1:]) AS s FROM h LEFT JOIN o l ON l.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, s, len(s) AS n, unnest(generate_series(0, len(s))) AS d FROM z),
+q AS (SELECT s[1:d] AS k, d, min(conv_id) AS c, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d) AS ends
+    FROM p GROUP BY 1, 2),
+c AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM q WHERE d > 0 GROUP BY 1),
+w AS (SELECT q.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * octet_length(encode(q.k[d].x)) ELSE 0 END AS own
+    FROM q LEFT JOIN c ON q.k = c.k),
+u AS (SELECT k, unnest(generate_series(0, d)) AS top, n_children = 0 AS leaf, own FROM w),
+v AS (SELECT k[1:top] AS k, count(*) FILTER (leaf) AS n_leaves, sum(own)::BIGINT AS saved FROM u GROUP BY 1)
+SELECT w.c::BIGINT AS conv_id, w.d::BIGINT AS depth, e.c::BIGINT AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children,
+    v.n_leaves::BIGINT AS n_leaves, v.saved AS saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM w JOIN v ON w.k = v.k LEFT JOIN q e ON w.d > 0 AND e.k = w.k[1:w.d - 1]
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH f AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM f),
+s AS (SELECT a.vec_id AS a, a.label = b.label AS same, b.vec_id AS b, list_inner_product(a.e, b.e)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b AS positive_id, score AS p FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, s.b AS negative_id, p AS positive_score, score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * p <= 100 * score AND 100 * score <= 90 * p
+WINDOW w AS (PARTITION BY p.a, positive_id ORDER BY score DESC, s.b) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_line_dedup": op3_line_dedup, "op4_warc": op4_warc, "op5_quality_classifier": op5_quality_classifier, "op6_decontamination": op6_decontamination, "op7_licenses": op7_licenses, "op8_language": op8_language, "op9_quality_rules": op9_quality_rules, "op10_minhash": op10_minhash}
+    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_line_dedup": op3_line_dedup, "op4_warc": op4_warc, "op5_quality_classifier": op5_quality_classifier, "op6_decontamination": op6_decontamination, "op7_licenses": op7_licenses, "op8_language": op8_language, "op9_quality_rules": op9_quality_rules, "op10_minhash": op10_minhash,
+            "op11_simhash": op11_simhash, "op12_trie": op12_trie, "op13_hard_negatives": op13_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op10_minhash": OP10_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op10_minhash": OP10_SQL, "op12_trie": OP12_SQL, "op13_hard_negatives": OP13_SQL}

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from fleetlens.llm import queries  # noqa: E402
+from test_negatives import vectors  # noqa: E402
+from test_simhash import slow_fingerprint, slow_groups  # noqa: E402
+from test_trie import conversations  # noqa: E402
 from test_llm import SCHEMA, brute_groups, brute_lines, brute_match, brute_rules, brute_spans, corpus, sentence  # noqa: E402
 
 sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
@@ -47,6 +50,9 @@ def sf(spark, tmp_path_factory):
     spark.createDataFrame([(i, int(i % 7 != 0), int(i % 11 == 0)) for i, *_ in rows[::2]], "doc_id bigint, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
     pages = [(k, "u", ("<p>" + "x" * (60 + k % 5 * 20) + "</p>") if k % 9 else None) for k in range(60)]
     spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{place}/pages.parquet")
+    talk = [r for r in conversations() if r[1] is not None]
+    spark.createDataFrame(talk, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{place}/conversations.parquet")
+    spark.createDataFrame(vectors(500), "vec_id bigint, embedding array<float>, label int").write.parquet(f"{place}/embeddings.parquet")
     return place
 
 
@@ -62,10 +68,10 @@ def run(spark, sf, name):
     return got
 
 
-@pytest.mark.parametrize("name", ["op3_line_dedup", "op4_warc", "op10_minhash"])
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op4_warc", "op10_minhash", "op12_trie", "op13_hard_negatives"])
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet/*.parquet'")
     rel, df = con.sql(queries.oracle_sql()[name]), queries.queries()[name](spark, sf)
     cols = sorted(df.columns)
@@ -153,3 +159,11 @@ def test_op9(spark, sf, rows):
 def test_op10(spark, sf, rows):
     want, got = brute_groups([tuple(r)[:2] for r in rows.values()], 2), run(spark, sf, "op10_minhash")
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (n, c, i == c) for i, (n, c) in want.items()}
+
+
+def test_op11(spark, sf, rows):
+    got, fps = run(spark, sf, "op11_simhash"), {i: slow_fingerprint(r.text) for i, r in rows.items()}
+    label, first = slow_groups(fps.values()), {}
+    for i, f in fps.items():
+        first[label[f]] = min(first.get(label[f], i), i)
+    assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{f:016x}", first[label[f]]) for i, f in fps.items()}
