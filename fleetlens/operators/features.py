@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import sensitive_dir, write_intent_flags
-from fleetlens.operators.windows import IDENTITY, dedup_width
+from fleetlens.operators.windows import IDENTITY, width_of
 from fleetlens.schemas import SYSCALL_TYPES, window_key
 
 
@@ -191,7 +191,7 @@ def spaced(rows: DataFrame, dedup_ms: float = 100) -> DataFrame:
     Three sorts within it: by time (runs of opens), by file name and what else makes records alike (repeats; the count
     of the file name uses the same order), by time again (gaps).
     """
-    key, width = window_key(rows), dedup_width(dedup_ms)
+    key, width = window_key(rows), width_of(rows, dedup_ms)
     by_time = Window.partitionBy(*key).orderBy("timestamp_ns", "event_id")
     opens = F.col("syscall_type") == "Openat"
     out = rows.withColumn("run", F.sum(F.when(opens, 0).otherwise(1)).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))

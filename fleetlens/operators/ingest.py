@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.operators.ordering import as_of, numbered
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from fleetlens.operators.ordering import as_of, numbered, stretches
 from fleetlens.schemas import SYSCALL_TYPES, process_key
+from fleetlens.storage import new_path, scratch, staged, written
 
 EXIT_BIT, LONGEST_FILENAME = 1 << 31, 256
 PAIRED_TYPES = ("Openat", "Connect")
@@ -69,8 +73,8 @@ def pair_enter_exit(decoded: DataFrame, timeout_ms: int = 250, mode: str = "seri
     Adds pair_status: paired, enter_only (result null), late_exit (no row for the pipeline, kept for `pair_report`),
     passthrough (Execve enters, Clone exits) and ignored (Execve exits, Clone enters). `emitted` keeps what goes on.
     mode serial: window functions, for threads whose calls of a type don't overlap. mode stateful: first in, first
-    out over overlapping calls, in grouped pandas, one group for each stretch of a thread's calls without a pause longer
-    than the timeout (nothing pairs across one); both phases may come in either order within the timeout.
+    out over overlapping calls, with counts of what went out alone (`Calls`), staged; both phases may come in either
+    order within the timeout. The two agree where calls don't overlap and no enter is missing.
     """
     if timeout_ms <= 0:
         raise ValueError("timeout_ms must be positive")
@@ -95,51 +99,98 @@ def pair_enter_exit(decoded: DataFrame, timeout_ms: int = 250, mode: str = "seri
         out = out.withColumns({"exit_ns": F.when(F.col("pair_status") == "paired", F.col("next_ns")), "syscall_result": F.when(F.col("pair_status") == "paired", F.col("next_result")).when(~is_enter, F.col("syscall_result"))})
         out = out.drop("next_exit", "next_ns", "next_result", "prev_enter")
     else:
-        names = {"pair_status": T.StringType(), "exit_ns": T.LongType()}
-        schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema] + [T.StructField(n, t) for n, t in names.items()])
-        key = [*process_key(rows), "tid", "syscall_type"]
-        by_time = Window.partitionBy(*key).orderBy("timestamp_ns", "phase")
-        gap = F.coalesce(F.col("timestamp_ns") - F.lag("timestamp_ns").over(by_time) > timeout, F.lit(False)).cast("int")
-        busy = rows.filter(two).withColumn("gap", gap).withColumn("stretch", F.sum("gap").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-        out = busy.groupBy(*key, "stretch").applyInPandas(lambda pdf: fifo_pairs(pdf.drop(columns=["gap", "stretch"]), timeout), schema)
+        out = pair_calls(rows.filter(two), timeout)
     return out.unionByName(single)
 
 
-def fifo_pairs(pdf: pd.DataFrame, timeout_ns: int) -> pd.DataFrame:
-    """First in, first out pairing of one key's rows by time; an exit waits for its enter as long as an enter for its exit."""
-    rows = pdf.sort_values(["timestamp_ns", "phase"], kind="stable").to_dict("records")
-    enters: deque[dict] = deque()
-    exits: deque[dict] = deque()
-    out: list[dict] = []
+class Calls:
+    """First in, first out pairing of one thread's calls of a type, row by row in order of time.
+
+    An enter waits for its exit as long as an exit for its enter. Whatever goes out alone leaves a count behind: an
+    enter that went out unpaired takes the next exit that finds no waiting enter with it, an exit that was dropped the
+    next enter that finds no waiting exit. So a late result never goes to a newer call.
+    """
 
-    def close(row: dict, status: str, exit_row: dict | None = None) -> None:
+    def __init__(self, timeout_ns: int, lost_enters: int = 0, lost_exits: int = 0, enters: Iterable[dict] = (), exits: Iterable[dict] = ()) -> None:
+        self.timeout_ns, self.lost_enters, self.lost_exits = timeout_ns, lost_enters, lost_exits
+        self.enters, self.exits, self.out = deque(enters), deque(exits), []
+
+    def _close(self, row: dict, status: str, exit_row: dict | None = None) -> None:
         result = exit_row["syscall_result"] if exit_row else row["syscall_result"] if status == "late_exit" else None
-        out.append(row | {"pair_status": status, "syscall_result": result, "exit_ns": exit_row["timestamp_ns"] if exit_row else None})
-
-    for row in rows:
-        now = row["timestamp_ns"]
-        while enters and now - enters[0]["timestamp_ns"] > timeout_ns:
-            close(enters.popleft(), "enter_only")
-        while exits and now - exits[0]["timestamp_ns"] > timeout_ns:
-            close(exits.popleft(), "late_exit")
+        self.out.append(row | {"pair_status": status, "syscall_result": result, "exit_ns": exit_row["timestamp_ns"] if exit_row else None})
+
+    def expire(self, now: float) -> None:
+        """Lets go what has waited longer than the timeout."""
+        while self.enters and now - self.enters[0]["timestamp_ns"] > self.timeout_ns:
+            self._close(self.enters.popleft(), "enter_only")
+            self.lost_enters += 1
+        while self.exits and now - self.exits[0]["timestamp_ns"] > self.timeout_ns:
+            self._close(self.exits.popleft(), "late_exit")
+            self.lost_exits += 1
+
+    def push(self, row: dict) -> None:
+        self.expire(row["timestamp_ns"])
         if row["phase"] == "enter":
-            if exits:
-                close(row, "paired", exits.popleft())
+            if self.exits:
+                self._close(row, "paired", self.exits.popleft())
+            elif self.lost_exits:
+                self.lost_exits -= 1
+                self._close(row, "enter_only")
             else:
-                enters.append(row)
-        elif enters:
-            close(enters.popleft(), "paired", row)
+                self.enters.append(row)
+        elif self.enters:
+            self._close(self.enters.popleft(), "paired", row)
+        elif self.lost_enters:
+            self.lost_enters -= 1
+            self._close(row, "late_exit")
         else:
-            exits.append(row)
-    for row in enters:
-        close(row, "enter_only")
-    for row in exits:
-        close(row, "late_exit")
-    made = pd.DataFrame(out, columns=[*pdf.columns, "pair_status", "exit_ns"])
-    for c in made.columns:
-        if c != "exit_ns" and str(made[c].dtype) != str(pdf[c].dtype if c in pdf else made[c].dtype):
-            made[c] = made[c].astype("Int64" if "int" in str(pdf[c].dtype) else made[c].dtype)
-    return made
+            self.exits.append(row)
+
+
+def in_time(row: dict) -> tuple:
+    """The order of a thread's phases: time, enters first, then what tells equal ones apart."""
+    return row["timestamp_ns"], row["phase"], row["syscall_result"] is not None, row["syscall_result"] or 0
+
+
+def pair_calls(two: DataFrame, timeout_ns: int) -> DataFrame:
+    """Rows of Openat and Connect with pair_status and exit_ns, staged, by the rule of `Calls`.
+
+    A thread's rows are cut into chunks at pauses longer than the timeout, where nothing waits, so that only the two
+    counts go from one chunk to the next. All chunks are folded at once, with counts of 0; counts then follow from what
+    each chunk adds, and chunks that began with other counts are folded again until none did. A thread that fits one
+    chunk is folded once; the first wrong chunk of a thread is right after each turn.
+    """
+    spark, path = two.sparkSession, new_path(two.sparkSession, "pairs")
+    key = [*process_key(two), "tid", "syscall_type"]
+    spot, counts = [*key, "chunk"], ("in_enters", "in_exits", "out_enters", "out_exits")
+    kinds = T.StructType([*[T.StructField(f.name, f.dataType) for f in two.schema], *[T.StructField(n, T.LongType()) for n in ("chunk", "exit_ns", *counts)], T.StructField("pair_status", T.StringType())])
+    arrow = to_arrow_schema(kinds)
+
+    def fold(chunk: pa.Table) -> pa.Table:
+        rows = sorted(chunk.to_pylist(), key=in_time)
+        first = rows[0]
+        calls = Calls(timeout_ns, first["in_enters"], first["in_exits"])
+        for row in rows:
+            calls.push(row)
+        calls.expire(float("inf"))
+        state = {c: first[c] for c in (*spot, "in_enters", "in_exits")} | {"pair_status": "state", "out_enters": calls.lost_enters, "out_exits": calls.lost_exits}
+        return pa.Table.from_pylist([*calls.out, state], schema=arrow)
+
+    with scratch(spark):
+        placed = staged(stretches(two, key, timeout_ns, "phases").withColumn("chunk", F.col("chunk").cast("bigint")), "chunks")
+        todo, done = placed.withColumns({"in_enters": F.lit(0).cast("bigint"), "in_exits": F.lit(0).cast("bigint")}), None
+        while True:
+            out = staged(todo.groupBy(*spot).applyInArrow(fold, kinds), "folded")
+            done = out if done is None else done.join(out.filter("pair_status = 'state'").select(*spot), spot, "left_anti").unionByName(out)
+            by_chunk = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+            added = lambda n: F.greatest(F.coalesce(F.sum(F.col(f"out_{n}") - F.col(f"in_{n}")).over(by_chunk), F.lit(0)), F.lit(0))
+            states = done.filter("pair_status = 'state'").select(*spot, "in_enters", "in_exits", added("enters").alias("enters"), added("exits").alias("exits"))
+            whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in spot])  # other rows keep counts of 0
+            wrong = states.filter(whole & F.expr("enters <> in_enters or exits <> in_exits")).select(*spot, F.col("enters").alias("in_enters"), F.col("exits").alias("in_exits"))
+            wrong = staged(wrong, "wrong")
+            if wrong.isEmpty():
+                return written(done.filter("pair_status <> 'state'").drop("chunk", *counts), path)
+            todo = placed.join(wrong, spot)
 
 
 def emitted(paired: DataFrame) -> DataFrame:

@@ -7,9 +7,13 @@ bucket, unless one value fills more than that.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.storage import staged
+
 BUCKETS = 200
 
 
@@ -62,3 +66,38 @@ def as_of(events: DataFrame, marks: DataFrame, key: list[str], name: str, strict
     lists = marks.withColumn("ns", first).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", *[c for c in marks.columns if c not in (*key, "at")], "ns"))).alias(name))
     ts = F.col("timestamp_ns")
     return events.join(lists, key, "left").withColumn(name, F.filter(name, lambda m: m["ns"] < ts if strict else m["ns"] <= ts))
+
+
+def ranged(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df staged in the given order, with part: the number of a row's range, which rises with the order.
+
+    A key of any size is spread over ranges; as the table is written once, tasks that run again agree on part."""
+    return staged(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+
+
+def carried(parts: DataFrame, key: list[str], **values: Column) -> DataFrame:
+    """key, part and for each name a value over all earlier ranges of the key. parts: one row for each key and range, so
+    a key has as many rows here as it fills ranges."""
+    w = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(*key, "part", *[v.over(w).alias(n) for n, v in values.items()])
+
+
+def joined_by_part(placed: DataFrame, parts: DataFrame, key: list[str]) -> DataFrame:
+    """placed with the columns of parts; null keys meet, too."""
+    same = [placed[c].eqNullSafe(parts[c]) for c in (*key, "part")]
+    return placed.join(parts, reduce(lambda a, b: a & b, same), "left").select(placed["*"], *[parts[c] for c in parts.columns if c not in (*key, "part")])
+
+
+def stretches(df: DataFrame, key: list[str], pause_ns: int, name: str) -> DataFrame:
+    """df staged, with chunk: rows of a key between two pauses longer than pause_ns are in one chunk, and a chunk goes on
+    over as many of these as begin in the same range. Two levels: within a range, and from one range of a key to the next."""
+    placed = ranged(df, [*key, "timestamp_ns"], name)
+    by_time = Window.partitionBy(*key, "part").orderBy("timestamp_ns")
+    ends = placed.groupBy(*key, "part").agg(F.max("timestamp_ns").alias("end_ns"))
+    earlier = carried(ends, key, end_before=F.max("end_ns"))
+    before = F.coalesce(F.lag("timestamp_ns").over(by_time), "end_before")
+    gaps = joined_by_part(placed, earlier, key).withColumn("gap", F.coalesce(F.col("timestamp_ns") - before > pause_ns, F.lit(True))).drop("end_before")
+    begun = gaps.groupBy(*key, "part").agg(F.max(F.when(F.col("gap"), F.col("part"))).alias("last"))
+    chunks = joined_by_part(gaps, carried(begun, key, chunk_before=F.max("last")), key)
+    own = F.max(F.when(F.col("gap"), F.col("part"))).over(by_time.rowsBetween(Window.unboundedPreceding, 0))
+    return chunks.withColumn("chunk", F.coalesce(own, "chunk_before")).drop("part", "gap", "chunk_before")

@@ -58,17 +58,22 @@ def window_flush(windows: DataFrame, as_of_ns: int) -> DataFrame:
 
 
 def window_reconfigure(events: DataFrame, settings: DataFrame) -> DataFrame:
-    """Windows whose length may change: settings (effective_ns, window_s, one row at least) hold from the next window on.
+    """Windows whose settings may change: settings (effective_ns, window_s and, if given, dedup_ms; one row at least)
+    hold from the next window on. Adds window_start_ns, window_end_ns and, with dedup_ms, dedup_ns: the width of
+    de-duplication that the window was born with, which `dedup_openat` and the features take from there.
 
     The settings are few by nature (one row per change of configuration) and collected; more than 10,000 are an error.
     Under one setting a process's windows tile time from the end of the window that was open when the setting came
     (from the process's first event at the start). That end follows from the process's last event under each earlier
     setting, so a fold over a few rows per process finds all anchors, and events are joined to them.
     """
-    changes = settings.select("effective_ns", "window_s").orderBy("effective_ns").limit(10_001).collect()
+    widths = "dedup_ms" in settings.columns
+    changes = settings.select("effective_ns", "window_s", *(["dedup_ms"] if widths else [])).orderBy("effective_ns").limit(10_001).collect()
     if not changes or len(changes) > 10_000:
         raise ValueError("settings must have between 1 and 10,000 rows")
-    at, sizes, key = F.array(*[F.lit(r[0]).cast("bigint") for r in changes]), F.array(*[F.lit(r[1] * NS).cast("bigint") for r in changes]), process_key(events)
+    numbers = lambda values: F.array(*[F.lit(v).cast("bigint") for v in values])
+    at, sizes, key = numbers(r[0] for r in changes), numbers(r[1] * NS for r in changes), process_key(events)
+    width = numbers(dedup_width(r[2]) if widths else 0 for r in changes)
     ts = F.col("timestamp_ns")
     rows = events.withColumn("setting", F.greatest(F.size(F.filter(at, lambda a: a <= ts)) - 1, F.lit(0)))
     spans = rows.groupBy(*key, "setting").agg(F.min("timestamp_ns").alias("first"), F.max("timestamp_ns").alias("last"))
@@ -80,16 +85,18 @@ def window_reconfigure(events: DataFrame, settings: DataFrame) -> DataFrame:
         end, step = F.coalesce(acc["end"], span["first"]), F.get(sizes, span["setting"])
         moved = span["last"] >= end
         start = F.when(moved, end + steps(span["last"], end, step)).otherwise(acc["start"])
-        kept = F.array_append(acc["kept"], F.struct(span["setting"].alias("setting"), acc["start"].alias("open_start"), end.alias("open_end")))
-        return F.struct(start.alias("start"), F.when(moved, start + step).otherwise(end).alias("end"), kept.alias("kept"))
+        kept = F.array_append(acc["kept"], F.struct(span["setting"].alias("setting"), acc["start"].alias("open_start"), end.alias("open_end"), acc["born"].alias("open_born")))
+        return F.struct(start.alias("start"), F.when(moved, start + step).otherwise(end).alias("end"), F.when(moved, span["setting"]).otherwise(acc["born"]).alias("born"), kept.alias("kept"))
 
-    zero = F.struct(nothing.alias("start"), nothing.alias("end"), F.array().cast("array<struct<setting: int, open_start: bigint, open_end: bigint>>").alias("kept"))
+    none = F.array().cast("array<struct<setting: int, open_start: bigint, open_end: bigint, open_born: int>>")
+    zero = F.struct(nothing.alias("start"), nothing.alias("end"), F.lit(None).cast("int").alias("born"), none.alias("kept"))
     anchors = lists.select(*key, F.inline(F.aggregate("spans", zero, fold)["kept"]))
     placed, step = rows.join(anchors, [*key, "setting"]), F.get(sizes, F.col("setting"))
     fresh = ts >= F.col("open_end")
     start = F.when(fresh, F.col("open_end") + steps(ts, F.col("open_end"), step)).otherwise(F.col("open_start"))
     out = placed.withColumn("window_start_ns", start).withColumn("window_end_ns", F.when(fresh, F.col("window_start_ns") + step).otherwise(F.col("open_end")))
-    return out.select(*events.columns, "window_start_ns", "window_end_ns")
+    out = out.withColumn("dedup_ns", F.get(width, F.when(fresh, F.col("setting")).otherwise(F.col("open_born"))))
+    return out.select(*events.columns, "window_start_ns", "window_end_ns", *(["dedup_ns"] if widths else []))
 
 
 def active_windows(windows: DataFrame, cap: int) -> DataFrame:
@@ -115,20 +122,28 @@ def dedup_width(dedup_ms: float) -> int:
     return width
 
 
+def width_of(windowed: DataFrame, dedup_ms: float) -> Column:
+    """The width of de-duplication in nanoseconds: the window's own (dedup_ns), where it has one."""
+    width = F.lit(dedup_width(dedup_ms))
+    return F.coalesce("dedup_ns", width) if "dedup_ns" in windowed.columns else width
+
+
 def dedup_openat(windowed: DataFrame, dedup_ms: float = 100, ordered: bool = True) -> DataFrame:
-    """Collapses repeated opens of one file inside a window; repeat_count adds up, the first timestamp stays.
+    """Collapses repeated opens of one file inside a window; repeat_count adds up, the first timestamp stays. The width
+    is the window's own where rows have dedup_ns.
 
     ordered: rows in (timestamp_ns, event_id) order, gaps and islands by window functions. Otherwise arrival order
     (event_id) with the rule that a timestamp below the window's largest never merges, in grouped pandas.
     """
-    width = dedup_width(dedup_ms)
+    width = width_of(windowed, dedup_ms)
     key, rows = window_key(windowed), windowed
     if "repeat_count" not in rows.columns:
         rows = rows.withColumn("repeat_count", F.lit(1).cast("bigint"))
     same = [c for c in IDENTITY if c in rows.columns]
     rows = rows.withColumn("repeat_count", F.greatest("repeat_count", F.lit(1)).cast("bigint"))
     if not ordered:
-        return rows.groupBy(*key).applyInPandas(lambda pdf: dedup_arrivals(pdf, same, width), rows.schema)
+        widths = rows.withColumn("dedup_width", width)
+        return widths.groupBy(*key).applyInPandas(lambda pdf: dedup_arrivals(pdf.drop(columns="dedup_width"), same, int(pdf["dedup_width"].iloc[0])), rows.schema)
     candidate = (F.col("syscall_type") == "Openat") & F.col("filename").isNotNull()
     by_time = Window.partitionBy(*key).orderBy("timestamp_ns", "event_id")
     run = F.sum(F.when(F.col("syscall_type") == "Openat", 0).otherwise(1)).over(by_time.rowsBetween(Window.unboundedPreceding, 0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import scalars as fn
 from fleetlens.operators import alerts, enrich, explore, features, priors, scoring, training, windows
-from fleetlens.plans.queries import ALERTS, CHAINS, COUNTS, DEDUP, DEPTH, FLAT, KEY, LABELLED, MODEL_BASE, SCORED, THRESHOLD, TRIALS, W, WHOLE_CHAINS, WINDOW_S, catalogue, corpus, duck, metrics, registered, scored, scored_alerts, vectors, windowed
+from fleetlens.plans.queries import ALERTS, CHAINS, COUNTS, DEDUP, DEDUP_MS, DEPTH, FLAT, IDENTITY, KEY, LABELLED, MODEL_BASE, SCORED, THRESHOLD, TRIALS, W, WHOLE_CHAINS, WINDOW_S, catalogue, corpus, duck, metrics, registered, scored, scored_alerts, vectors, windowed
 from fleetlens.plans.views import view
 from fleetlens.schemas import CORPUS, SYSCALL
 from fleetlens.sources import readers, writers
@@ -173,6 +173,25 @@ r as (select y.event_id, y.pid, case when timestamp_ns < {CHANGE} then f1 + (tim
 select pid, window_start_ns, window_end_ns, count(*)::bigint as n from r group by all"""
 
 
+#: The widths of the three settings; a window has that of the setting at the event that opened it.
+WIDTHS_MS = (DEDUP_MS, DEDUP_MS // 50, 6 * DEDUP_MS)
+WIDTH_SQL = _settings_sql().rsplit("select pid", 1)[0] + f""", born as (select pid, window_start_ns, window_end_ns, min(timestamp_ns) as opened from r join syscalls using (pid, event_id) group by all),
+rw as (select y.*, window_start_ns, case when opened < {CHANGE} then {WIDTHS_MS[0]} when opened < {THIRD} then {WIDTHS_MS[1]} else {WIDTHS_MS[2]} end * 1000000::bigint as width
+    from r join born using (pid, window_start_ns, window_end_ns) join syscalls y using (pid, event_id)),
+k1 as (select *, sum(case when syscall_type = 'Openat' then 0 else 1 end) over (partition by pid, window_start_ns order by timestamp_ns, event_id rows unbounded preceding) as run, case when syscall_type = 'Openat' then -1 else event_id end as alone from rw),
+k2 as (select *, case when timestamp_ns - lag(timestamp_ns) over (partition by pid, window_start_ns, run, alone, {IDENTITY} order by timestamp_ns, event_id) < width then 0 else 1 end as fresh from k1)
+select pid, window_start_ns, width as dedup_ns, sum(fresh)::bigint as records, count(*)::bigint as events from k2 group by all"""
+
+
+@registered("windows_of_changed_width", duck("syscalls", WIDTH_SQL))
+def windows_of_changed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of length and de-duplication width that change twice: records left of each window's events."""
+    rows = [(at, size, float(width)) for at, size, width in zip((0, CHANGE, THIRD), (WINDOW_S, 2 * WINDOW_S, WINDOW_S // 3), WIDTHS_MS, strict=True)]
+    settings = spark.createDataFrame(rows, "effective_ns bigint, window_s bigint, dedup_ms double")
+    records = windows.dedup_openat(windows.window_reconfigure(view(spark, sf_dir, "syscalls"), settings))
+    return records.groupBy("pid", "window_start_ns", "dedup_ns").agg(F.count("*").alias("records"), F.sum("repeat_count").alias("events"))
+
+
 @registered("windows_of_changed_length", duck("syscalls", _settings_sql()))
 def windows_of_changed_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = spark.createDataFrame([(0, WINDOW_S), (CHANGE, 2 * WINDOW_S), (THIRD, WINDOW_S // 3)], "effective_ns bigint, window_s bigint")

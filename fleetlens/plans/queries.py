@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -227,6 +228,34 @@ def pair_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.pair_report(ingest.pair_enter_exit(view(spark, sf_dir, "raw_phases"), mode="stateful"))
 
 
+#: One step for each phase of a thread: what has waited too long goes out and is counted, then the phase itself.
+CALLS = """r as (select *, row_number() over (partition by pid, syscall_type order by timestamp_ns, phase, syscall_result is not null, syscall_result) as i from busy_phases),
+walk as (select distinct pid, syscall_type, 0::bigint as i, []::bigint[] as enters, []::struct(t bigint, r int)[] as exits, 0::bigint as oe, 0::bigint as ox, []::struct(t bigint, s varchar, r int)[] as gone from r
+  union all select pid, syscall_type, i,
+    case when phase = 'exit' then e[2:] when len(x) = 0 and nx = 0 then list_append(e, ts) else e end,
+    case when phase = 'enter' then x[2:] when len(e) = 0 and ne = 0 then list_append(x, struct_pack(t := ts, r := result)) else x end,
+    case when phase = 'exit' and len(e) = 0 and ne > 0 then ne - 1 else ne end, case when phase = 'enter' and len(x) = 0 and nx > 0 then nx - 1 else nx end,
+    list_concat(list_transform(eg, lambda t: struct_pack(t := t, s := 'enter_only', r := null::int)), list_transform(xg, lambda y: struct_pack(t := y.t, s := 'late_exit', r := y.r)),
+      case when phase = 'enter' and len(x) > 0 then [struct_pack(t := ts, s := 'paired', r := x[1].r)] when phase = 'enter' and nx > 0 then [struct_pack(t := ts, s := 'enter_only', r := null::int)]
+        when phase = 'exit' and len(e) > 0 then [struct_pack(t := e[1], s := 'paired', r := result)] when phase = 'exit' and ne > 0 then [struct_pack(t := ts, s := 'late_exit', r := result)] else [] end)
+  from (select *, oe + len(eg) as ne, ox + len(xg) as nx from (select w.pid, w.syscall_type, r.i, r.phase, r.timestamp_ns as ts, r.syscall_result as result, oe, ox,
+    list_filter(enters, lambda t: r.timestamp_ns - t > 250000000) as eg, list_filter(enters, lambda t: r.timestamp_ns - t <= 250000000) as e,
+    list_filter(exits, lambda y: r.timestamp_ns - y.t > 250000000) as xg, list_filter(exits, lambda y: r.timestamp_ns - y.t <= 250000000) as x
+    from walk w join r on r.pid = w.pid and r.syscall_type = w.syscall_type and r.i = w.i + 1) s1) s2),
+ends as (select pid, syscall_type, max(i) as i from walk group by all),
+calls as (select pid, syscall_type, unnest(gone) as g from walk
+  union all select w.pid, w.syscall_type, unnest(list_concat(list_transform(enters, lambda t: struct_pack(t := t, s := 'enter_only', r := null::int)), list_transform(exits, lambda y: struct_pack(t := y.t, s := 'late_exit', r := y.r))))
+    from walk w join ends on ends.pid = w.pid and ends.syscall_type = w.syscall_type and ends.i = w.i)
+select pid, syscall_type, g.t as timestamp_ns, g.s as pair_status, g.r as syscall_result from calls"""
+CALLS_SQL = duck("busy_phases", CALLS)
+
+
+@registered("pair_busy_threads", CALLS_SQL)
+def pair_busy_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that overlap, come late, lack a phase or have them the other way round: row by row."""
+    return ingest.pair_enter_exit(view(spark, sf_dir, "busy_phases"), mode="stateful").select("pid", "syscall_type", "timestamp_ns", "pair_status", "syscall_result")
+
+
 @registered("ppid_as_of", duck("syscalls forks", """l as (select event_id, s.pid, (select arg_max(case when f.parent_pid is null then 0 else f.parent_pid end, f.ts_ns) from forks f where f.pid = s.pid and f.ts_ns <= s.timestamp_ns) as ppid from syscalls s) select event_id, pid, coalesce(ppid, 0)::bigint as ppid from l"""))
 def ppid_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ppid_as_of(view(spark, sf_dir, "syscalls"), view(spark, sf_dir, "forks")).select("event_id", "pid", "ppid")
@@ -608,21 +637,64 @@ def finite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_END = f"(select max(timestamp_ns) - 10000000000 - {SIZE} from syscalls)"
 
 
+def in_disorder(df: DataFrame, late_ns: int, batches: int = 4) -> DataFrame:
+    """df as a stream of some batches, each row late by up to late_ns: by time and a hash, not by time."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, "disorder")
+    rows = df.withColumn("arrived", F.col("timestamp_ns") + F.pmod(F.xxhash64(*df.columns), F.lit(late_ns)))
+    cuts = [0, *rows.approxQuantile("arrived", [k / batches for k in range(1, batches)], 0.01), 2.0**63]
+    for low, high in pairwise(cuts):
+        rows.filter((F.col("arrived") >= low) & (F.col("arrived") < high)).drop("arrived").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What a stream gives over all that is there, as a table."""
+    place = new_path(stream.sparkSession, "stream")
+    query = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{place}/out")
+
+
+def beat_row(df: DataFrame) -> DataFrame:
+    """A heartbeat with df's columns, 100 days after its last row: what is open then closes."""
+    last = df.agg((F.max("timestamp_ns") + F.lit(100 * 86_400 * windows.NS)).alias("timestamp_ns"))
+    given = {"timestamp_ns": F.col("timestamp_ns"), "syscall_type": F.lit(stateful.HEARTBEAT), "pid": F.lit(-1), "tid": F.lit(-1), "phase": F.lit("enter")}
+    return last.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+
+
 @registered("stream_windows", duck("syscalls", f"{W} select pid, window_start_ns, count(*)::bigint as n from w where window_start_ns <= {STREAM_END} group by all"))
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream through stateful windows, drained to a table; windows that are over at its watermark."""
+    """The events as a stream, out of order within the watermark's delay, through stateful windows; windows that are
+    over at its watermark."""
     stateful.use_rocksdb(spark)
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    stream = stateful.window_stream(stateful.with_event_time(view(spark, sf_dir, "syscalls", events)), WINDOW_S)
-    place = new_path(spark, "stream")
-    query = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = view(spark, sf_dir, "syscalls").agg((F.max("timestamp_ns") - 10 * windows.NS - SIZE).alias("end"))
-    closed = spark.read.parquet(f"{place}/out").join(F.broadcast(last)).filter("window_start_ns <= end")
+    events = view(spark, sf_dir, "syscalls")
+    stream = stateful.window_stream(stateful.with_event_time(in_disorder(events, 9 * windows.NS)), WINDOW_S)
+    last = events.agg((F.max("timestamp_ns") - 10 * windows.NS - SIZE).alias("end"))
+    closed = stateful.on_time(drained(stream)).join(F.broadcast(last)).filter("window_start_ns <= end")
     return closed.groupBy(*KEY).agg(F.count("*").alias("n"))
 
 
+@registered("stream_rows_once", duck("syscalls", "x as (select 1) select event_id, 1::bigint as n from syscalls"))
+def stream_rows_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events far out of order: those in closed windows and those that came late are all events, each once."""
+    stateful.use_rocksdb(spark)
+    events = view(spark, sf_dir, "syscalls")
+    stream = in_disorder(events.unionByName(beat_row(events)), 30 * 86_400 * windows.NS)
+    got = drained(stateful.window_stream(stateful.with_event_time(stream), WINDOW_S))
+    every = stateful.late_events(got).select("event_id").unionByName(stateful.on_time(got).select("event_id"))
+    return every.groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@registered("stream_pairs", CALLS_SQL)
+def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of `pair_busy_threads` as a stream out of order within the watermark's delay."""
+    stateful.use_rocksdb(spark)
+    phases = view(spark, sf_dir, "busy_phases")
+    stream = in_disorder(phases.unionByName(beat_row(phases)), 9 * windows.NS)
+    got = stateful.on_time(drained(stateful.pair_stream(stateful.with_event_time(stream))))
+    return got.select("pid", "syscall_type", "timestamp_ns", "pair_status", "syscall_result")
+
+
 # --- evaluation and reports ---------------------------------------------------------------------------------------
 
 TRIALS = "tl as (select *, case when value > 250 then 1 else 0 end as label, k / 100 as s from e)"

@@ -45,6 +45,16 @@ from (select *, case event_type when 'error' then 'Execve' when 'purchase' then
 union all
 select s.pid, s.tid, s.ppid, s.timestamp_ns + case when e.k % 10 = 1 then 300 else e.k end * 1000000, s.syscall_type, 'exit',
     cast(null as varchar(9)), cast(null as bigint), cast(null as varchar(9)), cast(null as int), cast(null as bigint), s.syscall_result
+from syscalls s join e on s.event_id = e.event_id where s.syscall_type in ('Openat', 'Connect') and e.k % 10 <> 0""",
+    ),
+    "busy_phases": (
+        ("e", "syscalls"),
+        """select cast(1 + u % 5 as bigint) as pid, cast(1 + u % 5 as bigint) as tid, cast(0 as bigint) as ppid, (us % 60000000) * 1000 as timestamp_ns, s.syscall_type, 'enter' as phase,
+    s.filename, s.open_flags, s.ip_address, s.port, cast(null as bigint) as child_pid, cast(null as int) as syscall_result
+from syscalls s join e on s.event_id = e.event_id where s.syscall_type in ('Openat', 'Connect') and e.k % 10 <> 2
+union all
+select cast(1 + u % 5 as bigint), cast(1 + u % 5 as bigint), cast(0 as bigint), (us % 60000000) * 1000 + case e.k % 10 when 1 then 300 when 3 then -20 else e.k end * 1000000, s.syscall_type, 'exit',
+    cast(null as varchar(9)), cast(null as bigint), cast(null as varchar(9)), cast(null as int), cast(null as bigint), cast(e.event_id % 1000 as int)
 from syscalls s join e on s.event_id = e.event_id where s.syscall_type in ('Openat', 'Connect') and e.k % 10 <> 0""",
     ),
     "processes": (

@@ -15,6 +15,7 @@ from fleetlens.operators.alerts import build_alerts, inference_log, window_ident
 from fleetlens.operators.features import features_all
 from fleetlens.operators.scoring import attribute_paths, degraded_scores, flatten_vector, score_trees
 from fleetlens.schemas import process_key
+from fleetlens.streaming.stateful import late_events, on_time
 
 
 def replaced(df: DataFrame, path: str, batch_id: int) -> None:
@@ -33,12 +34,15 @@ def last_alert_id(spark, path: str, batch_id: int) -> int:
 
 def telemetry_writer(place: str, model: Callable[[], tuple[DataFrame, str] | None], threshold: float = 0.7, base: float = 0.0, dedup_ms: float = 100) -> Callable[[DataFrame, int], None]:
     """The function for foreachBatch over `window_stream`. model(): the node table and hash that hold now, read anew for
-    each batch; None scores as degraded."""
+    each batch; None scores as degraded. Rows marked late go to the table late_events, as they came."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
+        batch = held = batch.persist()
         try:
+            if "late" in batch.columns:
+                replaced(late_events(batch), f"{place}/late_events", batch_id)
+                batch = on_time(batch)
             flat = flatten_vector(features_all(batch, dedup_ms))
             now = model()
             if now is None:
@@ -53,6 +57,6 @@ def telemetry_writer(place: str, model: Callable[[], tuple[DataFrame, str] | Non
             replaced(states.groupBy(*process_key(states)).agg(F.max("updated_ns").alias("updated_ns"), F.max_by("threat_score", "updated_ns").alias("threat_score")), f"{place}/process_state", batch_id)
             scored.unpersist()
         finally:
-            batch.unpersist()
+            held.unpersist()
 
     return write

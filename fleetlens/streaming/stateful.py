@@ -1,7 +1,12 @@
 """Stateful operators: pairing of phases and anchored windows, per process, with event-time timers.
 
-They need the RocksDB state store (`use_rocksdb`). Rows that arrive behind the watermark are dropped by Spark's
-stateful operator before they get here; `late_events` is the side table that keeps them.
+Rows wait in state until the watermark passes them and then go on in order of time, so what comes out doesn't depend on
+the order of arrival within the watermark's delay: it is what the batch operators give on the same rows. Spark's own
+filter of late rows would lose rows; it is left out (the operators don't see the watermark's column), and a row that
+comes behind the watermark comes out at once, marked late (`late_events`, `on_time`). All state of a process goes
+after its exit or a time of silence.
+
+They need the RocksDB state store (`use_rocksdb`).
 """
 
 from __future__ import annotations
@@ -13,12 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from fleetlens.operators.ingest import PAIRED_TYPES, Calls, in_time
+from fleetlens.operators.windows import dedup_width
 from fleetlens.schemas import process_key
 
-NS = 1_000_000_000
+NS, MS = 1_000_000_000, 1_000_000
 EVENT = "event_id bigint, timestamp_ns bigint, syscall_type string, filename string, ip_address string, port int, child_pid bigint, open_flags bigint, syscall_result int"
 PHASE = "timestamp_ns bigint, phase string, ppid bigint, filename string, open_flags bigint, ip_address string, port int, child_pid bigint, syscall_result int"
-PAIRED = PHASE + ", pair_status string, exit_ns bigint"
+PAIRED = PHASE + ", pair_status string, exit_ns bigint, late boolean"
+HEARTBEAT = "Heartbeat"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -60,151 +68,185 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     return pdf.astype({x.split()[0]: kinds[x.split()[1]] for x in schema.split(", ")})
 
 
+def _dicts(rows: list[tuple], schema: str) -> list[dict]:
+    names = _names(schema)
+    return [dict(zip(names, map(_plain, r), strict=True)) for r in rows]
+
+
 class Pairing(StatefulProcessor):
-    """First in, first out pairing of enter and exit phases per (process, tid, type); waiting rows are a list state."""
+    """First in, first out pairing of enter and exit phases per (process, tid, type).
+
+    State: rows the watermark hasn't passed, rows that wait for their other phase (`waiting`), and the two counts of
+    `Calls`. A key without rows and counts has no state."""
 
     def __init__(self, timeout_ms: int, schema: str) -> None:
-        self.timeout_ns, self.schema = timeout_ms * 1_000_000, schema
+        self.timeout_ns, self.schema = timeout_ms * MS, schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", PHASE)
-
-    def _merged(self, rows: list[tuple], now_ns: int | None) -> tuple[list[tuple], list[tuple]]:
-        """(closed, still waiting): rows in time order through the rule; now_ns closes what has waited too long."""
-        names = _names(PHASE)
-        ts, phase, result = names.index("timestamp_ns"), names.index("phase"), names.index("syscall_result")
-        out, enters, exits = [], [], []
-
-        def close(row: tuple, status: str, exit_row: tuple | None = None) -> None:
-            row = list(row)
-            row[result] = exit_row[result] if exit_row else row[result] if status == "late_exit" else None
-            out.append((*row, status, exit_row[ts] if exit_row else None))
-
-        def expire(now: int) -> None:
-            while enters and now - enters[0][ts] > self.timeout_ns:
-                close(enters.pop(0), "enter_only")
-            while exits and now - exits[0][ts] > self.timeout_ns:
-                close(exits.pop(0), "late_exit")
-
-        for row in sorted(rows, key=lambda r: (r[ts], r[phase])):
-            expire(row[ts])
-            if row[phase] == "enter":
-                close(row, "paired", exits.pop(0)) if exits else enters.append(row)
-            elif enters:
-                close(enters.pop(0), "paired", row)
-            else:
-                exits.append(row)
-        if now_ns is not None:
-            expire(now_ns)
-        return out, enters + exits
+        self.rows = handle.getListState("rows", PHASE + ", waiting boolean")
+        self.lost = handle.getValueState("lost", "enters bigint, exits bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        both = [tuple(_plain(v) for v in r) for r in self.waiting.get()] + _rows(rows, _names(PHASE))
-        closed, left = self._merged(both, None)
-        self._keep(left)
-        yield _frame([(*key, *r) for r in closed], self.schema)
+        now, late, fresh = timerValues.getCurrentWatermarkInMs() * MS, [], []
+        for row in _rows(rows, _names(PHASE)) if key[-1] in PAIRED_TYPES else ():  # a filter before would take heartbeats from the watermark
+            (late if row[0] < now else fresh).append(row)
+        if fresh:
+            self.rows.appendList([(*r, False) for r in fresh])
+            self.handle.registerTimer(min(r[0] for r in fresh) // MS + 1)
+        yield _frame([(*key, *r, None, None, True) for r in late], self.schema)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = [tuple(_plain(v) for v in r) for r in self.waiting.get()]
-        closed, left = self._merged(held, timerValues.getCurrentWatermarkInMs() * 1_000_000)
-        self._keep(left)
-        yield _frame([(*key, *r) for r in closed], self.schema)
-
-    def _keep(self, left: list[tuple]) -> None:
-        self.waiting.clear()
+        now = timerValues.getCurrentWatermarkInMs() * MS
+        held = sorted(_dicts(list(self.rows.get()), PHASE + ", waiting boolean"), key=in_time)
+        waiting = [r for r in held if r["waiting"]]
+        lost = [int(x) for x in self.lost.get()] if self.lost.exists() else [0, 0]
+        calls = Calls(self.timeout_ns, *lost, *[[r for r in waiting if r["phase"] == p] for p in ("enter", "exit")])
+        for row in held:
+            if not row["waiting"] and row["timestamp_ns"] < now:
+                calls.push(row)
+        calls.expire(now)
+        left = [r | {"waiting": True} for r in (*calls.enters, *calls.exits)] + [r for r in held if not r["waiting"] and r["timestamp_ns"] >= now]
+        self.rows.clear()
         if left:
-            self.waiting.put(left)
-            first = min(r[0] for r in left)
-            self.handle.registerTimer((first + self.timeout_ns) // 1_000_000 + 1)
+            self.rows.put([tuple(r[c] for c in (*_names(PHASE), "waiting")) for r in left])
+            self.handle.registerTimer(min((r["timestamp_ns"] + (self.timeout_ns if r["waiting"] else 0)) // MS + 1 for r in left))
+        if calls.lost_enters or calls.lost_exits:
+            self.lost.update((calls.lost_enters, calls.lost_exits))
+        else:
+            self.lost.clear()
+        yield _frame([(*key, *[r[c] for c in (*_names(PHASE), "pair_status", "exit_ns")], False) for r in calls.out], self.schema)
 
     def close(self) -> None:
         pass
 
 
+def unfiltered(events: DataFrame) -> DataFrame:
+    """events without the watermark's column: timers follow the watermark, but no row is lost for being behind it."""
+    return events.drop("event_time")
+
+
 def pair_stream(decoded: DataFrame, timeout_ms: int = 250) -> DataFrame:
     """Pairs a stream of phases of Openat and Connect (with event_time and watermark); same columns and statuses as
-    `pair_enter_exit` in mode stateful."""
-    two = decoded.filter(F.col("syscall_type").isin("Openat", "Connect"))
+    `pair_enter_exit` in mode stateful, and late: rows behind the watermark, not paired. Other types are ignored."""
+    two = unfiltered(decoded)
     schema = _key_schema(two) + "tid bigint, syscall_type string, " + PAIRED
     return two.groupBy(*process_key(two), "tid", "syscall_type").transformWithStateInPandas(statefulProcessor=Pairing(timeout_ms, schema), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
-CLOSED = "lifetime bigint, window_start_ns bigint, window_end_ns bigint, short_lived boolean, " + EVENT
+CLOSED = "lifetime bigint, window_start_ns bigint, window_end_ns bigint, dedup_ns bigint, short_lived boolean, late boolean, " + EVENT
 
 
 class Windows(StatefulProcessor):
-    """Anchored windows of a process. State: the window's start and end, the lifetime, and the window's events.
+    """Anchored windows of a process. State: rows that are in no closed window yet, and the open window's start, end and
+    lifetime (`anchor`), which is the time of the lifetime's first event.
 
-    An exit row (syscall_type Exit) closes the window early and drops the anchor, so a reused pid anchors anew. A new
-    window takes the length that holds at its start.
+    Windows close when the watermark passes their end; until then an earlier first event moves the anchor back. A new
+    window takes the settings that hold at the event that opens it. An exit row (syscall_type Exit) closes its window
+    early and drops the anchor. All state goes with it, or idle_s after the last event: then the process anchors anew.
     """
 
-    def __init__(self, lengths: list[tuple[int, int]], schema: str) -> None:
-        self.lengths, self.schema = sorted(lengths), schema
+    def __init__(self, settings: list[tuple[int, int, int]], idle_ns: int, schema: str) -> None:
+        self.settings, self.idle_ns, self.schema = sorted(settings), idle_ns, schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "start bigint, end bigint, lifetime bigint")
-        self.events = handle.getListState("events", EVENT)
+        self.anchor = handle.getValueState("anchor", "start bigint, end bigint, lifetime bigint, width bigint, last bigint")
+        self.rows = handle.getListState("rows", EVENT)
 
-    def _length(self, ts: int) -> int:
-        return [s for at, s in self.lengths if at <= ts or at == self.lengths[0][0]][-1] * NS
+    def _settings(self, ts: int) -> tuple[int, int]:
+        """(length, de-duplication width) in nanoseconds at a time."""
+        return [(size * NS, width) for at, size, width in self.settings if at <= ts or at == self.settings[0][0]][-1]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        start, end, life = self.open.get() if self.open.exists() else (None, None, 0)
-        held = [tuple(_plain(v) for v in r) for r in self.events.get()] if start is not None else []
-        out: list[tuple] = []
-        for row in sorted(_rows(rows, _names(EVENT)), key=lambda r: (r[1], r[2] == "Exit", r[0])):
-            ts = row[1]
+        now, late, fresh = timerValues.getCurrentWatermarkInMs() * MS, [], []
+        for row in _rows(rows, _names(EVENT)):
+            if row[2] != HEARTBEAT:
+                (late if row[1] < now else fresh).append(row)
+        if fresh:
+            self.rows.appendList(fresh)
+            self.handle.registerTimer(min(r[1] for r in fresh) // MS + 1)
+        yield _frame([(*key, None, None, None, None, None, True, *r) for r in late], self.schema)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out, inside = timerValues.getCurrentWatermarkInMs() * MS, [], []
+        start, end, life, width, last = (_plain(x) for x in self.anchor.get()) if self.anchor.exists() else (None,) * 5
+        held = sorted([tuple(_plain(v) for v in r) for r in self.rows.get()], key=lambda r: (r[1], r[2] == "Exit", r[0]))
+        passed, ahead = [r for r in held if r[1] < now], [r for r in held if r[1] >= now]
+
+        def close(until: int, early: bool) -> None:
+            out.extend((*key, life, start, until, width, early, False, *r) for r in inside)
+            inside.clear()
+
+        for row in passed:
+            ts = last = row[1]
             if row[2] == "Exit":
                 if start is not None:
-                    early = ts < end
-                    out += [(*key, life, start, max(ts, start) if early else end, early, *r) for r in held]
-                start, end, life, held = None, None, life + 1, []
+                    close(max(ts, start) if ts < end else end, ts < end)
+                start = end = life = width = last = None
                 continue
             if end is None:
-                start, end = ts, ts + self._length(ts)
+                (size, width), start, life = self._settings(ts), ts, ts
+                end = ts + size
             elif ts >= end:
-                out += [(*key, life, start, end, False, *r) for r in held]
-                step = self._length(ts)
-                start = end + (ts - end) // step * step
-                end, held = start + step, []
-            held.append(row)
-        self._keep(start, end, life, held)
-        yield _frame(out, self.schema)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        if self.open.exists():
-            start, end, life = self.open.get()
-            if start is not None and end <= timerValues.getCurrentWatermarkInMs() * 1_000_000:
-                out = [(*key, life, start, end, False, *(_plain(v) for v in r)) for r in self.events.get()]
-                self.events.clear()
+                close(end, False)
+                size, width = self._settings(ts)
+                start = end + (ts - end) // size * size
+                end = start + size
+            inside.append(row)
+        if end is not None and end <= now:
+            close(end, False)
+        left = inside + ahead
+        self.rows.clear()
+        if left:
+            self.rows.put(left)
+        if end is None or (not left and last + self.idle_ns <= now):
+            self.anchor.clear()
+        else:
+            self.anchor.update((start, end, life, width, last))
+        times = [r[1] for r in ahead[:1]] + ([end] if inside else []) + ([last + self.idle_ns] if end is not None and not left else [])
+        if times and min(times) >= now:
+            self.handle.registerTimer(min(times) // MS + 1)
         yield _frame(out, self.schema)
 
-    def _keep(self, start: int | None, end: int | None, life: int, held: list[tuple]) -> None:
-        self.open.update((start, end, life))
-        self.events.clear()
-        if held:
-            self.events.put(held)
-            self.handle.registerTimer(end // 1_000_000 + 1)
-
     def close(self) -> None:
         pass
 
 
-def window_stream(events: DataFrame, window_s: int = 30, changes: list[tuple[int, int]] | None = None) -> DataFrame:
-    """Events of closed windows, with lifetime, window_start_ns, window_end_ns and short_lived: what features_all takes.
+def window_stream(events: DataFrame, window_s: int = 30, changes: list[tuple] | None = None, dedup_ms: float = 100, idle_s: int = 86_400) -> DataFrame:
+    """Events of closed windows, with lifetime, window_start_ns, window_end_ns, dedup_ns, short_lived and late: what
+    features_all takes, once `on_time` has taken away the rows marked late (these are in no window).
 
     events: a stream with event_time and watermark; exits are rows of syscall_type Exit. changes: (effective_ns,
-    window_s) after the first length.
+    window_s) or (effective_ns, window_s, dedup_ms) after the first settings. A process that is silent for idle_s after
+    its last window anchors anew.
     """
-    lengths = [(0, window_s), *(changes or [])]
-    schema = _key_schema(events) + CLOSED
-    return events.groupBy(*process_key(events)).transformWithStateInPandas(statefulProcessor=Windows(lengths, schema), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    settings = [(at, size, dedup_width(width[0] if width else dedup_ms)) for at, size, *width in [(0, window_s), *(changes or [])]]
+    rows = unfiltered(events)
+    schema = _key_schema(rows) + CLOSED
+    return rows.groupBy(*process_key(rows)).transformWithStateInPandas(statefulProcessor=Windows(settings, idle_s * NS, schema), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def with_heartbeats(events: DataFrame, beats: DataFrame) -> DataFrame:
+    """events and heartbeats as one stream, before its watermark: a host's clock goes on when its processes are silent.
+
+    beats: timestamp_ns and, where events have one, host_id. Windows ignore them, and they leave no state."""
+    kinds = {f.name: f.dataType for f in events.schema}
+    given = {"syscall_type": F.lit(HEARTBEAT), "pid": F.lit(-1)}
+    return events.unionByName(beats.select(*[(F.col(c) if c in beats.columns else given.get(c, F.lit(None))).cast(t).alias(c) for c, t in kinds.items()]))
+
+
+def beating(spark: SparkSession, per_second: int = 1) -> DataFrame:
+    """A stream of heartbeats (timestamp_ns) at the time of this clock."""
+    return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select((F.unix_micros("timestamp") * 1000).alias("timestamp_ns"))
+
+
+def late_events(closed: DataFrame) -> DataFrame:
+    """The side output of `window_stream` and `pair_stream`: rows that came behind the watermark, as they came."""
+    names = _names(EVENT if "event_id" in closed.columns else "tid bigint, syscall_type string, " + PHASE)
+    return closed.filter("late").select(*process_key(closed), *names)
 
 
-def late_events(events: DataFrame, watermark_ns: int) -> DataFrame:
-    """Rows of a batch that are older than the watermark: the side table of a foreachBatch writer."""
-    return events.filter(F.col("timestamp_ns") < watermark_ns)
+def on_time(closed: DataFrame) -> DataFrame:
+    """The rows of `window_stream` or `pair_stream` that aren't late."""
+    return closed.filter(~F.col("late")).drop("late")
