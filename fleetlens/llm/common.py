@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.storage import dropped, new_path, scratch, shared_dir
+
+__all__ = ["dropped", "new_path", "scratch", "shared_dir"]
+
 #: Bytes of text that Python works on at once; bounds memory, not results.
 CHUNK_BYTES = 1_000_000
 #: Row groups of staged tables; small ones keep the writers' buffers small.
@@ -23,44 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, spark.checkpoint.dir. A temporary folder of this machine stands in for it
-    only where all of Spark runs in one process, as in tests."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        place = got.get() if got.isDefined() else None
-    if not place:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        place = tempfile.mkdtemp(prefix="fleetlens-")
-        spark.sparkContext.setCheckpointDir(place)
-    return place
-
-
-_scopes: list[list[str]] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """What is staged inside goes at the end, so write results that read it before (outside of new_path's names)."""
-    paths: list[str] = []
-    _scopes.append(paths)
-    try:
-        yield
-    finally:
-        _scopes.remove(paths)
-        dropped(spark, *paths)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
-    return path
-
-
 def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df as a table in the shared folder and reads it again: lineage is cut, executors may be lost."""
     spark = df.sparkSession
@@ -73,15 +36,6 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, *paths: str) -> None:
-    """Deletes staged tables that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A name like `name` that no column of df has."""
     while name.lower() in {c.lower() for c in df.columns}:

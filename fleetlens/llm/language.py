@@ -10,15 +10,16 @@ byte pieces, which have probabilities by language like all others. Long words do
 go, and the scales are kept as logarithms.
 
 Training uses at most about `per_language` texts of each language, chosen by a hash of id and text. Every labelled
-language is learned; more than `most_languages` of them are refused with an error (the model's memory is vocabulary
-times languages). A text that is null or has no letter gets `und` with score 0, as does every text if nothing was
-learned. Ties go to the smaller language name. Texts of any length are read whole; repeated rows get equal results;
+language is learned, however many: languages are learned and scored in blocks, so memory is vocabulary times the
+languages of a block. A letter is what Unicode calls one (general categories L*): number signs, digits and marks are
+none. A text that is null or has no letter gets `und` with score 0, as does every text if nothing was learned. Ties go to the smaller language name. Texts of any length are read whole; repeated rows get equal results;
 other columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,9 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import chunks, dropped, slices, staged, texts_of
+from fleetlens.llm.common import chunks, slices, staged, texts_of
+from fleetlens.storage import dropped
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: code points that str.isalpha takes. Number signs such as ½ or Ⅻ are word characters, but no letters.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 #: Numbers (word, language) whose likelihoods a worker keeps; beyond it the memory is emptied. Results don't depend on it.
 KEPT = 1_200_000
 #: Numbers that one forward pass holds at once; bounds memory, not results.
@@ -167,22 +171,22 @@ def expected_counts(words: list[str], n: np.ndarray, vocab: Vocabulary, prob: np
 @dataclass(frozen=True)
 class Model:
     path: str
-    languages: tuple[str, ...]
-    prob: np.ndarray  # [language, piece]
+    #: Languages and their piece probabilities [language, piece], some languages at a time.
+    blocks: tuple[tuple[tuple[str, ...], np.ndarray], ...]
 
+    @property
+    def languages(self) -> tuple[str, ...]:
+        return tuple(g for languages, _ in self.blocks for g in languages)
 
-def fit(df: DataFrame, path: str, per_language: int = 1500, most_languages: int = 200, rounds: int = 3, smoothing: float = 0.05, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """Learns piece probabilities from text and non-null lang of every given row (sampled to the bound)."""
+
+def fit(df: DataFrame, path: str, per_language: int = 1500, block: int = 200, rounds: int = 3, smoothing: float = 0.05, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+    """Learns piece probabilities from text and non-null lang of every given row (sampled to the bound), a block of
+    languages at a time; there may be any number of blocks."""
     known = df.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("lang is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
-    if len(sizes) > most_languages:
-        raise ValueError(f"there are more than {most_languages} languages; raise most_languages if memory allows")
-    languages = tuple(sorted(sizes))
-    vocab = vocabulary(path)
-    if not languages:
-        return Model(path, (), np.zeros((0, len(vocab))))
-    share = F.create_map(*[F.lit(x) for g in languages for x in (g, min(1.0, per_language / sizes[g]))])
-    part = known.filter((F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) / 1e6) < F.try_element_at(share, F.col("lang")))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
+    shares = F.broadcast(sizes.select("lang", (F.lit(float(per_language)) / F.col("size")).alias("share")))  # a row for each language
+    part = known.join(shares, "lang").filter((F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) / 1e6) < F.col("share"))
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -194,10 +198,19 @@ def fit(df: DataFrame, path: str, per_language: int = 1500, most_languages: int
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
     words, w_path = staged(part.select("lang", "text").mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    blocks = tuple(_learned(words, path, tuple(languages[k : k + block]), rounds, smoothing) for k in range(0, len(languages), block))
+    dropped(df.sparkSession, w_path)
+    return Model(path, blocks)
+
+
+def _learned(words: DataFrame, path: str, languages: tuple[str, ...], rounds: int, smoothing: float) -> tuple[tuple[str, ...], np.ndarray]:
+    """The languages with their piece probabilities, by expectation maximisation over their words (lang, word, n)."""
+    vocab, context = vocabulary(path), words.sparkSession.sparkContext
+    words = words.filter(F.col("lang").isin(*languages))
     at = {g: k for k, g in enumerate(languages)}
     prob = np.full((len(languages), len(vocab)), 1 / len(vocab))
     for _ in range(rounds):
-        shared = df.sparkSession.sparkContext.broadcast(prob)  # bounded by vocabulary times languages
+        shared = context.broadcast(prob)  # bounded by vocabulary times languages
 
         def expected(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             prob, total, vocab = shared.value, {}, vocabulary(path)
@@ -217,24 +230,33 @@ def fit(df: DataFrame, path: str, per_language: int = 1500, most_languages: int
         counts[sums["g"].to_numpy(), sums["piece"].to_numpy()] += sums["n"].to_numpy()
         prob = counts / counts.sum(axis=1, keepdims=True)
         shared.unpersist()
-    dropped(df.sparkSession, w_path)
-    return Model(path, languages, prob)
+    return languages, prob
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (posterior of the predicted language)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by vocabulary times languages
+    """doc_id, lang_pred, score (posterior of the predicted language). Rows pass one block of languages after the other
+    and carry the best language so far with its log likelihood and the logarithm of the sum of all."""
+    start = {"lang_pred": F.lit(None).cast("string"), "best": F.lit(None).cast("double"), "total": F.lit(None).cast("double")}
+    rows = texts_of(df, id_col, text_col).withColumns(start)
+    for languages, prob in model.blocks:
+        rows = rows.mapInArrow(_scorer(df, model.path, languages, prob), "doc_id long, text string, lang_pred string, best double, total double")
+    score = F.when(F.col("best").isNull(), 0.0).otherwise(F.exp(F.col("best") - F.col("total")))
+    return rows.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), score.alias("score"))
+
+
+def _scorer(df: DataFrame, path: str, languages: tuple[str, ...], prob: np.ndarray):
+    """The function for mapInArrow that sets the rows of predict against a block of languages."""
+    shared = df.sparkSession.sparkContext.broadcast(prob)  # bounded by vocabulary times languages of a block
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        vocab, index, table = vocabulary(m.path), {}, np.zeros((0, len(m.languages)))
+        vocab, index, table = vocabulary(path), {}, np.zeros((0, len(languages)))
         for batch in it:
-            for ids, texts in chunks(batch):
-                if len(index) * len(m.languages) > KEPT:
+            for part in slices(batch):
+                if len(index) * len(languages) > KEPT:
                     index, table = {}, table[:0]
                 numbers, new = [], []
-                for text in texts:
-                    own = LETTERS.findall(text.lower()) if m.languages else []
+                for text in part.column(1).to_pylist():
+                    own = LETTERS.findall(text.lower())
                     at = np.zeros(len(own), np.int64)
                     for k, w in enumerate(own):
                         i = index.get(w)
@@ -244,17 +266,17 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                         at[k] = i
                     numbers.append(at)
                 if new:
-                    table = np.concatenate([table, log_likelihoods(new, vocab, m.prob)])
-                preds, scores = [], []
-                for at in numbers:
-                    if not len(at):
-                        preds.append("und")
-                        scores.append(0.0)
-                        continue
-                    ll = table[at].sum(axis=0)
-                    best = int(ll.argmax())
-                    preds.append(m.languages[best])
-                    scores.append(float(1 / np.exp(ll - ll[best]).sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+                    table = np.concatenate([table, log_likelihoods(new, vocab, shared.value)])
+                preds, bests, totals = (part.column(k).to_pylist() for k in (2, 3, 4))
+                for row, at in enumerate(numbers):
+                    if len(at):
+                        ll = table[at].sum(axis=0)
+                        k = int(ll.argmax())
+                        best, total = float(ll[k]), float(ll[k] + np.log(np.exp(ll - ll[k]).sum()))
+                        totals[row] = total if totals[row] is None else float(np.logaddexp(totals[row], total))
+                        if bests[row] is None or best > bests[row]:
+                            preds[row], bests[row] = languages[k], best
+                facts = [pa.array(preds, pa.string()), pa.array(bests, pa.float64()), pa.array(totals, pa.float64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *facts], ["doc_id", "text", "lang_pred", "best", "total"])
+
+    return run

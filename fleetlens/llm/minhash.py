@@ -30,7 +30,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import dropped, looked_up, slices, staged, texts_of
@@ -240,6 +240,25 @@ def difference_keys(found: DataFrame, percent: int, classes: int = 24) -> DataFr
     return facts.join(shared, ["main", "doc_id"]).mapInArrow(run, "key long, doc_id long, comp long, apart boolean, size long, excess long")
 
 
+def met_across(keys: DataFrame) -> DataFrame:
+    """Pairs (x as `apart`, doc_id not) of unlike components that share a key, with sizes and excesses; pairs within one
+    component never meet. keys: the columns of `difference_keys`.
+
+    Keys that one component holds alone drop out before the join. In another the components are numbered, and for each
+    bit of the numbers those with 0 meet those with 1: unlike numbers differ in some bit, like ones in none.
+    """
+    mixed = keys.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bool_or("apart").alias("any"), F.bool_and("apart").alias("all"))
+    held = keys.join(mixed.filter("low <> high and any and not all").select("key"), "key")
+    comps = held.select("key", "comp").distinct()
+    by_key = Window.partitionBy("key")
+    numbers = comps.select("key", "comp", (F.dense_rank().over(by_key.orderBy("comp")) - 1).alias("number"), F.count("*").over(by_key).alias("comps"))
+    bits = F.sequence(F.lit(0), F.ceil(F.log2(F.col("comps").cast("double"))).cast("int") - 1)
+    placed = held.join(numbers, ["key", "comp"]).withColumn("bit", F.explode(bits)).withColumn("side", F.expr("shiftright(number, bit) & 1"))
+    x = placed.filter("apart").select("key", "bit", "side", F.col("doc_id").alias("x"), F.col("size").alias("size_x"), F.col("excess").alias("excess_x"))
+    y = placed.filter("not apart").select("key", "bit", (1 - F.col("side")).alias("side"), "doc_id", "size", "excess")
+    return x.join(y, ["key", "bit", "side"])
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union, on full sets."""
 
@@ -329,9 +348,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             total = open_groups.agg(F.sum("n")).first()[0] or 0
             keys, k_path = staged(difference_keys(looked_up(found, open_groups, ["main"], total), percent), "keys")
             spent += [f_path, k_path]
-            x = keys.filter("apart").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("comp_x"), F.col("size").alias("size_x"), F.col("excess").alias("excess_x"))
-            close = (F.col("comp") != F.col("comp_x")) & (2 * (100 + percent) * F.least("size", "size_x") >= F.col("excess") + F.col("excess_x"))
-            fresh = x.join(keys.filter("not apart"), "key").filter(close).select(*ordered("x", "doc_id"))
+            close = 2 * (100 + percent) * F.least("size", "size_x") >= F.col("excess") + F.col("excess_x")
+            fresh = met_across(keys).filter(close).select(*ordered("x", "doc_id"))
         new, path = staged(fresh.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
         more, l_path = staged(linked(new), "links")
         spent += [path, l_path]

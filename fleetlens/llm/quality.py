@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import dropped, slices, staged, texts_of
@@ -316,14 +316,17 @@ def _fit_linear(sample: Sample, target: np.ndarray, weight: np.ndarray, dims: in
     return w, float(bias)
 
 
-def fit(df: DataFrame, labels: DataFrame, lexicon_rows: int = 4000, fit_rows: int = 4500, dims: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Labellers, their accuracies and the scorer. labels: doc_id, quality, toxic (0, 1 or null)."""
-    spark, docs = df.sparkSession, texts_of(df, id_col, text_col)
+def fit(df: DataFrame, labels: DataFrame, lexicon_rows: int = 4000, fit_rows: int = 4500, fit_bytes: int = 96_000_000, dims: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Labellers, their accuracies and the scorer. labels: doc_id, quality, toxic (0, 1 or null).
+
+    The scorer is fitted on about twice fit_rows texts and at most fit_bytes of their features; a text that would take
+    more than an eighth of these is scored, but not fitted on. Equal rows count once there."""
+    spark, docs = df.sparkSession, texts_of(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     n_marks = marks.filter("toxic is not null").count()
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) / 1e6
     some = marks.filter("toxic is not null").filter(draw < lexicon_rows / max(1, n_marks))
-    taken, taken_path = staged(docs.join(F.broadcast(some.select("doc_id", "toxic")), "doc_id"), "labelled")  # about lexicon_rows ids
+    taken, taken_path = staged(docs.join(F.broadcast(some.select("doc_id", "toxic")), "doc_id").dropDuplicates(["doc_id", "text_hash"]).drop("text_hash"), "labelled")  # about lexicon_rows ids
     lexicons = (lexicon(taken, prefixes=False), lexicon(taken, prefixes=True))
     dropped(spark, taken_path)
 
@@ -332,12 +335,12 @@ def fit(df: DataFrame, labels: DataFrame, lexicon_rows: int = 4000, fit_rows: in
             for part in slices(batch):
                 look = looks(part.column(1).to_pylist())
                 junk, abuse = _votes(look, known_values(look, lexicons))
-                yield pa.RecordBatch.from_arrays([part.column(0), _strings(junk), _strings(abuse)], ["doc_id", "junk", "abuse"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _strings(junk), _strings(abuse)], ["doc_id", "text_hash", "junk", "abuse"])
 
     # the known labels vote last; only votes are shuffled to meet them, no texts
-    heard = docs.mapInArrow(vote, "doc_id long, junk string, abuse string").join(marks, "doc_id", "left")
+    heard = docs.mapInArrow(vote, "doc_id long, text_hash long, junk string, abuse string").join(marks, "doc_id", "left")
     says = lambda c, bad: F.when(F.col(c).isNull(), str(NONE)).when(F.col(c) == bad, str(BAD)).otherwise(str(GOOD))
-    votes, votes_path = staged(heard.select("doc_id", F.concat("junk", says("quality", 0)).alias("junk"), F.concat("abuse", says("toxic", 1)).alias("abuse")), "votes")
+    votes, votes_path = staged(heard.select("doc_id", "text_hash", F.concat("junk", says("quality", 0)).alias("junk"), F.concat("abuse", says("toxic", 1)).alias("abuse")), "votes")
     patterns = votes.groupBy("junk", "abuse").agg(F.count("*").alias("n")).collect()  # at most 3 ** 14 rows
     sums = [Counter(), Counter()]
     for r in patterns:
@@ -364,9 +367,15 @@ def fit(df: DataFrame, labels: DataFrame, lexicon_rows: int = 4000, fit_rows: in
                 cols = [pa.array(x, pa.binary()), pa.array([more.shape[1]] * look.n, pa.int32()), pa.array(list(map(len, words)), pa.int32())]
                 yield pa.RecordBatch.from_arrays([*cols, *(part.column(k) for k in (2, 3, 4))], ["x", "n_more", "n_words", "p_junk", "p_abuse", "kind"])
 
-    picked = F.broadcast(chosen.select("doc_id", "p_junk", "p_abuse", "kind"))  # about twice fit_rows ids
-    drawn_rows, drawn_path = staged(docs.join(picked, "doc_id").mapInArrow(features, "x binary, n_more int, n_words int, p_junk double, p_abuse double, kind int"), "fit_rows")
-    size_of = drawn_rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("x").cast("long")), F.lit(0)).alias("bytes")).first()
+    spot = ["doc_id", "text_hash"]
+    picked = F.broadcast(chosen.select(*spot, "p_junk", "p_abuse", "kind").dropDuplicates(spot))  # about twice fit_rows texts
+    texts = docs.join(picked, spot).dropDuplicates(spot).select("doc_id", "text", "p_junk", "p_abuse", "kind")
+    drawn_rows, drawn_path = staged(texts.mapInArrow(features, "x binary, n_more int, n_words int, p_junk double, p_abuse double, kind int"), "fit_rows")
+    sizes = drawn_rows.select(F.xxhash64("x").alias("h"), F.octet_length("x").cast("long").alias("size")).filter(F.col("size") <= fit_bytes // 8)
+    within = sizes.withColumn("so_far", F.sum("size").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("so_far") <= fit_bytes)  # over the sample
+    last = within.agg(F.max("h")).first()[0]
+    drawn_rows = drawn_rows.filter((F.octet_length("x") <= fit_bytes // 8) & (F.xxhash64("x") <= F.lit(last).cast("long")))
+    size_of = drawn_rows.agg(F.coalesce(F.sum(F.octet_length("x").cast("long")), F.lit(0)).alias("bytes")).first()
     flat, at, facts = np.zeros(size_of["bytes"] // 4, np.int32), 0, []
     for r in drawn_rows.toLocalIterator():  # a partition at a time passes through the JVM
         x = np.frombuffer(r["x"], np.int32)

@@ -360,6 +360,20 @@ def test_quality_prior_does_not_follow_the_sample(spark, monkeypatch):
     assert abs(junk_of_few - junk) < 0.005 and abs(abuse_of_few - abuse) < 0.005
 
 
+def test_repeated_ids_do_not_multiply_the_sample(spark, monkeypatch):
+    rng, seen = random.Random(4), []
+    rows = [(7, sentence(rng, 20), "en", "s", 1) for _ in range(60)] + [(8, "the same text " * 9, "en", "s", 1)] * 40 + [(100 + k, sentence(rng, 20), "en", "s", 1) for k in range(50)]
+    real = quality._fit_linear
+    monkeypatch.setattr(quality, "_fit_linear", lambda sample, *a, **b: seen.append((len(sample.value) // 2, sample.flat.nbytes)) or real(sample, *a, **b))
+    labels = spark.createDataFrame([(100, 1, 0), (101, 0, 1)], "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert quality.score(docs, quality.fit(docs, labels)).count() == len(rows)
+    assert seen[0][0] == 60 + 1 + 50
+    whole = seen[0][1]
+    quality.fit(docs, labels, fit_bytes=whole // 2)
+    assert 0 < seen[-1][1] <= whole // 2
+
+
 def test_linear_fit_equals_plain_gradients(monkeypatch):
     import numpy as np
 
@@ -539,8 +553,31 @@ def test_languages_of_one_uncovered_script_and_too_many(spark):
     many = spark.range(120).select(F.col("id").alias("doc_id"), F.concat_ws("", F.lit("wort"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
     model = language.fit(many, PIECES, rounds=1)
     assert len(model.languages) == 120 and language.predict(many, model).select("lang_pred").distinct().count() > 100
-    with pytest.raises(ValueError):
-        language.fit(many, PIECES, most_languages=119)
+    blocks = language.fit(many, PIECES, rounds=1, block=50)
+    told = lambda m: [(r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.predict(many, m).orderBy("doc_id").collect()]
+    assert len(blocks.blocks) == 3 and told(blocks) == told(model)
+
+
+def test_five_hundred_languages(spark):
+    letters = "abcdefghij"
+    name = lambda i: "".join(letters[int(d)] for d in f"{i:03d}")
+    df = spark.createDataFrame([(i, f"{name(i) * 4} {name(i)[::-1] * 3}", f"l{i:03d}") for i in range(500)], "doc_id bigint, text string, lang string")
+    model = language.fit(df, PIECES, rounds=1)
+    assert len(model.languages) == 500 and len(model.blocks) == 3
+    got = by_id(language.predict(df, model))
+    assert sum(got[i].lang_pred == f"l{i:03d}" for i in range(500)) > 450
+
+
+def test_only_letters_count(spark):
+    """Number signs, digits and marks are no letters: a text of them is undecided."""
+    known = [(i, "ba co du" if i % 2 else "xi zo re", "aa" if i % 2 else "bb") for i in range(20)]
+    schema = "doc_id bigint, text string, lang string"
+    model = language.fit(spark.createDataFrame(known, schema), PIECES)
+    rows = [(1, "½ ²", None), (2, "Ⅻ ① ٣ 12", None), (3, "́ _ -", None), (4, "½ba²co", None), (5, None, None), (6, "ª", None)]
+    got = by_id(language.predict(spark.createDataFrame(rows, schema), model))
+    assert [(got[i].lang_pred, got[i].score) for i in (1, 2, 3, 5)] == [("und", 0.0)] * 4
+    assert got[4].lang_pred == "aa" and got[6].lang_pred in ("aa", "bb")
+    assert all(bool(language.LETTERS.fullmatch(c)) == c.isalpha() for c in map(chr, range(0x3000)))
 
 
 def test_language(spark, docs, rows, nothing):
@@ -680,6 +717,46 @@ def test_large_loose_group(spark, rounds):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def two_groups(n):
+    """n + 20 near copies of one text and n of another, which are about 0.7 alike."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    other = [w if i % 6 else f"o{i}" for i, w in enumerate(base)]
+    rows = []
+    for center, count in ((base, n + 20), (other, n)):
+        for _ in range(count):
+            words = list(center)
+            for at in rng.sample(range(200), 6):
+                words[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def test_last_join_grows_with_the_rows(spark):
+    """Pairs that meet on a key of the last join follow the size of the groups, and none is within one component."""
+    met = []
+    for n in (50, 100, 200):
+        df = spark.createDataFrame(two_groups(n), "doc_id long, text string")
+        sets = minhash.full_sets(df, 2)
+        comp = df.select("doc_id", F.when(F.col("doc_id") < n + 20, 0).otherwise(n + 20).cast("long").alias("comp"))
+        spots = comp.select(F.lit(0).cast("long").alias("main"), "doc_id", "comp")
+        keys = minhash.difference_keys(minhash.differences(spots, sets, 80), 80)
+        pairs = minhash.met_across(keys)
+        met.append(pairs.count())
+        within = pairs.join(comp, "doc_id").join(comp.select(F.col("doc_id").alias("x"), F.col("comp").alias("comp_x")), "x")
+        assert within.filter("comp = comp_x").count() == 0
+    assert met[2] <= 5 * max(met[0], 200), met
+
+
+def test_met_across_finds_all_pairs_of_unlike_components(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(6), d, d % 5, bool(rng.randrange(2)), 10, 5) for d in range(60) for _ in range(3)]
+    rows = list(dict.fromkeys(rows))
+    keys = spark.createDataFrame(rows, "key long, doc_id long, comp long, apart boolean, size long, excess long")
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[3] and not y[3] and x[2] != y[2]}
+    assert {(r.x, r.doc_id) for r in minhash.met_across(keys).collect()} == want
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
