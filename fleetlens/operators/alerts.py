@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from fleetlens.functions.scalars import clamp01, finite_or_zero, redact_pointers
 from fleetlens.operators.ordering import numbered
 from fleetlens.schemas import MANIFEST, process_key, window_key
-from fleetlens.storage import staged
 
 MAX_ID = 2**63 - 1
 
@@ -58,14 +57,13 @@ def alert_summary(name: Column, pid: Column, score: Column, threshold: float, to
 
 
 def alert_ids(alerts: DataFrame, last_id: int = 0) -> DataFrame:
-    """alert_id: last_id + 1, + 2, ... in (timestamp_ns, host_id, pid) order. The alerts are staged once, so that they
-    aren't computed anew for their bounds and counts; ids are counted per bucket of time, so any number of alerts may
-    be numbered."""
+    """alert_id: last_id + 1, + 2, ... in (timestamp_ns, host_id, pid) order. The alerts are staged once, in ranges of
+    this order, so any number of them may be numbered; the table goes with the caller's `storage.scratch`."""
     if not 0 <= last_id < MAX_ID:
         raise ValueError("last_id is out of range")
     order = [c for c in ("timestamp_ns", "host_id", "pid") if c in alerts.columns]
     at, room = F.col("alert_id"), F.lit(MAX_ID - last_id)
-    return numbered(staged(alerts, "alerts"), order, "alert_id").withColumn("alert_id", F.when(at <= room, at + last_id).otherwise(F.raise_error(F.lit("alert ids are used up")).cast("bigint")))
+    return numbered(alerts, order, "alert_id").withColumn("alert_id", F.when(at <= room, at + last_id).otherwise(F.raise_error(F.lit("alert ids are used up")).cast("bigint")))
 
 
 def inference_log(scored: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.operators.ordering import as_of
+from fleetlens.operators.ordering import as_of, previous
 from fleetlens.schemas import process_key
 from fleetlens.storage import shared_dir
 
@@ -137,10 +137,11 @@ def process_depth(chain: Column) -> Column:
 
 
 def enrichment_partial(enriched: DataFrame) -> DataFrame:
-    """Events at which a process's enrichment turns partial: one warning per process until it succeeds again."""
-    w = Window.partitionBy(*process_key(enriched)).orderBy("timestamp_ns", "event_id")
-    before = F.coalesce(F.lag("enrichment_partial").over(w), F.lit(False))
-    return enriched.withColumn("before", before).filter(F.col("enrichment_partial") & ~F.col("before")).drop("before")
+    """Events at which a process's enrichment turns partial: one warning per process until it succeeds again. A busy
+    process is spread over ranges of time, which carry their last state on."""
+    known = enriched.withColumn("enrichment_partial", F.coalesce("enrichment_partial", F.lit(False)))
+    told = previous(known, "enrichment_partial", ["timestamp_ns", "event_id"], "partial", process_key(enriched))
+    return told.filter(F.col("enrichment_partial") & ~F.coalesce("before", F.lit(False))).drop("before")
 
 
 def exited_pids(windows: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import clean_control, is_finite
-from fleetlens.operators.ordering import bucketed
+from fleetlens.operators.ordering import previous
 from fleetlens.schemas import process_key
+from fleetlens.storage import staged
 
 MINUTE_NS = 60 * 1_000_000_000
 RANGES = {"30m": 30, "1h": 60, "6h": 360, "24h": 1440, "all": None}
@@ -134,17 +135,9 @@ def health_state(samples: DataFrame, rss_limit: int) -> DataFrame:
 
 
 def state_history(samples: DataFrame) -> DataFrame:
-    """Only the samples whose state differs from the one before (per host where there are hosts). Without hosts each
-    bucket of time takes the last state of the bucket before it."""
-    key = [c for c in ("host_id",) if c in samples.columns]
-    if key:
-        told = samples.withColumn("before", F.lag("state").over(Window.partitionBy(*key).orderBy("ts_ns")))
-    else:
-        placed = bucketed(samples, "ts_ns")
-        last = placed.groupBy("bucket").agg(F.max_by("state", "ts_ns").alias("last"))
-        carried = last.select("bucket", F.lag("last").over(Window.orderBy("bucket")).alias("carried"))  # a row for each bucket
-        own = F.lag("state").over(Window.partitionBy("bucket").orderBy("ts_ns"))
-        told = placed.withColumn("before", own).join(F.broadcast(carried), "bucket").withColumn("before", F.coalesce("before", "carried")).drop("bucket", "carried")
+    """Only the samples whose state differs from the one before (per host where there are hosts). Samples are spread over
+    ranges of time, which carry their last state on."""
+    told = previous(samples, "state", ["ts_ns"], "history", [c for c in ("host_id",) if c in samples.columns])
     return told.filter("before is null or before <> state").drop("before")
 
 
@@ -160,38 +153,61 @@ def correlate_alerts(events: DataFrame, alerts: DataFrame, port: int, baseline_i
     return alerts.filter(F.col("alert_id") > baseline_id).join(F.broadcast(top), key, "left_semi")
 
 
-def log_diff(expected: DataFrame, observed: DataFrame, head_bytes: int = 4096) -> DataFrame:
-    """One row on two versions of an append-only log (line_no from 0, line): lengths in bytes, the byte offset of the
-    first difference (null if equal), the number of different lines and whether the first lies in the head.
+#: Lines of a block and children of a node in a tree of digests.
+FAN = 1024
 
-    Byte offsets are running sums by block of lines, then within the block; lines meet by number in an outer join.
-    """
 
-    def placed(df: DataFrame, side: str) -> DataFrame:
-        rows = df.select("line_no", "line", (F.octet_length("line") + 1).alias("size"), F.floor(F.col("line_no") / 10_000).alias("block"))
-        blocks = rows.groupBy("block").agg(F.sum("size").alias("sum"))
-        before = blocks.select("block", (F.sum("sum").over(Window.orderBy("block")) - F.col("sum")).alias("before"))
-        within = F.sum("size").over(Window.partitionBy("block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-        return rows.join(before, "block").select("line_no", F.col("line").alias(f"{side}_line"), F.col("size").alias(f"{side}_size"), (F.col("before") + within).alias(f"{side}_at"))
-
-    def first_byte(a, b):
-        """Number of equal leading bytes of two lines, by halving the part in question: 31 times for any length."""
-        span = F.struct(F.lit(0).alias("low"), F.least(F.length(a), F.length(b)).alias("high"))  # low bytes are equal, more than high aren't
-
-        def halved(s, _):
-            mid = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
-            same = F.substring(a, s["low"] + 1, mid - s["low"]) == F.substring(b, s["low"] + 1, mid - s["low"])
-            return F.struct(F.when(same, mid).otherwise(s["low"]).alias("low"), F.when(same, s["high"]).otherwise(F.greatest(mid - 1, s["low"])).alias("high"))
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(31)), span, halved)["low"]
-
-    a, b = placed(expected, "e"), placed(observed, "o")
-    both = a.join(b, "line_no", "full_outer")
-    differ = ~F.col("e_line").eqNullSafe(F.col("o_line"))
-    raw = lambda c: F.coalesce(F.col(c), F.lit("")).cast("binary")
-    inside = F.when(F.col("e_line").isNotNull() & F.col("o_line").isNotNull(), first_byte(raw("e_line"), raw("o_line"))).otherwise(0)
-    found = both.agg(
-        F.coalesce(F.sum("e_size"), F.lit(0)).alias("expected_bytes"), F.coalesce(F.sum("o_size"), F.lit(0)).alias("observed_bytes"),
-        F.min(F.when(differ, F.coalesce("e_at", "o_at") + inside)).alias("first_difference"), F.count_if(differ).alias("different_lines"),
-    )
-    return found.withColumn("in_head", F.coalesce(F.col("first_difference") < head_bytes, F.lit(False)))
+def digest_tree(log: DataFrame, name: str, fan: int = FAN) -> list[DataFrame]:
+    """Levels of a tree of digests over a log (line_no from 0, line), staged, leaves first: node, digest, bytes, n.
+
+    A leaf's digest is that of its lines' digests in order, a node's that of its children's; the last level is the root
+    (no rows for an empty log). Every node has up to `fan` children, so no task gathers more than that."""
+    line = F.coalesce("line", F.lit(""))
+    rows = log.select((F.col("line_no") / fan).alias("up"), F.col("line_no").alias("node"), F.sha2(line.cast("binary"), 256).alias("digest"), (F.octet_length(line) + 1).cast("bigint").alias("bytes"), F.lit(1).cast("bigint").alias("n"))
+    levels = []
+    while True:
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda x: x["digest"])
+        level = rows.groupBy(F.floor("up").cast("bigint").alias("node")).agg(F.sha2(F.concat_ws("", parts).cast("binary"), 256).alias("digest"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+        levels.append(staged(level, name))
+        if levels[-1].agg(F.coalesce(F.max("node"), F.lit(0))).first()[0] == 0:
+            return levels
+        rows = levels[-1].select((F.col("node") / fan).alias("up"), "node", "digest", "bytes", "n")
+
+
+def log_diff(expected: DataFrame, observed: DataFrame, head_bytes: int = 4096, fan: int = FAN) -> DataFrame:
+    """One row on two versions of an append-only log (line_no from 0 without gaps, line): lengths in bytes and digests of
+    the whole (null if empty), the byte offset of the first difference (null if equal), the number of different lines
+    and whether the first lies in the head.
+
+    Both sides become trees of digests. The first difference is found by descending to the first child that differs,
+    with the bytes of the children before it; only lines of blocks that differ are compared. A null line counts as empty.
+    """
+    e, o = digest_tree(expected, "expected", fan), digest_tree(observed, "observed", fan)
+    top = max(len(e), len(o)) - 1
+    root = lambda tree: tree[-1].agg(F.max("digest"), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    (e_digest, e_bytes, e_lines), (o_digest, o_bytes, o_lines) = root(e), root(o)
+    first, different = None, 0
+    if e_digest != o_digest or len(e) != len(o):
+        node, first = 0, 0  # levels above a tree's root have one node, on the way to every leaf
+        for depth in range(top, -1, -1):
+            if depth >= min(len(e), len(o)):  # one tree is lower: it ends under the other's first node
+                continue
+            a, b = (tree[depth].filter(F.floor(F.col("node") / fan) == node) for tree in (e, o))
+            both = a.select("node", F.col("digest").alias("x"), F.col("bytes").alias("size")).join(b.select("node", F.col("digest").alias("y"), F.col("bytes").alias("other")), "node", "full_outer")
+            rows = both.orderBy("node").collect()  # fan at most
+            node = next(r["node"] for r in rows if r["x"] != r["y"])
+            first += sum(r["size"] for r in rows if r["node"] < node)
+        line = F.coalesce("line", F.lit(""))
+        block = lambda df, blocks: df.withColumn("block", F.floor(F.col("line_no") / fan).cast("bigint")).join(blocks, "block", "left_semi").select("line_no", line.alias("line"))
+        wrong = e[0].select("node", F.col("digest").alias("x")).join(o[0].select("node", F.col("digest").alias("y")), "node", "full_outer").filter(~F.col("x").eqNullSafe(F.col("y"))).select(F.col("node").alias("block"))
+        pairs = block(expected, wrong).withColumnRenamed("line", "a").join(block(observed, wrong).withColumnRenamed("line", "b"), "line_no", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
+        different = pairs.count()
+        r = pairs.orderBy("line_no").first()
+        before = expected if r["a"] is not None else observed
+        inside = before.filter((F.col("line_no") >= node * fan) & (F.col("line_no") < r["line_no"]))
+        first += inside.agg(F.coalesce(F.sum(F.octet_length(line) + 1), F.lit(0))).first()[0]
+        if r["a"] is not None and r["b"] is not None:
+            x, y = r["a"].encode(), r["b"].encode()
+            first += next((k for k, (c, d) in enumerate(zip(x, y, strict=False)) if c != d), min(len(x), len(y)))
+    row = (e_bytes, o_bytes, e_digest, o_digest, first, different, first is not None and first < head_bytes)
+    return expected.sparkSession.createDataFrame([row], "expected_bytes bigint, observed_bytes bigint, expected_digest string, observed_digest string, first_difference bigint, different_lines bigint, in_head boolean")

@@ -206,7 +206,7 @@ def pair_report(paired: DataFrame) -> DataFrame:
 def assign_event_id(events: DataFrame, dense: bool = False) -> DataFrame:
     """Keeps a given event_id; else ids that rise with the partition and row, or 1, 2, ... by (timestamp_ns, pid).
 
-    Dense ids are counted per bucket of time and shifted by the counts before it: no single task sees all rows.
+    Dense ids are counted per range of time and shifted by the counts before it: no single task sees all rows.
     """
     if "event_id" in events.columns:
         return events

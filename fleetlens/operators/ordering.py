@@ -1,8 +1,9 @@
-"""Orders over whole tables in two levels: buckets of a column's range, then rows within a bucket.
+"""Orders over whole tables and within keys of any size, in two levels: ranges of one sort, then rows within a range.
 
-Bounds of the buckets are literals, taken once from the column's approximate quantiles. So a row's bucket depends on
-its value alone: plans that read the table twice, or tasks that run again, agree on it. No task sees more than a
-bucket, unless one value fills more than that.
+A table is staged once in its order, with the number of each row's range (`ranged`); tasks that run again read the same
+table, so they agree on it. What a range needs to know of those before it is one row for each key and range (`carried`).
+The number of ranges follows the table's size, so no task sees more than a range, unless one value fills more than that.
+Staged tables go with the caller's `storage.scratch`.
 """
 
 from __future__ import annotations
@@ -14,45 +15,37 @@ from pyspark.sql import functions as F
 
 from fleetlens.storage import staged
 
-BUCKETS = 200
-
-
-def _place(value: Column, cuts: list[float], first: int = 0) -> Column:
-    """first plus the number of cuts at or below value, by halving the cuts."""
-    if not cuts:
-        return F.lit(first)
-    middle = len(cuts) // 2
-    return F.when(value < cuts[middle], _place(value, cuts[:middle], first)).otherwise(_place(value, cuts[middle + 1 :], first + middle + 1))
-
-
-def bucketed(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
-    """Adds bucket (int), which rises with col; nulls are in bucket 0."""
-    n = min(buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), BUCKETS)
-    cuts = sorted(set(df.approxQuantile(col, [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
-    value = F.col(col).cast("double")
-    return df.withColumn("bucket", F.when(value.isNull(), F.lit(0)).otherwise(_place(value, cuts)))
-
-
-def before(placed: DataFrame, **sums: Column) -> DataFrame:
-    """bucket and, for each name, the sum over all earlier buckets: at most BUCKETS rows."""
-    own = placed.groupBy("bucket").agg(*[s.alias(n) for n, s in sums.items()])
-    w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return own.select("bucket", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in sums])
+#: Rows of a range at most, on average.
+RANGE_ROWS = 4_000_000
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Adds name: 1, 2, ... in the given order, whose first column must be a number."""
-    placed = bucketed(df, order[0])
-    shift = before(placed, shift=F.count(F.lit(1)))
-    at = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
-    return placed.withColumn(name, at).join(F.broadcast(shift), "bucket").withColumn(name, F.col(name) + F.col("shift")).drop("bucket", "shift")
-
-
-def running_sum(placed: DataFrame, value: Column, order: list[str]) -> DataFrame:
-    """Adds total: the sum of value over all rows up to each, of a table that `bucketed` has placed."""
-    shift = before(placed, shift=F.sum(value))
-    w = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumn("total", F.sum(value).over(w)).join(F.broadcast(shift), "bucket").withColumn("total", F.col("total") + F.col("shift")).drop("shift")
+    """Adds name: 1, 2, ... in the given order."""
+    placed = ranged(df, order, name)
+    shift = carried(placed.groupBy("part").agg(F.count("*").alias("n")), [], shift=F.sum("n"))
+    at = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return joined_by_part(placed.withColumn(name, at), shift, []).withColumn(name, F.col(name) + F.coalesce("shift", F.lit(0))).drop("part", "shift")
+
+
+def running_sums(df: DataFrame, order: list[str], name: str, key: list[str] | None = None, **values: Column) -> DataFrame:
+    """Adds for each name the sum of a value over the rows up to each (of its key), in the given order."""
+    key = key or []
+    placed = ranged(df.withColumns(values), [*key, *order], name)
+    parts = placed.groupBy(*key, "part").agg(*[F.sum(n).alias(n) for n in values])
+    earlier = carried(parts, key, **{f"{n}_before": F.sum(n) for n in values})
+    w = Window.partitionBy(*key, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = joined_by_part(placed.withColumns({n: F.sum(n).over(w) for n in values}), earlier, key)
+    return both.withColumns({n: F.col(n) + F.coalesce(f"{n}_before", F.lit(0)) for n in values}).drop("part", *[f"{n}_before" for n in values])
+
+
+def previous(df: DataFrame, col: str, order: list[str], name: str, key: list[str] | None = None) -> DataFrame:
+    """Adds before: col in the row before (of the same key), null in the first. col is never null."""
+    key = key or []
+    placed = ranged(df, [*key, *order], name)
+    ends = placed.groupBy(*key, "part").agg(F.max_by(col, F.struct(*order)).alias("end"))
+    earlier = carried(ends, key, carried=F.last("end"))
+    own = F.lag(col).over(Window.partitionBy(*key, "part").orderBy(*order))
+    return joined_by_part(placed.withColumn("before", own), earlier, key).withColumn("before", F.coalesce("before", "carried")).drop("part", "carried")
 
 
 def as_of(events: DataFrame, marks: DataFrame, key: list[str], name: str, strict: bool = False) -> DataFrame:
@@ -72,7 +65,9 @@ def ranged(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df staged in the given order, with part: the number of a row's range, which rises with the order.
 
     A key of any size is spread over ranges; as the table is written once, tasks that run again agree on part."""
-    return staged(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    usual, wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS)
+    dealt = df.repartitionByRange(wanted, *order) if wanted > usual else df.repartitionByRange(*order)
+    return staged(dealt.withColumn("part", F.spark_partition_id()), name)
 
 
 def carried(parts: DataFrame, key: list[str], **values: Column) -> DataFrame:

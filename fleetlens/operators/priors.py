@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,44 @@ def leakage_check(priors: DataFrame, train: DataFrame, test: DataFrame) -> DataF
     return unknown.join(F.broadcast(leaked)).withColumn("ok", (F.col("unknown") == 0) & (F.col("leaked") == 0))
 
 
+#: Largest difference between a recorded figure and a second computation of it.
+EXACT = 1e-12
+
+
+def table_digest(df: DataFrame) -> DataFrame:
+    """One row, one column digest: a table's rows whatever their order and files, as their number and the sums of two
+    hashes of each row. Columns go by name."""
+    names = sorted(df.columns)
+    hashes = [F.coalesce(F.sum(F.xxhash64(F.lit(salt), *names).cast("decimal(38, 0)")), F.lit(0)) for salt in (1, 2)]
+    return df.agg(F.concat_ws(":", F.count("*").cast("string"), *[h.cast("string") for h in hashes]).alias("digest"))
+
+
+def provenance(catalogue: DataFrame, train: DataFrame, metrics: DataFrame) -> DataFrame:
+    """The part of a run's manifest that says what it was made from, one row: digests of the train split and of the
+    catalogue, and the metrics (one row of figures) as recorded_<name>."""
+    parts = [table_digest(train).withColumnRenamed("digest", "train_digest"), table_digest(catalogue).withColumnRenamed("digest", "catalogue_digest")]
+    recorded = metrics.select(*[F.col(c).alias(f"recorded_{c}") for c in metrics.columns])
+    return reduce(lambda a, b: a.join(F.broadcast(b)), parts, recorded)  # one row each
+
+
+def provenance_check(manifest: DataFrame, catalogue: DataFrame, train: DataFrame, test: DataFrame, metrics: DataFrame, reproduced: DataFrame | None = None) -> DataFrame:
+    """One row of checks on a run: splits_recorded and catalogue_recorded (the tables are those of the manifest),
+    priors_reproduced (a second computation from train, made here if not given, has the same tokens, and rates within
+    EXACT), no_leak (`leakage_check`), metrics_reproduced (the recorded figures are within EXACT of metrics), passed."""
+    again = (prior_catalogue(train) if reproduced is None else reproduced).select("family", "token", F.col("rate").alias("again"))
+    both = catalogue.select("family", "token", "rate").join(again, ["family", "token"], "full_outer")
+    off = both.agg(F.count_if(F.coalesce(F.abs(F.col("rate") - F.col("again")) > EXACT, F.lit(True))).alias("off"))
+    leaks = leakage_check(catalogue, train, test).select(F.col("ok").alias("no_leak"))
+    made = [table_digest(train).withColumnRenamed("digest", "train_now"), table_digest(catalogue).withColumnRenamed("digest", "catalogue_now"), metrics, off, leaks]
+    row = reduce(lambda a, b: a.join(F.broadcast(b)), made, manifest)  # one row each
+    same = [F.coalesce(F.abs(F.col(c) - F.col(f"recorded_{c}")) <= EXACT, F.col(c).isNull() & F.col(f"recorded_{c}").isNull()) for c in metrics.columns]
+    out = row.select(
+        (F.col("train_digest") == F.col("train_now")).alias("splits_recorded"), (F.col("catalogue_digest") == F.col("catalogue_now")).alias("catalogue_recorded"), (F.col("off") == 0).alias("priors_reproduced"),
+        "no_leak", reduce(lambda a, b: a & b, same).alias("metrics_reproduced"),
+    )
+    return out.withColumn("passed", reduce(lambda a, b: a & b, [F.col(c) for c in out.columns]))
+
+
 def split_roles_check(manifest: DataFrame) -> DataFrame:
     """ok: priors from train, grid on validation, final model on both, test used once."""
     want = {"priors": "train", "grid_search": "validation", "final_model": "train+validation", "evaluation": "test"}

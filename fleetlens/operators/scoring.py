@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import clamp01, is_finite
 from fleetlens.schemas import MANIFEST, MODEL_NODE
+from fleetlens.storage import new_path, scratch, staged, written
 
 #: Nodes of an ensemble that is compiled to CASE expressions; larger ones are walked in numpy.
 LARGEST_CASE = 100
@@ -65,6 +67,7 @@ def score_case(flat: DataFrame, nodes: DataFrame, base: float = 0.0, transform:
     if len(table) > LARGEST_CASE:
         raise ValueError(f"nodes: more than {LARGEST_CASE} rows; use score_trees")
     by_id = {(r.tree_id, r.node_id): r for r in table.itertuples()}
+    Ensemble(table)  # refuses what isn't a tree
 
     def tree(tree_id: int, node_id: int) -> Column:
         r = by_id[tree_id, node_id]
@@ -88,7 +91,7 @@ class Ensemble:
     def __init__(self, table: pd.DataFrame) -> None:
         self.table = table.sort_values(["tree_id", "node_id"]).reset_index(drop=True)
         at = {k: i for i, k in enumerate(zip(self.table["tree_id"], self.table["node_id"], strict=True))}
-        child = lambda c: np.array([at[t, int(n)] if not pd.isna(n) else -1 for t, n in zip(self.table["tree_id"], self.table[c], strict=True)])
+        child = lambda c: np.array([at.get((t, int(n)), -1) if not pd.isna(n) else -1 for t, n in zip(self.table["tree_id"], self.table[c], strict=True)])
         self.true, self.false = child("true_node"), child("false_node")
         self.leaf = (self.table["mode"] == "LEAF").to_numpy()
         self.at_most = (self.table["mode"] == "LE").to_numpy()
@@ -97,6 +100,24 @@ class Ensemble:
         self.missing = (self.table["missing_true"] == True).to_numpy()  # noqa: E712  null is no
         self.weight = self.table["weight"].fillna(0).to_numpy()
         self.roots = np.flatnonzero(~self.table["tree_id"].duplicated())
+        self.depth = self._levels()
+
+    def _levels(self) -> int:
+        """Branches on the longest path. Tables in which a walk wouldn't end, or that aren't trees, are refused."""
+        seen, front, levels = np.zeros(len(self.table), bool), self.roots, 0
+        while True:
+            if (front < 0).any():
+                raise ValueError("nodes: a branch lacks a child")
+            if seen[front].any() or len(np.unique(front)) < len(front):
+                raise ValueError("nodes: a node is reached twice (a circle, or a node with several parents)")
+            seen[front] = True
+            inner = front[~self.leaf[front]]
+            if not len(inner):
+                break
+            front, levels = np.concatenate([self.true[inner], self.false[inner]]), levels + 1
+        if not seen.all():
+            raise ValueError("nodes: a node isn't reached from its tree's first node")
+        return levels
 
     def step(self, x: np.ndarray, node: np.ndarray) -> np.ndarray:
         value = np.take_along_axis(x, self.feature[node], axis=1)
@@ -155,8 +176,10 @@ def attribute_paths(flat: DataFrame, nodes: DataFrame, manifest: tuple[str, ...]
     return flat.withColumn("contributions", F.transform(used, lambda c: F.struct(c["feature_name"].alias("feature_name"), c["contribution_score"].alias("contribution_score"))))
 
 
-def attribution_table(flat: DataFrame, nodes: DataFrame, key: list[str], manifest: tuple[str, ...] = MANIFEST, max_depth: int = 32) -> DataFrame:
-    """attribute_paths in relational form for audits: key, feature_name, contribution_score (nodes joined level by level)."""
+def attribution_table(flat: DataFrame, nodes: DataFrame, key: list[str], manifest: tuple[str, ...] = MANIFEST) -> DataFrame:
+    """attribute_paths in relational form for audits: key, feature_name, contribution_score (nodes joined level by level,
+    as many as the deepest tree has)."""
+    depth = Ensemble(collected_nodes(nodes)).depth
     names = F.array(*[F.lit(n) for n in manifest])
     tree = nodes.withColumn("is_leaf", F.col("mode") == "LEAF")
     roots = tree.groupBy("tree_id").agg(F.min("node_id").alias("node_id"))
@@ -164,7 +187,7 @@ def attribution_table(flat: DataFrame, nodes: DataFrame, key: list[str], manifes
         raise ValueError(f"nodes: more than {LARGEST_MODEL} trees")
     state = flat.select(*key, "x").join(F.broadcast(roots)).withColumn("used", F.array().cast("array<int>"))
     state = state.join(tree, ["tree_id", "node_id"])
-    for _ in range(max_depth):
+    for _ in range(depth):
         x = F.get("x", F.col("feature_index"))
         limit = F.col("threshold").cast("float")
         goes = F.when(F.isnan(x), F.col("missing_true")).when(F.col("mode") == "LE", x <= limit).otherwise(x < limit)
@@ -178,8 +201,33 @@ def attribution_table(flat: DataFrame, nodes: DataFrame, key: list[str], manifes
     return sums.filter(F.abs("contribution_score") > 2.22e-16).select(*key, F.get(names, F.col("f")).alias("feature_name"), "contribution_score")
 
 
+def node_places(nodes: DataFrame) -> DataFrame:
+    """tree_id, node_id, root (the tree's first node), top (the last node on the way up), depth below it, circle: where
+    each node hangs, by pointer doubling: after k rounds a node knows its ancestor 2^k levels up, so as many rounds as
+    the number of a tree's nodes has bits. In a circle the way up never ends: top and depth are null there. Of several
+    parents the smallest counts. The result is staged."""
+    spark, path = nodes.sparkSession, new_path(nodes.sparkSession, "places")
+    at = ["tree_id", "node_id"]
+    with scratch(spark):
+        ids = nodes.select(*at).distinct()
+        down = nodes.filter(F.col("mode").isin("LT", "LE")).select("tree_id", F.col("node_id").alias("parent"), F.explode(F.array("true_node", "false_node")).alias("node_id"))
+        up = down.groupBy(*at).agg(F.min("parent").alias("parent"))
+        now = staged(ids.join(up, at, "left").select(*at, F.coalesce("parent", "node_id").alias("to"), F.col("parent").isNotNull().cast("bigint").alias("far"), F.col("parent").isNull().alias("ends")), "up")
+        largest = ids.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
+        for _ in range(largest.bit_length()):
+            next_ = now.select("tree_id", F.col("node_id").alias("to"), F.col("to").alias("further"), F.col("far").alias("more"), F.col("ends").alias("over"))
+            now = staged(now.join(next_, ["tree_id", "to"]).select(*at, F.col("further").alias("to"), (F.col("far") + F.col("more")).alias("far"), "over").withColumnRenamed("over", "ends"), "up")
+        roots = ids.groupBy("tree_id").agg(F.min("node_id").alias("root"))
+        ended = now.join(now.filter("node_id = to and ends").select("tree_id", F.col("node_id").alias("to"), F.lit(True).alias("whole")).distinct(), ["tree_id", "to"], "left")
+        whole = F.coalesce("whole", F.lit(False))
+        return written(ended.join(roots, "tree_id").select(*at, "root", F.when(whole, F.col("to")).alias("top"), F.when(whole, F.col("far")).alias("depth"), (~whole).alias("circle")), path)
+
+
 def model_from_nodes(nodes: DataFrame, n_features: int = len(MANIFEST)) -> DataFrame:
-    """Problems of a node table: tree_id, node_id, problem; no rows for a sound one."""
+    """Problems of a node table: tree_id, node_id, problem; no rows for a sound one.
+
+    Of the shape: several parents, circle (the node lies on or under one), second root (a node without a parent that
+    isn't the tree's first node), not reached (it lies under a second root)."""
     branch = F.col("mode").isin("LT", "LE")
     own = (
         F.when(~F.col("mode").isin("LT", "LE", "LEAF") | F.col("mode").isNull(), "unknown mode")
@@ -192,7 +240,11 @@ def model_from_nodes(nodes: DataFrame, n_features: int = len(MANIFEST)) -> DataF
     children = nodes.filter(branch).select("tree_id", F.col("node_id").alias("parent"), F.explode(F.array("true_node", "false_node")).alias("node_id")).filter("node_id is not null")
     lost = children.join(ids, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("parent").alias("node_id"), F.lit("missing child").alias("problem"))
     twice = ids.groupBy("tree_id", "node_id").count().filter("count > 1").select("tree_id", "node_id", F.lit("repeated node").alias("problem"))
-    return local.unionByName(lost).unionByName(twice)
+    many = children.groupBy("tree_id", "node_id").count().filter("count > 1").join(ids.distinct(), ["tree_id", "node_id"]).select("tree_id", "node_id", F.lit("several parents").alias("problem"))
+    placed = node_places(nodes)
+    odd = F.when(F.col("circle"), "circle").when((F.col("top") == F.col("node_id")) & (F.col("node_id") != F.col("root")), "second root").when(F.col("top") != F.col("root"), "not reached")
+    shape = placed.select("tree_id", "node_id", odd.alias("problem")).filter("problem is not null")
+    return reduce(DataFrame.unionByName, [lost, twice, many, shape], local)
 
 
 def model_schema_check(nodes: DataFrame, manifest: tuple[str, ...] = MANIFEST, classes: tuple[int, ...] = (0, 1)) -> DataFrame:

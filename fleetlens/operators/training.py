@@ -5,10 +5,10 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.ordering import before, bucketed
+from fleetlens.operators.ordering import running_sums
 from fleetlens.schemas import MODEL_NODE
 
 # The grid and the gates.
@@ -81,14 +81,11 @@ def rank_candidates(metrics: DataFrame, tpr_floor: float = 0.95) -> DataFrame:
 
 def threshold_sweep(scored: DataFrame, tpr_floor: float = 0.95) -> DataFrame:
     """One row: the threshold of lowest FPR whose TPR reaches the floor. Scores are first grouped; the running sums over
-    distinct scores go by bucket of scores, then within a bucket."""
+    distinct scores go by range of scores, then within a range."""
     by_score = scored.filter("threat_score is not null").groupBy("threat_score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
     whole = by_score.agg(F.greatest(F.sum("p"), F.lit(1)).alias("all_p"), F.greatest(F.sum("n"), F.lit(1)).alias("all_n"))
-    placed = bucketed(by_score.withColumn("order", -F.col("threat_score")), "order")
-    shift = before(placed, p_before=F.sum("p"), n_before=F.sum("n"))
-    w = Window.partitionBy("bucket").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
-    within = placed.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)}).join(F.broadcast(shift), "bucket")
-    sums = within.select(F.col("threat_score").alias("threshold"), (F.col("tp") + F.col("p_before")).alias("tp"), (F.col("fp") + F.col("n_before")).alias("fp")).join(F.broadcast(whole))
+    totals = running_sums(by_score.withColumn("order", -F.col("threat_score")), ["order"], "sweep", tp=F.col("p"), fp=F.col("n"))
+    sums = totals.select(F.col("threat_score").alias("threshold"), "tp", "fp").join(F.broadcast(whole))
     rates = sums.select("threshold", (F.col("tp") / F.col("all_p")).alias("tpr"), (F.col("fp") / F.col("all_n")).alias("fpr"))
     return rates.filter(F.col("tpr") >= tpr_floor).orderBy("fpr", F.desc("threshold")).limit(1)
 

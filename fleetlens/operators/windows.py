@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.operators.ordering import as_of
+from fleetlens.operators.ordering import as_of, running_sums
 from fleetlens.schemas import process_key, window_key
 
 NS = 1_000_000_000
@@ -102,17 +102,19 @@ def window_reconfigure(events: DataFrame, settings: DataFrame) -> DataFrame:
 def active_windows(windows: DataFrame, cap: int) -> DataFrame:
     """ts_ns, open: how many windows are open from each change on, and over_cap. windows: one row each, with start and end.
 
-    Two levels of running sums: by bucket of time, then within it, so no task sorts all changes.
+    Two levels of running sums: by range of time, then within it, so no task sorts all changes.
     """
     if cap < 1:
         raise ValueError("cap must be 1 at least")
     ends = windows.select(F.explode(F.array(F.struct(F.col("window_start_ns").alias("ts_ns"), F.lit(1).alias("d")), F.struct(F.col("window_end_ns").alias("ts_ns"), F.lit(-1).alias("d")))).alias("e")).select("e.*")
     steps = ends.groupBy("ts_ns").agg(F.sum("d").alias("d"))
-    bucketed = steps.withColumn("bucket", F.expr(f"ts_ns div {86_400 * NS}L"))
-    before = bucketed.groupBy("bucket").agg(F.sum("d").alias("d"))
-    before = before.select("bucket", (F.sum("d").over(Window.orderBy("bucket")) - F.col("d")).alias("before"))
-    within = F.sum("d").over(Window.partitionBy("bucket").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0))
-    return bucketed.join(before, "bucket").select("ts_ns", (F.col("before") + within).cast("bigint").alias("open")).withColumn("over_cap", F.col("open") > cap)
+    open_ = running_sums(steps, ["ts_ns"], "active", d=F.col("d")).select("ts_ns", F.col("d").cast("bigint").alias("open"))
+    return open_.withColumn("over_cap", F.col("open") > cap)
+
+
+def peak_windows(active: DataFrame) -> DataFrame:
+    """One row: the most windows open at once and since when first, from `active_windows`; null if there are none."""
+    return active.agg(F.max("open").alias("peak"), F.max_by("ts_ns", F.struct("open", -F.col("ts_ns"))).alias("since_ns"))
 
 
 def dedup_width(dedup_ms: float) -> int:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import scalars as fn
 from fleetlens.operators import alerts, enrich, explore, features, priors, scoring, training, windows
-from fleetlens.plans.queries import ALERTS, CHAINS, COUNTS, DEDUP, DEDUP_MS, DEPTH, FLAT, IDENTITY, KEY, LABELLED, MODEL_BASE, SCORED, THRESHOLD, TRIALS, W, WHOLE_CHAINS, WINDOW_S, catalogue, corpus, duck, metrics, registered, scored, scored_alerts, vectors, windowed
+from fleetlens.plans.queries import ALERTS, CHAINS, COUNTS, DEDUP, DEDUP_MS, DEPTH, FLAT, IDENTITY, KEY, LABELLED, MODEL_BASE, SCORED, THRESHOLD, TRIALS, W, WHOLE_CHAINS, WINDOW_S, catalogue, corpus, duck, metrics, registered, scored, scored_alerts, trials, vectors, windowed
 from fleetlens.plans.views import view
 from fleetlens.schemas import CORPUS, SYSCALL
 from fleetlens.sources import readers, writers
@@ -271,7 +273,8 @@ kids as (select tree_id, node_id as parent, unnest([true_node, false_node]) as n
     union all select tree_id, parent, 'missing child' from kids where node_id is not null and (tree_id, node_id) not in (select (tree_id, node_id) from nd) union all select tree_id, node_id, 'repeated node' from nd group by tree_id, node_id having count(*) > 1)
 select tree_id, problem, count(*)::bigint as n from al1 group by all"""))
 def model_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.model_from_nodes(made_nodes(spark, sf_dir)).groupBy("tree_id", "problem").agg(F.count("*").alias("n"))
+    of_shape = ("several parents", "circle", "second root", "not reached")  # in model_shapes
+    return scoring.model_from_nodes(made_nodes(spark, sf_dir)).filter(~F.col("problem").isin(*of_shape)).groupBy("tree_id", "problem").agg(F.count("*").alias("n"))
 
 
 @registered("model_schema", duck("e", f"{MADE_NODES} select count(distinct tree_id)::bigint as trees, count(*)::bigint as nodes, {len(scoring.MANIFEST)}::int as width, count(*) > 0 as ok from nd"))
@@ -301,3 +304,67 @@ def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate judged on the whole validation split; its hits follow from fitted trees, the totals from the split."""
     got = training.grid_search(flat_split(spark, sf_dir, "train"), flat_split(spark, sf_dir, "validation"), {"estimators": [1, 2], "depth": [2], "rate": [0.3]})
     return got.select("estimators", "depth", F.round("rate", 6).alias("rate"), (F.col("tp") + F.col("fn")).alias("positives"), (F.col("tn") + F.col("fp")).alias("negatives"))
+
+
+#: A heap of nodes for each user. In every third tree the last node takes node 1 from the first, in every third node 1
+#: has one child twice; trees of an even number of nodes have one node too many.
+SHAPES = """sh as (select u as tree_id, row_number() over (partition by u order by event_id) - 1 as node_id, count(*) over (partition by u) as n from e),
+nd as (select tree_id, node_id, n, 2 * node_id + 2 < n or (tree_id % 3 = 1 and node_id = n - 1) as inner_node, case when tree_id % 3 = 1 and node_id = 0 then 2 when tree_id % 3 = 1 and node_id = n - 1 then 1 when tree_id % 3 = 2 and node_id = 1 then 4 else 2 * node_id + 1 end as true_node,
+    case when tree_id % 3 = 1 and node_id = n - 1 then 1 else 2 * node_id + 2 end as false_node from sh)"""
+SHAPES_SQL = f"""{SHAPES}, kd as (select tree_id, node_id as parent, unnest([true_node, false_node]) as node_id from nd where inner_node), pa as (select tree_id, node_id, min(parent) as parent, count(*) as parents from kd group by all),
+up as (select tree_id, node_id, n, node_id as top, 0 as steps from nd union all select up.tree_id, up.node_id, n, pa.parent, steps + 1 from up join pa on pa.tree_id = up.tree_id and pa.node_id = up.top where steps <= n),
+pl as (select tree_id, node_id, max(steps) > any_value(n) as circle, arg_max(top, steps) as top from up group by all)
+select tree_id, node_id, case when circle then 'circle' when top = node_id then 'second root' else 'not reached' end as problem from pl where circle or top <> 0
+union all select tree_id, node_id, 'several parents' from pa where parents > 1 and (tree_id, node_id) in (select (tree_id, node_id) from nd)
+union all select tree_id, parent, 'missing child' from kd where (tree_id, node_id) not in (select (tree_id, node_id) from nd)"""
+
+
+@registered("model_shapes", duck("e", SHAPES_SQL))
+def model_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node tables with circles, second roots, nodes under these, and nodes of several parents."""
+    by_user = Window.partitionBy("u")
+    heap = view(spark, sf_dir, "e").select(F.col("u").alias("tree_id"), (F.row_number().over(by_user.orderBy("event_id")) - 1).cast("bigint").alias("node_id"), F.count("*").over(by_user).alias("n"))
+    node, kind, last = F.col("node_id"), F.col("tree_id") % 3, F.col("node_id") == F.col("n") - 1
+    inner = (2 * node + 2 < F.col("n")) | ((kind == 1) & last)
+    true_node = F.when((kind == 1) & (node == 0), 2).when((kind == 1) & last, 1).when((kind == 2) & (node == 1), 4).otherwise(2 * node + 1)
+    false_node = F.when((kind == 1) & last, 1).otherwise(2 * node + 2)
+    only = lambda c: F.when(inner, c)
+    nodes = heap.select(
+        "tree_id", "node_id", F.when(inner, "LT").otherwise("LEAF").alias("mode"), only(F.lit(1)).alias("feature_index"), only(F.lit(0.5)).alias("threshold"), only(true_node).alias("true_node"),
+        only(false_node).alias("false_node"), F.when(~inner, 0.1).alias("weight"),
+    )
+    return scoring.model_from_nodes(nodes)
+
+
+SPOILT = ("sound", "rate", "test_token", "metric", "split")
+PROVENANCE = f"""{LABELLED}, sp as (select unnest({list(SPOILT)!r}) as spoilt),
+own as (select spoilt, family, token, rate + case when spoilt = 'rate' and family = 'event' then 1e-9 else 0 end as rate from pr, sp union all select 'test_token', 'process', 'late_proc', 0.5),
+lost as (select spoilt, count(*) as n from own join pr using (family, token) where abs(own.rate - pr.rate) > 1e-12 group by spoilt),
+more as (select spoilt, count(*) as n from own where (family, token) not in (select (family, token) from pr) group by spoilt),
+leak as (select spoilt, count(*) as n from own where family = 'process' and token in (select processName from lp where split = 'test') and token not in (select processName from tr) group by spoilt),
+mt as (select spoilt, count(*) filter (s >= 0.7 and label = 1) + case when spoilt = 'metric' then 1 else 0 end as told, count(*) filter (s >= 0.7 and label = 1) as found from (select case when value > 250 then 1 else 0 end as label, k / 100 as s from e) x, sp group by spoilt),
+rows_of as (select spoilt, (select count(*) from tr) + case when spoilt = 'split' then (select count(*) from lp where split = 'test') else 0 end as n from sp)
+select sp.spoilt, coalesce(lost.n, 0) + coalesce(more.n, 0) = 0 as priors_reproduced, coalesce(leak.n, 0) = 0 as no_leak, mt.told = mt.found as metrics_reproduced, rows_of.n = (select count(*) from tr) as splits_recorded,
+    coalesce(lost.n, 0) + coalesce(more.n, 0) = 0 and coalesce(leak.n, 0) = 0 and mt.told = mt.found and rows_of.n = (select count(*) from tr) as passed
+from sp left join lost using (spoilt) left join more using (spoilt) left join leak using (spoilt) join mt using (spoilt) join rows_of using (spoilt)"""
+
+
+@registered("provenance_checks", duck("corpus", PROVENANCE))
+def provenance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sound training run and four spoilt ones: a changed rate, a token of the test split, a changed metric, a train
+    split that also holds the test split. Each against what its manifest recorded and what a second computation gives."""
+    train, test, rows = corpus(spark, sf_dir, "train"), corpus(spark, sf_dir, "test"), trials(spark, sf_dir)
+    sound = catalogue(spark, sf_dir)
+    kinds = ["family string", "token string", "rate double"]
+    extra = spark.createDataFrame([("process", "late_proc", 0.5)], ", ".join(kinds)).select(*[c for c in sound.columns if c in ("family", "token", "rate")])
+    out = []
+    for name in SPOILT:
+        given = sound.select(*extra.columns)
+        given = given.withColumn("rate", F.when(F.col("family") == "event", F.col("rate") + 1e-9).otherwise(F.col("rate"))) if name == "rate" else given.unionByName(extra) if name == "test_token" else given
+        metrics = training.binary_metrics(rows)
+        told = metrics.withColumn("tp", F.col("tp") + 1) if name == "metric" else metrics
+        manifest = priors.provenance(given, train, told)
+        seen = train.unionByName(test) if name == "split" else train
+        checks = priors.provenance_check(manifest, given, seen, test, training.binary_metrics(rows), reproduced=sound)
+        out.append(checks.select(F.lit(name).alias("spoilt"), "priors_reproduced", "no_leak", "metrics_reproduced", "splits_recorded", "passed"))
+    return reduce(DataFrame.unionByName, out)

@@ -12,7 +12,7 @@ from fleetlens.functions import scalars as fn
 from fleetlens.operators import alerts, enrich, explore, features, ingest, priors, reports, scoring, training, windows
 from fleetlens.plans.views import DUCKDB, MODEL_BASE, ctes, view
 from fleetlens.schemas import SCALAR_FEATURES
-from fleetlens.storage import new_path, staged
+from fleetlens.storage import new_path, scratch, staged
 from fleetlens.streaming import stateful
 
 WINDOW_S, DEDUP_MS = 432_000, 86_400_000
@@ -382,8 +382,9 @@ def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priors.split_tokens(corpus(spark, sf_dir))
 
 
-@registered("leakage_counts", duck("corpus", f"""{LABELLED}, tt as (select distinct 'process' as family, processName as token from lp where split = 'test'), rt as (select distinct processName as token from tr)
-select (count(*) filter (family = 'process' and token not in (select token from rt)))::bigint as unknown, 0::bigint as leaked, true as ok from pr"""))
+@registered("leakage_counts", duck("corpus", f"""{LABELLED}, tk as (select distinct split, unnest([struct_pack(f := 'process', t := processName), struct_pack(f := 'event', t := eventName), struct_pack(f := 'path', t := path_prefix)]) as x from lp),
+both as (select family, token, exists (select 1 from tk where split = 'train' and x.f = family and x.t = token) as known, exists (select 1 from tk where split = 'test' and x.f = family and x.t = token) as tested from pr where family <> 'global' and token is not null)
+select count(*) filter (not known)::bigint as unknown, count(*) filter (not known and tested)::bigint as leaked, count(*) filter (not known) = 0 as ok from both"""))
 def leakage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priors.leakage_check(catalogue(spark, sf_dir), corpus(spark, sf_dir, "train"), corpus(spark, sf_dir, "test"))
 
@@ -455,7 +456,7 @@ def cross_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("attributions", duck("syscalls", f"{SCORED}, {ATTR} select pid, window_start_ns, feature_name, round(c::double, 9) as contribution_score from att"))
 def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = scoring.attribution_table(scoring.flatten_vector(vectors(spark, sf_dir)), view(spark, sf_dir, "model_nodes"), KEY, max_depth=3)
+    got = scoring.attribution_table(scoring.flatten_vector(vectors(spark, sf_dir)), view(spark, sf_dir, "model_nodes"), KEY)
     return got.select(*KEY, "feature_name", F.round("contribution_score", 9).alias("contribution_score"))
 
 
@@ -580,13 +581,26 @@ def correlate_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.correlate_alerts(view(spark, sf_dir, "syscalls"), scored_alerts(spark, sf_dir), PORT).select("alert_id", "pid")
 
 
-@registered("log_diff", duck("e", """x as (select event_id as n, octet_length(encode(props)) + 1 as size from events) select sum(size)::bigint as expected_bytes, (select sum(size) from x where n < (select max(n) from x))::bigint as observed_bytes,
-    (select sum(size) from x where n < 777)::bigint as first_difference, 2::bigint as different_lines, false as in_head from x"""))
+#: Both versions of the log, their lines and trees of digests (two levels: up to a million lines).
+LOGS = """lg as (select event_id as n, props as a, case when event_id = 777 then translate(props, '{', '[') when event_id % 997 = 5 then props || ' more' else props end as b, event_id < (select max(event_id) from events) as kept from events),
+side as (select 'e' as side, n, a as line from lg union all select 'o', n, b from lg where kept),
+leaf as (select side, n // 1024 as node, sha256(string_agg(sha256(line), '' order by n)) as digest from side group by all),
+tree as (select side, case when count(*) = 1 then any_value(digest) else sha256(string_agg(digest, '' order by node)) end as digest from leaf group by side),
+odd as (select n, a, case when kept then b end as b from lg where not kept or a <> b), head as (select * from odd order by n limit 1),
+spot as (select (select coalesce(sum(octet_length(encode(a)) + 1), 0) from lg where lg.n < head.n) + case when b is null then 0 else len(list_filter(generate_series(1, least(len(a), len(b))), lambda k: left(a, k) = left(b, k))) end as byte from head)
+select (select sum(octet_length(encode(line)) + 1) from side where side = 'e')::bigint as expected_bytes, (select sum(octet_length(encode(line)) + 1) from side where side = 'o')::bigint as observed_bytes,
+    (select digest from tree where side = 'e') as expected_digest, (select digest from tree where side = 'o') as observed_digest, byte::bigint as first_difference, (select count(*) from odd)::bigint as different_lines, byte < 4096 as in_head from spot"""
+
+
+@registered("log_diff", duck("e", LOGS))
 def log_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log against one with some lines changed and the last one missing."""
     lines = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("line_no"), F.col("props").alias("line"))
     last = lines.agg(F.max("line_no").alias("m"))
-    changed = lines.join(F.broadcast(last)).filter("line_no < m").drop("m").withColumn("line", F.when(F.col("line_no") == 777, F.translate("line", "{", "[")).otherwise(F.col("line")))
-    return explore.log_diff(lines, changed)
+    text = F.when(F.col("line_no") == 777, F.translate("line", "{", "[")).when(F.col("line_no") % 997 == 5, F.concat("line", F.lit(" more"))).otherwise(F.col("line"))
+    changed = lines.join(F.broadcast(last)).filter("line_no < m").drop("m").withColumn("line", text)
+    with scratch(spark):
+        return explore.log_diff(lines, changed)
 
 
 FIELDS = """printf('entropy %.3f', path_entropy) as entropy, printf('unique files %d', unique_files) as files, printf('failed %d', failed_syscall_count) as failed,
@@ -771,6 +785,17 @@ def counter_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.counter_rate(view(spark, sf_dir, "health_samples"), "load", "idle").select(F.round("rate", 9).alias("rate"), "dropped")
 
 
+@registered("latency_summary", duck("syscalls names", f"""{ALERTS}, tr1 as (select pid, min(timestamp_ns) as start_ns from syscalls group by pid),
+la as (select tr1.pid, min(window_end_ns // 1000 * 1000) - start_ns as l from tr1 join al on al.pid = tr1.pid and window_end_ns // 1000 * 1000 >= start_ns group by tr1.pid, start_ns),
+rl as (select l, row_number() over (order by l) - 1 as r, count(*) over () as n from la), pick as (select * from (values ('p50', 50.0), ('p95', 95.0), ('p99', 99.0), ('p99_9', 99.9)) x(name, p)),
+got as (select name, l from rl, pick where r = greatest(ceil(p * n / 100) - 1, 0))
+select (select count(*) from la)::bigint as trials, {", ".join(f"round((select l from got where name = '{p}') / 1e6, 6) as {p}" for p in ("p50", "p95", "p99", "p99_9"))}, round((select max(l) from la) / 1e6, 6) as max, round((select avg(l) from la) / 1e6, 3) as mean"""))
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long after its first event a process's first alert comes, over all of them."""
+    got = reports.latency_report(alert_latency(spark, sf_dir))
+    return got.select("trials", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99", "p99_9", "max")], F.round("mean", 3).alias("mean"))
+
+
 @registered("longest_streak", duck("e", """x as (select us, value, sum(case when value >= 20 then 0 else 1 end) over (order by us rows unbounded preceding) as run from e), r as (select run, min(us) as start_ns, max(us) as end_ns, count(*)::bigint as samples from x where value >= 20 group by run)
 select start_ns, end_ns, samples from r order by samples desc, start_ns limit 1"""))
 def longest_streak(spark: SparkSession, sf_dir: str) -> DataFrame:

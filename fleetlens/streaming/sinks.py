@@ -15,6 +15,7 @@ from fleetlens.operators.alerts import build_alerts, inference_log, window_ident
 from fleetlens.operators.features import features_all
 from fleetlens.operators.scoring import attribute_paths, degraded_scores, flatten_vector, score_trees
 from fleetlens.schemas import process_key
+from fleetlens.storage import scratch, staged
 from fleetlens.streaming.stateful import late_events, on_time
 
 
@@ -24,12 +25,12 @@ def replaced(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def last_alert_id(spark, path: str, batch_id: int) -> int:
-    """The largest persisted alert id of earlier batches; 0 if none."""
+    """The largest alert id of earlier batches, from the table of one row for each batch at path; 0 if none."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(conf).exists(place):
         return 0
-    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id).agg(F.max("alert_id")).first()[0] or 0
+    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id).agg(F.max("last_id")).first()[0] or 0
 
 
 def telemetry_writer(place: str, model: Callable[[], tuple[DataFrame, str] | None], threshold: float = 0.7, base: float = 0.0, dedup_ms: float = 100) -> Callable[[DataFrame, int], None]:
@@ -51,8 +52,11 @@ def telemetry_writer(place: str, model: Callable[[], tuple[DataFrame, str] | Non
             nodes, model_hash = now
             scored = attribute_paths(score_trees(flat, nodes, base), nodes).withColumn("model_hash", F.lit(model_hash)).persist()
             replaced(inference_log(scored), f"{place}/inference_log", batch_id)
-            alerts = f"{place}/alerts"
-            replaced(build_alerts(scored, window_identity(batch), threshold, last_alert_id(spark, alerts, batch_id)), alerts, batch_id)
+            last = last_alert_id(spark, f"{place}/alert_ids", batch_id)
+            with scratch(spark):  # the staged alerts go once they are written
+                alerts = staged(build_alerts(scored, window_identity(batch), threshold, last), "alerts")
+                replaced(alerts, f"{place}/alerts", batch_id)
+                replaced(alerts.agg(F.coalesce(F.max("alert_id"), F.lit(last)).alias("last_id")), f"{place}/alert_ids", batch_id)
             states = scored.select(*process_key(scored), F.col("window_end_ns").alias("updated_ns"), "threat_score")
             replaced(states.groupBy(*process_key(states)).agg(F.max("updated_ns").alias("updated_ns"), F.max_by("threat_score", "updated_ns").alias("threat_score")), f"{place}/process_state", batch_id)
             scored.unpersist()

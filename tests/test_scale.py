@@ -1,12 +1,14 @@
 """What small tables hide: many partitions, long spans, several hosts, orders over whole tables."""
 
+import itertools
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.operators import alerts, explore, features, ingest, reports, training, windows
-from fleetlens.operators.ordering import bucketed, running_sum
+from fleetlens.operators import alerts, enrich, explore, features, ingest, ordering, reports, training, windows
+from fleetlens.operators.ordering import previous, running_sums
 from fleetlens.operators.priors import f_prior_event, f_prior_path, f_prior_process, f_priors
 from fleetlens.schemas import SYSCALL, window_key
 from fleetlens.streaming import stateful
@@ -96,7 +98,7 @@ def test_orders_in_two_levels(spark, many_partitions):
     total, want = 0, {}
     for ts, v, _ in rows:
         want[ts] = total = total + v
-    assert {r.ts_ns: r.total for r in running_sum(bucketed(df, "ts_ns"), F.col("value"), ["ts_ns"]).collect()} == want
+    assert {r.ts_ns: r.total for r in running_sums(df, ["ts_ns"], "sums", total=F.col("value")).collect()} == want
     changes = [(ts, s) for k, (ts, _, s) in enumerate(rows) if k == 0 or rows[k - 1][2] != s]
     assert sorted((r.ts_ns, r.state) for r in explore.state_history(df).collect()) == changes
     best, run = (0, 0, 0), []
@@ -176,3 +178,92 @@ def test_first_difference_of_long_lines(spark):
     for a, b, at in ((base, base[:30_000] + "x" + base[30_001:], 60_000), ("abc", "abd", 2), ("abc", "abcd", 3), ("", "x", 0)):
         got = explore.log_diff(*[spark.createDataFrame([(0, "same"), (1, x)], "line_no bigint, line string") for x in (a, b)]).first()
         assert (got.first_difference, got.different_lines) == (5 + at, 1)
+
+
+@pytest.fixture
+def small_ranges(spark, monkeypatch):
+    """Ranges of few rows, none joined again."""
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ranges_within_a_key(spark, small_ranges):
+    """One key with most of the rows; the number of ranges follows the rows, and no task has the key whole."""
+    rng = random.Random(3)
+    rows = [(h, t, rng.randrange(5), rng.choice("xy")) for h, n in (("busy", 900), ("b", 20), (None, 30)) for t in rng.sample(range(10**6), n)]
+    df = spark.createDataFrame(rows, "host_id string, ts_ns bigint, value int, state string").repartition(5)
+    placed = ordering.ranged(df, ["host_id", "ts_ns"], "t")
+    sizes = [r["count"] for r in placed.groupBy("part").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 200
+    want, total, before, last = {}, {}, {}, {}
+    for h, t, v, s in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        want[h, t] = total[h] = total.get(h, 0) + v
+        before[h, t] = last.get(h)
+        last[h] = s
+    assert {(r.host_id, r.ts_ns): r.total for r in running_sums(df, ["ts_ns"], "t", ["host_id"], total=F.col("value")).collect()} == want
+    assert {(r.host_id, r.ts_ns): r.before for r in previous(df, "state", ["ts_ns"], "t", ["host_id"]).collect()} == before
+    changes = sorted(((h or "", t) for h, t, _, s in rows if before[h, t] != s))
+    assert sorted((r.host_id or "", r.ts_ns) for r in explore.state_history(df).collect()) == changes
+    numbers = ordering.numbered(df, ["ts_ns", "host_id"], "id").collect()
+    assert [r.id for r in sorted(numbers, key=lambda r: (r.ts_ns, r.host_id is not None, r.host_id or ""))] == list(range(1, len(rows) + 1))
+
+
+def test_partial_warnings_of_a_busy_process(spark, small_ranges):
+    rng = random.Random(5)
+    rows = [(k, 1000 + k // 3, p, rng.random() < 0.4) for p, n in ((1, 600), (2, 40)) for k in range(n)]
+    df = spark.createDataFrame(rows, "event_id bigint, timestamp_ns bigint, pid bigint, enrichment_partial boolean").repartition(4)
+    want = [(p, k) for p in (1, 2) for k in range(600 if p == 1 else 40) for at in [rows.index((k, 1000 + k // 3, p, True)) if (k, 1000 + k // 3, p, True) in rows else None] if at is not None and not (k and rows[at - 1][3])]
+    assert sorted((r.pid, r.event_id) for r in enrich.enrichment_partial(df).collect()) == want
+
+
+def test_two_million_rows_of_one_key(spark):
+    n = 2_000_000
+    df = spark.range(n).select(F.lit("h").alias("host_id"), F.pmod(F.col("id") * 7_368_787, F.lit(n)).alias("ts_ns"), F.lit(1).alias("value"))
+    got = running_sums(df, ["ts_ns"], "t", ["host_id"], total=F.col("value"))
+    assert got.filter("total <> ts_ns + 1").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["even", "skewed", "few", "tied", "decimal"])
+def test_selection_equals_sorting(spark, monkeypatch, kind):
+    """Values of every shape: found by narrowing, without an exchange of the values."""
+    monkeypatch.setattr(reports, "FEW", 50)
+    rng = random.Random(kind)
+    make = {"even": lambda: rng.random(), "skewed": lambda: rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300), "few": lambda: float(rng.randrange(3)), "tied": lambda: rng.choice([1.0, 2.0]) if rng.random() < 0.999 else rng.random(), "decimal": lambda: rng.randrange(10**6)}[kind]
+    values = [make() for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v bigint" if kind == "decimal" else "v double").repartition(4)
+    ps, ordered = [0, 0.1, 12.5, 50, 90, 99.9, 100], sorted(values)
+    got = {r.p: r.value for r in reports.nearest_rank(df, "v", ps).collect()}
+    assert got == {float(p): ordered[max(math.ceil(p * 3000 / 100) - 1, 0)] for p in ps}
+    got = {r.p: r.value for r in reports.rounded_rank(df, "v", ps).collect()}
+    assert got == {float(p): ordered[math.floor((2999 * p + 50) / 100)] for p in ps}
+
+
+def test_latency_report(spark):
+    rows = [(k * 1_000_000,) for k in range(1, 1001)] + [(None,)]
+    r = reports.latency_report(spark.createDataFrame(rows, "latency_ns bigint")).first()
+    assert (r.trials, r.p50, r.p95, r.p99, r.p99_9, r.max, r.mean) == (1000, 500, 950, 990, 999, 1000, 500.5)
+    none = reports.latency_report(spark.createDataFrame([], "latency_ns bigint")).first()
+    assert none.trials == 0 and none.p50 is None and none.max is None and reports.nearest_rank(spark.createDataFrame([], "v double"), "v", [50]).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_log_diff_descends(spark, seed):
+    """Trees of unlike height, changed, missing and added lines, against a comparison byte by byte."""
+    rng = random.Random(seed)
+    a = ["x" * rng.randrange(6) + rng.choice("pq") for _ in range(rng.choice([0, 3, 17, 40]))]
+    b = a[: rng.randrange(len(a) + 1)] if seed % 2 else list(a)
+    for _ in range(seed % 3):
+        if b:
+            at = rng.randrange(len(b))
+            b[at] = b[at][:-1] + rng.choice("éz") + b[at][-1:]
+    b += ["more"] * (seed % 4 * 5)
+    table = lambda lines: spark.createDataFrame(list(enumerate(lines)), "line_no bigint, line string")
+    whole = lambda lines: "".join(f"{x}\n" for x in lines).encode()
+    r = explore.log_diff(table(a), table(b), 20, 3).first()
+    x, y = whole(a), whole(b)
+    first = None if x == y else next((k for k, (c, d) in enumerate(zip(x, y, strict=False)) if c != d), min(len(x), len(y)))
+    assert (r.expected_bytes, r.observed_bytes, r.first_difference) == (len(x), len(y), first)
+    assert r.different_lines == sum(p != q for p, q in itertools.zip_longest(a, b)) and (r.expected_digest == r.observed_digest) == (x == y)
+    assert r.in_head == (first is not None and first < 20)

@@ -1,5 +1,6 @@
 """Streams give what the batch operators give on the same ordered input."""
 
+import os
 import random
 import tempfile
 import time
@@ -8,6 +9,7 @@ import pytest
 
 from fleetlens.operators import features, ingest, windows
 from fleetlens.schemas import SYSCALL
+from fleetlens.storage import shared_dir
 from fleetlens.streaming import sinks, stateful
 
 S, MS = 1_000_000_000, 1_000_000
@@ -232,9 +234,12 @@ def test_writer_is_idempotent(spark):
     batch = windows.window_anchored(random_events(spark, 60), 30).withColumn("short_lived", F.lit(False))
     n = features.f_total(batch).count()
     write = sinks.telemetry_writer(place, lambda: (nodes, "m"))
+    kept = lambda: set(os.listdir(shared_dir(spark))) if os.path.isdir(shared_dir(spark)) else set()
+    before = kept()
     write(batch, 0)
     write(batch, 0)
     write(batch, 1)
+    assert kept() == before  # no batch leaves a staged table
     ids = [r.alert_id for r in spark.read.parquet(f"{place}/alerts").orderBy("alert_id").collect()]
     assert ids == list(range(1, 2 * n + 1)) and spark.read.parquet(f"{place}/inference_log").count() == 2 * n
     sinks.telemetry_writer(place, lambda: None)(batch, 2)

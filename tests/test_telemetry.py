@@ -308,3 +308,49 @@ def test_split_roles_and_ranking(spark):
     assert priors.split_roles_check(good).first().ok
     m = spark.createDataFrame([(50, 3, 0.1, 0.90, 0.99, 0.1), (100, 3, 0.1, 0.96, 0.95, 0.2), (50, 3, 0.1, 0.96, 0.95, 0.2)], "estimators int, depth int, rate double, tpr double, f1 double, fpr double")
     assert [r.estimators for r in training.rank_candidates(m).collect()] == [50, 100, 50]
+
+
+NODE = "tree_id int, node_id int, mode string, feature_index int, threshold double, true_node int, false_node int, missing_true boolean, weight double"
+
+
+def branch(tree, node, yes, no):
+    return (tree, node, "LT", 0, 0.5, yes, no, False, None)
+
+
+def leaf(tree, node):
+    return (tree, node, "LEAF", None, None, None, None, None, 0.1)
+
+
+@pytest.mark.parametrize(
+    ("rows", "problems"),
+    [
+        ([branch(0, 0, 1, 2), leaf(0, 1), leaf(0, 2)], set()),
+        ([branch(0, 0, 1, 2), branch(0, 1, 3, 2), branch(0, 3, 1, 4), leaf(0, 2), leaf(0, 4)], {(1, "several parents"), (2, "several parents")}),
+        ([branch(0, 0, 4, 2), branch(0, 1, 3, 5), branch(0, 3, 1, 6), *[leaf(0, k) for k in (2, 4, 5, 6)]], {(1, "circle"), (3, "circle"), (5, "circle"), (6, "circle")}),
+        ([branch(0, 0, 1, 2), leaf(0, 1), leaf(0, 2), branch(0, 3, 4, 5), leaf(0, 4), leaf(0, 5)], {(3, "second root"), (4, "not reached"), (5, "not reached")}),
+        ([branch(0, 0, 0, 1), leaf(0, 1)], {(0, "circle"), (1, "circle")}),
+    ],
+)
+def test_shapes_of_a_model(spark, rows, problems):
+    nodes = spark.createDataFrame(rows, NODE)
+    assert {(r.node_id, r.problem) for r in scoring.model_from_nodes(nodes).collect()} == problems
+    flat = spark.createDataFrame([(1, [0.0])], "pid int, x array<float>")
+    for score in (scoring.score_trees, scoring.score_case):
+        if problems:
+            with pytest.raises(ValueError, match="nodes:"):
+                score(flat, nodes)
+        else:
+            assert score(flat, nodes).count() == 1
+
+
+def test_a_deep_tree(spark):
+    """300 levels: places by doubling, attribution to the last level."""
+    n = 300
+    nodes = spark.createDataFrame([branch(0, 2 * k, 2 * k + 1, 2 * k + 2) for k in range(n)] + [leaf(0, 2 * k + 1) for k in range(n)] + [leaf(0, 2 * n)], NODE)
+    places = {r.node_id: (r.depth, r.top, r.circle) for r in scoring.node_places(nodes).collect()}
+    assert places[2 * n] == (n, 0, False) and places[1] == (1, 0, False)
+    flat = spark.createDataFrame([(1, [9.0])], "pid int, x array<float>")
+    assert scoring.score_trees(flat, nodes, transform="NONE").first().threat_score == pytest.approx(0.1)
+    few = spark.createDataFrame([branch(0, 2 * k, 2 * k + 1, 2 * k + 2) for k in range(40)] + [leaf(0, 2 * k + 1) for k in range(40)] + [leaf(0, 80)], NODE)
+    got = scoring.attribution_table(flat, few, ["pid"]).collect()
+    assert [round(r.contribution_score, 9) for r in got] == [0.1]
