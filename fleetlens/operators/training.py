@@ -90,8 +90,46 @@ def threshold_sweep(scored: DataFrame, tpr_floor: float = 0.95) -> DataFrame:
     return rates.filter(F.col("tpr") >= tpr_floor).orderBy("fpr", F.desc("threshold")).limit(1)
 
 
-def metrics_gate(metrics: DataFrame, f1: float = GATES["f1"], tpr: float = GATES["tpr"], fpr: float = GATES["fpr"]) -> DataFrame:
-    return metrics.withColumn("passed", (F.col("f1") >= f1) & (F.col("tpr") >= tpr) & (F.col("fpr") <= fpr))
+def cut_gain(rows: DataFrame, feature: int, threshold: float) -> DataFrame:
+    """One row, gain: how much a cut at x[feature] <= threshold lowers the weighted variance of the labels (as -1 and 1),
+    positives weighted by `imbalance_weight`: what a boosted model's first tree maximises at its root. rows: x, label."""
+    y, w = 2 * F.col("label").cast("double") - 1, F.when(F.col("label") == 1, F.col("weight")).otherwise(1.0)
+    sides = rows.join(F.broadcast(imbalance_weight(rows))).groupBy((F.get("x", F.lit(feature)) <= threshold).alias("left")).agg(F.sum(w).alias("w"), F.sum(w * y).alias("wy"))
+    return sides.agg((F.sum(F.col("wy") * F.col("wy") / F.col("w")) / F.sum("w") - F.pow(F.sum("wy") / F.sum("w"), 2)).alias("gain"))
+
+
+def root_cut(model) -> tuple[int, float]:
+    """(feature index, threshold) of the first tree's root."""
+    root = model.trees[0]._call_java("rootNode")
+    return int(root.split().featureIndex()), float(root.split().threshold())
+
+
+def train_final(train: DataFrame, valid: DataFrame, test: DataFrame, grid: dict | None = None, seed: int = 1337):
+    """(node table, test metrics, manifest) of a whole run over labelled corpora: priors from train alone, candidates
+    compared on validation, the best one fitted anew on train and validation, the test split scored once.
+
+    manifest: one row with the role of each split, the chosen parameters, the number of rows fitted and the provenance."""
+    from fleetlens.operators.priors import corpus_features, prior_catalogue, provenance
+    from fleetlens.operators.scoring import flatten_vector, score_trees
+
+    spark, table = train.sparkSession, prior_catalogue(train)
+    flat = lambda df: flatten_vector(corpus_features(df, table)).select("x", "label")
+    best = rank_candidates(grid_search(flat(train), flat(valid), grid, seed)).first()
+    both = flat(train.unionByName(valid))
+    nodes = nodes_from_trees(spark, train_trees(both, {"estimators": best["estimators"], "depth": best["depth"], "rate": best["rate"]}, seed))
+    metrics = binary_metrics(score_trees(flat(test), nodes))
+    roles = {"priors": "train", "grid_search": "validation", "final_model": "train+validation", "evaluation": "test"}
+    fitted = both.agg(F.count("*").alias("fitted_rows")).select(*[F.lit(v).alias(k) for k, v in roles.items()], *[F.lit(best[c]).alias(c) for c in ("estimators", "depth", "rate")], "fitted_rows")
+    return nodes, metrics, fitted.join(F.broadcast(provenance(table, train, metrics)))
+
+
+def metrics_gate(metrics: DataFrame, f1: float = GATES["f1"], tpr: float = GATES["tpr"], fpr: float = GATES["fpr"], checks: DataFrame | None = None) -> DataFrame:
+    """metrics with passed: the figures reach the gates and, if the run's checks are given (one row, from
+    `priors.provenance_check`), these all hold."""
+    reached = (F.col("f1") >= f1) & (F.col("tpr") >= tpr) & (F.col("fpr") <= fpr)
+    if checks is None:
+        return metrics.withColumn("passed", reached)
+    return metrics.join(F.broadcast(checks.select(F.col("passed").alias("sound")))).withColumn("passed", reached & F.col("sound")).drop("sound")
 
 
 def detection_report(trials: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -368,3 +368,46 @@ def provenance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         checks = priors.provenance_check(manifest, given, seen, test, training.binary_metrics(rows), reproduced=sound)
         out.append(checks.select(F.lit(name).alias("spoilt"), "priors_reproduced", "no_leak", "metrics_reproduced", "splits_recorded", "passed"))
     return reduce(DataFrame.unionByName, out)
+
+
+VALUES = "unnest([struct_pack(f := 'p', v := pr1), struct_pack(f := 'e', v := ev1), struct_pack(f := 'a', v := pa1), struct_pack(f := 'x', v := failed), struct_pack(f := 'n', v := named)]) as z"
+RATES = f"""{LABELLED}, fx as (select label, coalesce(p.rate, g) as pr1, coalesce(q.rate, g) as ev1, coalesce(t.rate, g) as pa1, (returnValue < 0)::double as failed, (path is not null)::double as named
+    from tr cross join gl left join pr p on p.family = 'process' and p.token = processName left join pr q on q.family = 'event' and q.token = eventName left join pr t on t.family = 'path' and t.token = path_prefix),
+wt as (select greatest((count(*) filter (label = 0)) / greatest(count(*) filter (label = 1), 1), 1) as weight from fx),
+lf as (select {VALUES}, 2 * label - 1 as y, case when label = 1 then weight else 1 end as w from fx, wt),
+by_value as (select z.f, z.v, sum(w) as w, sum(w * y) as wy from lf group by all), cuts as (select f, v, sum(w) over o as lw, sum(wy) over o as ly, sum(w) over (partition by f) as tw, sum(wy) over (partition by f) as ty from by_value window o as (partition by f order by v)),
+gains as (select f, v, lead(v) over (partition by f order by v) as next_v, ly / lw as at_most, (ty - ly) / nullif(tw - lw, 0) as above,
+    (ly * ly / lw + (ty - ly) * (ty - ly) / nullif(tw - lw, 0)) / tw - pow(ty / tw, 2) as gain from cuts)"""
+
+
+@registered("first_cut", duck("corpus", f"{RATES} select round(max(gain) filter (next_v is not null), 9) as gain from gains"))
+def first_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gain of the cut that a boosted model's first tree has at its root; in SQL, the largest gain of all cuts."""
+    rows = scoring.flatten_vector(priors.corpus_features(corpus(spark, sf_dir, "train"), catalogue(spark, sf_dir))).select("x", "label")
+    model = training.train_trees(rows, {"estimators": 1, "depth": 2, "rate": 0.3})
+    return training.cut_gain(rows, *training.root_cut(model)).select(F.round("gain", 9).alias("gain"))
+
+
+STUMP = f"""{RATES}, best as (select * from gains where next_v is not null order by gain desc limit 1),
+vx as (select row_no, label, coalesce(p.rate, g) as pr1, coalesce(q.rate, g) as ev1, coalesce(t.rate, g) as pa1, (returnValue < 0)::double as failed, (path is not null)::double as named
+    from (select *, row_number() over () as row_no from lp where split = 'validation') e2 cross join gl left join pr p on p.family = 'process' and p.token = processName left join pr q on q.family = 'event' and q.token = eventName left join pr t on t.family = 'path' and t.token = path_prefix),
+vv as (select row_no, label, {VALUES} from vx), pd as (select label, case when z.v <= (best.v + next_v) / 2 then at_most else above end >= 0 as hit from vv join best on z.f = best.f)
+select (count(*) filter (hit and label = 1))::bigint as tp, (count(*) filter (not hit and label = 0))::bigint as tn, (count(*) filter (hit and label = 0))::bigint as fp, (count(*) filter (not hit and label = 1))::bigint as fn from pd"""
+
+
+@registered("stump_metrics", duck("corpus", STUMP))
+def stump_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of one candidate, a single tree of one cut: its validation metrics follow from the best cut."""
+    table = catalogue(spark, sf_dir)
+    flat = lambda split: scoring.flatten_vector(priors.corpus_features(corpus(spark, sf_dir, split), table)).select("x", "label")
+    got = training.grid_search(flat("train"), flat("validation"), {"estimators": (1,), "depth": (1,), "rate": (0.3,)})
+    return got.select("tp", "tn", "fp", "fn")
+
+
+@registered("final_run", duck("corpus", f"""{LABELLED} select (count(*) filter (split <> 'test'))::bigint as fitted_rows, (count(*) filter (split = 'test' and label = 1))::bigint as positives, (count(*) filter (split = 'test' and label = 0))::bigint as negatives from lp"""))
+def final_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole training run: how many rows the last model was fitted on, and tested on."""
+    train, valid, test = (corpus(spark, sf_dir, s) for s in ("train", "validation", "test"))
+    _, metrics, manifest = training.train_final(train, valid, test, {"estimators": (2,), "depth": (2,), "rate": (0.3,)})
+    told = metrics.select((F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"))
+    return manifest.select("fitted_rows").join(F.broadcast(told))

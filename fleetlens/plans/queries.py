@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
@@ -383,8 +384,8 @@ def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("leakage_counts", duck("corpus", f"""{LABELLED}, tk as (select distinct split, unnest([struct_pack(f := 'process', t := processName), struct_pack(f := 'event', t := eventName), struct_pack(f := 'path', t := path_prefix)]) as x from lp),
-both as (select family, token, exists (select 1 from tk where split = 'train' and x.f = family and x.t = token) as known, exists (select 1 from tk where split = 'test' and x.f = family and x.t = token) as tested from pr where family <> 'global' and token is not null)
-select count(*) filter (not known)::bigint as unknown, count(*) filter (not known and tested)::bigint as leaked, count(*) filter (not known) = 0 as ok from both"""))
+seen as (select family, token, exists (select 1 from tk where split = 'train' and x.f = family and x.t = token) as known, exists (select 1 from tk where split = 'test' and x.f = family and x.t = token) as tested from pr where family <> 'global' and token is not null)
+select count(*) filter (not known)::bigint as unknown, count(*) filter (not known and tested)::bigint as leaked, count(*) filter (not known) = 0 as ok from seen"""))
 def leakage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priors.leakage_check(catalogue(spark, sf_dir), corpus(spark, sf_dir, "train"), corpus(spark, sf_dir, "test"))
 
@@ -449,9 +450,13 @@ def scores_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir, udf=True).select(*KEY, F.round("threat_score", 9).alias("threat_score"))
 
 
-@registered("cross_backend", duck("syscalls", f"{SCORED} select count(*)::bigint as rows, true as agree from sc"))
+@registered("cross_backend", duck("syscalls", f"{SCORED} select kind, count(*)::bigint as rows, count(*) filter (kind = 'shifted' and pid % 7 = 0 and pid < 1100) = 0 as agree from sc, (values ('same'), ('shifted')) k(kind) group by kind"))
 def cross_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.cross_backend_check(scored(spark, sf_dir), scored(spark, sf_dir, udf=True), KEY).select("rows", "agree")
+    """Both ways of scoring against each other, and against one that is off for some processes."""
+    case, udf = scored(spark, sf_dir), scored(spark, sf_dir, udf=True)
+    off = F.when((F.col("pid") % 7 == 0) & (F.col("pid") < 1100), F.abs(F.col("threat_score") - 1e-5)).otherwise(F.col("threat_score"))
+    pairs = {"same": udf, "shifted": udf.withColumn("threat_score", off)}
+    return reduce(DataFrame.unionByName, [scoring.cross_backend_check(case, other, KEY).select(F.lit(kind).alias("kind"), "rows", "agree") for kind, other in pairs.items()])
 
 
 @registered("attributions", duck("syscalls", f"{SCORED}, {ATTR} select pid, window_start_ns, feature_name, round(c::double, 9) as contribution_score from att"))
