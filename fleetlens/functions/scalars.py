@@ -46,20 +46,14 @@ def write_intent_text(flags: Column) -> Column:
     return F.coalesce(flags.rlike("|".join(WRITE_NAMES)), F.lit(False))
 
 
-def args_path(args: Column) -> Column:
-    """First text value of the item named pathname or path in a Python-literal list of dicts of the plain shape
-    {'name': ..., 'type': ..., 'value': ...}; null without one."""
-    return F.nullif(F.regexp_extract(args, r"\{[^{}]*'name': '(?:pathname|path)'[^{}]*'value': '([^']*)'[^{}]*\}", 1), F.lit(""))
-
-
-def args_flags(args: Column) -> Column:
-    """Text value of the item named flags; '' without one."""
-    return F.coalesce(F.regexp_extract(args, r"\{[^{}]*'name': 'flags'[^{}]*'value': '([^']*)'[^{}]*\}", 1), F.lit(""))
+#: Lists of dicts of the plain shape {'name': ..., 'type': ..., 'value': ...}, which patterns read exactly.
+_ITEM = r"\{'name': '[^'\\{}]*+'(?:, 'type': '[^'\\{}]*+')?(?:, 'value': (?:'[^'\\{}]*+'|-?\d++(?:\.\d++)?|None|True|False))?\}"
+PLAIN_ARGS = rf"^\[(?:{_ITEM}(?:, {_ITEM})*+)?\]$"
 
 
 @F.pandas_udf(T.StructType([T.StructField("path", T.StringType()), T.StructField("flags", T.StringType())]))
 def args_literal(args: pd.Series) -> pd.DataFrame:
-    """Path and flags of any Python literal, for shapes that the patterns above don't cover."""
+    """Path and flags of any Python literal; null and '' of a broken one."""
     import ast
 
     def one(raw: str | None) -> tuple[str | None, str]:
@@ -74,6 +68,23 @@ def args_literal(args: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in args], columns=["path", "flags"])
 
 
+def _from_args(args: Column, name: str, pattern: str) -> Column:
+    """What the pattern finds in a list of the plain shape; other rows go to `args_literal`, which gets null for the rest."""
+    plain = F.coalesce(args.rlike(PLAIN_ARGS), F.lit(False))
+    return F.when(plain, F.regexp_extract(args, pattern, 1)).otherwise(args_literal(F.when(~plain, args))[name])
+
+
+def args_path(args: Column) -> Column:
+    """First text value of the item named pathname or path in a Python-literal list of dicts; null without one, and for
+    a broken literal."""
+    return F.nullif(_from_args(args, "path", r"\{'name': '(?:pathname|path)'[^{}]*'value': '([^']*)'\}"), F.lit(""))
+
+
+def args_flags(args: Column) -> Column:
+    """Text value of the item named flags; '' without one, and for a broken literal."""
+    return F.coalesce(_from_args(args, "flags", r"\{'name': 'flags'[^{}]*'value': '([^']*)'\}"), F.lit(""))
+
+
 def event_class(name: Column) -> Column:
     """execve, openat, connect or clone of a corpus event name; else none."""
     out = F.lit("none")

@@ -354,3 +354,22 @@ def test_a_deep_tree(spark):
     few = spark.createDataFrame([branch(0, 2 * k, 2 * k + 1, 2 * k + 2) for k in range(40)] + [leaf(0, 2 * k + 1) for k in range(40)] + [leaf(0, 80)], NODE)
     got = scoring.attribution_table(flat, few, ["pid"]).collect()
     assert [round(r.contribution_score, 9) for r in got] == [0.1]
+
+
+def test_args_of_every_shape(spark):
+    plain = "[{'name': 'dirfd', 'type': 'int', 'value': -100}, {'name': 'pathname', 'type': 'const char*', 'value': '/etc/x'}, {'name': 'flags', 'type': 'int', 'value': 'O_RDWR'}]"
+    cases = [
+        (plain, "/etc/x", "O_RDWR"),
+        (plain[:-1], None, ""),  # broken
+        (plain + "]", None, ""),
+        ("""[{"name": "pathname", "value": "it's"}]""", "it's", ""),
+        ("[{'value': '/late', 'name': 'path'}]", "/late", ""),
+        ("[{'name': 'pathname', 'value': 3}, {'name': 'path', 'value': '/b'}]", "/b", ""),
+        ("[{'name': 'pathname', 'value': 'a{b}'}]", "a{b}", ""),
+        ("[]", None, ""),
+        (None, None, ""),
+        ("[" + "{'name': 'x', 'value': 1}, " * 20_000 + "{'name': 'path', 'value': '/end'}]", "/end", ""),
+    ]
+    df = spark.createDataFrame([(k, a) for k, (a, _, _) in enumerate(cases)], "k int, a string")
+    got = {r.k: (r.p, r.f) for r in df.select("k", fn.args_path(F.col("a")).alias("p"), fn.args_flags(F.col("a")).alias("f")).collect()}
+    assert got == {k: (p, f) for k, (_, p, f) in enumerate(cases)}
