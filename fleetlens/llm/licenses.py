@@ -12,6 +12,7 @@ lower-cased text, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -82,11 +83,18 @@ def fuzzy_spans(low: str) -> list[tuple[int, int, str, int, float]]:
             for m in pattern.finditer(low, a, b):
                 edits = sum(m.fuzzy_counts)
                 hits.append((m.start(), m.end(), label, edits, 1 - edits / len(wording)))
+    return best_apart(hits)
+
+
+def best_apart(hits: list[tuple[int, int, str, int, float]]) -> list[tuple[int, int, str, int, float]]:
+    """Hits in text order that don't overlap: the likelier go first, then the longer, the earlier. What is kept stays
+    sorted, so each hit is held against its two neighbours."""
     best: list[tuple[int, int, str, int, float]] = []
     for hit in sorted(hits, key=lambda h: (-h[4], -(h[1] - h[0]), h[0], h[2])):
-        if all(hit[1] <= x[0] or hit[0] >= x[1] for x in best):
-            best.append(hit)
-    return sorted(best)
+        k = bisect_left(best, hit[0], key=lambda x: x[0])
+        if (k == 0 or best[k - 1][1] <= hit[0]) and (k == len(best) or hit[1] <= best[k][0]):
+            best.insert(k, hit)
+    return best
 
 
 def phrase_places(low: str) -> tuple[int, list[tuple[int, str]]]:

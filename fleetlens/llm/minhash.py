@@ -245,7 +245,8 @@ def met_across(keys: DataFrame) -> DataFrame:
     component never meet. keys: the columns of `difference_keys`.
 
     Keys that one component holds alone drop out before the join. In another the components are numbered, and for each
-    bit of the numbers those with 0 meet those with 1: unlike numbers differ in some bit, like ones in none.
+    bit those whose numbers agree above it and differ in it meet: so two unlike numbers meet once, at their highest
+    unlike bit, and like ones never.
     """
     mixed = keys.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bool_or("apart").alias("any"), F.bool_and("apart").alias("all"))
     held = keys.join(mixed.filter("low <> high and any and not all").select("key"), "key")
@@ -253,10 +254,10 @@ def met_across(keys: DataFrame) -> DataFrame:
     by_key = Window.partitionBy("key")
     numbers = comps.select("key", "comp", (F.dense_rank().over(by_key.orderBy("comp")) - 1).alias("number"), F.count("*").over(by_key).alias("comps"))
     bits = F.sequence(F.lit(0), F.ceil(F.log2(F.col("comps").cast("double"))).cast("int") - 1)
-    placed = held.join(numbers, ["key", "comp"]).withColumn("bit", F.explode(bits)).withColumn("side", F.expr("shiftright(number, bit) & 1"))
-    x = placed.filter("apart").select("key", "bit", "side", F.col("doc_id").alias("x"), F.col("size").alias("size_x"), F.col("excess").alias("excess_x"))
-    y = placed.filter("not apart").select("key", "bit", (1 - F.col("side")).alias("side"), "doc_id", "size", "excess")
-    return x.join(y, ["key", "bit", "side"])
+    placed = held.join(numbers, ["key", "comp"]).withColumn("bit", F.explode(bits)).withColumns({"above": F.expr("shiftright(number, bit + 1)"), "side": F.expr("shiftright(number, bit) & 1")})
+    x = placed.filter("apart").select("key", "bit", "above", "side", F.col("doc_id").alias("x"), F.col("size").alias("size_x"), F.col("excess").alias("excess_x"))
+    y = placed.filter("not apart").select("key", "bit", "above", (1 - F.col("side")).alias("side"), "doc_id", "size", "excess")
+    return x.join(y, ["key", "bit", "above", "side"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -66,18 +66,17 @@ def write_archives(pages: DataFrame, path: str, date: str, id_col: str = "page_i
 
 def _records(pieces: Iterator[str]) -> Iterator[tuple[dict[str, str], str]]:
     """Headers and block of each record, from text cut at every BREAK + VERSION."""
-    held, need = None, 0
+    held, need, size, seam = None, 0, 0, len((BREAK + VERSION).encode())
     for piece in pieces:
         if held is None:
             head, _, body = piece.removeprefix(VERSION).partition(BREAK)
             headers = dict(x.split(": ", 1) for x in head.split("\r\n") if ": " in x)
-            held, need = [body], int(headers["Content-Length"])
+            held, need, size = [body], int(headers["Content-Length"]), len(body.encode())
         else:
             held.append(piece)
-        text = (BREAK + VERSION).join(held)
-        block = text.encode()
-        if len(block) >= need:
-            yield headers, block[:need].decode()
+            size += seam + len(piece.encode())
+        if size >= need:  # joined once, however often the payload holds the text between records
+            yield headers, (BREAK + VERSION).join(held).encode()[:need].decode()
             held = None
     if held is not None:
         raise ValueError("an archive ends inside a record")
