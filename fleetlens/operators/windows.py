@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,55 +130,28 @@ def width_of(windowed: DataFrame, dedup_ms: float) -> Column:
 
 
 def dedup_openat(windowed: DataFrame, dedup_ms: float = 100, ordered: bool = True) -> DataFrame:
-    """Collapses repeated opens of one file inside a window; repeat_count adds up, the first timestamp stays. The width
-    is the window's own where rows have dedup_ns.
+    """Collapses repeated opens of one file inside a window; repeat_count adds up, the first row stays. The width is the
+    window's own where rows have dedup_ns.
 
-    ordered: rows in (timestamp_ns, event_id) order, gaps and islands by window functions. Otherwise arrival order
-    (event_id) with the rule that a timestamp below the window's largest never merges, in grouped pandas.
+    ordered: rows in (timestamp_ns, event_id) order. Otherwise arrival order (event_id), in which a row that is older
+    than one before it in the window never merges. Gaps and islands by window functions: a row is held against the row
+    before it of the same run of opens and the same identity, which is the last of that record.
     """
-    width = width_of(windowed, dedup_ms)
-    key, rows = window_key(windowed), windowed
+    width, key, rows = width_of(windowed, dedup_ms), window_key(windowed), windowed
     if "repeat_count" not in rows.columns:
         rows = rows.withColumn("repeat_count", F.lit(1).cast("bigint"))
     same = [c for c in IDENTITY if c in rows.columns]
     rows = rows.withColumn("repeat_count", F.greatest("repeat_count", F.lit(1)).cast("bigint"))
-    if not ordered:
-        widths = rows.withColumn("dedup_width", width)
-        return widths.groupBy(*key).applyInPandas(lambda pdf: dedup_arrivals(pdf.drop(columns="dedup_width"), same, int(pdf["dedup_width"].iloc[0])), rows.schema)
     candidate = (F.col("syscall_type") == "Openat") & F.col("filename").isNotNull()
-    by_time = Window.partitionBy(*key).orderBy("timestamp_ns", "event_id")
-    run = F.sum(F.when(F.col("syscall_type") == "Openat", 0).otherwise(1)).over(by_time.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("run", run)
+    order, ts = ["timestamp_ns", "event_id"] if ordered else ["event_id"], F.col("timestamp_ns")
+    in_order = Window.partitionBy(*key).orderBy(*order)
+    run = F.sum(F.when(F.col("syscall_type") == "Openat", 0).otherwise(1)).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    older = F.lit(False) if ordered else F.coalesce(ts < F.max(ts).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    rows = rows.withColumns({"run": run, "older": older})
     alike = [*key, "run", *same, "alone"]
     rows = rows.withColumn("alone", F.when(candidate, F.lit(-1)).otherwise(F.col("event_id")))
-    like = Window.partitionBy(*alike).orderBy("timestamp_ns", "event_id")
-    rows = rows.withColumn("fresh", F.coalesce(F.col("timestamp_ns") - F.lag("timestamp_ns").over(like) >= width, F.lit(True)).cast("int"))
+    like = Window.partitionBy(*alike).orderBy(*order)
+    rows = rows.withColumn("fresh", (F.col("older") | F.coalesce(ts - F.lag(ts).over(like) >= width, F.lit(True))).cast("int"))
     rows = rows.withColumn("record", F.sum("fresh").over(like.rowsBetween(Window.unboundedPreceding, 0)))
-    one = Window.partitionBy(*alike, "record")
-    total = F.sum("repeat_count").over(one)
-    return rows.withColumn("repeat_count", total).filter("fresh = 1").drop("run", "alone", "fresh", "record")
-
-
-def dedup_arrivals(pdf: pd.DataFrame, same: list[str], width: int) -> pd.DataFrame:
-    """The sequential rule on one window in arrival order."""
-    pdf = pdf.sort_values("event_id", kind="stable")
-    records: list[dict] = []
-    last: list[int] = []
-    newest = None
-    for row in pdf.to_dict("records"):
-        ts, hit = row["timestamp_ns"], None
-        if row["syscall_type"] == "Openat" and isinstance(row["filename"], str) and (newest is None or ts >= newest):
-            for k in range(len(records) - 1, -1, -1):
-                if records[k]["syscall_type"] != "Openat":
-                    break
-                if all(records[k][c] == row[c] or (pd.isna(records[k][c]) and pd.isna(row[c])) for c in same):
-                    hit = k if ts - last[k] < width else None
-                    break
-        newest = ts if newest is None else max(newest, ts)
-        if hit is None:
-            records.append(row)
-            last.append(ts)
-        else:
-            records[hit]["repeat_count"] += row["repeat_count"]
-            last[hit] = ts
-    return pd.DataFrame(records, columns=pdf.columns).astype({c: t for c, t in pdf.dtypes.items() if t.kind in "iub"})
+    total = F.sum("repeat_count").over(Window.partitionBy(*alike, "record"))
+    return rows.withColumn("repeat_count", total).filter("fresh = 1").drop("run", "older", "alone", "fresh", "record")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import scalars as fn
 from fleetlens.operators import alerts, enrich, explore, features, priors, scoring, training, windows
-from fleetlens.plans.queries import ALERTS, CHAINS, COUNTS, DEDUP, DEDUP_MS, DEPTH, FLAT, IDENTITY, KEY, LABELLED, MODEL_BASE, SCORED, THRESHOLD, TRIALS, W, WHOLE_CHAINS, WINDOW_S, catalogue, corpus, duck, metrics, registered, scored, scored_alerts, trials, vectors, windowed
+from fleetlens.plans.queries import ALERTS, DEDUP_MS, IDENTITY, KEY, LABELLED, SCORED, THRESHOLD, TRIALS, W, WHOLE_CHAINS, WINDOW_S, catalogue, corpus, duck, metrics, registered, scored, scored_alerts, trials, vectors, windowed
 from fleetlens.plans.views import view
 from fleetlens.schemas import CORPUS, SYSCALL
 from fleetlens.sources import readers, writers

@@ -373,3 +373,36 @@ def test_args_of_every_shape(spark):
     df = spark.createDataFrame([(k, a) for k, (a, _, _) in enumerate(cases)], "k int, a string")
     got = {r.k: (r.p, r.f) for r in df.select("k", fn.args_path(F.col("a")).alias("p"), fn.args_flags(F.col("a")).alias("f")).collect()}
     assert got == {k: (p, f) for k, (_, p, f) in enumerate(cases)}
+
+
+def slow_dedup(rows, width):
+    """The rule of arrival order on one window, record by record."""
+    records, newest = [], None
+    for event, ts, kind, name, n in sorted(rows):
+        hit = None
+        if kind == "Openat" and name is not None and (newest is None or ts >= newest):
+            for r in reversed(records):
+                if r["kind"] != "Openat":
+                    break
+                if r["name"] == name:
+                    hit = r if ts - r["last"] < width else None
+                    break
+        newest = ts if newest is None else max(newest, ts)
+        if hit is None:
+            records.append({"event": event, "kind": kind, "name": name, "last": ts, "n": n})
+        else:
+            hit["last"], hit["n"] = ts, hit["n"] + n
+    return sorted((r["event"], r["n"]) for r in records)
+
+
+def test_dedup_in_arrival_order(spark):
+    """Rows out of order, runs of opens broken by other calls, repeats that count more than once."""
+    rng, rows = random.Random(12), []
+    for w in range(6):
+        for k in range(120):
+            kind = "Openat" if rng.random() < 0.9 else "Execve"
+            rows.append((w * 1000 + k, w, (k * 20 + rng.randrange(-60, 60)) * 1_000_000, kind, rng.choice(["a", "b", "c", None]), rng.choice([1, 1, 3])))
+    df = spark.createDataFrame(rows, "event_id bigint, window_start_ns bigint, timestamp_ns bigint, syscall_type string, filename string, repeat_count bigint").withColumns({"pid": F.lit(1), "lifetime": F.lit(0)})
+    got = windows.dedup_openat(df, 100, ordered=False).collect()
+    want = [x for w in range(6) for x in slow_dedup([(e, ts, kind, name, n) for e, v, ts, kind, name, n in rows if v == w], 100_000_000)]
+    assert sorted((r.event_id, r.repeat_count) for r in got) == sorted(want)
