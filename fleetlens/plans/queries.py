@@ -14,7 +14,7 @@ from fleetlens.operators import alerts, enrich, explore, features, ingest, prior
 from fleetlens.plans.views import DUCKDB, MODEL_BASE, ctes, view
 from fleetlens.schemas import SCALAR_FEATURES
 from fleetlens.storage import new_path, scratch, staged
-from fleetlens.streaming import stateful
+from fleetlens.streaming import sinks, stateful
 
 WINDOW_S, DEDUP_MS = 432_000, 86_400_000
 THRESHOLD, PORT = 0.7, 4003
@@ -714,6 +714,20 @@ def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("pid", "syscall_type", "timestamp_ns", "pair_status", "syscall_result")
 
 
+@registered("stream_alerts", duck("syscalls names", f"""{ALERTS} select pid, epoch_us(make_timestamp(window_end_ns // 1000)) as ts_us, round(threat_score, 9) as threat_score, (select count(*) from al)::bigint as last_id, (select count(*) from sc)::bigint as scored from al"""))
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream out of order, through windows and the writer: its alerts, their largest id, and how many
+    vectors its inference log holds."""
+    stateful.use_rocksdb(spark)
+    events, place = view(spark, sf_dir, "syscalls"), new_path(spark, "telemetry")
+    stream = stateful.window_stream(stateful.with_event_time(in_disorder(events.unionByName(beat_row(events)), 9 * windows.NS)), WINDOW_S, dedup_ms=DEDUP_MS)
+    write = sinks.telemetry_writer(place, lambda: (view(spark, sf_dir, "model_nodes"), "m1"), THRESHOLD, MODEL_BASE, DEDUP_MS)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{place}/alerts")
+    facts = found.agg(F.max("alert_id").alias("last_id")).join(F.broadcast(spark.read.parquet(f"{place}/inference_log").agg(F.count("*").alias("scored"))))
+    return found.join(F.broadcast(facts)).select("pid", F.unix_micros("timestamp").alias("ts_us"), F.round("threat_score", 9).alias("threat_score"), "last_id", "scored")
+
+
 # --- evaluation and reports ---------------------------------------------------------------------------------------
 
 TRIALS = "tl as (select *, case when value > 250 then 1 else 0 end as label, k / 100 as s from e)"
