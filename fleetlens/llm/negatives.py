@@ -50,7 +50,8 @@ def prepared(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     shifted = F.when(i % SHIFTED == 0, (label + 1) % LABELS).otherwise(label)
     rows = df.filter(i.isNotNull() & label.isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(finite, F.lit(False)))
-    whole = F.transform(v, lambda x: F.rint(F.floor(x * float(SCALE)).cast("double")))
+    scaled = lambda x: x * float(SCALE)
+    whole = F.transform(v, lambda x: F.when(F.abs(scaled(x)) < EXACT, F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))  # larger doubles are whole
     return rows.select(i.alias("vec_id"), shifted.alias("label"), whole.alias("v")).distinct()
 
 

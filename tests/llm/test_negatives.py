@@ -80,6 +80,8 @@ def test_large_components(spark):
     assert got(spark.createDataFrame(rows, SCHEMA)) == slow([(i, [float(np.float32(x)) for x in v], l) for i, v, l in rows])
     with pytest.raises(Exception, match="64 bits"):
         got(spark.createDataFrame([(0, [1e20], 1), (1, [1e20], 1)], SCHEMA))
+    with pytest.raises(Exception, match="64 bits"):
+        got(spark.createDataFrame([(0, [1e20], 1), (1, [0.004], 1)], SCHEMA))
 
 
 def test_nothing(spark):
