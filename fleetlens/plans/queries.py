@@ -171,6 +171,12 @@ def active_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.active_windows(windowed(spark, sf_dir).select(*KEY, "window_end_ns").distinct(), 100)
 
 
+@registered("peak_windows", duck("syscalls", f"""{W}, x as (select distinct pid, window_start_ns from w), s as (select window_start_ns as ts_ns, 1 as d from x union all select window_start_ns + {SIZE}, -1 from x),
+t as (select ts_ns, sum(d) as d from s group by ts_ns), o as (select ts_ns, sum(d) over (order by ts_ns) as open from t) select max(open)::bigint as peak, min(ts_ns) filter (open = (select max(open) from o)) as since_ns from o"""))
+def peak_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.peak_windows(active_windows(spark, sf_dir))
+
+
 @registered("window_reconfigure", duck("syscalls", f"{W} select pid, window_start_ns, count(*)::bigint as n from w group by all"))
 def window_reconfigure(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = spark.createDataFrame([(0, WINDOW_S)], "effective_ns bigint, window_s bigint")
