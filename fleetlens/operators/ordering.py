@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.storage import staged
+from fleetlens.storage import dropped, new_path, staged, written
 
 #: Rows of a range at most, on average.
 RANGE_ROWS = 4_000_000
@@ -64,10 +64,15 @@ def as_of(events: DataFrame, marks: DataFrame, key: list[str], name: str, strict
 def ranged(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df staged in the given order, with part: the number of a row's range, which rises with the order.
 
-    A key of any size is spread over ranges; as the table is written once, tasks that run again agree on part."""
-    usual, wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS)
-    dealt = df.repartitionByRange(wanted, *order) if wanted > usual else df.repartitionByRange(*order)
-    return staged(dealt.withColumn("part", F.spark_partition_id()), name)
+    A key of any size is spread over ranges; as the table is written once, tasks that run again agree on part. df is
+    written as it comes first, so that it is computed once for its size, its bounds and its rows; this copy goes again."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    whole = written(df, path)
+    usual, wanted = int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole.count() // RANGE_ROWS)
+    dealt = whole.repartitionByRange(wanted, *order) if wanted > usual else whole.repartitionByRange(*order)
+    placed = staged(dealt.withColumn("part", F.spark_partition_id()), name)
+    dropped(spark, path)
+    return placed
 
 
 def carried(parts: DataFrame, key: list[str], **values: Column) -> DataFrame:
