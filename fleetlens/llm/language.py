@@ -33,8 +33,18 @@ from fleetlens.llm.common import chunks, slices, staged, texts_of
 from fleetlens.storage import dropped
 
 #: Runs of letters: code points that str.isalpha takes. Number signs such as ½ or Ⅻ are word characters, but no letters.
+#: Those beyond the basic plane make a character class slow, so they have a pattern of their own.
 NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
+LETTERS = re.compile(rf"[^\W\d_{''.join(c for c in NUMBERS if c <= '\uffff')}]+")
+HIGH_NUMBERS = re.compile(rf"[{''.join(c for c in NUMBERS if c > '\uffff')}]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    words = LETTERS.findall(text)
+    return words if all(map(str.isalpha, words)) else [w for x in words for w in HIGH_NUMBERS.split(x) if w]
+
+
 #: Numbers (word, language) whose likelihoods a worker keeps; beyond it the memory is emptied. Results don't depend on it.
 KEPT = 1_200_000
 #: Numbers that one forward pass holds at once; bounds memory, not results.
@@ -193,7 +203,7 @@ def fit(df: DataFrame, path: str, per_language: int = 1500, block: int = 200, ro
             for langs, texts in chunks(batch):
                 seen: dict[tuple[str, str], int] = {}
                 for lang, text in zip(langs, texts, strict=True):
-                    for w in LETTERS.findall(text.lower()):
+                    for w in letter_runs(text.lower()):
                         seen[lang, w] = seen.get((lang, w), 0) + 1
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
@@ -256,7 +266,7 @@ def _scorer(df: DataFrame, path: str, languages: tuple[str, ...], prob: np.ndarr
                     index, table = {}, table[:0]
                 numbers, new = [], []
                 for text in part.column(1).to_pylist():
-                    own = LETTERS.findall(text.lower())
+                    own = letter_runs(text.lower())
                     at = np.zeros(len(own), np.int64)
                     for k, w in enumerate(own):
                         i = index.get(w)

@@ -577,7 +577,8 @@ def test_only_letters_count(spark):
     got = by_id(language.predict(spark.createDataFrame(rows, schema), model))
     assert [(got[i].lang_pred, got[i].score) for i in (1, 2, 3, 5)] == [("und", 0.0)] * 4
     assert got[4].lang_pred == "aa" and got[6].lang_pred in ("aa", "bb")
-    assert all(bool(language.LETTERS.fullmatch(c)) == c.isalpha() for c in map(chr, range(0x3000)))
+    assert all((language.letter_runs(c) == [c]) == c.isalpha() for c in map(chr, range(0x20000)))
+    assert language.letter_runs("ab\U0001f100cd ½e \U00010107") == ["ab", "cd", "e"]
 
 
 def test_language(spark, docs, rows, nothing):
