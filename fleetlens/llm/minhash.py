@@ -1,8 +1,9 @@
 """MinHash near-duplicate groups with sequential Bayesian verification.
 
-1. One pass sketches every text: number of distinct shingles, digest of the shingle set, MinHash signature.
+1. One pass sketches every text: number of distinct shingles, digest of the shingle set, band keys of its MinHash
+   signature. Signatures are made again with the full sets, of the texts that share a band with another.
 2. Texts with equal sets become one node (the smallest doc_id), so groups of copies cost one row each.
-3. Signatures are cut into bands; nodes that share a band are candidates. Within a bucket no all-pairs step:
+3. Nodes that share a band are candidates. Within a bucket no all-pairs step:
    every node is compared with the bucket's first node, the links found are joined to components, then in `rounds`
    turns the nodes outside a bucket's main component are compared with one member of it each (all linear). Pairs
    within one component can't change the result, so no link that matters is left out, whatever `rounds` is.
@@ -60,45 +61,43 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint32(8)).astype("<u2")
 
 
+@lru_cache(maxsize=1)
+def _factors() -> np.ndarray:
+    return np.random.default_rng(7).integers(1, 2**63, (BANDS, ROWS), np.uint64) | np.uint64(1)
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """BANDS keys of a signature: one hash for each band, unlike for the same rows in another band."""
+    rows, mul, key = sig.reshape(BANDS, ROWS).astype(np.uint64), _factors(), np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        key = (key ^ rows[:, r]) * mul[:, r]
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
 def hashed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, digest, sig of (doc_id, text); digest and sig are null for texts without words."""
+    """doc_id, text_hash, n_shingles, digest, bands (keys of the signature's bands) of (doc_id, text); digest is null and
+    bands empty for texts without words."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in it:
             for part in slices(batch):
-                n, digests, sigs = [], [], []
+                n, digests, keys = [], [], []
                 for text in part.column(1).to_pylist():
                     s = np.unique(sequence_hashes(white_words(text), k, known))
                     n.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    sigs.append(signature(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest", "sig"])
-
-    return hashed_texts(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, sig binary")
-
+                    keys.append(band_keys(signature(s)) if len(s) else np.zeros(0, np.int64))
+                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), bands], ["doc_id", "text_hash", "n_shingles", "digest", "bands"])
 
-def band_rows(nodes: DataFrame) -> DataFrame:
-    """key, doc_id, n_shingles: one row per node and band."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mul = np.random.default_rng(7).integers(1, 2**63, (BANDS, ROWS), np.uint64) | np.uint64(1)
-        for batch in it:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u2").reshape(-1, BANDS, ROWS).astype(np.uint64)
-                key = np.zeros(sig.shape[:2], np.uint64) + np.arange(BANDS, dtype=np.uint64)
-                for r in range(ROWS):
-                    key = (key ^ sig[:, :, r]) * mul[:, r]
-                    key ^= key >> np.uint64(31)
-                ids, n = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(n, BANDS))], ["key", "doc_id", "n_shingles"])
-
-    return nodes.select("doc_id", "n_shingles", "sig").mapInArrow(run, "key long, doc_id long, n_shingles long")
+    return hashed_texts(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>")
 
 
 def least_matches(percent: int, miss: float, batch: int = BATCH, hashes: int = BANDS * ROWS) -> dict[int, int]:
@@ -119,7 +118,7 @@ def least_matches(percent: int, miss: float, batch: int = BATCH, hashes: int = B
     return out
 
 
-def survivors(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float) -> DataFrame:
+def survivors(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float) -> DataFrame:
     """Pairs (a, b) that sequential comparison of signature batches doesn't prune."""
     least = least_matches(percent, miss)
 
@@ -134,22 +133,26 @@ def survivors(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float) ->
                 alive, matches, start = alive[keep], matches[keep], n
             yield pa.RecordBatch.from_arrays([pa.array(a[alive]), pa.array(b[alive])], ["a", "b"])
 
-    sig = nodes.select("doc_id", "sig")
+    sig = sigs.select("doc_id", "sig")
     both = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, shingles: the whole set of each text, packed."""
+    """doc_id, shingles, sig: the whole set of each text, packed, and its signature."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in it:
             for part in slices(batch):
-                sets = [np.unique(sequence_hashes(white_words(t), k, known)).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                sets, sigs = [], []
+                for text in part.column(1).to_pylist():
+                    s = np.unique(sequence_hashes(white_words(text), k, known))
+                    sets.append(s.tobytes())
+                    sigs.append(signature(s).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "shingles", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return docs.mapInArrow(run, "doc_id long, shingles binary, sig binary")
 
 
 def mains(placed: DataFrame) -> DataFrame:
@@ -187,7 +190,7 @@ def differences(spots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n), pa.array(n_center), inside, pa.array(linked), d], ["main", "doc_id", "comp", "n", "n_center", "inside", "linked", "d"])
 
     own = sets.select("doc_id", F.col("shingles").alias("own"))
-    center = sets.select(F.col("doc_id").alias("main"), F.col("shingles").alias("center"))
+    center = sets.join(spots.select(F.col("main").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("main"), F.col("shingles").alias("center"))
     both = spots.join(own, "doc_id").join(center, "main").select("main", "doc_id", "comp", "own", "center")
     return both.mapInArrow(run, "main long, doc_id long, comp long, n long, n_center long, inside boolean, linked boolean, d array<long>")
 
@@ -261,7 +264,7 @@ def met_across(keys: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union, on full sets."""
+    """Pairs with 100 * intersection >= percent * union, on full sets. Only sets of texts in a pair are dealt out."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -276,8 +279,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    return one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = sets.select("doc_id", "shingles").join(ends, "doc_id", "left_semi")
+    one = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
+    return one.join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> tuple[DataFrame, str]:
@@ -306,23 +311,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = counted.agg(F.sum("n")).first()[0] or 0
     own = looked_up(sk.filter("doc_id is not null and digest is not null").select("doc_id", "n_shingles", "digest"), counted, ["digest"], total).select("doc_id", "n_shingles", "node")
     members, m_path = staged(own, "members")
-    of_node = F.min_by(F.struct("text_hash", "n_shingles", "sig"), "text_hash").alias("of")
-    nodes, n_path = staged(sk.join(counted.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).groupBy("doc_id").agg(of_node).select("doc_id", "of.*"), "nodes")
-
-    rows = band_rows(nodes)
-    buckets, b_path = staged(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("n > 1"), "buckets")
+    alone, a_path = staged(sk.filter("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")), "alone")
+    # the bands of a text travel once: what stands for a node is chosen without them
+    worded = sk.filter("doc_id is not null and digest is not null")
+    of_node = worded.select("doc_id", "text_hash", "digest").join(counted.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    nodes, n_path = staged(worded.select("doc_id", "text_hash", "n_shingles", "bands").dropDuplicates(["doc_id", "text_hash"]).join(of_node, ["doc_id", "text_hash"]), "nodes")
+    dropped(spark, sk_path, c_path)
+
+    rows = nodes.select(F.explode("bands").alias("key"), "doc_id", "n_shingles")
+    buckets, b_path = staged(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1"), "buckets")
     in_buckets = buckets.agg(F.sum("n")).first()[0] or 0
     shared, s_path = staged(looked_up(rows, buckets, ["key"], in_buckets), "shared")
     wanted = nodes.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text_hash")
     sets, t_path = staged(full_sets(hashed_texts(docs).join(wanted, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text"), words), "sets")
+    dropped(spark, n_path, b_path)
 
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return verified(survivors(pairs, nodes, percent, miss), sets, percent)
+        alive, alive_path = staged(survivors(pairs, sets, percent, miss), "alive")  # so its size is known before sets are dealt out
+        spent.append(alive_path)
+        return verified(alive, sets, percent)
 
-    spent = [c_path, b_path, s_path, t_path, n_path]
+    spent = [s_path, t_path]
     tried, path = staged(shared.filter("doc_id <> first").select(*ordered("doc_id", "first")).distinct(), "tried")
     links, l_path = staged(linked(tried), "links")
     spent += [path, l_path]
@@ -342,13 +354,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             fresh = apart.join(others, "key").filter(close).select(*ordered("x", "doc_id"))
         else:
             by_size = sized(mixed_rows.drop("main"), percent)
-            found, f_path = staged(differences(by_size.join(mains(by_size), "key").select("main", "doc_id", "comp").distinct(), sets, percent), "differences")
+            spots, p_path = staged(by_size.join(mains(by_size), "key").select("main", "doc_id", "comp").distinct(), "spots")
+            found, f_path = staged(differences(spots, sets, percent), "differences")
             links = links.unionByName(found.filter("linked and not inside").select(*ordered("main", "doc_id")))
             groups = found.groupBy("main").agg(F.count("*").alias("n"), F.count_if(~F.col("inside") & ~F.col("linked")).alias("open"))
             open_groups = groups.filter("open > 0").drop("open")  # a group may hold a third of all nodes
             total = open_groups.agg(F.sum("n")).first()[0] or 0
             keys, k_path = staged(difference_keys(looked_up(found, open_groups, ["main"], total), percent), "keys")
-            spent += [f_path, k_path]
+            spent += [p_path, f_path, k_path]
             close = 2 * (100 + percent) * F.least("size", "size_x") >= F.col("excess") + F.col("excess_x")
             fresh = met_across(keys).filter(close).select(*ordered("x", "doc_id"))
         new, path = staged(fresh.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
@@ -357,7 +370,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         tried, links = tried.unionByName(new), links.unionByName(more)
     final, final_path = components(links)
     out = members.join(final.withColumnRenamed("doc_id", "node"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    alone = sk.filter("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     result, _ = staged(out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near_duplicates")
-    dropped(spark, *spent, sk_path, m_path, final_path)
+    dropped(spark, *spent, a_path, m_path, final_path)
     return result

@@ -758,6 +758,18 @@ def test_met_across_finds_all_pairs_of_unlike_components(spark):
     assert sorted((r.key, r.x, r.doc_id) for r in minhash.met_across(keys).collect()) == want  # each once
 
 
+def test_only_texts_that_share_a_band_have_signatures_dealt_out(spark, monkeypatch):
+    """Signatures follow the near copies in every round of pairs, not the number of texts."""
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, 60)) for i in range(80)]
+    rows.append((80, rows[3][1] + " more"))
+    seen, real = [], minhash.survivors
+    monkeypatch.setattr(minhash, "survivors", lambda pairs, sigs, *rest: seen.append(sigs.count()) or real(pairs, sigs, *rest))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows, 5)
+    assert seen and max(seen) <= 4, seen
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
