@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import bpe, contamination, lines, minhash, quality
-from fleetlens.llm.common import dropped, new_path, scratch, written
+from fleetlens.llm.common import dropped, new_path, scratch, staged, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,7 +43,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Null, empty and wordless texts are in no group and stay, as do rows with a null doc_id. Of rows that repeat a doc_id
     all stay or all go: they go if any of their texts is in a group of a smaller doc_id."""
-    verdict = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    # staged, so that Spark knows its size before it deals the texts out
+    verdict, _ = staged(minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "verdict")
     return docs.select(*COLUMNS).join(verdict, "doc_id", "left_anti")
 
 
