@@ -18,6 +18,8 @@ __all__ = ["dropped", "new_path", "scratch", "shared_dir"]
 CHUNK_BYTES = 1_000_000
 #: Row groups of staged tables; small ones keep the writers' buffers small.
 ROW_GROUP_BYTES = 16 << 20
+#: Bytes of rows that Spark puts into one Arrow batch for Python, where the session has no setting of its own.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,14 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_BYTES. By default they hold 10,000 rows, tens of MB of texts that each
+    task keeps in the JVM's buffers and in Python. Bounds memory, not results."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A name like `name` that no column of df has."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -53,7 +63,7 @@ def slices(batch: pa.RecordBatch, most: int = CHUNK_BYTES) -> Iterator[pa.Record
 
     So only a slice at a time need become Python objects; unused Arrow memory goes back after each batch.
     """
-    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0, np.int64)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0, np.int64)
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0

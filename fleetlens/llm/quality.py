@@ -50,9 +50,11 @@ STEPS = {"symbols": (0.005, 0.03), "upper": (0.15, 0.4), "exclaims": (0.02, 0.2)
 
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
-    """The classes of each code point, as bits."""
-    chars = [chr(c) for c in range(0x110000)]
-    out = np.array([c.isalpha() for c in chars], np.uint8) * LETTER | np.array([c.isupper() for c in chars], np.uint8) * UPPER
+    """The classes of each code point, as bits. In blocks, as a list of all characters takes 100 MB of a worker."""
+    out, block = np.zeros(0x110000, np.uint8), 1 << 12
+    for start in range(0, len(out), block):
+        chars = list(map(chr, range(start, start + block)))
+        out[start : start + block] = np.array(list(map(str.isalpha, chars)), np.uint8) * LETTER | np.array(list(map(str.isupper, chars)), np.uint8) * UPPER
     for bit, some in ((SYMBOL, "#*$%&<>"), (EXCLAIM, "!"), (PIPE, "|"), (STOP, ".")):
         out[[ord(c) for c in some]] |= bit
     return out
@@ -403,7 +405,7 @@ def _scorer(df: DataFrame, model: Model, put):
         dims = m.weights.shape[1]
         for batch in it:
             for part in slices(batch):
-                look = looks(part.column(1).to_pylist())
+                look = looks(pc.fill_null(part.column(1), "").to_pylist())
                 known = known_values(look, m.lexicons)
                 at = (look.parts % np.uint64(dims)).astype(np.int64)
                 weighed = np.stack([(w[at] * look.valid).sum(axis=0) for w in m.weights], axis=1)
@@ -427,12 +429,12 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def kept_rows(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, that `score` keeps, in one pass without a join."""
+    """The rows of df, all columns, that `score` keeps, in one pass without a join; each text goes to Python once."""
     names = df.columns
+    sent = [id_col, text_col, *(c for c in names if c not in (id_col, text_col))]
 
     def put(part: pa.RecordBatch, quality: np.ndarray, abuse: np.ndarray) -> pa.RecordBatch:
-        rows = pa.RecordBatch.from_arrays(part.columns[2:], names)
+        rows = pa.RecordBatch.from_arrays([part.column(sent.index(c)) for c in names], names)
         return rows.filter(pa.array((quality >= 0.5) & (abuse < 0.5)))
 
-    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c) for c in names])
-    return texts.mapInArrow(_scorer(df, model, put), df.schema)
+    return df.select(*sent).mapInArrow(_scorer(df, model, put), df.schema)

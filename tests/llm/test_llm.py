@@ -5,7 +5,9 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -811,3 +813,28 @@ def test_records_with_many_seams():
     text = f"{warc.VERSION}\r\nContent-Length: {len(payload.encode())}{warc.BREAK}{payload}{seam}\r\nContent-Length: 2{warc.BREAK}ok"
     got = list(warc._records(text.split(seam)))
     assert [b for _, b in got] == [payload, "ok"]
+
+
+def test_quality_classes_are_made_in_little_memory():
+    quality._classes.cache_clear()
+    tracemalloc.start()
+    got = quality._classes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000  # a worker's, besides the texts
+    want = [c.isalpha() * quality.LETTER | c.isupper() * quality.UPPER for c in map(chr, range(0x110000))]
+    for bit, some in ((quality.SYMBOL, "#*$%&<>"), (quality.EXCLAIM, "!"), (quality.PIPE, "|"), (quality.STOP, ".")):
+        for c in some:
+            want[ord(c)] |= bit
+    assert got.tolist() == want
+
+
+def test_quality_keeps_rows_with_each_text_sent_once(spark):
+    rows = [("s", None, 1, "x"), ("s", "Plain words make up this text and nothing else is in it.", 2, None), (None, "", 3, "y"), ("t", "Other plain words that stand in a text of their own.", None, "z")]
+    df = spark.createDataFrame(rows, "source string, text string, doc_id int, more string")
+    model = quality.Model(np.zeros((2, 64)), np.array([-1.0, -1.0]), (), (None, None))
+    kept = quality.kept_rows(df, model)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[3]], key=str) and kept.schema == df.schema
+    output = kept._jdf.queryExecution().analyzed().children().head().output()
+    sent = [output.apply(k).name() for k in range(output.length())]
+    assert sorted(sent) == sorted(df.columns)

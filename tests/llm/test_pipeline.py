@@ -3,6 +3,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,23 @@ def test_stages_on_the_test_tables(spark):
         before = after
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in last} == set(before) and all(r.n_tokens == len(r.ids) // 4 for r in last)
+
+
+def test_stages_send_small_batches_to_python(spark, place):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    long = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("words "), 1000).alias("text"))
+    docs = spark.read.parquet(f"{place}/documents.parquet")
+    for name in ("quality_classifier", "minhash_near_dedup", "benchmark_decontamination", "bpe_encoding"):
+        spark.conf.unset(key)
+        STAGES[name](spark, docs, place)
+        got = long.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == 4000 and max(r["size"] for r in got) < 5_000_000, name
+    spark.conf.set(key, "1m")  # a setting of the session's own stays
+    STAGES["bpe_encoding"](spark, docs, place)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
