@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,9 @@ from fleetlens.storage import new_path, scratch, staged, written
 
 EXIT_BIT, LONGEST_FILENAME = 1 << 31, 256
 PAIRED_TYPES = ("Openat", "Connect")
+#: What becomes of a call in the fold over a thread.
+STATUSES = ("paired", "enter_only", "late_exit")
+PAIRED, ENTER_ONLY, LATE_EXIT = range(3)
 
 
 def _filename_hex() -> Column:
@@ -108,43 +113,67 @@ class Calls:
 
     An enter waits for its exit as long as an exit for its enter. Whatever goes out alone leaves a count behind: an
     enter that went out unpaired takes the next exit that finds no waiting enter with it, an exit that was dropped the
-    next enter that finds no waiting exit. So a late result never goes to a newer call.
+    next enter that finds no waiting exit. So a late result never goes to a newer call. Rows are known by their numbers
+    in a table; enters and exits never wait at once, and rows that wait may be pushed again in order.
     """
 
-    def __init__(self, timeout_ns: int, lost_enters: int = 0, lost_exits: int = 0, enters: Iterable[dict] = (), exits: Iterable[dict] = ()) -> None:
+    def __init__(self, timeout_ns: int, lost_enters: int = 0, lost_exits: int = 0) -> None:
         self.timeout_ns, self.lost_enters, self.lost_exits = timeout_ns, lost_enters, lost_exits
-        self.enters, self.exits, self.out = deque(enters), deque(exits), []
-
-    def _close(self, row: dict, status: str, exit_row: dict | None = None) -> None:
-        result = exit_row["syscall_result"] if exit_row else row["syscall_result"] if status == "late_exit" else None
-        self.out.append(row | {"pair_status": status, "syscall_result": result, "exit_ns": exit_row["timestamp_ns"] if exit_row else None})
+        self.enters, self.exits, self.out = deque(), deque(), []
 
     def expire(self, now: float) -> None:
         """Lets go what has waited longer than the timeout."""
-        while self.enters and now - self.enters[0]["timestamp_ns"] > self.timeout_ns:
-            self._close(self.enters.popleft(), "enter_only")
+        while self.enters and now - self.enters[0][0] > self.timeout_ns:
+            self.out.append((self.enters.popleft()[1], ENTER_ONLY, None))
             self.lost_enters += 1
-        while self.exits and now - self.exits[0]["timestamp_ns"] > self.timeout_ns:
-            self._close(self.exits.popleft(), "late_exit")
+        while self.exits and now - self.exits[0][0] > self.timeout_ns:
+            self.out.append((self.exits.popleft()[1], LATE_EXIT, None))
             self.lost_exits += 1
 
-    def push(self, row: dict) -> None:
-        self.expire(row["timestamp_ns"])
-        if row["phase"] == "enter":
+    def push(self, ts: int, enter: bool, at: int) -> None:
+        self.expire(ts)
+        if enter:
             if self.exits:
-                self._close(row, "paired", self.exits.popleft())
+                self.out.append((at, PAIRED, self.exits.popleft()[1]))
             elif self.lost_exits:
                 self.lost_exits -= 1
-                self._close(row, "enter_only")
+                self.out.append((at, ENTER_ONLY, None))
             else:
-                self.enters.append(row)
+                self.enters.append((ts, at))
         elif self.enters:
-            self._close(self.enters.popleft(), "paired", row)
+            self.out.append((self.enters.popleft()[1], PAIRED, at))
         elif self.lost_enters:
             self.lost_enters -= 1
-            self._close(row, "late_exit")
+            self.out.append((at, LATE_EXIT, None))
         else:
-            self.exits.append(row)
+            self.exits.append((ts, at))
+
+    def waiting(self) -> list[int]:
+        return [at for _, at in (*self.enters, *self.exits)]
+
+    def renumber(self) -> None:
+        """What waits stands in a new table, in the order of `waiting` from its first row."""
+        self.enters, self.exits = (deque((ts, at) for at, (ts, _) in enumerate(q)) for q in (self.enters, self.exits))
+
+
+def with_status(rows: pa.Table, out: list[tuple]) -> pa.Table:
+    """The rows of what `Calls` gave out, with pair_status and exit_ns."""
+    at, status, exits = (pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ((), (), ())))
+    results = pc.if_else(pc.equal(status, PAIRED), exits, pc.if_else(pc.equal(status, LATE_EXIT), at, pa.scalar(None, pa.int64())))
+    got = rows.take(at)
+    got = got.set_column(got.schema.get_field_index("syscall_result"), "syscall_result", rows["syscall_result"].take(results))
+    return got.append_column("exit_ns", rows["timestamp_ns"].take(exits)).append_column("pair_status", pa.array(STATUSES).take(status))
+
+
+def begins(rows: pa.Table, key: list[str]) -> np.ndarray:
+    """For each row whether its key differs from that of the row before; nulls are equal."""
+    odd = np.ones(rows.num_rows, bool)
+    for k, c in enumerate(key):
+        col = rows[c].combine_chunks()
+        a, b = col.slice(1), col.slice(0, max(len(col) - 1, 0))
+        differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        odd[1:] = np.asarray(differs) if k == 0 else odd[1:] | np.asarray(differs)
+    return odd
 
 
 def in_time(row: dict) -> tuple:
@@ -158,7 +187,8 @@ def pair_calls(two: DataFrame, timeout_ns: int) -> DataFrame:
     A thread's rows are cut into chunks at pauses longer than the timeout, where nothing waits, so that only the two
     counts go from one chunk to the next. All chunks are folded at once, with counts of 0; counts then follow from what
     each chunk adds, and chunks that began with other counts are folded again until none did. A thread that fits one
-    chunk is folded once; the first wrong chunk of a thread is right after each turn.
+    chunk is folded once; the first wrong chunk of a thread is right after each turn. A fold reads its chunks in order
+    of time, sorted by Spark, and holds the rows that wait, so a chunk may have any length.
     """
     spark, path = two.sparkSession, new_path(two.sparkSession, "pairs")
     key = [*process_key(two), "tid", "syscall_type"]
@@ -166,27 +196,55 @@ def pair_calls(two: DataFrame, timeout_ns: int) -> DataFrame:
     kinds = T.StructType([*[T.StructField(f.name, f.dataType) for f in two.schema], *[T.StructField(n, T.LongType()) for n in ("chunk", "exit_ns", *counts)], T.StructField("pair_status", T.StringType())])
     arrow = to_arrow_schema(kinds)
 
-    def fold(chunk: pa.Table) -> pa.Table:
-        rows = sorted(chunk.to_pylist(), key=in_time)
-        first = rows[0]
-        calls = Calls(timeout_ns, first["in_enters"], first["in_exits"])
-        for row in rows:
-            calls.push(row)
-        calls.expire(float("inf"))
-        state = {c: first[c] for c in (*spot, "in_enters", "in_exits")} | {"pair_status": "state", "out_enters": calls.lost_enters, "out_exits": calls.lost_exits}
-        return pa.Table.from_pylist([*calls.out, state], schema=arrow)
+    def given(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        cols = [(rows[f.name] if f.name in rows.column_names else pa.nulls(rows.num_rows, f.type)).cast(f.type) for f in arrow]
+        yield from pa.Table.from_arrays(cols, schema=arrow).to_batches()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        calls, kept = None, None  # kept: rows that wait, and the last row
+        for batch in filter(len, batches):
+            rows = pa.Table.from_batches([batch])
+            rows, past = (rows, 0) if kept is None else (pa.concat_tables([kept, rows]), kept.num_rows)
+            first, times, enter, ends = begins(rows, spot).tolist(), rows["timestamp_ns"].to_pylist(), pc.equal(rows["phase"], "enter").to_pylist(), []
+            started = [rows[c].to_pylist() for c in ("in_enters", "in_exits")]
+            out = []
+            if calls is not None:
+                calls.out = out
+            for i in range(past, len(times)):
+                if first[i]:
+                    if calls is not None:
+                        calls.expire(float("inf"))
+                        ends.append((i - 1, calls.lost_enters, calls.lost_exits))
+                    calls = Calls(timeout_ns, started[0][i], started[1][i])
+                    calls.out = out
+                calls.push(times[i], enter[i], i)
+            yield from given(with_status(rows, out))
+            yield from states(rows, ends)
+            kept = rows.take(pa.array([*calls.waiting(), len(times) - 1], pa.int64()))
+            calls.renumber()
+        if calls is not None:
+            calls.out = []
+            calls.expire(float("inf"))
+            yield from given(with_status(kept, calls.out))
+            yield from states(kept, [(kept.num_rows - 1, calls.lost_enters, calls.lost_exits)])
+
+    def states(rows: pa.Table, ends: list[tuple]) -> Iterator[pa.RecordBatch]:
+        at, enters, exits = (pa.array(x, pa.int64()) for x in (zip(*ends, strict=True) if ends else ((), (), ())))
+        got = rows.select([*spot, "in_enters", "in_exits"]).take(at).append_column("out_enters", enters).append_column("out_exits", exits)
+        yield from given(got.append_column("pair_status", pa.array(["state"] * len(at), pa.string())))
 
     with scratch(spark):
         placed = staged(stretches(two, key, timeout_ns, "phases").withColumn("chunk", F.col("chunk").cast("bigint")), "chunks")
         todo, done = placed.withColumns({"in_enters": F.lit(0).cast("bigint"), "in_exits": F.lit(0).cast("bigint")}), None
         while True:
-            out = staged(todo.groupBy(*spot).applyInArrow(fold, kinds), "folded")
+            in_order = todo.repartition(*spot).sortWithinPartitions(*spot, "timestamp_ns", "phase", "syscall_result")
+            out = staged(in_order.mapInArrow(fold, kinds), "folded")
             done = out if done is None else done.join(out.filter("pair_status = 'state'").select(*spot), spot, "left_anti").unionByName(out)
             by_chunk = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
             added = lambda n: F.greatest(F.coalesce(F.sum(F.col(f"out_{n}") - F.col(f"in_{n}")).over(by_chunk), F.lit(0)), F.lit(0))
-            states = done.filter("pair_status = 'state'").select(*spot, "in_enters", "in_exits", added("enters").alias("enters"), added("exits").alias("exits"))
+            states_now = done.filter("pair_status = 'state'").select(*spot, "in_enters", "in_exits", added("enters").alias("enters"), added("exits").alias("exits"))
             whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in spot])  # other rows keep counts of 0
-            wrong = states.filter(whole & F.expr("enters <> in_enters or exits <> in_exits")).select(*spot, F.col("enters").alias("in_enters"), F.col("exits").alias("in_exits"))
+            wrong = states_now.filter(whole & F.expr("enters <> in_enters or exits <> in_exits")).select(*spot, F.col("enters").alias("in_enters"), F.col("exits").alias("in_exits"))
             wrong = staged(wrong, "wrong")
             if wrong.isEmpty():
                 return written(done.filter("pair_status <> 'state'").drop("chunk", *counts), path)

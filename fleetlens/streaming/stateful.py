@@ -1,4 +1,4 @@
-"""Stateful operators: pairing of phases and anchored windows, per process, with event-time timers.
+"""Stateful operators: pairing of phases and anchored windows, with event-time timers.
 
 Rows wait in state until the watermark passes them and then go on in order of time, so what comes out doesn't depend on
 the order of arrival within the watermark's delay: it is what the batch operators give on the same rows. Spark's own
@@ -6,19 +6,29 @@ filter of late rows would lose rows; it is left out (the operators don't see the
 comes behind the watermark comes out at once, marked late (`late_events`, `on_time`). All state of a process goes
 after its exit or a time of silence.
 
+State is kept by group: the processes whose key's hash is equal modulo `GROUPS`. Rows go in and out of it as packed
+tables (Arrow, compressed), so that its costs are those of tables, not of rows and keys: a group's rows that wait must
+fit a worker's memory, and more groups make them fewer.
+
 They need the RocksDB state store (`use_rocksdb`).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from fleetlens.operators.ingest import PAIRED_TYPES, Calls, in_time
+from fleetlens.operators.ingest import PAIRED_TYPES, Calls, begins, with_status
 from fleetlens.operators.windows import dedup_width
 from fleetlens.schemas import process_key
 
@@ -38,179 +48,267 @@ def with_event_time(events: DataFrame, delay: str = "10 seconds") -> DataFrame:
     return events.withColumn("event_time", F.timestamp_micros(F.expr("timestamp_ns div 1000"))).withWatermark("event_time", delay)
 
 
-def _plain(value):
-    """A state value: none of the columns is a double, so a float is a nullable integer that pandas widened."""
-    if value is None or value is pd.NA or (isinstance(value, float) and pd.isna(value)):
-        return None
-    return int(value) if isinstance(value, float) else value
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
-def _rows(frames: Iterator[pd.DataFrame], names: list[str]) -> list[tuple]:
-    out = []
-    for pdf in frames:
-        for row in pdf[names].itertuples(index=False, name=None):
-            out.append(tuple(_plain(v) for v in row))
-    return out
+#: Groups of keys that share their state; a stream's number of groups must not change between its restarts.
+GROUPS = 64
+#: Rows of a packed table that goes in or out, at most.
+PACKED_ROWS = 200_000
 
 
-def _key_schema(df: DataFrame) -> str:
-    """The process key as a schema, ending in a comma; host_id keeps its type."""
-    return "".join(f"{c} {'bigint' if c == 'pid' else df.schema[c].dataType.simpleString()}, " for c in process_key(df))
+def packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
 
 
-def _names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
+def unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def by_group(rows: DataFrame, key: list[str], wanted: Column) -> DataFrame:
+    """key_group and packed tables of its rows, from the rows that are wanted; these keep their types."""
+    columns = [c for c in rows.columns if c != "key_group"]
+    numbered = rows.withColumn("key_group", F.when(wanted, F.pmod(F.xxhash64(*key), F.lit(GROUPS))).cast("int"))
+
+    def parts(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        table = table.filter(pc.is_valid(table["key_group"]))
+        table = table.take(pc.sort_indices(table["key_group"]))
+        found, at = np.unique(table["key_group"].to_numpy(), return_index=True)
+        cuts = [*at.tolist(), table.num_rows]
+        tables = [packed(table.slice(a, b - a).select(columns)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(tables, pa.binary())], names=["key_group", "packed"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACKED_ROWS:
+                yield from parts(held)
+                held, n = [], 0
+        if n:
+            yield from parts(held)
 
-def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    kinds = {"bigint": "Int64", "int": "Int32", "double": "float64", "string": "object", "boolean": "boolean"}
-    pdf = pd.DataFrame(rows, columns=_names(schema))
-    return pdf.astype({x.split()[0]: kinds[x.split()[1]] for x in schema.split(", ")})
+    return numbered.mapInArrow(pack, "key_group int, packed binary")
 
 
-def _dicts(rows: list[tuple], schema: str) -> list[dict]:
-    names = _names(schema)
-    return [dict(zip(names, map(_plain, r), strict=True)) for r in rows]
+def as_rows(given: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of packed tables."""
+    arrow = to_arrow_schema(schema)
 
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("packed"):
+                yield from unpacked(blob.as_py()).cast(arrow).to_batches()
 
-class Pairing(StatefulProcessor):
-    """First in, first out pairing of enter and exit phases per (process, tid, type).
+    return given.mapInArrow(unpack, schema)
 
-    State: rows the watermark hasn't passed, rows that wait for their other phase (`waiting`), and the two counts of
-    `Calls`. A key without rows and counts has no state."""
 
-    def __init__(self, timeout_ms: int, schema: str) -> None:
-        self.timeout_ns, self.schema = timeout_ms * MS, schema
+class Grouped(StatefulProcessor):
+    """Rows of a group of keys, held until the watermark has passed them: state `rows` (packed tables), and `kept`, a
+    packed table of what is known of each key. Comes out: packed tables of the schema."""
+
+    def __init__(self, key: list[str], schema: T.StructType) -> None:
+        self.key, self.schema, self.passed = key, to_arrow_schema(schema), {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", PHASE + ", waiting boolean")
-        self.lost = handle.getValueState("lost", "enters bigint, exits bigint")
+        self.rows = handle.getListState("rows", "packed binary")
+        self.kept = handle.getValueState("kept", "packed binary")
+
+    def _wake(self, ns: int, mark: int) -> None:
+        """A timer for what is due next, unless the group has one by then. Those up to the watermark fire in this batch."""
+        at = ns // MS + 1
+        if not any(mark < t <= at for t in list(self.handle.listTimers())):
+            self.handle.registerTimer(at)
+
+    def _given(self, rows: pa.Table) -> Iterator[pd.DataFrame]:
+        """rows as they go out; columns they don't have are null."""
+        whole = pa.Table.from_arrays([(rows[f.name] if f.name in rows.column_names else pa.nulls(rows.num_rows, f.type)).cast(f.type) for f in self.schema], schema=self.schema)
+        for k in range(0, whole.num_rows, PACKED_ROWS):
+            yield pd.DataFrame({"packed": [packed(whole.slice(k, PACKED_ROWS))]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now, late, fresh = timerValues.getCurrentWatermarkInMs() * MS, [], []
-        for row in _rows(rows, _names(PHASE)) if key[-1] in PAIRED_TYPES else ():  # a filter before would take heartbeats from the watermark
-            (late if row[0] < now else fresh).append(row)
+        mark, fresh, first = timerValues.getCurrentWatermarkInMs(), [], None
+        for frame in rows:
+            for blob in frame["packed"]:
+                table = unpacked(blob)
+                behind = pc.less(table["timestamp_ns"], mark * MS)
+                if (n := pc.sum(behind).as_py() or 0):
+                    late, table = table.filter(behind), table.filter(pc.invert(behind))
+                    yield from self._given(late.append_column("late", pa.array([True] * n)))
+                    blob = packed(table)
+                if table.num_rows:
+                    fresh.append((blob,))
+                    low = pc.min(table["timestamp_ns"]).as_py()
+                    first = low if first is None else min(first, low)
         if fresh:
-            self.rows.appendList([(*r, False) for r in fresh])
-            self.handle.registerTimer(min(r[0] for r in fresh) // MS + 1)
-        yield _frame([(*key, *r, None, None, True) for r in late], self.schema)
+            self.rows.appendList(fresh)
+            self._wake(first, mark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * MS
-        held = sorted(_dicts(list(self.rows.get()), PHASE + ", waiting boolean"), key=in_time)
-        waiting = [r for r in held if r["waiting"]]
-        lost = [int(x) for x in self.lost.get()] if self.lost.exists() else [0, 0]
-        calls = Calls(self.timeout_ns, *lost, *[[r for r in waiting if r["phase"] == p] for p in ("enter", "exit")])
-        for row in held:
-            if not row["waiting"] and row["timestamp_ns"] < now:
-                calls.push(row)
-        calls.expire(now)
-        left = [r | {"waiting": True} for r in (*calls.enters, *calls.exits)] + [r for r in held if not r["waiting"] and r["timestamp_ns"] >= now]
-        self.rows.clear()
-        if left:
-            self.rows.put([tuple(r[c] for c in (*_names(PHASE), "waiting")) for r in left])
-            self.handle.registerTimer(min((r["timestamp_ns"] + (self.timeout_ns if r["waiting"] else 0)) // MS + 1 for r in left))
-        if calls.lost_enters or calls.lost_exits:
-            self.lost.update((calls.lost_enters, calls.lost_exits))
+        mark = timerValues.getCurrentWatermarkInMs()
+        if self.passed.get(key) == mark:  # an earlier timer of the group has done all up to the watermark
+            return
+        self.passed[key] = mark
+        tables = [unpacked(blob) for (blob,) in self.rows.get()]
+        rows = pa.concat_tables(tables) if tables else None
+        kept = unpacked(self.kept.get()[0]).to_pylist() if self.kept.exists() else []
+        out, left, known, due = self.go_on(rows, {tuple(r[c] for c in self.key): r for r in kept}, mark * MS)
+        if rows is not None:
+            self.rows.clear()
+        if left is not None and left.num_rows:
+            self.rows.put([(packed(left),)])
+        if known:
+            self.kept.update((packed(pa.Table.from_pylist(known, schema=self.known)),))
         else:
-            self.lost.clear()
-        yield _frame([(*key, *[r[c] for c in (*_names(PHASE), "pair_status", "exit_ns")], False) for r in calls.out], self.schema)
+            self.kept.clear()
+        if due is not None:
+            self._wake(due, mark)
+        if out is not None and out.num_rows:
+            yield from self._given(out.append_column("late", pa.array(np.zeros(out.num_rows, bool))))
+
+    def go_on(self, rows: pa.Table | None, known: dict[tuple, dict], now: int) -> tuple:
+        """What comes out, the rows that stay, what is known of each key, and when (ns) something is due next."""
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
+def _sorted(rows: pa.Table, *by: str) -> pa.Table:
+    """Nulls first, as in Spark."""
+    return rows.take(pc.sort_indices(rows, [(c, "ascending") for c in by], null_placement="at_start"))
+
+
+class Pairing(Grouped):
+    """First in, first out pairing of enter and exit phases per (process, tid, type). Rows that stay are those that the
+    watermark hasn't passed and those that wait for their other phase; known are the two counts of `Calls`."""
+
+    def __init__(self, timeout_ms: int, key: list[str], rows: T.StructType, schema: T.StructType) -> None:
+        super().__init__(key, schema)
+        self.timeout_ns = timeout_ms * MS
+        self.known = pa.schema([*[to_arrow_schema(rows).field(c) for c in key], ("lost_enters", pa.int64()), ("lost_exits", pa.int64())])
+
+    def go_on(self, rows, known, now):
+        rows = _sorted(rows, *self.key, "timestamp_ns", "phase", "syscall_result")
+        times, enter = rows["timestamp_ns"].to_numpy().tolist(), pc.equal(rows["phase"], "enter").to_pylist()
+        cuts = [*np.flatnonzero(begins(rows, self.key)).tolist(), len(times)]
+        keys = rows.select(self.key).take(pa.array(cuts[:-1], pa.int64())).to_pylist()
+        out, stay, due = [], [], []
+        for a, b, key in zip(cuts, cuts[1:], keys, strict=False):
+            lost = known.pop(tuple(key.values()), {"lost_enters": 0, "lost_exits": 0})
+            calls = Calls(self.timeout_ns, lost["lost_enters"], lost["lost_exits"])
+            calls.out = out
+            end = bisect_left(times, now, a, b)
+            for i in range(a, end):
+                calls.push(times[i], enter[i], i)
+            calls.expire(now)
+            waits = calls.waiting()
+            stay += [*waits, *range(end, b)]
+            due += [*[times[i] + self.timeout_ns for i in waits[:1]], *times[end : min(end + 1, b)]]
+            if calls.lost_enters or calls.lost_exits:
+                known[tuple(key.values())] = key | {"lost_enters": calls.lost_enters, "lost_exits": calls.lost_exits}
+        return with_status(rows, out), rows.take(pa.array(stay, pa.int64())), list(known.values()), min(due, default=None)
+
+
 def unfiltered(events: DataFrame) -> DataFrame:
     """events without the watermark's column: timers follow the watermark, but no row is lost for being behind it."""
     return events.drop("event_time")
 
 
+def _fields(df: DataFrame, columns: list[str], *more: str) -> T.StructType:
+    """The schema of some columns of df and of more ("name type")."""
+    return T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in columns], *T.StructType.fromDDL(", ".join(more)).fields])
+
+
 def pair_stream(decoded: DataFrame, timeout_ms: int = 250) -> DataFrame:
     """Pairs a stream of phases of Openat and Connect (with event_time and watermark); same columns and statuses as
     `pair_enter_exit` in mode stateful, and late: rows behind the watermark, not paired. Other types are ignored."""
     two = unfiltered(decoded)
-    schema = _key_schema(two) + "tid bigint, syscall_type string, " + PAIRED
-    return two.groupBy(*process_key(two), "tid", "syscall_type").transformWithStateInPandas(statefulProcessor=Pairing(timeout_ms, schema), outputStructType=schema, outputMode="Append", timeMode="EventTime")
-
+    key = [*process_key(two), "tid", "syscall_type"]
+    rows = two.select(*key, *[F.col(n).cast(t).alias(n) for n, t in (x.split() for x in PHASE.split(", "))])
+    schema = _fields(rows, rows.columns, "pair_status string", "exit_ns bigint", "late boolean")
+    groups = by_group(rows, key, F.col("syscall_type").isin(*PAIRED_TYPES))  # a filter before would take heartbeats from the watermark
+    got = groups.groupBy("key_group").transformWithStateInPandas(statefulProcessor=Pairing(timeout_ms, key, rows.schema, schema), outputStructType="packed binary", outputMode="Append", timeMode="EventTime")
+    return as_rows(got, schema)
 
-CLOSED = "lifetime bigint, window_start_ns bigint, window_end_ns bigint, dedup_ns bigint, short_lived boolean, late boolean, " + EVENT
 
-
-class Windows(StatefulProcessor):
-    """Anchored windows of a process. State: rows that are in no closed window yet, and the open window's start, end and
-    lifetime (`anchor`), which is the time of the lifetime's first event.
+class Windows(Grouped):
+    """Anchored windows of processes. Rows that stay are in no closed window yet; known are a process's open window's
+    start and end, its width of de-duplication, its lifetime, which is the time of the lifetime's first event, and its
+    last event.
 
     Windows close when the watermark passes their end; until then an earlier first event moves the anchor back. A new
     window takes the settings that hold at the event that opens it. An exit row (syscall_type Exit) closes its window
     early and drops the anchor. All state goes with it, or idle_s after the last event: then the process anchors anew.
     """
 
-    def __init__(self, settings: list[tuple[int, int, int]], idle_ns: int, schema: str) -> None:
-        self.settings, self.idle_ns, self.schema = sorted(settings), idle_ns, schema
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.anchor = handle.getValueState("anchor", "start bigint, end bigint, lifetime bigint, width bigint, last bigint")
-        self.rows = handle.getListState("rows", EVENT)
+    def __init__(self, settings: list[tuple[int, int, int]], idle_ns: int, key: list[str], rows: T.StructType, schema: T.StructType) -> None:
+        super().__init__(key, schema)
+        self.settings, self.idle_ns = sorted(settings), idle_ns
+        self.known = pa.schema([*[to_arrow_schema(rows).field(c) for c in key], *[(n, pa.int64()) for n in ("start", "end", "lifetime", "width", "last")]])
 
     def _settings(self, ts: int) -> tuple[int, int]:
         """(length, de-duplication width) in nanoseconds at a time."""
         return [(size * NS, width) for at, size, width in self.settings if at <= ts or at == self.settings[0][0]][-1]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now, late, fresh = timerValues.getCurrentWatermarkInMs() * MS, [], []
-        for row in _rows(rows, _names(EVENT)):
-            if row[2] != HEARTBEAT:
-                (late if row[1] < now else fresh).append(row)
-        if fresh:
-            self.rows.appendList(fresh)
-            self.handle.registerTimer(min(r[1] for r in fresh) // MS + 1)
-        yield _frame([(*key, None, None, None, None, None, True, *r) for r in late], self.schema)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out, inside = timerValues.getCurrentWatermarkInMs() * MS, [], []
-        start, end, life, width, last = (_plain(x) for x in self.anchor.get()) if self.anchor.exists() else (None,) * 5
-        held = sorted([tuple(_plain(v) for v in r) for r in self.rows.get()], key=lambda r: (r[1], r[2] == "Exit", r[0]))
-        passed, ahead = [r for r in held if r[1] < now], [r for r in held if r[1] >= now]
-
-        def close(until: int, early: bool) -> None:
-            out.extend((*key, life, start, until, width, early, False, *r) for r in inside)
-            inside.clear()
-
-        for row in passed:
-            ts = last = row[1]
-            if row[2] == "Exit":
-                if start is not None:
-                    close(max(ts, start) if ts < end else end, ts < end)
-                start = end = life = width = last = None
-                continue
-            if end is None:
-                (size, width), start, life = self._settings(ts), ts, ts
-                end = ts + size
-            elif ts >= end:
-                close(end, False)
-                size, width = self._settings(ts)
-                start = end + (ts - end) // size * size
-                end = start + size
-            inside.append(row)
-        if end is not None and end <= now:
-            close(end, False)
-        left = inside + ahead
-        self.rows.clear()
-        if left:
-            self.rows.put(left)
-        if end is None or (not left and last + self.idle_ns <= now):
-            self.anchor.clear()
-        else:
-            self.anchor.update((start, end, life, width, last))
-        times = [r[1] for r in ahead[:1]] + ([end] if inside else []) + ([last + self.idle_ns] if end is not None and not left else [])
-        if times and min(times) >= now:
-            self.handle.registerTimer(min(times) // MS + 1)
-        yield _frame(out, self.schema)
-
-    def close(self) -> None:
-        pass
+    def go_on(self, rows, known, now):
+        at, runs, stay, due, left = [], [], [], [], []
+        if rows is not None:
+            rows = rows.append_column("is_exit", pc.fill_null(pc.equal(rows["syscall_type"], "Exit"), False))
+            rows = _sorted(rows, *self.key, "timestamp_ns", "is_exit", "event_id").drop_columns("is_exit")
+            times, exits = rows["timestamp_ns"].to_numpy().tolist(), pc.equal(rows["syscall_type"], "Exit").to_pylist()
+            cuts = [*np.flatnonzero(begins(rows, self.key)).tolist(), len(times)]
+            keys = rows.select(self.key).take(pa.array(cuts[:-1], pa.int64())).to_pylist()
+            for a, b, key in zip(cuts, cuts[1:], keys, strict=False):
+                was = known.pop(tuple(key.values()), None)
+                start, end, life, width, last = (was[c] for c in ("start", "end", "lifetime", "width", "last")) if was else (None,) * 5
+                ahead, inside = bisect_left(times, now, a, b), []
+
+                def close(until: int, early: bool, inside=inside) -> None:
+                    at.extend(inside)
+                    runs.append((len(inside), life, start, until, width, early))  # noqa: B023
+                    inside.clear()
+
+                for i in range(a, ahead):
+                    ts = last = times[i]
+                    if exits[i]:
+                        if start is not None:
+                            close(max(ts, start) if ts < end else end, ts < end)
+                        start = end = life = width = last = None
+                        continue
+                    if end is None:
+                        (size, width), start, life = self._settings(ts), ts, ts
+                        end = ts + size
+                    elif ts >= end:
+                        close(end, False)
+                        size, width = self._settings(ts)
+                        start = end + (ts - end) // size * size
+                        end = start + size
+                    inside.append(i)
+                if end is not None and end <= now:
+                    close(end, False)
+                waits = [*inside, *range(ahead, b)]
+                stay += waits
+                due += times[ahead : min(ahead + 1, b)]
+                if end is not None and (waits or last + self.idle_ns > now):
+                    left.append(key | {"start": start, "end": end, "lifetime": life, "width": width, "last": last})
+                    due += [end] if inside else [] if waits else [last + self.idle_ns]
+        silent = [r for r in known.values() if r["last"] + self.idle_ns > now]
+        due += [r["last"] + self.idle_ns for r in silent]
+        out = None
+        if at:
+            n, *facts = zip(*runs, strict=True)
+            out = rows.take(pa.array(at, pa.int64()))
+            for name, values in zip(("lifetime", "window_start_ns", "window_end_ns", "dedup_ns", "short_lived"), facts, strict=True):
+                out = out.append_column(name, pa.array(np.repeat(np.array(values), n)))
+        return out, rows.take(pa.array(stay, pa.int64())) if rows is not None else None, left + silent, min(due, default=None)
 
 
 def window_stream(events: DataFrame, window_s: int = 30, changes: list[tuple] | None = None, dedup_ms: float = 100, idle_s: int = 86_400) -> DataFrame:
@@ -222,9 +320,14 @@ def window_stream(events: DataFrame, window_s: int = 30, changes: list[tuple] |
     its last window anchors anew.
     """
     settings = [(at, size, dedup_width(width[0] if width else dedup_ms)) for at, size, *width in [(0, window_s), *(changes or [])]]
-    rows = unfiltered(events)
-    schema = _key_schema(rows) + CLOSED
-    return rows.groupBy(*process_key(rows)).transformWithStateInPandas(statefulProcessor=Windows(settings, idle_s * NS, schema), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    every = unfiltered(events)
+    key = process_key(every)
+    rows = every.select(*key, *[F.col(n).cast(t).alias(n) for n, t in (x.split() for x in EVENT.split(", "))])
+    names = _fields(rows, key, "lifetime bigint", "window_start_ns bigint", "window_end_ns bigint", "dedup_ns bigint", "short_lived boolean", "late boolean")
+    schema = T.StructType([*names.fields, *[f for f in rows.schema.fields if f.name not in key]])
+    groups = by_group(rows, key, F.coalesce(F.col("syscall_type") != HEARTBEAT, F.lit(True)))
+    got = groups.groupBy("key_group").transformWithStateInPandas(statefulProcessor=Windows(settings, idle_s * NS, key, rows.schema, schema), outputStructType="packed binary", outputMode="Append", timeMode="EventTime")
+    return as_rows(got, schema)
 
 
 def with_heartbeats(events: DataFrame, beats: DataFrame) -> DataFrame:

@@ -244,3 +244,28 @@ def test_writer_is_idempotent(spark):
     assert ids == list(range(1, 2 * n + 1)) and spark.read.parquet(f"{place}/inference_log").count() == 2 * n
     sinks.telemetry_writer(place, lambda: None)(batch, 2)
     assert spark.read.parquet(f"{place}/degraded").count() == n
+
+
+def test_state_follows_groups_not_rows_and_keys(spark):
+    """600 processes of 3 rows: a group's rows and what is known of its processes are one entry each."""
+    rows = [(3 * p + k, (1000 + k) * S, p, 1, 1, "Execve", None, None, None, None, None, 0) for p in range(600) for k in range(3)]
+    place = tempfile.mkdtemp(prefix="fleetlens-stream-")
+    stream = stateful.window_stream(stateful.with_event_time(stored(spark.createDataFrame(rows, SYSCALL), 1)), 30)
+    query = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    assert query.exception() is None
+    assert 0 < state_rows(query) < 600
+
+
+def test_every_batch_of_a_disordered_stream_has_as_many_files(spark, monkeypatch):
+    from fleetlens.plans import queries
+
+    monkeypatch.setattr(queries, "FILE_ROWS", 20)
+    events = random_events(spark, 400)
+    stream = queries.in_disorder(events, 9 * S)
+    place = tempfile.mkdtemp(prefix="fleetlens-stream-")
+    query = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    sizes = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(sizes) == 4 and min(sizes) > 80
+    assert sorted(r.event_id for r in spark.read.parquet(f"{place}/out").collect()) == sorted(r.event_id for r in events.collect())
