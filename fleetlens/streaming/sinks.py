@@ -44,7 +44,7 @@ def telemetry_writer(place: str, model: Callable[[], tuple[DataFrame, str] | Non
             if "late" in batch.columns:
                 replaced(late_events(batch), f"{place}/late_events", batch_id)
                 batch = on_time(batch)
-            flat = flatten_vector(features_all(batch, dedup_ms))
+            flat = flatten_vector(features_all(batch, dedup_ms, maps=False))  # no grams: vectors hold none
             now = model()
             if now is None:
                 replaced(degraded_scores(flat, "no valid model").select(*process_key(flat), "window_start_ns", "window_end_ns", "threat_score", "model_hash", "degraded_reason"), f"{place}/degraded", batch_id)

@@ -269,3 +269,16 @@ def test_every_batch_of_a_disordered_stream_has_as_many_files(spark, monkeypatch
     sizes = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
     assert len(sizes) == 4 and min(sizes) > 80
     assert sorted(r.event_id for r in spark.read.parquet(f"{place}/out").collect()) == sorted(r.event_id for r in events.collect())
+
+
+def test_writer_computes_no_grams(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    def unwanted(rows):
+        raise AssertionError("grams")
+
+    monkeypatch.setattr(features, "f_bigrams", unwanted)
+    batch = windows.window_anchored(random_events(spark, 20), 30).withColumn("short_lived", F.lit(False))
+    place = tempfile.mkdtemp(prefix="fleetlens-sink-")
+    sinks.telemetry_writer(place, lambda: None)(batch, 0)
+    assert spark.read.parquet(f"{place}/degraded").count() == features.f_total(batch).count()
