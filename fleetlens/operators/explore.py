@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,12 +178,29 @@ def digest_tree(log: DataFrame, name: str, fan: int = FAN) -> list[DataFrame]:
         rows = levels[-1].select((F.col("node") / fan).alias("up"), "node", "digest", "bytes", "n")
 
 
-def log_diff(expected: DataFrame, observed: DataFrame, head_bytes: int = 4096, fan: int = FAN) -> DataFrame:
+def digest_of_leaves(leaves: DataFrame) -> str | None:
+    """The digest of a log's leaf digests in order, one leaf's own; null if there is none. One task reads the sorted
+    digests (64 bytes for a block of lines) as they come and holds none of them."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, first, whole = 0, None, hashlib.sha256()
+        for batch in batches:
+            for x in batch.column("digest").to_pylist():
+                n, first = n + 1, first or x
+                whole.update(x.encode())
+        yield pa.RecordBatch.from_pydict({"digest": pa.array([whole.hexdigest() if n > 1 else first], pa.string())})
+
+    row = leaves.select("node", "digest").repartition(1).sortWithinPartitions("node").select("digest").mapInArrow(digest, "digest string").first()
+    return row[0] if row else None
+
+
+def log_diff(expected: DataFrame, observed: DataFrame, head_bytes: int = 4096, fan: int = FAN, two_levels: bool = False) -> DataFrame:
     """One row on two versions of an append-only log (line_no from 0 without gaps, line): lengths in bytes and digests of
     the whole (null if empty), the byte offset of the first difference (null if equal), the number of different lines
     and whether the first lies in the head.
 
-    Both sides become trees of digests. The first difference is found by descending to the first child that differs,
+    Both sides become trees of digests; two_levels: the digest of the whole is that of the leaves' digests, however many
+    there are (`digest_of_leaves`), else the tree's root. The first difference is found by descending to the first child that differs,
     with the bytes of the children before it; only lines of blocks that differ are compared. A null line counts as empty.
     """
     e, o = digest_tree(expected, "expected", fan), digest_tree(observed, "observed", fan)
@@ -209,5 +230,7 @@ def log_diff(expected: DataFrame, observed: DataFrame, head_bytes: int = 4096, f
         if r["a"] is not None and r["b"] is not None:
             x, y = r["a"].encode(), r["b"].encode()
             first += next((k for k, (c, d) in enumerate(zip(x, y, strict=False)) if c != d), min(len(x), len(y)))
+    if two_levels:
+        e_digest, o_digest = digest_of_leaves(e[0]), digest_of_leaves(o[0])
     row = (e_bytes, o_bytes, e_digest, o_digest, first, different, first is not None and first < head_bytes)
     return expected.sparkSession.createDataFrame([row], "expected_bytes bigint, observed_bytes bigint, expected_digest string, observed_digest string, first_difference bigint, different_lines bigint, in_head boolean")

@@ -267,3 +267,17 @@ def test_log_diff_descends(spark, seed):
     assert (r.expected_bytes, r.observed_bytes, r.first_difference) == (len(x), len(y), first)
     assert r.different_lines == sum(p != q for p, q in itertools.zip_longest(a, b)) and (r.expected_digest == r.observed_digest) == (x == y)
     assert r.in_head == (first is not None and first < 20)
+
+
+def test_log_diff_digest_of_two_levels(spark):
+    """40 lines in blocks of 3 make a tree of four levels; the digest of two levels is that of its 14 leaves."""
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    table = lambda lines: spark.createDataFrame(list(enumerate(lines)), "line_no bigint, line string")
+    a = [f"line {k}" for k in range(40)]
+    leaves = lambda lines: [sha("".join(map(sha, lines[k : k + 3]))) for k in range(0, len(lines), 3)]
+    r = explore.log_diff(table(a), table(a[:2]), 20, 3, two_levels=True).first()
+    assert (r.expected_digest, r.observed_digest) == (sha("".join(leaves(a))), leaves(a[:2])[0])
+    assert (r.first_difference, r.different_lines) == (14, 38)
+    assert explore.log_diff(table(a), table([]), 20, 3, two_levels=True).first().observed_digest is None
