@@ -72,14 +72,15 @@ def reject_report(decoded: DataFrame) -> DataFrame:
     return decoded.groupBy(F.coalesce("reject_kind", F.lit("accepted")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-def pair_enter_exit(decoded: DataFrame, timeout_ms: int = 250, mode: str = "serial") -> DataFrame:
+def pair_enter_exit(decoded: DataFrame, timeout_ms: int = 250, mode: str = "serial", overlapping: bool = True) -> DataFrame:
     """Merges the phases of Openat and Connect calls per (process, tid, type).
 
     Adds pair_status: paired, enter_only (result null), late_exit (no row for the pipeline, kept for `pair_report`),
     passthrough (Execve enters, Clone exits) and ignored (Execve exits, Clone enters). `emitted` keeps what goes on.
     mode serial: window functions, for threads whose calls of a type don't overlap. mode stateful: first in, first
     out over overlapping calls, with counts of what went out alone (`Calls`), staged; both phases may come in either
-    order within the timeout. The two agree where calls don't overlap and no enter is missing.
+    order within the timeout. The two agree where calls don't overlap and no enter is missing. overlapping False: mode
+    stateful by the rule of mode serial (`Turns`), which then agree on any rows, with threads cut at pauses.
     """
     if timeout_ms <= 0:
         raise ValueError("timeout_ms must be positive")
@@ -104,7 +105,7 @@ def pair_enter_exit(decoded: DataFrame, timeout_ms: int = 250, mode: str = "seri
         out = out.withColumns({"exit_ns": F.when(F.col("pair_status") == "paired", F.col("next_ns")), "syscall_result": F.when(F.col("pair_status") == "paired", F.col("next_result")).when(~is_enter, F.col("syscall_result"))})
         out = out.drop("next_exit", "next_ns", "next_result", "prev_enter")
     else:
-        out = pair_calls(rows.filter(two), timeout)
+        out = pair_calls(rows.filter(two), timeout, Calls if overlapping else Turns)
     return out.unionByName(single)
 
 
@@ -156,6 +157,25 @@ class Calls:
         self.enters, self.exits = (deque((ts, at) for at, (ts, _) in enumerate(q)) for q in (self.enters, self.exits))
 
 
+class Turns(Calls):
+    """Pairing of calls that take turns: an exit belongs to the row just before it, if that is an enter within the
+    timeout. Nothing else waits or is counted."""
+
+    def expire(self, now: float) -> None:
+        super().expire(now)
+        self.lost_enters = self.lost_exits = 0
+
+    def push(self, ts: int, enter: bool, at: int) -> None:
+        self.expire(ts)
+        waits = self.enters.popleft()[1] if self.enters else None
+        if waits is not None:
+            self.out.append((waits, ENTER_ONLY, None) if enter else (waits, PAIRED, at))
+        elif not enter:
+            self.out.append((at, LATE_EXIT, None))
+        if enter:
+            self.enters.append((ts, at))
+
+
 def with_status(rows: pa.Table, out: list[tuple]) -> pa.Table:
     """The rows of what `Calls` gave out, with pair_status and exit_ns."""
     at, status, exits = (pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ((), (), ())))
@@ -181,8 +201,8 @@ def in_time(row: dict) -> tuple:
     return row["timestamp_ns"], row["phase"], row["syscall_result"] is not None, row["syscall_result"] or 0
 
 
-def pair_calls(two: DataFrame, timeout_ns: int) -> DataFrame:
-    """Rows of Openat and Connect with pair_status and exit_ns, staged, by the rule of `Calls`.
+def pair_calls(two: DataFrame, timeout_ns: int, rule: type[Calls] = Calls) -> DataFrame:
+    """Rows of Openat and Connect with pair_status and exit_ns, staged, by the rule of `Calls`, or of `Turns`.
 
     A thread's rows are cut into chunks at pauses longer than the timeout, where nothing waits, so that only the two
     counts go from one chunk to the next. All chunks are folded at once, with counts of 0; counts then follow from what
@@ -215,7 +235,7 @@ def pair_calls(two: DataFrame, timeout_ns: int) -> DataFrame:
                     if calls is not None:
                         calls.expire(float("inf"))
                         ends.append((i - 1, calls.lost_enters, calls.lost_exits))
-                    calls = Calls(timeout_ns, started[0][i], started[1][i])
+                    calls = rule(timeout_ns, started[0][i], started[1][i])
                     calls.out = out
                 calls.push(times[i], enter[i], i)
             yield from given(with_status(rows, out))

@@ -282,3 +282,13 @@ def test_writer_computes_no_grams(spark, monkeypatch):
     place = tempfile.mkdtemp(prefix="fleetlens-sink-")
     sinks.telemetry_writer(place, lambda: None)(batch, 0)
     assert spark.read.parquet(f"{place}/degraded").count() == features.f_total(batch).count()
+
+
+def test_stateful_turns_equal_the_serial_rule(spark):
+    """Overlapping calls, and phases that the table holds several times."""
+    rows = random_phases(4) + [phase(5000 + d, "Openat", what, 7) for d, what in ((0, "enter"), (9, "exit")) for _ in range(3)]
+    df = spark.createDataFrame(rows, PHASES)
+    known = lambda **how: [r[:4] for r in paired_rows(ingest.pair_enter_exit(df, **how))]
+    got = known(mode="stateful", overlapping=False)
+    assert got == known() and got != known(mode="stateful")
+    assert [r[3] for r in got if r[2] in (5000 * MS, 5009 * MS)] == ["enter_only", "enter_only", "paired", "late_exit", "late_exit"]
