@@ -48,6 +48,12 @@ def with_event_time(events: DataFrame, delay: str = "10 seconds") -> DataFrame:
     return events.withColumn("event_time", F.timestamp_micros(F.expr("timestamp_ns div 1000"))).withWatermark("event_time", delay)
 
 
+def passed_ns(timer_values) -> float:
+    """The watermark in nanoseconds. Spark's is 0 before there is one, and never under it: no row is behind that, so
+    rows of times before 1970 wait until a later time moves the watermark."""
+    return timer_values.getCurrentWatermarkInMs() * MS or float("-inf")
+
+
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
@@ -123,7 +129,7 @@ class Grouped(StatefulProcessor):
 
     def _wake(self, ns: int, mark: int) -> None:
         """A timer for what is due next, unless the group has one by then. Those up to the watermark fire in this batch."""
-        at = ns // MS + 1
+        at = max(ns // MS + 1, 1)
         if not any(mark < t <= at for t in list(self.handle.listTimers())):
             self.handle.registerTimer(at)
 
@@ -134,12 +140,12 @@ class Grouped(StatefulProcessor):
             yield pd.DataFrame({"packed": [packed(whole.slice(k, PACKED_ROWS))]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark, fresh, first = timerValues.getCurrentWatermarkInMs(), [], None
+        now, mark, fresh, first = passed_ns(timerValues), timerValues.getCurrentWatermarkInMs(), [], None
         for frame in rows:
             for blob in frame["packed"]:
                 table = unpacked(blob)
-                behind = pc.less(table["timestamp_ns"], mark * MS)
-                if (n := pc.sum(behind).as_py() or 0):
+                behind = pc.less(table["timestamp_ns"], int(max(now, -(2**63))))
+                if n := pc.sum(behind).as_py() or 0:
                     late, table = table.filter(behind), table.filter(pc.invert(behind))
                     yield from self._given(late.append_column("late", pa.array([True] * n)))
                     blob = packed(table)
@@ -159,7 +165,7 @@ class Grouped(StatefulProcessor):
         tables = [unpacked(blob) for (blob,) in self.rows.get()]
         rows = pa.concat_tables(tables) if tables else None
         kept = unpacked(self.kept.get()[0]).to_pylist() if self.kept.exists() else []
-        out, left, known, due = self.go_on(rows, {tuple(r[c] for c in self.key): r for r in kept}, mark * MS)
+        out, left, known, due = self.go_on(rows, {tuple(r[c] for c in self.key): r for r in kept}, passed_ns(timerValues))
         if rows is not None:
             self.rows.clear()
         if left is not None and left.num_rows:

@@ -292,3 +292,17 @@ def test_stateful_turns_equal_the_serial_rule(spark):
     got = known(mode="stateful", overlapping=False)
     assert got == known() and got != known(mode="stateful")
     assert [r[3] for r in got if r[2] in (5000 * MS, 5009 * MS)] == ["enter_only", "enter_only", "paired", "late_exit", "late_exit"]
+
+
+def test_times_before_1970_are_not_late(spark):
+    """Spark's watermark is 0 until one is known; and a disordered stream holds all rows."""
+    from fleetlens.plans import queries
+
+    rows = [phase(-20, "Openat", "exit", 5), phase(-10, "Openat", "enter"), phase(60_000, "Connect", "enter"), phase(120_000, "Connect", "enter")]
+    phases = spark.createDataFrame(rows, PHASES)
+    stream = queries.in_disorder(phases, 1)
+    got = drained(spark, stateful.pair_stream(stateful.with_event_time(stream)), "n")
+    assert got.filter("late").count() == 0 and paired_rows(got)[-1] == (1, "Openat", -10 * MS, "paired", 5)
+    events = spark.createDataFrame([(k, ts * S, 1, 1, 1, "Execve", None, None, None, None, None, 0) for k, ts in enumerate((-100, -71, -69, 600))], SYSCALL)
+    got = drained(spark, stateful.window_stream(stateful.with_event_time(stored(events, 4)), 30), "m")
+    assert got.filter("late").count() == 0 and window_rows(got, 3) == [(1, -100 * S, -70 * S, 0), (1, -100 * S, -70 * S, 1), (1, -70 * S, -40 * S, 2)]
