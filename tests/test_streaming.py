@@ -306,3 +306,28 @@ def test_times_before_1970_are_not_late(spark):
     events = spark.createDataFrame([(k, ts * S, 1, 1, 1, "Execve", None, None, None, None, None, 0) for k, ts in enumerate((-100, -71, -69, 600))], SYSCALL)
     got = drained(spark, stateful.window_stream(stateful.with_event_time(stored(events, 4)), 30), "m")
     assert got.filter("late").count() == 0 and window_rows(got, 3) == [(1, -100 * S, -70 * S, 0), (1, -100 * S, -70 * S, 1), (1, -70 * S, -40 * S, 2)]
+
+
+@pytest.mark.parametrize("overlapping", [True, False])
+def test_a_thread_is_folded_batch_by_batch(spark, overlapping):
+    """Batches of 7 rows: what waits goes from one to the next, and a chunk's counts with it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(random_phases(6), PHASES)
+        got = paired_rows(ingest.pair_enter_exit(df, mode="stateful", overlapping=overlapping))
+        if overlapping:
+            assert got == slow_pairs([r.asDict() for r in df.collect()])
+        else:
+            assert [r[:4] for r in got] == [r[:4] for r in paired_rows(ingest.pair_enter_exit(df))]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_only_waiting_rows_are_held():
+    """A thread of 10,000 calls: rows are known by number, and those that wait are few."""
+    calls, most = ingest.Calls(250 * MS), 0
+    for k in range(10_000):
+        calls.push(k * 100 * MS, True, 2 * k)
+        most = max(most, len(calls.waiting()))
+        calls.push(k * 100 * MS + 50 * MS, False, 2 * k + 1)
+    assert most == 1 and not calls.waiting() and calls.out[-1] == (19_998, ingest.PAIRED, 19_999)
