@@ -163,24 +163,34 @@ class Grouped(StatefulProcessor):
             return
         self.passed[key] = mark
         tables = [unpacked(blob) for (blob,) in self.rows.get()]
-        rows = pa.concat_tables(tables) if tables else None
         kept = unpacked(self.kept.get()[0]).to_pylist() if self.kept.exists() else []
-        out, left, known, due = self.go_on(rows, {tuple(r[c] for c in self.key): r for r in kept}, passed_ns(timerValues))
+        rows = self.in_order(pa.concat_tables(tables)) if tables else None
+        tables.clear()  # a group may be large: no second copy of it
+        at, left, known, due = self.go_on(rows, {tuple(r[c] for c in self.key): r for r in kept}, passed_ns(timerValues))
         if rows is not None:
             self.rows.clear()
-        if left is not None and left.num_rows:
-            self.rows.put([(packed(left),)])
+        if left:
+            self.rows.put([(packed(rows.take(pa.array(left[k : k + PACKED_ROWS], pa.int64()))),) for k in range(0, len(left), PACKED_ROWS)])
         if known:
             self.kept.update((packed(pa.Table.from_pylist(known, schema=self.known)),))
         else:
             self.kept.clear()
         if due is not None:
             self._wake(due, mark)
-        if out is not None and out.num_rows:
+        for k in range(0, len(at), PACKED_ROWS):
+            out = self.made(rows, at[k : k + PACKED_ROWS])
             yield from self._given(out.append_column("late", pa.array(np.zeros(out.num_rows, bool))))
 
-    def go_on(self, rows: pa.Table | None, known: dict[tuple, dict], now: int) -> tuple:
-        """What comes out, the rows that stay, what is known of each key, and when (ns) something is due next."""
+    def in_order(self, rows: pa.Table) -> pa.Table:
+        """rows by key and time."""
+        raise NotImplementedError
+
+    def go_on(self, rows: pa.Table | None, known: dict[tuple, dict], now: float) -> tuple[list[tuple], list[int], list[dict], int | None]:
+        """What comes out (as `made` takes it), the numbers of the rows that stay, what is known of each key, and when
+        (ns) something is due next."""
+        raise NotImplementedError
+
+    def made(self, rows: pa.Table, out: list[tuple]) -> pa.Table:
         raise NotImplementedError
 
     def close(self) -> None:
@@ -201,8 +211,15 @@ class Pairing(Grouped):
         self.timeout_ns = timeout_ms * MS
         self.known = pa.schema([*[to_arrow_schema(rows).field(c) for c in key], ("lost_enters", pa.int64()), ("lost_exits", pa.int64())])
 
+    def in_order(self, rows):
+        return _sorted(rows, *self.key, "timestamp_ns", "phase", "syscall_result")
+
+    def made(self, rows, out):
+        return with_status(rows, out)
+
     def go_on(self, rows, known, now):
-        rows = _sorted(rows, *self.key, "timestamp_ns", "phase", "syscall_result")
+        if rows is None:  # the timer of a call that has been paired since
+            return [], [], list(known.values()), None
         times, enter = rows["timestamp_ns"].to_numpy().tolist(), pc.equal(rows["phase"], "enter").to_pylist()
         cuts = [*np.flatnonzero(begins(rows, self.key)).tolist(), len(times)]
         keys = rows.select(self.key).take(pa.array(cuts[:-1], pa.int64())).to_pylist()
@@ -220,7 +237,7 @@ class Pairing(Grouped):
             due += [*[times[i] + self.timeout_ns for i in waits[:1]], *times[end : min(end + 1, b)]]
             if calls.lost_enters or calls.lost_exits:
                 known[tuple(key.values())] = key | {"lost_enters": calls.lost_enters, "lost_exits": calls.lost_exits}
-        return with_status(rows, out), rows.take(pa.array(stay, pa.int64())), list(known.values()), min(due, default=None)
+        return out, stay, list(known.values()), min(due, default=None)
 
 
 def unfiltered(events: DataFrame) -> DataFrame:
@@ -264,11 +281,20 @@ class Windows(Grouped):
         """(length, de-duplication width) in nanoseconds at a time."""
         return [(size * NS, width) for at, size, width in self.settings if at <= ts or at == self.settings[0][0]][-1]
 
+    def in_order(self, rows):
+        rows = rows.append_column("is_exit", pc.fill_null(pc.equal(rows["syscall_type"], "Exit"), False))
+        return _sorted(rows, *self.key, "timestamp_ns", "is_exit", "event_id").drop_columns("is_exit")
+
+    def made(self, rows, out):
+        at, facts = zip(*out, strict=True)
+        got = rows.take(pa.array(at, pa.int64()))
+        for name, values in zip(("lifetime", "window_start_ns", "window_end_ns", "dedup_ns", "short_lived"), zip(*facts, strict=True), strict=True):
+            got = got.append_column(name, pa.array(values))
+        return got
+
     def go_on(self, rows, known, now):
-        at, runs, stay, due, left = [], [], [], [], []
+        out, stay, due, left = [], [], [], []
         if rows is not None:
-            rows = rows.append_column("is_exit", pc.fill_null(pc.equal(rows["syscall_type"], "Exit"), False))
-            rows = _sorted(rows, *self.key, "timestamp_ns", "is_exit", "event_id").drop_columns("is_exit")
             times, exits = rows["timestamp_ns"].to_numpy().tolist(), pc.equal(rows["syscall_type"], "Exit").to_pylist()
             cuts = [*np.flatnonzero(begins(rows, self.key)).tolist(), len(times)]
             keys = rows.select(self.key).take(pa.array(cuts[:-1], pa.int64())).to_pylist()
@@ -278,8 +304,8 @@ class Windows(Grouped):
                 ahead, inside = bisect_left(times, now, a, b), []
 
                 def close(until: int, early: bool, inside=inside) -> None:
-                    at.extend(inside)
-                    runs.append((len(inside), life, start, until, width, early))  # noqa: B023
+                    facts = (life, start, until, width, early)  # noqa: B023
+                    out.extend((i, facts) for i in inside)
                     inside.clear()
 
                 for i in range(a, ahead):
@@ -308,13 +334,7 @@ class Windows(Grouped):
                     due += [end] if inside else [] if waits else [last + self.idle_ns]
         silent = [r for r in known.values() if r["last"] + self.idle_ns > now]
         due += [r["last"] + self.idle_ns for r in silent]
-        out = None
-        if at:
-            n, *facts = zip(*runs, strict=True)
-            out = rows.take(pa.array(at, pa.int64()))
-            for name, values in zip(("lifetime", "window_start_ns", "window_end_ns", "dedup_ns", "short_lived"), facts, strict=True):
-                out = out.append_column(name, pa.array(np.repeat(np.array(values), n)))
-        return out, rows.take(pa.array(stay, pa.int64())) if rows is not None else None, left + silent, min(due, default=None)
+        return out, stay, left + silent, min(due, default=None)
 
 
 def window_stream(events: DataFrame, window_s: int = 30, changes: list[tuple] | None = None, dedup_ms: float = 100, idle_s: int = 86_400) -> DataFrame:

@@ -331,3 +331,15 @@ def test_only_waiting_rows_are_held():
         most = max(most, len(calls.waiting()))
         calls.push(k * 100 * MS + 50 * MS, False, 2 * k + 1)
     assert most == 1 and not calls.waiting() and calls.out[-1] == (19_998, ingest.PAIRED, 19_999)
+
+
+def test_timer_of_a_call_that_was_paired_before(spark):
+    """The watermark stands between enter and exit once, so a timer is set for an enter that is then paired."""
+    batches = [[phase(1_000_000, "Openat", "enter"), phase(1_010_100, "Openat", "enter", pid=2)], [phase(1_000_200, "Openat", "exit", 7), phase(1_010_220, "Openat", "exit", 8, 2)], [phase(1_100_000, "Openat", "enter", pid=2)], [phase(1_200_000, "Openat", "enter", pid=2)]]
+    place = tempfile.mkdtemp(prefix="fleetlens-files-")
+    for part in batches:
+        spark.createDataFrame(part, PHASES).coalesce(1).write.mode("append").parquet(place)
+        time.sleep(0.05)
+    stream = spark.readStream.schema(spark.createDataFrame([], PHASES).schema).option("maxFilesPerTrigger", 1).parquet(place)
+    got = drained(spark, stateful.pair_stream(stateful.with_event_time(stream)), "t")
+    assert paired_rows(got)[:2] == [(1, "Openat", 1_000_000 * MS, "paired", 7), (2, "Openat", 1_010_100 * MS, "paired", 8)]
